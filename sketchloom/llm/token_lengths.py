@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import token_bytes, whole_text
+from .common import stored, token_bytes, whole_text
 
 #: Lengths in one block of the two-level sums.
 BLOCK = 1024
@@ -66,7 +66,7 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
 
 def length_report(docs: DataFrame, tokenizer: str) -> DataFrame:
     """n_tokens, n_docs, docs_from, tokens_from, truncated_total, quantile."""
-    return suffix_sums(histogram(docs, tokenizer)).select(
+    return suffix_sums(stored(histogram(docs, tokenizer))).select(
         "n_tokens",
         "n_docs",
         "docs_from",
