@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, packing, pii, simhash, token_lengths
+from . import chat, decontaminate, exact_dedup, langid, packing, pii, simhash, token_lengths, toxicity
 from .common import documents, word_tokenizer_path
 
 
@@ -23,6 +23,20 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.train(docs))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -41,9 +55,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_simhash": op3_simhash,
+        "op4_language_id": op4_language_id,
         "op5_token_counts": op5_token_counts,
+        "op7_decontamination": op7_decontamination,
         "op8_chat_format": op8_chat_format,
         "op9_packing": op9_packing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
