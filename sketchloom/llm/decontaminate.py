@@ -18,6 +18,7 @@ index is broadcast in blocks of at most INDEX_CHARS characters of items.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import defaultdict
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
-PASSAGE, PIECE, BLOCK, SHARE = 128, 64, 8, 0.6
+PASSAGE, PIECE, BLOCK, SHARE = 128, 64, 4, 0.6
 WORDS, OVERLAP = 5, 0.8
 #: Characters of test items that one broadcast index holds; a larger benchmark is searched in several passes.
 INDEX_CHARS = 64_000_000
@@ -63,6 +64,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.terms: dict[str, int] = {}
+        self.held: dict[int, tuple | None] = {}  # postings of a term in a block, as they come to be used
         self.items, units, owner = [], [], []
         for item, text in items:
             words = WORD.findall((text or "").lower())
@@ -104,30 +106,34 @@ class Index:
 
     def doc_ids(self, text: str) -> np.ndarray:
         words = WORD.findall(text.lower())
-        get = self.terms.get
-        return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        return np.array(list(map(self.terms.get, words, itertools.repeat(-1))), np.int32)
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """(passage, block) pairs whose summed block maxima reach the block's least threshold."""
-        rows, terms = max(1, math.ceil(len(ids) / (PASSAGE // 2))), len(self.terms)
+        half, terms = PASSAGE // 2, len(self.terms)
+        rows = max(1, math.ceil(len(ids) / half) - 1)
         at = np.nonzero(ids >= 0)[0]
-        key = np.unique(at // (PASSAGE // 2) * terms + ids[at])
-        half, t = key // terms, key % terms
+        place = np.concatenate([at // half, at // half - 1])  # each half belongs to two passages
+        key = (place * terms + np.concatenate([ids[at], ids[at]]))[(place >= 0) & (place < rows)]
+        key = np.unique(key)
+        passage, t = key // terms, key % terms
         many = self.max_first[t + 1] - self.max_first[t]
         place = np.repeat(self.max_first[t] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        sums = np.bincount(np.repeat(half, many) * self.blocks + self.max_block[place], self.max_impact[place], rows * self.blocks).reshape(rows, self.blocks)
-        bound = sums[:-1] + sums[1:] if rows > 1 else sums
+        bound = np.bincount(np.repeat(passage, many) * self.blocks + self.max_block[place], self.max_impact[place], rows * self.blocks).reshape(rows, self.blocks)
         return [tuple(x) for x in np.argwhere(bound >= self.block_least - 1e-9).tolist()]
 
     def wand(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
         """(unit, score) of the block's units at their threshold or above, for a set of terms."""
-        low, high, lists = block * BLOCK, (block + 1) * BLOCK, []
+        lists = []
         for t in terms.tolist():
-            a, b = self.first[t], self.first[t + 1]
-            i, j = a + np.searchsorted(self.unit[a:b], (low, high))
-            if i < j:
+            got = self.held.get(key := t * self.blocks + block, 0)
+            if got == 0:
+                a, b = self.first[t], self.first[t + 1]
+                i, j = a + np.searchsorted(self.unit[a:b], (block * BLOCK, (block + 1) * BLOCK))
                 impacts = self.impact[i:j].tolist()
-                lists.append([self.unit[i:j].tolist(), impacts, max(impacts), 0])
+                got = self.held[key] = (self.unit[i:j].tolist(), impacts, max(impacts)) if impacts else None
+            if got:
+                lists.append([*got, 0])
         out, least = [], self.block_least[block] - 1e-9
         while True:
             lists = sorted((x for x in lists if x[3] < len(x[0])), key=lambda x: x[0][x[3]])
