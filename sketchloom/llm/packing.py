@@ -121,7 +121,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, targets: dict[str, f
     encoded = stored(encode(docs, tokenizer, {s: i for i, s in enumerate(own)}, QUEUES - len(own)))
     runs = encoded.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
+    # kept as a table so that Spark knows its size: small, it is broadcast and the ids stay where they are
+    runs = stored(runs.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier")))
     sums = {r["queue"]: r["n"] for r in encoded.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # QUEUES rows at most
     live = sorted(sums)
     totals = np.asarray([sums[q] for q in live] or [1], np.int64)
