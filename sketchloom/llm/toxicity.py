@@ -3,8 +3,8 @@
 A document is a bag of sentences. A sentence's probability is logistic in the
 sum of its words' weights; the document's is their noisy-or, so one bad
 sentence is enough and the label of the document teaches which one it is. A
-word's weight is the sum over its hashed features: the word and its first 3 to
-6 letters.
+word's weight is the sum over its features: the word and its first 3 to 6
+letters, of which those count that COMMON documents of the sample have.
 
 Fitted on at most about SAMPLE labelled rows (half of them toxic where there
 are as many), drawn by a hash of doc_id, of texts up to FIT_CHARS characters;
@@ -29,18 +29,20 @@ from .langid import is_held_out
 
 #: Labelled rows to fit on at most, and the longest text among them.
 SAMPLE, FIT_CHARS = 3_000, 200_000
-BITS = 18
+#: Documents of the sample that a feature must occur in.
+COMMON = 6
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 
 
 def word_features(word: str) -> list[int]:
+    """Hashes of the word and of its beginnings."""
     marks = [f"={word}", *(f"^{word[:n]}" for n in range(3, 7) if len(word) >= n)]
-    return [zlib.crc32(m.encode("utf-8", "replace")) & (1 << BITS) - 1 for m in marks]
+    return [zlib.crc32(m.encode("utf-8", "replace")) for m in marks]
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0.2, ridge: float = 2e-4) -> tuple[float, np.ndarray]:
-    """The bias and the features' weights, by Adagrad on the noisy-or likelihood."""
+def fit(texts: list[str], labels: np.ndarray, rounds: int = 250, rate: float = 0.3, sparse: float = 0.6) -> tuple[float, dict[int, float]]:
+    """The bias and the features' weights, by proximal Adagrad on the noisy-or likelihood with an L1 penalty."""
     known: dict[str, int] = {}
     words, ends, bags = [], [], []
     for text in texts:
@@ -50,43 +52,54 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0
             if found:
                 ends.append(len(words))
                 words += [known.setdefault(w, len(known)) for w in found]
-    bias, weight = -5.0, np.zeros(1 << BITS)
     if not words or not 0 < labels.sum() < len(labels):
-        return (bias if not len(labels) or not labels.sum() else 5.0), weight
+        return (5.0 if len(labels) and labels.all() else -5.0), {}
     word = np.asarray(words)
     lists = [word_features(w) for w in known]
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    feature = np.concatenate(lists)
+    names, feature = np.unique(np.concatenate(lists), return_inverse=True)
     sentence = np.repeat(np.arange(len(ends)), np.diff([*ends, len(words)]))
     bag = np.repeat(np.arange(len(bags)), np.diff([*bags, len(ends)]))
+    # features of too few documents are left out: pairs of (word, document) first, then of (feature, document)
+    pair = np.unique(word * len(bags) + bag[sentence])
+    start = np.searchsorted(owner, np.arange(len(lists) + 1))
+    many = np.diff(start)[pair // len(bags)]
+    at = np.repeat(start[pair // len(bags)] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    held = np.bincount(np.unique(feature[at] * len(bags) + np.repeat(pair % len(bags), many)) // len(bags), minlength=len(names))
+    use = held[feature] >= COMMON
+    owner, feature = owner[use], feature[use]
+    bias, weight = -5.0, np.zeros(len(names))
     y, size = labels[bag].astype(bool), len(bags)
-    squares, bias_squares = np.full(len(weight), 1e-2), 1e-2
+    squares, bias_squares = np.ones(len(weight)), 1.0
     balance = np.where(y, len(labels) / (2 * labels.sum()), len(labels) / (2 * (len(labels) - labels.sum())))
     for _ in range(rounds):
         value = np.bincount(owner, weight[feature], len(lists))
         z = np.clip(bias + np.bincount(sentence, value[word], len(ends)), -30, 30)
         p, soft = 1 / (1 + np.exp(-z)), np.logaddexp(0, z)
         total = np.maximum(np.bincount(bag, soft, size), 1e-9)
-        slope = np.where(y, -1 / np.expm1(np.minimum(total, 50))[bag], 1.0) * p * balance / len(labels)
+        slope = np.where(y, -1 / np.expm1(np.minimum(total, 50))[bag], 1.0) * p * balance
         by_word = np.bincount(word, slope[sentence], len(lists))
-        g = np.bincount(feature, by_word[owner], len(weight)) + ridge / len(labels) * weight
-        squares += (g * len(labels)) ** 2
-        weight -= rate * g * len(labels) / np.sqrt(squares)
-        b = slope.sum() * len(labels)
+        g = np.bincount(feature, by_word[owner], len(weight))
+        squares += g**2
+        step = rate / np.sqrt(squares)
+        weight -= step * g
+        weight = np.sign(weight) * np.maximum(np.abs(weight) - step * sparse, 0)
+        b = slope.sum()
         bias_squares += b * b
         bias -= rate * b / np.sqrt(bias_squares)
-    return float(bias), weight
+    kept = np.nonzero(np.abs(weight) > 1e-4)[0]
+    return float(bias), dict(zip(names[kept].tolist(), weight[kept].tolist(), strict=True))
 
 
 class Scorer(dict):
     """Word -> weight, filled on first use; up to a limit that bounds memory."""
 
-    def __init__(self, bias: float, weight: np.ndarray, keep: int = 400_000):
+    def __init__(self, bias: float, weight: dict[int, float], keep: int = 400_000):
         super().__init__()
         self.bias, self.weight, self.keep = bias, weight, keep
 
     def __missing__(self, word: str) -> float:
-        value = float(self.weight[word_features(word)].sum())
+        value = sum(self.weight.get(f, 0.0) for f in word_features(word))
         if len(word) <= 40 and len(self) < self.keep:
             self[word] = value
         return value
@@ -102,7 +115,7 @@ class Scorer(dict):
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float, dict[int, float]]:
     told = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out())
     told = told.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in told.groupBy("toxic").count().collect()}
@@ -114,17 +127,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
     return fit([t for t, _ in pairs], np.asarray([y for _, y in pairs], float))
 
 
-def score(docs: DataFrame, model: tuple[float, np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[float, dict[int, float]]) -> DataFrame:
     """doc_id, held_out, score, predicted and offending (first, last, score of sentences at 0.5 or more) of every whole text."""
-    bias, weight = model
-    at = np.nonzero(weight)[0].astype(np.int32)
-    packed = bias, at, weight[at].astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     span = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros(1 << BITS)
-        dense[packed[1]] = packed[2]
-        scorer = Scorer(packed[0], dense)
+        scorer = Scorer(*shared.value)
         for batch in batches:
             scores, spans = [], []
             for text in batch.column(2):
