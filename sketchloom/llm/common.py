@@ -6,6 +6,7 @@ import functools
 import re
 import tempfile
 import uuid
+from array import array
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,18 +65,27 @@ class TokenBytes(dict):
     """
 
     def __init__(self, path: str, keep: int = 600_000, longest: int = 40):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.keep, self.longest = keep, longest
         self.mark = re.compile(r"(?<=[a-zß-öø-ÿ])[.,](?=[ \n])")
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_level = {c: shown.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}
+        # a lower-case word of Latin letters is one piece for the model, unless this tokenizer parts words otherwise
+        self.one_piece = all(self.direct(w) == self.encode(w) for w in ("a", "thorn", "queue", "élève", "straße", "ñandú", "zzxqy"))
 
-    def __missing__(self, word: str) -> bytes:
-        import numpy as np
+    def encode(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def direct(self, word: str) -> list[int]:
+        """The same by the model alone, without the steps that find and trim words."""
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.byte_level))]
 
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = np.asarray(ids, "<u4").tobytes()
+    def __missing__(self, word: str) -> bytes:
+        plain = self.one_piece and word.isalpha() and word.islower() and latin(word)
+        out = array("I", self.direct(word) if plain else self.encode(word)).tobytes()
         if len(word) <= self.longest and len(self) < self.keep:
             self[word] = out
         return out
