@@ -10,7 +10,7 @@ def expand_tabs(text: Column, size: int = 8) -> Column:
     """Tabs become spaces up to the next stop; stops count from the last line break."""
 
     def add(out: Column, part: Column) -> Column:
-        column = F.length(F.regexp_extract(out, r"[^\n\r]*$", 0))
+        column = F.length(F.regexp_extract(out, r"[^\n\r]*\z", 0))
         return F.concat(out, F.repeat(F.lit(" "), F.lit(size) - column % size), part)
 
     parts = F.split(text, "\t", -1)

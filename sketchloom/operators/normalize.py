@@ -142,7 +142,10 @@ def duplicate_references(nodes: DataFrame) -> DataFrame:
 
 def geometry_present(nodes: DataFrame) -> DataFrame:
     """Diagrams of which some node has a coordinate or a size already."""
-    has = F.greatest(*(F.col(c).isNotNull() for c in ("x", "y", "width", "height")))
+    given = [c for c in ("x", "y", "width", "height") if c in nodes.columns]
+    if not given:
+        nodes, given = nodes.withColumn("x", F.lit(None)), ["x"]
+    has = F.coalesce(*map(F.col, given)).isNotNull()
     rows = nodes.groupBy("diagram_id").agg(F.bool_or(has).alias("has")).where("has").withColumn("pos", F.lit(0))
     return by_position(rows, 0, "geometry", F.lit("extracted graph must not contain layout geometry"))
 
