@@ -11,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 #: Nodes of a diagram whose sets fit the bits of a long.
 SMALL = 62
+RANKED = "array<struct<id:string,component:string,rank:int>>"
 
 
 def bit(i: Column) -> Column:
@@ -32,44 +35,64 @@ def layout_nodes(nodes: DataFrame) -> DataFrame:
 def directed_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (diagram_id, source, target) between the given nodes; associations and undirected edges give none."""
     ids = nodes.select("diagram_id", "id").distinct()
-    kept = edges.where((F.col("relation") != "association") & (F.col("direction") != "none"))
+    kept = edges
     for end in ("source", "target"):
         kept = kept.join(ids.withColumnRenamed("id", end), ["diagram_id", end], "left_semi")
-    there = F.struct(F.col("source").alias("s"), F.col("target").alias("t"))
-    back = F.struct(F.col("target").alias("s"), F.col("source").alias("t"))
+    return kept.select("diagram_id", F.explode(pair_ways()).alias("p")).select("diagram_id", "p.source", "p.target").distinct()
+
+
+def pair_ways() -> Column:
+    """The (source, target) pairs that an edge stands for, as an array."""
+    there = F.struct("source", "target")
+    back = F.struct(F.col("target").alias("source"), F.col("source").alias("target"))
     ways = F.when(F.col("direction") == "bidirectional", F.array(there, back)).when(F.col("direction") == "reverse", F.array(back)).otherwise(F.array(there))
-    return kept.select("diagram_id", F.explode(ways).alias("p")).select("diagram_id", F.col("p.s").alias("source"), F.col("p.t").alias("target")).distinct()
+    return F.when((F.col("relation") != "association") & (F.col("direction") != "none"), ways)
+
 
+def packed(nodes: DataFrame, edges: DataFrame, *carried: str) -> DataFrame:
+    """One row for each diagram: all nodes (id, parent_id and the carried columns), containers, ids (sorted, without containers), pairs between them.
 
-def packed(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """diagram_id, ids (sorted), pairs: one row for each diagram."""
-    ids = nodes.groupBy("diagram_id").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    links = pairs.groupBy("diagram_id").agg(F.collect_set(F.struct("source", "target")).alias("pairs"))
+    Two shuffles, both on diagram_id; what follows on a diagram needs no other.
+    """
+    by_node = nodes.groupBy("diagram_id").agg(F.array_sort(F.collect_list(F.struct("id", "parent_id", *carried))).alias("nodes"))
+    by_edge = edges.select("diagram_id", pair_ways().alias("ways")).where("ways is not null").groupBy("diagram_id").agg(F.array_distinct(F.flatten(F.collect_list("ways"))).alias("pairs"))
     none = F.array().cast("array<struct<source:string,target:string>>")
-    return ids.join(links, "diagram_id", "left").withColumn("pairs", F.coalesce("pairs", none))
+    rows = by_node.join(by_edge, "diagram_id", "left").withColumn("containers", F.array_distinct(F.filter(F.transform("nodes", lambda n: n["parent_id"]), lambda p: p.isNotNull())))
+    rows = rows.withColumn("ids", F.array_except(F.array_distinct(F.transform("nodes", lambda n: n["id"])), "containers"))
+    inside = let(F.col("ids"), lambda ids: F.filter(F.coalesce("pairs", none), lambda p: F.array_contains(ids, p["source"]) & F.array_contains(ids, p["target"])))
+    return rows.withColumn("pairs", inside)
 
 
 def ranked(graphs: DataFrame) -> DataFrame:
-    """diagram_id, id, component (its least id), rank of diagrams of up to SMALL nodes."""
-    zero, seq = F.lit(0).cast("long"), F.sequence(F.lit(0), F.size("ids") - 1)
-    target = lambda p: bit(F.array_position(F.col("ids"), p["target"]).cast("int") - 1)
-    direct = F.transform("ids", lambda n, i: F.aggregate(F.filter("pairs", lambda p: p["source"] == n), bit(i), lambda m, p: m.bitwiseOR(target(p))))
-    close = lambda r, k: F.transform(r, lambda x: F.when(has(x, k), x.bitwiseOR(F.get(r, k))).otherwise(x))
-    reach = graphs.withColumn("direct", direct).withColumn("reach", F.aggregate(seq, F.col("direct"), close))
-    # the nodes that reach each node, and of those the ones that it does not reach
-    to = F.transform(seq, lambda i: F.aggregate(seq, zero, lambda m, j: F.when(has(F.get("reach", j), i), m.bitwiseOR(bit(j))).otherwise(m)))
-    reach = reach.withColumn("to", to)
-    mutual = F.transform("to", lambda x, i: x.bitwiseAND(F.get("reach", i)))
-    above = F.transform("to", lambda x, i: x.bitwiseXOR(x.bitwiseAND(F.get("reach", i))))
-    reach = reach.withColumns({"mutual": mutual, "above": above})
-    # ranks in the order of how many nodes are above: all that are above a node have fewer
-    order = F.array_sort(F.transform("above", lambda x, i: F.struct(F.bit_count(x).alias("n"), i.alias("i"))))
-    best = lambda ranks, x: F.array_max(F.transform(ranks, lambda r, j: F.when(has(x, j), r + 1).otherwise(0)))
-    put = lambda ranks, o: F.transform(ranks, lambda r, j: F.when(j == o["i"], best(ranks, F.get("above", o["i"]))).otherwise(r))
-    ranks = F.aggregate(order, F.transform(seq, lambda i: F.lit(0)), put)
-    least = F.transform("mutual", lambda x: F.get(F.col("ids"), F.get(F.filter(seq, lambda j: has(x, j)), F.lit(0))))
-    each = F.arrays_zip(F.col("ids").alias("id"), least.alias("component"), F.col("ranks").alias("rank"))
-    return reach.withColumn("ranks", ranks).select("diagram_id", F.inline(each).alias("id", "component", "rank"))
+    """graphs (ids, pairs) of up to SMALL nodes plus ranked: (id, component, rank) of each id; component is its least id."""
+    zero = F.lit(0).cast("long")
+
+    def component_and_rank(ids: Column, pairs: Column) -> Column:
+        seq = F.sequence(F.lit(0), F.size(ids) - 1)
+        target = lambda p: bit(F.array_position(ids, p["target"]).cast("int") - 1)
+        direct = F.transform(ids, lambda n, i: F.aggregate(F.filter(pairs, lambda p: p["source"] == n), bit(i), lambda m, p: m.bitwiseOR(target(p))))
+        close = lambda r, k: let(F.get(r, k), lambda more: F.transform(r, lambda x: F.when(has(x, k), x.bitwiseOR(more)).otherwise(x)))
+        # the nodes that reach each node, and of those the ones that it does not reach
+        reached = lambda reach: F.transform(seq, lambda i: F.aggregate(seq, zero, lambda m, j: F.when(has(F.get(reach, j), i), m.bitwiseOR(bit(j))).otherwise(m)))
+        mutual = lambda reach, to: F.zip_with(reach, to, lambda x, y: x.bitwiseAND(y))
+        above = lambda reach, to: F.zip_with(reach, to, lambda x, y: y.bitwiseXOR(x.bitwiseAND(y)))
+        least = lambda sets: F.transform(sets, lambda x: F.get(ids, F.get(F.filter(seq, lambda j: has(x, j)), F.lit(0))))
+
+        def levels(over: Column) -> Column:
+            """Ranks in the order of how many nodes are above: all that are above a node have fewer."""
+            order = F.array_sort(F.transform(over, lambda x, i: F.struct(F.bit_count(x).alias("n"), i.alias("i"))))
+            best = lambda ranks, x: F.array_max(F.transform(ranks, lambda r, j: F.when(has(x, j), r + 1).otherwise(0)))
+            put = lambda ranks, o: let(best(ranks, F.get(over, o["i"])), lambda level: F.transform(ranks, lambda r, j: F.when(j == o["i"], level).otherwise(r)))
+            return F.aggregate(order, F.transform(seq, lambda i: F.lit(0)), put)
+
+        def told(reach: Column, to: Column) -> Column:
+            both = F.zip_with(least(mutual(reach, to)), let(above(reach, to), levels), lambda c, r: F.struct(c.alias("component"), r.alias("rank")))
+            return F.zip_with(ids, both, lambda i, cr: F.struct(i.alias("id"), cr["component"].alias("component"), cr["rank"].alias("rank")))
+
+        return let(F.aggregate(seq, direct, close), lambda reach: let(reached(reach), lambda to: told(reach, to)))
+
+    each = let(F.struct("ids", "pairs"), lambda g: component_and_rank(g["ids"], g["pairs"]))
+    return graphs.withColumn("ranked", F.when(F.size("ids") > 0, each).otherwise(F.array().cast(RANKED)))
 
 
 def ranked_large(graphs: DataFrame) -> DataFrame:
@@ -118,12 +141,17 @@ def ranked_large(graphs: DataFrame) -> DataFrame:
     return graphs.groupBy("diagram_id").applyInPandas(run, "diagram_id string, id string, component string, rank int")
 
 
+def with_ranks(graphs: DataFrame) -> DataFrame:
+    """packed() graphs plus ranked, whatever their size."""
+    small = ranked(graphs.where(F.size("ids") <= SMALL))
+    large = graphs.where(F.size("ids") > SMALL)
+    found = ranked_large(large.select("diagram_id", "ids", "pairs")).groupBy("diagram_id").agg(F.collect_list(F.struct("id", "component", "rank")).alias("ranked"))
+    return small.unionByName(large.join(found, "diagram_id"))
+
+
 def ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """diagram_id, id, component, rank of all nodes that lay themselves out."""
-    inner = layout_nodes(nodes)
-    graphs = packed(inner, directed_pairs(inner, edges))
-    small = ranked(graphs.where(F.size("ids") <= SMALL))
-    return small.unionByName(ranked_large(graphs.where(F.size("ids") > SMALL)))
+    return with_ranks(packed(nodes, edges)).select("diagram_id", F.inline("ranked"))
 
 
 def condensation(pairs: DataFrame, components: DataFrame) -> DataFrame:

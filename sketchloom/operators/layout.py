@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -20,67 +20,58 @@ def sized(nodes: DataFrame) -> DataFrame:
     })
 
 
-def running(value: Column, gap: float, window) -> Column:
-    """The sum of value + gap over the rows before this one."""
-    before = window.rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(value + F.lit(gap)).over(before), F.lit(0.0))
+def layered(rows: DataFrame) -> DataFrame:
+    """rows plus x and y of the nodes that have a rank.
 
-
-def bands(boxes: DataFrame) -> DataFrame:
-    """A row for each rank of each diagram: its extent along and across the ranks, in rank order.
-
-    boxes: diagram_id, orientation, rank, own_width, own_height.
+    rows: diagram_id, orientation, id, rank (null for containers), own_width,
+    own_height. All windows lie inside a diagram and share one order.
     """
     down = F.col("orientation") == "top_to_bottom"
-    across = F.sum(F.when(down, F.col("own_width")).otherwise(F.col("own_height"))) + t.NODE_GAP * (F.count("*") - 1)
-    along = F.max(F.when(down, F.col("own_height")).otherwise(F.col("own_width")))
-    return boxes.groupBy("diagram_id", "orientation", "rank").agg(across.alias("across"), along.alias("along"))
+    rows = rows.withColumns({"own": F.when(down, F.col("own_width")).otherwise(F.col("own_height")), "deep": F.when(down, F.col("own_height")).otherwise(F.col("own_width"))})
+    diagram, band = Window.partitionBy("diagram_id"), Window.partitionBy("diagram_id", "rank")
+    rows = rows.withColumns({
+        "nth": F.row_number().over(band.orderBy("id")),
+        "at": F.coalesce(F.sum(F.col("own") + t.NODE_GAP).over(band.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+        "across": F.sum("own").over(band) + t.NODE_GAP * (F.count("*").over(band) - 1),
+        "along": F.max("deep").over(band),
+    })
+    leads = F.col("rank").isNotNull() & (F.col("nth") == 1)  # one row speaks for its band
+    up_to = diagram.orderBy(F.col("rank").asc_nulls_last(), "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({
+        "through": F.sum(F.when(leads, F.col("along") + t.RANK_GAP).otherwise(0.0)).over(up_to),
+        "content_across": F.max(F.when(leads, F.col("across"))).over(diagram),
+        "content_along": F.sum(F.when(leads, F.col("along"))).over(diagram) + t.RANK_GAP * (F.sum(leads.cast("int")).over(diagram) - 1),
+    })
+    offset, spare = F.col("through") - F.col("along") - t.RANK_GAP, (F.col("content_across") - F.col("across")) / 2
+    page_height = F.bround(F.col("content_along") + 2 * t.MARGIN, 4)
+    x = F.when(down, t.MARGIN + spare + F.col("at") + F.col("own") / 2).otherwise(t.MARGIN + offset + F.col("along") / 2)
+    y = F.when(down, page_height - t.MARGIN - offset - F.col("along") / 2).otherwise(t.MARGIN + (F.col("content_across") + F.col("across")) / 2 - F.col("at") - F.col("own") / 2)
+    placed = F.col("rank").isNotNull()
+    return rows.withColumns({"x": F.when(placed, F.bround(x, 4)), "y": F.when(placed, F.bround(y, 4))})
 
 
-def placed_bands(rows: DataFrame) -> DataFrame:
-    """Bands plus their offset along the ranks and the diagram's content extents."""
-    all_of = Window.partitionBy("diagram_id")
-    return rows.withColumns({
-        "offset": running(F.col("along"), t.RANK_GAP, all_of.orderBy("rank")),
-        "content_across": F.max("across").over(all_of),
-        "content_along": F.sum("along").over(all_of) + t.RANK_GAP * (F.count("*").over(all_of) - 1),
+def around_children(rows: DataFrame) -> DataFrame:
+    """rows with x, y, width, height of containers too: around their children, no smaller than their own size.
+
+    rows: is_container, and x, y, own_width, own_height of all others. A container
+    and its children meet in one window.
+    """
+    rows = rows.withColumns({"width": F.when(~F.col("is_container"), F.col("own_width")), "height": F.when(~F.col("is_container"), F.col("own_height"))})
+    family = Window.partitionBy("diagram_id", F.when(F.col("is_container"), F.col("id")).otherwise(F.col("parent_id")))
+    rows = rows.withColumns({
+        "l": F.min(g.left()).over(family) - t.CONTAINER_PAD,
+        "r": F.max(g.right()).over(family) + t.CONTAINER_PAD,
+        "b": F.min(g.bottom()).over(family) - t.CONTAINER_PAD,
+        "u": F.max(g.top()).over(family) + t.CONTAINER_TOP,
     })
+    box = {"x": (F.col("l") + F.col("r")) / 2, "y": (F.col("b") + F.col("u")) / 2, "width": F.greatest(F.col("r") - F.col("l"), F.col("own_width")), "height": F.greatest(F.col("u") - F.col("b"), F.col("own_height"))}
+    return rows.withColumns({k: F.when(F.col("is_container"), F.bround(v, 4)).otherwise(F.col(k)) for k, v in box.items()})
 
 
-def layered(nodes: DataFrame, ranks: DataFrame, diagrams: DataFrame) -> DataFrame:
-    """diagram_id, id, x, y, width, height of the nodes that are no containers."""
-    boxes = sized(nodes).join(ranks.select("diagram_id", "id", "rank"), ["diagram_id", "id"]).join(diagrams.select("diagram_id", "orientation"), "diagram_id")
-    spans = placed_bands(bands(boxes)).drop("orientation")
-    down = F.col("orientation") == "top_to_bottom"
-    own = F.when(down, F.col("own_width")).otherwise(F.col("own_height"))
-    at = running(own, t.NODE_GAP, Window.partitionBy("diagram_id", "rank").orderBy("id"))
-    rows = boxes.withColumn("own", own).withColumn("at", at).join(spans, ["diagram_id", "rank"])
-    spare = (F.col("content_across") - F.col("across")) / 2
-    page_height = F.bround(F.col("content_along") + 2 * t.MARGIN, 4)
-    x = F.when(down, t.MARGIN + spare + F.col("at") + F.col("own") / 2).otherwise(t.MARGIN + F.col("offset") + F.col("along") / 2)
-    y = F.when(down, page_height - t.MARGIN - F.col("offset") - F.col("along") / 2).otherwise(t.MARGIN + (F.col("content_across") + F.col("across")) / 2 - F.col("at") - F.col("own") / 2)
-    return rows.select("diagram_id", "id", F.bround(x, 4).alias("x"), F.bround(y, 4).alias("y"), F.col("own_width").alias("width"), F.col("own_height").alias("height"))
-
-
-def containers(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Boxes around the children of each parent, no smaller than the parent's own size; none if a child has no box."""
-    children = nodes.where(F.col("parent_id").isNotNull()).select("diagram_id", "id", "parent_id").join(boxes, ["diagram_id", "id"], "left")
-    around = children.groupBy("diagram_id", F.col("parent_id").alias("id")).agg(
-        (F.min(g.left()) - t.CONTAINER_PAD).alias("left"),
-        (F.max(g.right()) + t.CONTAINER_PAD).alias("right"),
-        (F.min(g.bottom()) - t.CONTAINER_PAD).alias("bottom"),
-        (F.max(g.top()) + t.CONTAINER_TOP).alias("top"),
-        F.bool_or(F.col("x").isNull()).alias("missing"),
-    )
-    own = sized(nodes.join(graph.is_container_id(nodes), ["diagram_id", "id"], "left_semi")).select("diagram_id", "id", "own_width", "own_height")
-    return around.where("not missing").join(own, ["diagram_id", "id"]).select(
-        "diagram_id",
-        "id",
-        F.bround((F.col("left") + F.col("right")) / 2, 4).alias("x"),
-        F.bround((F.col("bottom") + F.col("top")) / 2, 4).alias("y"),
-        F.bround(F.greatest(F.col("right") - F.col("left"), F.col("own_width")), 4).alias("width"),
-        F.bround(F.greatest(F.col("top") - F.col("bottom"), F.col("own_height")), 4).alias("height"),
-    )
+def childless_boxes(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
+    """diagram_id, id of parents of which some child has no box."""
+    children = nodes.where(F.col("parent_id").isNotNull()).select("diagram_id", "id", "parent_id")
+    return children.join(boxes, ["diagram_id", "id"], "left_anti").select("diagram_id", F.col("parent_id").alias("id")).distinct()
 
 
 def fit_page(boxes: DataFrame, margin: float = 0.5, minimum_width: float = 0.0, minimum_height: float = 0.0) -> DataFrame:
@@ -100,9 +91,12 @@ def layout(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
 
     Diagrams without nodes have no rows; see empty_diagrams.
     """
-    inner = graph.layout_nodes(nodes)
-    boxes = layered(inner, graph.ranks(nodes, edges), diagrams)
-    return fit_page(boxes.unionByName(containers(nodes, boxes)), margin=t.MARGIN)
+    graphs = graph.packed(sized(nodes), edges, "own_width", "own_height").join(diagrams.select("diagram_id", "orientation"), "diagram_id")
+    ranked = graph.with_ranks(graphs).withColumn("rank_of", F.map_from_entries(F.transform("ranked", lambda r: F.struct(r["id"], r["rank"]))))
+    rows = ranked.select("diagram_id", "orientation", "containers", "rank_of", F.inline("nodes"))
+    rows = rows.withColumns({"is_container": F.array_contains("containers", F.col("id")), "rank": F.element_at("rank_of", F.col("id"))}).drop("containers", "rank_of")
+    boxes = around_children(layered(rows)).select("diagram_id", "id", "x", "y", "width", "height")
+    return fit_page(boxes, margin=t.MARGIN)
 
 
 def positioned(nodes: DataFrame, boxes: DataFrame) -> DataFrame:

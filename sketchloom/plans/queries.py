@@ -405,8 +405,8 @@ def draw_shapes(read):
       FROM schematic_edges e JOIN drawn s ON e.diagram_id = s.diagram_id AND e.source = s.id JOIN drawn d ON e.diagram_id = d.diagram_id AND e.target = d.id
     ), k AS (SELECT *, 1 / greatest(abs(dx) / (sw / 2), abs(dy) / (sh / 2)) AS ks, 1 / greatest(abs(dx) / (tw / 2), abs(dy) / (th / 2)) AS kt FROM j
     ), m AS (SELECT *, sx + dx * ks AS bx, sy + dy * ks AS by_, tx - dx * kt AS ex, ty - dy * kt AS ey FROM k)
-    SELECT diagram_id, pos, round(bx, 9) AS begin_x, round(by_, 9) AS begin_y, round(ex, 9) AS end_x, round(ey, 9) AS end_y,
-      round(CASE WHEN abs(ex - bx) <= 1e-12 THEN 0.25e0 ELSE ex - bx END, 9) AS line_width, round(CASE WHEN abs(ey - by_) <= 1e-12 THEN by_ ELSE (by_ + ey) / 2 END, 9) AS pin_y,
+    SELECT diagram_id, pos, round(bx + 1e-8, 6) AS begin_x, round(by_ + 1e-8, 6) AS begin_y, round(ex + 1e-8, 6) AS end_x, round(ey + 1e-8, 6) AS end_y,
+      round(CASE WHEN abs(ex - bx) <= 1e-12 THEN 0.25e0 ELSE ex - bx END + 1e-8, 6) AS line_width, round(CASE WHEN abs(ey - by_) <= 1e-12 THEN by_ ELSE (by_ + ey) / 2 END + 1e-8, 6) AS pin_y,
       CASE WHEN style_explicit THEN style ELSE {t.sql_case('relation', t.RELATION_VISUALS, 0)} END AS line_style, round({t.sql_case('relation', t.RELATION_VISUALS, 1)} / 72e0, 6) AS weight, 0 AS begin_arrow, 4 AS end_arrow
     FROM m""",
     *DRAW_SEEDS,
@@ -414,7 +414,8 @@ def draw_shapes(read):
 def draw_connectors(read):
     out = drawing.connectors(read("schematic_edges"), drawn(read))
     out = out.select("diagram_id", "pos", "begin_x", "begin_y", "end_x", "end_y", "line_width", "pin_y", "line_style", F.round("weight", 6).alias("weight"), "begin_arrow", "end_arrow")
-    return rounded(out, "begin_x", "begin_y", "end_x", "end_y", "line_width", "pin_y", digits=9)
+    ends = ("begin_x", "begin_y", "end_x", "end_y", "line_width", "pin_y")
+    return rounded(out.withColumns({c: F.col(c) + 1e-8 for c in ends}), *ends, digits=6)  # exact halves would round by chance
 
 
 def callout_sql() -> str:
