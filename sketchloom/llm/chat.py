@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -36,20 +38,23 @@ class Layout:
     paths: tuple[str, ...]
     items: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    roles: tuple[tuple[str, str], ...] = ()  # this layout's names of canonical roles
 
     def turns(self, raw: Column) -> Column:
         if self.items:
             items, role, text = self.items
             parsed = F.from_json(raw, f"struct<`{items}`:array<struct<`{role}`:string,`{text}`:string>>>")[items]
-            return F.transform(parsed, lambda m: F.struct(canonical_role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+            return F.transform(parsed, lambda m: F.struct(self.role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
         names = [n for _, parts in self.fields for n in parts]
         parsed = F.from_json(raw, "struct<" + ",".join(f"`{n}`:string" for n in names) + ">")
         turn = lambda role, parts: F.struct(F.lit(role).alias("role"), joined([parsed[n] for n in parts]).alias("text"))
         return F.array(*(turn(role, parts) for role, parts in self.fields))
 
-
-def canonical_role(role: Column) -> Column:
-    return F.when(role == "human", "user").when(role == "gpt", "assistant").otherwise(F.coalesce(role, F.lit("")))
+    def role(self, name: Column) -> Column:
+        out = F.coalesce(name, F.lit(""))
+        for own, canonical in self.roles:
+            out = F.when(name == own, canonical).otherwise(out)
+        return out
 
 
 def joined(parts: list[Column]) -> Column:
@@ -61,7 +66,7 @@ def joined(parts: list[Column]) -> Column:
 
 LAYOUTS = (
     Layout("messages", ("messages[].content", "messages[].role"), items=("messages", "role", "content")),
-    Layout("from_value", ("conversations[].from", "conversations[].value"), items=("conversations", "from", "value")),
+    Layout("from_value", ("conversations[].from", "conversations[].value"), items=("conversations", "from", "value"), roles=(("human", "user"), ("gpt", "assistant"))),
     Layout("prompt", ("completion", "prompt"), fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("system_prompt", ("completion", "prompt", "system"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("question", ("answer", "question"), fields=(("user", ("question",)), ("assistant", ("answer",)))),
@@ -136,8 +141,9 @@ def read_back(chats: DataFrame) -> DataFrame:
         unescape(F.substring(b, F.lit(len(OPEN) + 1), cut(b) - len(OPEN) - 1)).alias("role"),
         unescape(F.substring(b, cut(b) + len(MID), F.length(b))).alias("text"),
     )
-    loss = lambda m: unescape(F.substring(F.element_at("blocks", m["turn"] + 1), m["first"] + 1, m["chars"]))
-    return blocks.withColumn("read_turns", F.transform("blocks", turn)).withColumn("loss_texts", F.transform("loss_mask", loss)).drop("blocks")
+    loss = lambda all_, m: unescape(F.substring(F.element_at(all_, m["turn"] + 1), m["first"] + 1, m["chars"]))
+    losses = let(F.col("blocks"), lambda all_: F.transform("loss_mask", lambda m: loss(all_, m)))
+    return blocks.withColumn("read_turns", F.transform("blocks", turn)).withColumn("loss_texts", losses).drop("blocks")
 
 
 # The query: conversations as records of mixed layouts, formatted, then read back.

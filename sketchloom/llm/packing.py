@@ -2,9 +2,9 @@
 
 Each source is a queue of tokens: its documents end to end, in the order of
 the input's partitions. Window k takes from every queue the tokens that bring
-the queue's served total closest to its target share of (k + 1) windows; what
-a queue is short of, at most a token, is its deficit and is carried to the
-next window. Served totals are a function of k alone, so deficits carry across
+the queue's served total to its target share of (k + 1) windows; what a queue is
+short of, a few tokens at most, is its deficit and is carried to the next
+window. Served totals are a function of k alone, so deficits carry across
 partitions without any task waiting for another: a task only needs the queue
 totals (at most QUEUES numbers) and where its documents begin in their queue.
 Every window is full except for the last.

@@ -79,6 +79,8 @@ def test_pii_base_spans(spark, docs, nothing):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(PERSONAL)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     want = {(r["doc_id"], hashlib.sha256(",".join(base_spans(r["text"])).encode()).hexdigest()) for r in frame.collect()}
     got = pii.pii_digests(frame).collect()
+    kinds = {r["doc_id"]: [sum(s.startswith(k + ":") for s in base_spans(r["text"])) for k in BASE] for r in frame.where("doc_id is not null").collect()}
+    assert all([r[f"n_{k}"] for k in BASE] == kinds[r["doc_id"]] for r in got if r["doc_id"] is not None)
     assert {(r["doc_id"], r["base_sha256"]) for r in got} == want and len(got) == frame.count()
     for r in got:
         assert sum(r[f"n_{k}"] for k in BASE) + r["n_added"] == len([s for s in r["spans"].split(",") if s])
@@ -275,14 +277,14 @@ def test_packing(docs, size, targets):
         parts.sort(key=lambda p: p["offset"])
         assert [p["offset"] for p in parts] == np.cumsum([0, *(p["length"] for p in parts)])[:-1].tolist()
         assert sum(p["length"] for p in parts) == min(size, total - k * size)
-    if targets is None:  # every window prefix has each source's share but for a token or so
+    if targets is None:  # every window prefix has each source's share but for a few tokens
         shares = {s: sum(len(ids[d]) for d in ids if source[d] == s) / total for s in set(source.values())}
         served = dict.fromkeys(shares, 0)
         for k in sorted(windows):
             for p in windows[k]:
                 served[source[p["doc_id"]]] += p["length"]
             done = min(total, (k + 1) * size)
-            assert all(abs(served[s] - shares[s] * done) <= 2 for s in shares)
+            assert all(abs(served[s] - shares[s] * done) <= 2 + len(shares) / 2 for s in shares)
 
 
 def test_packing_of_odd_tables(docs, nothing):
