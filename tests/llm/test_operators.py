@@ -76,7 +76,7 @@ PERSONAL = [
 
 
 def test_pii_base_spans(spark, docs, nothing):
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(PERSONAL)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    frame = spark.createDataFrame([(5000 + i, t) for i, t in enumerate(PERSONAL)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     want = {(r["doc_id"], hashlib.sha256(",".join(base_spans(r["text"])).encode()).hexdigest()) for r in frame.collect()}
     got = pii.pii_digests(frame).collect()
     kinds = {r["doc_id"]: [sum(s.startswith(k + ":") for s in base_spans(r["text"])) for k in BASE] for r in frame.where("doc_id is not null").collect()}
