@@ -597,3 +597,119 @@ def dot_lines(read):
     return out.where("section between 1 and 3").select("diagram_id", "section", "line")
 
 
+
+
+# More of the inventory: decoded rows, maps, gaps, imports, times.
+
+
+@query(""" SELECT a.run_id || '#' || a.attempt_no AS diagram_id, CAST(0 AS BIGINT) AS pos, 'a' AS id, 'process' AS type, e.event_type AS label FROM attempts a
+    JOIN flow_events e ON a.run_id = e.diagram_id AND a.attempt_no = e.k WHERE a.kind = 0""", "attempts")
+def decoded_nodes(read):
+    rows = attempts.decoded(read("attempts")).where("decode = 'ok'").withColumn("key", F.concat_ws("#", "run_id", F.col("attempt_no").cast("string")))
+    nodes, _ = attempts.flattened(rows, "key")
+    return nodes.select("diagram_id", F.col("pos").cast("long").alias("pos"), "id", "type", "label")
+
+
+@query(" SELECT diagram_id, count(*) AS n, string_agg(id || '=' || source || '>' || target, ',' ORDER BY pos) AS edges FROM (SELECT diagram_id, pos, coalesce(id, '') AS id, source, target FROM flow_edges) AS e GROUP BY diagram_id", "flow_edges", "flow_nodes")
+def rebuilt_graphs(read):
+    edges = read("flow_edges").select("diagram_id", "pos", F.coalesce("id", F.lit("")).alias("id"), "source", "target")
+    out = attempts.rebuilt(read("flow_nodes").select("diagram_id", "pos", "id"), edges).where("edges is not null")
+    return out.select("diagram_id", F.size("edges").cast("long").alias("n"), F.array_join(F.transform("edges", lambda e: F.concat(e["id"], F.lit("="), e["source"], F.lit(">"), e["target"])), ",").alias("edges"))
+
+
+@query(""", last AS (SELECT diagram_id, edge_id, max(pos) AS pos FROM hints GROUP BY diagram_id, edge_id)
+    SELECT diagram_id, count(*) AS n, string_agg(edge_id || ':' || source_side, ',' ORDER BY edge_id || ':') AS sides FROM last JOIN hints USING (diagram_id, edge_id, pos) GROUP BY diagram_id""", "hints")
+def hint_maps(read):
+    entries = F.array_sort(F.transform(F.map_entries("hints"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["source_side"])))
+    return designs.hint_map(read("hints")).select("diagram_id", F.size("hints").cast("long").alias("n"), F.array_join(entries, ",").alias("sides"))
+
+
+@query(""" SELECT diagram_id AS run_id, n - 1 AS pos, CASE WHEN l_tax > 0.04 THEN 'high' ELSE 'low' END AS severity, x AS node_id
+    FROM order_lines, unnest(CASE WHEN n % 3 = 0 THEN [NULL] ELSE ['l' || n, 's' || l_suppkey] END) AS u(x)""", "order_lines")
+def issue_rows(read):
+    lines = read("order_lines")
+    ids = F.when(F.col("n") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("l"), F.col("n").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))))
+    issue = F.struct("n", F.when(F.col("l_tax") > 0.04, "high").otherwise("low").alias("severity"), ids.alias("node_ids"))
+    critiques = lines.groupBy(F.col("diagram_id").alias("run_id")).agg(F.array_sort(F.collect_list(issue)).alias("issues"))
+    return designs.flat_issues(critiques).select("run_id", F.col("pos").cast("long").alias("pos"), "severity", "node_id")
+
+
+@query(""" SELECT DISTINCT diagram_id, parent_id AS id FROM schematic_nodes n WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM placements p WHERE p.diagram_id = n.diagram_id AND p.node_id = n.id)""", "schematic_nodes", "placements")
+def container_gaps(read):
+    return layout.childless_boxes(read("schematic_nodes"), read("placements").withColumnRenamed("node_id", "id"))
+
+
+@query(""", b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY diagram_id, node_id ORDER BY pos DESC) AS back FROM placements) AS x WHERE back = 1
+    ), j AS (SELECT coalesce(n.diagram_id, b.diagram_id) AS diagram_id, coalesce(n.id, b.node_id) AS id, n.id IS NULL AS unknown, b.node_id IS NULL AS missing, x, y, width, height
+      FROM schematic_nodes n FULL OUTER JOIN b ON n.diagram_id = b.diagram_id AND n.id = b.node_id)
+    SELECT diagram_id, id, CASE WHEN missing THEN 'missing' WHEN unknown THEN 'unknown' ELSE 'outside_page' END AS rule FROM j JOIN pages_of USING (diagram_id)
+    WHERE missing OR unknown OR x - width / 2 < 0 OR y - height / 2 < 0 OR x + width / 2 > page_width OR y + height / 2 > page_height""", "schematic_nodes", "placements", "pages_of")
+def layout_assembly(read):
+    return layout.layout_findings(designs.last_placements(read("placements")), read("schematic_nodes"), read("pages_of"))
+
+
+@query(" SELECT run_id, clean, count(*) AS n, string_agg(path || '=' || sha256(coalesce(content, '')), ',' ORDER BY path) AS hashes FROM artifacts JOIN runs USING (run_id) GROUP BY run_id, clean", "artifacts", "runs")
+def manifest_maps(read):
+    out = provenance.manifests(read("runs"), provenance.hashed(read("artifacts")))
+    entries = F.transform(F.map_entries("artifact_sha256"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.select("run_id", "clean", F.size("artifact_sha256").cast("long").alias("n"), F.array_join(entries, ",").alias("hashes"))
+
+
+POSITIONS = """, b AS (SELECT *, l_orderkey % 19 = 3 AS broken FROM (SELECT p.*, CAST(substring(diagram_id, 2) AS BIGINT) AS l_orderkey, row_number() OVER (PARTITION BY diagram_id, node_id ORDER BY pos DESC) AS back FROM placements p) AS x WHERE back = 1)"""
+
+
+def position_lines(read) -> DataFrame:
+    """The placements as positioned text, with a short graph record in some diagrams."""
+    boxes = read("placements")
+    quote = F.concat(F.lit('"'), F.col("node_id"), F.lit('"'))
+    nodes = boxes.select("diagram_id", (F.col("pos") + 1).alias("pos"), F.concat_ws(" ", F.lit("node"), quote, *(F.col(c).cast("string") for c in ("x", "y", "width", "height")), F.lit("box")).alias("line"))
+    broken = F.substring("diagram_id", 2, 20).cast("long") % 19 == 3
+    heads = boxes.select("diagram_id").distinct().select("diagram_id", F.lit(0).cast("long").alias("pos"), F.when(broken, "graph 1 12").otherwise("graph 1 12 7").alias("line"))
+    return nodes.unionByName(heads)
+
+
+@query(POSITIONS + " SELECT diagram_id, NOT broken AS ok, node_id AS id, round(x + 1 + 1e-8, 4) AS x, round(y + 1 + 1e-8, 4) AS y FROM b", "placements")
+def positions_import(read):
+    out = dot.parsed_positions(position_lines(read))
+    return out.select("diagram_id", "ok", "id", F.round(F.col("x") + 1e-8, 4).alias("x"), F.round(F.col("y") + 1e-8, 4).alias("y"))
+
+
+@query(POSITIONS + sizes_sql("schematic_nodes") + " SELECT b.diagram_id, b.node_id AS id, round(coalesce(w, width) + 1e-8, 4) AS width, round(coalesce(h, height) + 1e-8, 4) AS height FROM b LEFT JOIN sizes s ON b.diagram_id = s.diagram_id AND b.node_id = s.id", "placements", "schematic_nodes")
+def restored_sizes(read):
+    out = dot.with_own_sizes(dot.parsed_positions(position_lines(read)), read("schematic_nodes"))
+    return out.select("diagram_id", "id", F.round(F.col("width") + 1e-8, 4).alias("width"), F.round(F.col("height") + 1e-8, 4).alias("height"))
+
+
+@query(" SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS iso FROM flow_events", "flow_events")
+def iso_times(read):
+    return read("flow_events").select("event_id", tx.iso_utc(F.col("ts")).alias("iso"))
+
+
+@query(" SELECT run_id, text FROM requests WHERE trim(text) <> ''", "requests")
+def request_filter(read):
+    return read("requests").where(~tx.is_blank(F.col("text")))
+
+
+@query(" SELECT diagram_id, parent_id, string_agg(id, ',' ORDER BY id) AS children FROM schematic_nodes WHERE parent_id IS NOT NULL GROUP BY diagram_id, parent_id", "schematic_nodes")
+def node_children(read):
+    return read("schematic_nodes").where("parent_id is not null").groupBy("diagram_id", "parent_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("children"))
+
+
+@query(" SELECT diagram_id, pos FROM placements WHERE width <= 0.65e0", "placements")
+def placement_values(read):
+    """Some widths made unusable, to be found by the value rule."""
+    odd = F.when(F.col("width") <= 0.65, F.when(F.col("pos") % 3 == 0, float("nan")).when(F.col("pos") % 3 == 1, float("inf")).otherwise(-1.0)).otherwise(F.col("width"))
+    return designs.geometry_values(read("placements").withColumn("width", odd)).select("diagram_id", "pos")
+
+
+@query(" SELECT DISTINCT diagram_id, 'geometry' AS rule FROM placements WHERE node_id LIKE 'ghost%'", "placements")
+def geometry_rejects(read):
+    """Diagrams of which some node carries geometry already (here: those with an unknown placement)."""
+    rows = read("placements").select("diagram_id", F.col("node_id").alias("id"), F.when(F.col("node_id").startswith("ghost"), F.col("x")).alias("x"))
+    return normalize.geometry_present(rows).select("diagram_id", "rule")
+
+
+@query(COLLAPSED + GAP_FILL.format(edges="collapsed") + " SELECT f.diagram_id, f.id, f.source, f.target, c.direction FROM filled f JOIN collapsed c ON f.diagram_id = c.diagram_id AND f.pos = c.pos", "flow_edges")
+def normalized_edges(read):
+    _, edges, _ = normalize.normalize(read("flow_nodes"), read("flow_edges"))
+    return edges.select("diagram_id", "id", "source", "target", "direction")
