@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 
 def expand_tabs(text: Column, size: int = 8) -> Column:
     """Tabs become spaces up to the next stop; stops count from the last line break."""
@@ -56,7 +58,9 @@ def wrap(text: Column, width: int) -> Column:
 
     chunks = F.regexp_extract_all(plain, F.lit("( +|[^ ]+)"), F.lit(1))
     lines = F.aggregate(chunks, state(none, F.lit("")), add, lambda s: push(s["lines"], F.rtrim(s["line"])))
-    return F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("")))
+    lines = let(lines, lambda out: F.when(F.size(out) > 0, out).otherwise(F.array(F.lit(""))))
+    short = (F.length(text) <= width) & ~text.rlike(r"[\t\n\x0b\f\r]")  # most labels are one line as they are
+    return F.when(short, F.array(F.rtrim(text))).otherwise(lines)
 
 
 def strip(text: Column) -> Column:

@@ -71,7 +71,7 @@ def ranked(graphs: DataFrame) -> DataFrame:
         seq = F.sequence(F.lit(0), F.size(ids) - 1)
         target = lambda p: bit(F.array_position(ids, p["target"]).cast("int") - 1)
         direct = F.transform(ids, lambda n, i: F.aggregate(F.filter(pairs, lambda p: p["source"] == n), bit(i), lambda m, p: m.bitwiseOR(target(p))))
-        close = lambda r, k: let(F.get(r, k), lambda more: F.transform(r, lambda x: F.when(has(x, k), x.bitwiseOR(more)).otherwise(x)))
+        close = lambda r, k: let(F.get(r, k), lambda more: F.when(more == bit(k), r).otherwise(F.transform(r, lambda x: F.when(has(x, k), x.bitwiseOR(more)).otherwise(x))))
         # the nodes that reach each node, and of those the ones that it does not reach
         reached = lambda reach: F.transform(seq, lambda i: F.aggregate(seq, zero, lambda m, j: F.when(has(F.get(reach, j), i), m.bitwiseOR(bit(j))).otherwise(m)))
         mutual = lambda reach, to: F.zip_with(reach, to, lambda x, y: x.bitwiseAND(y))

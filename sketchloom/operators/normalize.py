@@ -11,16 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables, text
+from ..functions.binding import let
 
 FINDING = ("diagram_id", "phase", "k1", "k2", "sub", "rule", "message")
 
 
-def finding(rows: DataFrame, phase: int, rule: str | Column, message: Column, k1: Column, k2: Column | None = None, sub: int = 0) -> DataFrame:
+def finding(rows: DataFrame, phase: int, rule: str | Column, message: Column, k1: Column, k2: Column | None = None, sub: int | Column = 0) -> DataFrame:
     rule = F.lit(rule) if isinstance(rule, str) else rule
-    return rows.select("diagram_id", F.lit(phase).alias("phase"), k1.alias("k1"), (F.lit("") if k2 is None else k2).alias("k2"), F.lit(sub).alias("sub"), rule.alias("rule"), message.alias("message"))
+    return rows.select("diagram_id", F.lit(phase).alias("phase"), k1.alias("k1"), (F.lit("") if k2 is None else k2).alias("k2"), (F.lit(sub) if isinstance(sub, int) else sub).alias("sub"), rule.alias("rule"), message.alias("message"))
 
 
-def by_position(rows: DataFrame, phase: int, rule: str | Column, message: Column, sub: int = 0) -> DataFrame:
+def by_position(rows: DataFrame, phase: int, rule: str | Column, message: Column, sub: int | Column = 0) -> DataFrame:
     """Findings that are met in list order; positions become fixed-width text, so that keys are text in all findings."""
     return finding(rows, phase, rule, message, F.format_string("%012d", F.col("pos").cast("long")), sub=sub)
 
@@ -87,13 +88,11 @@ def duplicate_edges(edges: DataFrame) -> DataFrame:
 
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """An edge's source, then its target, that no node of the diagram has."""
-    there = nodes.select("diagram_id", F.col("id").alias("node_id"))
-    out = None
-    for sub, end in enumerate(("source", "target")):
-        lost = edges.join(there, (edges["diagram_id"] == there["diagram_id"]) & (edges[end] == there["node_id"]), "left_anti")
-        part = by_position(lost, 3, "dangling_edge", quoted_message(f"edge {end} ", F.col(end), " does not reference an existing node"), sub)
-        out = part if out is None else out.unionByName(part)
-    return out
+    end = lambda sub, name: F.struct(F.lit(sub).alias("sub"), F.lit(name).alias("end"), F.col(name).alias("id"))
+    ends = edges.select("diagram_id", "pos", F.inline(F.array(end(0, "source"), end(1, "target"))))
+    lost = ends.join(nodes.select("diagram_id", "id"), ["diagram_id", "id"], "left_anti")
+    message = F.concat(F.lit("edge "), F.col("end"), F.lit(" '"), F.col("id"), F.lit("' does not reference an existing node"))
+    return by_position(lost, 3, "dangling_edge", message, F.col("sub"))
 
 
 def with_parents(nodes: DataFrame) -> DataFrame:
@@ -104,35 +103,45 @@ def with_parents(nodes: DataFrame) -> DataFrame:
     return children.join(parents, (children["diagram_id"] == parents["d"]) & (children["parent_id"] == parents["pid"]), "left").drop("d", "pid")
 
 
-def parent_rules(nodes: DataFrame) -> DataFrame:
-    rows = with_parents(nodes)
-    rule = F.when(F.col("parent_id") == F.col("id"), "self_parent").when(F.col("found").isNull(), "missing_parent").when(~tables.is_container(F.col("parent_type")), "parent_type")
-    message = (
-        F.when(F.col("rule") == "self_parent", quoted_message("node ", F.col("id"), " cannot contain itself"))
-        .when(F.col("rule") == "missing_parent", F.concat(quoted_message("node ", F.col("id"), " references missing parent "), F.lit("'"), F.col("parent_id"), F.lit("'")))
-        .otherwise(quoted_message("parent ", F.col("parent_id"), " is not container-capable"))
+def containment_findings(nodes: DataFrame) -> DataFrame:
+    """What is wrong with a node's parent, and nodes whose parent has a parent, from one join."""
+    name = lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
+    told = lambda phase, rule, message: F.struct(F.lit(phase).alias("phase"), F.lit(rule).alias("rule"), message.alias("message"))
+    wrong = (
+        F.when(F.col("parent_id") == F.col("id"), told(4, "self_parent", F.concat(F.lit("node "), name("id"), F.lit(" cannot contain itself"))))
+        .when(F.col("found").isNull(), told(4, "missing_parent", F.concat(F.lit("node "), name("id"), F.lit(" references missing parent "), name("parent_id"))))
+        .when(~tables.is_container(F.col("parent_type")), told(4, "parent_type", F.concat(F.lit("parent "), name("parent_id"), F.lit(" is not container-capable"))))
     )
-    rows = rows.withColumn("rule", rule).where("rule is not null")
-    return by_position(rows, 4, F.col("rule"), message)
+    deep = F.when(F.col("grandparent_id").isNotNull(), told(6, "containment_depth", F.concat(F.lit("node "), name("id"), F.lit(" exceeds the baseline one level of containment"))))
+    rows = with_parents(nodes).select("diagram_id", "pos", F.explode(F.array_compact(F.array(wrong, deep))).alias("f"))
+    return rows.select("diagram_id", F.col("f.phase").alias("phase"), F.format_string("%012d", F.col("pos").cast("long")).alias("k1"), F.lit("").alias("k2"), F.lit(0).alias("sub"), F.col("f.rule").alias("rule"), F.col("f.message").alias("message"))
+
+
+def parent_rules(nodes: DataFrame) -> DataFrame:
+    return containment_findings(nodes).where("phase = 4")
+
+
+def too_deep(nodes: DataFrame) -> DataFrame:
+    return containment_findings(nodes).where("phase = 6")
 
 
 def containment_cycles(nodes: DataFrame) -> DataFrame:
     """Nodes from which the chain of parents comes back to a node it has passed.
 
-    Only diagrams in which some parent has a parent are looked at. A chain of
-    n nodes that has not ended after n steps runs in a circle.
+    Only diagrams with unique ids (elsewhere an earlier rule has the word) in
+    which some parent has a parent are looked at. A chain of n links that has
+    not ended after n steps runs in a circle.
     """
-    deep = with_parents(nodes).where(F.col("grandparent_id").isNotNull()).select("diagram_id").distinct()
-    links = nodes.join(deep, "diagram_id", "left_semi").where(F.col("parent_id").isNotNull())
-    links = links.groupBy("diagram_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("id", "parent_id")))).alias("up"), F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("all"))
-    end = lambda n: F.aggregate(F.sequence(F.lit(1), F.size("up") + 1), n["id"], lambda at, _: F.element_at("up", at))
-    bad = links.select("diagram_id", F.explode(F.filter("all", lambda n: end(n).isNotNull())).alias("n")).select("diagram_id", "n.pos", "n.id")
-    return by_position(bad, 5, "containment_cycle", quoted_message("containment cycle detected from node ", F.col("id")))
-
-
-def too_deep(nodes: DataFrame) -> DataFrame:
-    rows = with_parents(nodes).where(F.col("grandparent_id").isNotNull())
-    return by_position(rows, 6, "containment_depth", quoted_message("node ", F.col("id"), " exceeds the baseline one level of containment"))
+    rows = nodes.groupBy("diagram_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "parent_id"))).alias("all"))
+    ids = F.transform("all", lambda n: n["id"])
+    links = F.filter("all", lambda n: n["parent_id"].isNotNull())
+    deep = F.arrays_overlap(F.transform(links, lambda n: n["parent_id"]), F.transform(links, lambda n: n["id"]))
+    rows = rows.where((F.size(F.array_distinct(ids)) == F.size("all")) & deep)
+    end = lambda up, n: F.aggregate(F.sequence(F.lit(1), F.size(up) + 1), n["id"], lambda at, _: F.element_at(up, at))
+    up = F.map_from_entries(F.transform(links, lambda n: F.struct(n["id"], n["parent_id"])))
+    bad = let(up, lambda up: F.filter("all", lambda n: end(up, n).isNotNull()))
+    found = rows.select("diagram_id", F.explode(bad).alias("n")).select("diagram_id", "n.pos", "n.id")
+    return by_position(found, 5, "containment_cycle", quoted_message("containment cycle detected from node ", F.col("id")))
 
 
 def duplicate_references(nodes: DataFrame) -> DataFrame:
@@ -151,7 +160,8 @@ def geometry_present(nodes: DataFrame) -> DataFrame:
 
 
 def normalization_findings(nodes: DataFrame, edges: DataFrame, extracted: bool = False) -> DataFrame:
-    parts = [duplicate_nodes(nodes), duplicate_edges(edges), dangling_edges(nodes, edges), parent_rules(nodes), containment_cycles_of_sound(nodes), too_deep(nodes), duplicate_references(nodes)]
+    nodes, edges = nodes.repartition("diagram_id"), edges.repartition("diagram_id")
+    parts = [duplicate_nodes(nodes), duplicate_edges(edges), dangling_edges(nodes, edges), containment_findings(nodes), containment_cycles(nodes), duplicate_references(nodes)]
     if extracted:
         parts.append(geometry_present(nodes))
     out = parts[0]
@@ -160,12 +170,6 @@ def normalization_findings(nodes: DataFrame, edges: DataFrame, extracted: bool =
     return out
 
 
-def containment_cycles_of_sound(nodes: DataFrame) -> DataFrame:
-    """Cycles where ids are unique; elsewhere an earlier rule has the word."""
-    twice = nodes.groupBy("diagram_id", "id").count().where("count > 1").select("diagram_id").distinct()
-    return containment_cycles(nodes.join(twice, "diagram_id", "left_anti"))
-
-
 def first_failure(findings: DataFrame) -> DataFrame:
     """diagram_id, rule, message of the first finding of each diagram."""
     first = F.min(F.struct("phase", "k1", "k2", "sub", "rule", "message")).alias("first")

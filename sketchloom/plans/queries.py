@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from ..functions import tables as t
 from ..functions import text as tx
 from ..operators import attempts, designs, dot, drawing, evaluate, graph, layout, normalize, packages, provenance, snapshots
-from .seeds import oracle, seed
+from .seeds import Reader, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, *seeds: str, recursive: bool = False):
-    """Register a function of (seed reader) under its name, with its SQL."""
+def query(sql: str | None = None, *seeds: str, recursive: bool = False, keep_bases: bool = False):
+    """Register a function of a Reader under its name, with its SQL. keep_bases: for jobs that read their tables many times."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: seed(spark, sf_dir, name))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Reader(spark, sf_dir, keep_bases))
         if sql is not None:
             ORACLES[f.__name__] = oracle(sql, *seeds, recursive=recursive)
         return f
@@ -163,7 +163,7 @@ AROUND = """, around AS (
 SCHEMATIC_LAYOUT = SCHEMATIC_REACH + sizes_sql("schematic_nodes") + LAYERED.format(diagrams="schematic_diagrams") + AROUND + FIT.format(boxes="all_boxes")
 
 
-@query(SCHEMATIC_LAYOUT + f" SELECT diagram_id, id, {BOX_OUT}, round(page_width, 4) AS page_width, round(page_height, 4) AS page_height FROM fitted", "schematic_nodes", "schematic_edges", "schematic_diagrams", recursive=True)
+@query(SCHEMATIC_LAYOUT + f" SELECT diagram_id, id, {BOX_OUT}, round(page_width, 4) AS page_width, round(page_height, 4) AS page_height FROM fitted", "schematic_nodes", "schematic_edges", "schematic_diagrams", recursive=True, keep_bases=True)
 def schematic_layout(read):
     out = layout.layout(read("schematic_diagrams"), read("schematic_nodes"), read("schematic_edges"))
     return rounded(out.select("diagram_id", "id", "x", "y", "width", "height", "page_width", "page_height"), "x", "y", "width", "height", "page_width", "page_height")
@@ -226,10 +226,10 @@ def schematic_dangling_edges(read):
 
 @query(of_phase(5), *DIRTY, recursive=True)
 def schematic_cycles(read):
-    return told(normalize.containment_cycles_of_sound(read("dirty_nodes")))
+    return told(normalize.containment_cycles(read("dirty_nodes")))
 
 
-@query(RULES + " SELECT diagram_id, min_by(rule, phase::BIGINT * 1000000000 + pos * 10 + sub) AS rule, min_by(message, phase::BIGINT * 1000000000 + pos * 10 + sub) AS message FROM findings GROUP BY diagram_id", *DIRTY, recursive=True)
+@query(RULES + " SELECT diagram_id, min_by(rule, phase::BIGINT * 1000000000 + pos * 10 + sub) AS rule, min_by(message, phase::BIGINT * 1000000000 + pos * 10 + sub) AS message FROM findings GROUP BY diagram_id", *DIRTY, recursive=True, keep_bases=True)
 def normalize_first_failure(read):
     return normalize.first_failure(normalize.normalization_findings(read("dirty_nodes"), read("dirty_edges")))
 
@@ -316,7 +316,7 @@ def placement_containment(read):
     return design_out(designs.outside_parent(designs.known_boxes(read("schematic_nodes"), read("placements"))))
 
 
-@query(DESIGN + " SELECT diagram_id, count(*) AS n, string_agg(message, '; ' ORDER BY phase, pos, k1, k2, sub, message) AS findings FROM found GROUP BY diagram_id", *DESIGN_SEEDS)
+@query(DESIGN + " SELECT diagram_id, count(*) AS n, string_agg(message, '; ' ORDER BY phase, pos, k1, k2, sub, message) AS findings FROM found GROUP BY diagram_id", *DESIGN_SEEDS, keep_bases=True)
 def design_findings(read):
     edges = normalize.assign_edge_ids(read("schematic_edges"))
     return designs.listed(designs.design_findings(read("schematic_nodes"), edges, read("placements"), read("hints"), read("pages_of")))
@@ -409,8 +409,7 @@ def draw_shapes(read):
       round(CASE WHEN abs(ex - bx) <= 1e-12 THEN 0.25e0 ELSE ex - bx END + 1e-8, 6) AS line_width, round(CASE WHEN abs(ey - by_) <= 1e-12 THEN by_ ELSE (by_ + ey) / 2 END + 1e-8, 6) AS pin_y,
       CASE WHEN style_explicit THEN style ELSE {t.sql_case('relation', t.RELATION_VISUALS, 0)} END AS line_style, round({t.sql_case('relation', t.RELATION_VISUALS, 1)} / 72e0, 6) AS weight, 0 AS begin_arrow, 4 AS end_arrow
     FROM m""",
-    *DRAW_SEEDS,
-)
+    *DRAW_SEEDS, keep_bases=True)
 def draw_connectors(read):
     out = drawing.connectors(read("schematic_edges"), drawn(read))
     out = out.select("diagram_id", "pos", "begin_x", "begin_y", "end_x", "end_y", "line_width", "pin_y", "line_style", F.round("weight", 6).alias("weight"), "begin_arrow", "end_arrow")
@@ -590,8 +589,7 @@ def package_audit(read):
     UNION ALL SELECT diagram_id, 2, '  subgraph "cluster_' || id || '" {{' || chr(10) || '    graph [label="' || label || '", margin="24.0000"];' FROM txt WHERE id = 'order'
     UNION ALL SELECT diagram_id, 2, '    ' || node FROM txt WHERE parent_id IS NOT NULL UNION ALL SELECT diagram_id, 2, '  }}' FROM txt WHERE id = 'order'
     UNION ALL SELECT diagram_id, 3, '  "' || source || '" -> "' || target || '" [weight="' || {t.sql_case('relation', t.RELATION_VISUALS, 2)} || '"];' FROM schematic_edges""",
-    "schematic_nodes", "schematic_edges",
-)
+    "schematic_nodes", "schematic_edges", keep_bases=True)
 def dot_lines(read):
     out = dot.dot_lines(read("schematic_diagrams"), read("schematic_nodes"), read("schematic_edges"))
     return out.where("section between 1 and 3").select("diagram_id", "section", "line")
@@ -709,7 +707,7 @@ def geometry_rejects(read):
     return normalize.geometry_present(rows).select("diagram_id", "rule")
 
 
-@query(COLLAPSED + GAP_FILL.format(edges="collapsed") + " SELECT f.diagram_id, f.id, f.source, f.target, c.direction FROM filled f JOIN collapsed c ON f.diagram_id = c.diagram_id AND f.pos = c.pos", "flow_edges")
+@query(COLLAPSED + GAP_FILL.format(edges="collapsed") + " SELECT f.diagram_id, f.id, f.source, f.target, c.direction FROM filled f JOIN collapsed c ON f.diagram_id = c.diagram_id AND f.pos = c.pos", "flow_edges", keep_bases=True)
 def normalized_edges(read):
     _, edges, _ = normalize.normalize(read("flow_nodes"), read("flow_edges"))
     return edges.select("diagram_id", "id", "source", "target", "direction")

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .keep import kept
+
 SEEDS = {
     # flows: one diagram for each user and day, one edge for each step
     "flow_events": """
@@ -134,9 +136,33 @@ def common_tables(*names: str) -> str:
     return ",\n".join(f"{x} AS ({SEEDS[x].strip()})" for x in every)
 
 
-def seed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = f"WITH {common_tables(name)} SELECT * FROM {name}"
-    return spark.sql(re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
+#: What most entries build on: one pass with a window over a given table.
+BASES = ("flow_events", "order_lines")
+
+
+class Reader:
+    """Reads entries; with keep_bases, what they build on is written once and shared by all of them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, keep_bases: bool = False):
+        self.spark, self.sf_dir, self.keep_bases, self.views = spark, sf_dir, keep_bases, {}
+
+    def run(self, name: str, given: dict[str, DataFrame]) -> DataFrame:
+        every = [x for x in needed(name) if x not in given]
+        items = ",\n".join(f"{x} AS ({SEEDS[x].strip()})" for x in every)
+        sql = re.sub(r"@(\w+)", lambda m: f"parquet.`{self.sf_dir}/{m[1]}.parquet`", f"WITH {items} SELECT * FROM {name}")
+        for base in given:
+            sql = re.sub(rf"\b{base}\b", "{" + base + "}", sql)
+        return self.spark.sql(sql, **given)
+
+    def __call__(self, name: str) -> DataFrame:
+        given = {}
+        if self.keep_bases and name not in BASES:
+            for base in BASES:
+                if base in needed(name):
+                    if base not in self.views:
+                        self.views[base] = kept(self.run(base, {}))
+                    given[base] = self.views[base]
+        return self.run(name, given)
 
 
 def oracle(body: str, *names: str, recursive: bool = False) -> str:
