@@ -2,7 +2,10 @@
 
 A document is a bag of sentences. A sentence's probability is logistic in the
 sum of its words' weights; the document's is their noisy-or, so one bad
-sentence is enough and the label of the document teaches which one it is. A
+sentence is enough and the label of the document teaches which one it is.
+Fragments join what follows until SHORT words are together, and a word counts
+once in a sentence, so texts of many tiny or repetitive sentences are not
+taken for worse than they are. A
 word's weight is the sum over its features: the word and its first 3 to 6
 letters, of which those count that COMMON documents of the sample have.
 
@@ -15,6 +18,7 @@ doc_id the largest counts. No documents give no rows.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,12 +33,29 @@ from .langid import is_held_out
 
 #: Labelled rows to fit on at most, and the longest text among them.
 SAMPLE, FIT_CHARS = 3_000, 200_000
+#: Words that a sentence has at least, the last one apart.
+SHORT = 6
 #: Documents of the sample that a feature must occur in.
 COMMON = 6
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 
 
+def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
+    """(first, last, distinct words) of each sentence that has words; places in the lower-cased text."""
+    first, last, words = -1, 0, []
+    for m in SENTENCE.finditer(text):
+        found = WORD.findall(m[0])
+        if found:
+            first, last = (m.start() if first < 0 else first), m.end()
+            words += found
+            if len(words) >= SHORT:
+                yield first, last, set(words)
+                first, words = -1, []
+    if words:
+        yield first, last, set(words)
+
+
 def word_features(word: str) -> list[int]:
     """Hashes of the word and of its beginnings."""
     marks = [f"={word}", *(f"^{word[:n]}" for n in range(3, 7) if len(word) >= n)]
@@ -47,11 +68,9 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 250, rate: float = 0
     words, ends, bags = [], [], []
     for text in texts:
         bags.append(len(ends))
-        for sentence in SENTENCE.findall(text.lower()):
-            found = WORD.findall(sentence)
-            if found:
-                ends.append(len(words))
-                words += [known.setdefault(w, len(known)) for w in found]
+        for _, _, found in sentences(text.lower()):
+            ends.append(len(words))
+            words += [known.setdefault(w, len(known)) for w in sorted(found)]
     if not words or not 0 < labels.sum() < len(labels):
         return (5.0 if len(labels) and labels.all() else -5.0), {}
     word = np.asarray(words)
@@ -68,7 +87,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 250, rate: float = 0
     held = np.bincount(np.unique(feature[at] * len(bags) + np.repeat(pair % len(bags), many)) // len(bags), minlength=len(names))
     use = held[feature] >= COMMON
     owner, feature = owner[use], feature[use]
-    bias, weight = -5.0, np.zeros(len(names))
+    bias, weight = -7.0, np.zeros(len(names))
     y, size = labels[bag].astype(bool), len(bags)
     squares, bias_squares = np.ones(len(weight)), 1.0
     balance = np.where(y, len(labels) / (2 * labels.sum()), len(labels) / (2 * (len(labels) - labels.sum())))
@@ -105,13 +124,11 @@ class Scorer(dict):
         return value
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
-        """(first, last, probability) of each sentence that has words; places in the lower-cased text."""
+        """(first, last, probability) of each sentence."""
         out, get = [], self.__getitem__
-        for m in SENTENCE.finditer(text.lower()):
-            words = WORD.findall(m[0])
-            if words:
-                z = self.bias + sum(map(get, words))
-                out.append((m.start(), m.end(), 1 / (1 + np.exp(-z)) if z > -30 else 0.0))
+        for first, last, words in sentences(text.lower()):
+            z = self.bias + sum(map(get, words))
+            out.append((first, last, 1 / (1 + math.exp(-min(z, 30))) if z > -30 else 0.0))
         return out
 
 
