@@ -21,12 +21,14 @@ def duplicate_placements(placements: DataFrame) -> DataFrame:
 
 
 def coverage(nodes: DataFrame, placements: DataFrame) -> DataFrame:
-    """Nodes without a placement, then placements without a node."""
-    ids = nodes.select("diagram_id", "id").distinct().withColumn("is_node", F.lit(True))
-    boxes = placements.select("diagram_id", F.col("node_id").alias("id")).distinct().withColumn("is_box", F.lit(True))
-    both = ids.join(boxes, ["diagram_id", "id"], "full_outer")
-    missing = finding(both.where("is_box is null"), 2, "missing_placement", quoted_message("missing placement for node ", F.col("id")), F.col("id"))
-    return missing.unionByName(finding(both.where("is_node is null"), 3, "unknown_placement", quoted_message("placement references unknown node ", F.col("id")), F.col("id")))
+    """Nodes without a placement, then placements without a node: one grouping of both sides' ids."""
+    ids = nodes.select("diagram_id", "id", F.lit(True).alias("is_node"))
+    boxes = placements.select("diagram_id", F.col("node_id").alias("id"), F.lit(False).alias("is_node"))
+    one_side = ids.unionByName(boxes).groupBy("diagram_id", "id").agg(F.bool_and("is_node").alias("missing"), F.bool_or("is_node").alias("known")).where("missing or not known")
+    missing = F.col("missing")
+    message = F.when(missing, quoted_message("missing placement for node ", F.col("id"))).otherwise(quoted_message("placement references unknown node ", F.col("id")))
+    rule = F.when(missing, "missing_placement").otherwise("unknown_placement")
+    return finding(one_side, 2, rule, message, F.col("id")).withColumn("phase", F.when(F.col("rule") == "missing_placement", 2).otherwise(3))
 
 
 def hint_rules(edges: DataFrame, hints: DataFrame) -> DataFrame:
