@@ -14,16 +14,16 @@ def number(value: Column) -> Column:
     return F.format_string("%.4f", value)
 
 
-def dot_lines(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def dot_lines(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame, name: str = "diagram") -> DataFrame:
     """diagram_id, section, k1, k2, k3, line: the lines in the order of the keys.
 
     Free nodes by id, clusters by parent with their children by id, edges by
-    source, target and id.
+    source, target and id. name: the graph's name in the first line.
     """
     rows = lambda df, section, k1, k2, k3, line: df.select("diagram_id", F.lit(section).alias("section"), k1.alias("k1"), k2.alias("k2"), k3.alias("k3"), line.alias("line"))
     none = F.lit("")
     direction = F.when(F.col("orientation") == "top_to_bottom", "TB").otherwise("LR")
-    head = F.concat(F.lit('digraph visiogen {\n  graph [rankdir="'), direction, F.lit(f'", nodesep="{t.NODE_GAP:.4f}", ranksep="{t.RANK_GAP:.4f}"];\n  node [fixedsize="true", shape="box"];'))
+    head = F.concat(F.lit(f'digraph {name} {{\n  graph [rankdir="'), direction, F.lit(f'", nodesep="{t.NODE_GAP:.4f}", ranksep="{t.RANK_GAP:.4f}"];\n  node [fixedsize="true", shape="box"];'))
     own = sized(nodes)
     node = F.concat(quoted(F.col("id")), F.lit(' [width="'), number(F.col("own_width")), F.lit('", height="'), number(F.col("own_height")), F.lit('", label='), quoted(F.col("wrapped")), F.lit("];"))
     parents = nodes.where(F.col("parent_id").isNotNull()).select("diagram_id", F.col("parent_id").alias("id")).distinct()
@@ -49,9 +49,9 @@ def dot_lines(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     return out
 
 
-def export_dot(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def export_dot(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame, name: str = "diagram") -> DataFrame:
     """diagram_id, dot: one text for each graph."""
-    lines = dot_lines(diagrams, nodes, edges).groupBy("diagram_id").agg(F.array_sort(F.collect_list(F.struct("section", "k1", "k2", "k3", "line"))).alias("all"))
+    lines = dot_lines(diagrams, nodes, edges, name).groupBy("diagram_id").agg(F.array_sort(F.collect_list(F.struct("section", "k1", "k2", "k3", "line"))).alias("all"))
     return lines.select("diagram_id", F.concat(F.array_join(F.transform("all", lambda x: x["line"]), "\n"), F.lit("\n")).alias("dot"))
 
 
