@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import textwrap
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .binding import let
@@ -63,6 +67,32 @@ def wrap(text: Column, width: int) -> Column:
     return F.when(short, F.array(F.rtrim(text))).otherwise(lines)
 
 
+class Wrapper(textwrap.TextWrapper):
+    """wrap()'s rule for texts of any length: the rest of a long word is cut at once, not copied for each line."""
+
+    def _handle_long_word(self, reversed_chunks: list[str], cur_line: list[str], cur_len: int, width: int) -> None:
+        chunk, room = reversed_chunks.pop(), width - cur_len
+        cur_line.append(chunk[:room])
+        rest = chunk[room:]
+        reversed_chunks += [rest[i : i + width] for i in range(0, len(rest), width)][::-1] if rest.strip() else [rest] if rest else []
+
+
+def wrapped(rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """key, n_lines, wrapped (the lines, joined) of whole texts; null for null. The growing list of wrap() would be copied for each line of a long text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrapper = Wrapper(width=width, break_long_words=True, break_on_hyphens=False)
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                found = [None if x is None else wrapper.wrap(x) or [""] for x in part.column(1).to_pylist()]
+                sizes, joined = [x and len(x) for x in found], [x and "\n".join(x) for x in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(joined, pa.string())], [key, "n_lines", "wrapped"])
+
+    schema = rows.select(key, F.lit(None).cast("int").alias("n_lines"), F.lit(None).cast("string").alias("wrapped")).schema
+    return rows.select(key, text).mapInArrow(run, schema)
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends, in the Unicode sense."""
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

@@ -247,8 +247,7 @@ def schematic_parent_findings(read):
 
 @query()
 def label_wrap(read):
-    lines = tx.wrap(F.substring("text", 1, 200), 30)
-    return read("labels_of").select("doc_id", F.size(lines).alias("n_lines"), F.array_join(lines, "\n").alias("wrapped"))
+    return tx.wrapped(read("labels_of"), "doc_id", "text", 30)
 
 
 @query(sizes_sql("schematic_nodes") + " SELECT diagram_id, id, round(w, 4) AS width, round(h, 4) AS height FROM sizes", "schematic_nodes")
