@@ -1,17 +1,21 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched with block-max WAND.
 
 Every passage of every document (PASSAGE words, half overlapping the next) is
-a query; every test unit (an item, or PIECE words of a longer one) that scores
-at least SHARE of its own full score is retrieved. Units are indexed in blocks
+a query; every test unit (an item, its question or its answer, or PIECE words
+of a longer one) that scores at least SHARE of its own full score retrieves its
+item, so question and answer may stand far apart. Units are indexed in blocks
 of BLOCK; each term keeps its largest impact in each block, so most passages
 drop all blocks by summed block maxima, and WAND pivots through the rest.
-Retrieved items are then verified word by word against the whole document: by
-the share of the 5-word shingles of the question (all but the last sentence),
-of the answer (the last) and of the whole item that the document has.
+Items are verified word by word against the whole document: by the share of
+the 5-word shingles of the question (all but the last sentence), of the answer
+(the last) and of the whole item that the document has. As an item has to pass
+both, the verification comes first (one look-up of the document's shingles)
+and only the blocks of items that pass are searched.
 
 An item is found when 0.8 of all its shingles are there, or 0.8 of the
-question's and of the answer's. Items of fewer than five words are no evidence
-and are never found. Null texts are empty. Rows with equal doc_ids are
+question's and of the answer's. An item of fewer than five words is found when
+all its words follow each other in the document; one without words never is.
+Null texts are empty. Rows with equal doc_ids are
 answered each, null doc_ids come back null, empty tables give no rows. The
 index is broadcast in blocks of at most INDEX_CHARS characters of items.
 """
@@ -35,6 +39,8 @@ PASSAGE, PIECE, BLOCK, SHARE = 128, 64, 4, 0.6
 WORDS, OVERLAP = 5, 0.8
 #: Characters of test items that one broadcast index holds; a larger benchmark is searched in several passes.
 INDEX_CHARS = 64_000_000
+#: Block bounds (passages x blocks) that are summed at once.
+BOUNDS = 1 << 23
 K1, B = 1.2, 0.75
 WORD = re.compile(r"[^\W_]+")
 LAST_SENTENCE = re.compile(r"[.!?\n](?=\s*[^\s.!?\n])")
@@ -65,17 +71,24 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.terms: dict[str, int] = {}
         self.held: dict[int, tuple | None] = {}  # postings of a term in a block, as they come to be used
-        self.items, units, owner = [], [], []
+        self.items, units, owner, wanted = [], [], [], defaultdict(list)
         for item, text in items:
             words = WORD.findall((text or "").lower())
-            if len(words) < WORDS:
+            if not words:
                 continue
             ids = np.asarray([self.terms.setdefault(w, len(self.terms)) for w in words], np.int32)
             halves = [np.asarray([self.terms[w] for w in WORD.findall(h)], np.int32) for h in parts((text or "").lower())]
-            self.items.append((item, np.unique(shingles(ids)), *((np.unique(shingles(h, min(WORDS, max(len(h), 1)))), min(WORDS, max(len(h), 1))) for h in halves)))
-            for i in range(0, max(1, len(ids) - PIECE // 2), PIECE):
-                units.append(ids[i : i + PIECE])
-                owner.append(len(self.items) - 1)
+            if len(ids) < WORDS:
+                halves = [ids, ids]  # only the whole sequence is evidence
+            for kind, own in enumerate((ids, *halves)):
+                words = min(WORDS, max(len(own), 1))
+                wanted[words].append((3 * len(self.items) + kind, np.unique(shingles(own, words))))
+            self.items.append(item)
+            for own in (ids, *(h for h in halves if 0 < len(h) < len(ids))):
+                for i in range(0, max(1, len(own) - PIECE // 2), PIECE):
+                    units.append(own[i : i + PIECE])
+                    owner.append(len(self.items) - 1)
+        self.wanted = {words: self.looked_up(found) for words, found in wanted.items()}
         n = len(units)
         self.blocks = math.ceil(n / BLOCK)
         t = np.concatenate([np.unique(u) for u in units]) if n else np.zeros(0, np.int64)
@@ -103,6 +116,37 @@ class Index:
         self.max_first = np.searchsorted(key[at] // max(self.blocks, 1), np.arange(len(self.terms) + 1))
         self.block_least = np.full(self.blocks, np.inf)
         np.minimum.at(self.block_least, np.arange(n) // BLOCK, self.least)
+        self.unit_of = np.argsort(self.owner, kind="stable")
+        self.unit_first = np.searchsorted(self.owner[self.unit_of], np.arange(len(self.items) + 1))
+
+    @staticmethod
+    def looked_up(found: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        """Distinct shingles, where each one's parts begin, the parts (3 x item + 0 whole, 1 question, 2 answer), and the share that a shingle is of its part."""
+        every = np.concatenate([s for _, s in found])
+        part = np.repeat(np.asarray([p for p, _ in found], np.int64), [len(s) for _, s in found])
+        weight = np.repeat([1 / max(len(s), 1) for _, s in found], [len(s) for _, s in found])
+        order = np.argsort(every, kind="stable")
+        distinct, first = np.unique(every[order], return_index=True)
+        return distinct, np.append(first, len(every)), part[order], weight[order]
+
+    def verified(self, ids: np.ndarray) -> dict[int, tuple[float, float, float]]:
+        """Item -> overlap, question's overlap, answer's overlap, of the items that a document passes for."""
+        shares: dict[int, float] = {}
+        likely: set[int] = set()
+        for words, (distinct, first, part, weight) in self.wanted.items():
+            have = shingles(ids, words)
+            if not len(have) or not len(distinct):
+                continue
+            at = np.minimum(np.searchsorted(distinct, have), len(distinct) - 1)
+            at = np.unique(at[distinct[at] == have])
+            many = first[at + 1] - first[at]
+            place = np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            parts_, inverse = np.unique(part[place], return_inverse=True)
+            share = np.bincount(inverse, weight[place], len(parts_))
+            shares.update(zip(parts_.tolist(), share.tolist(), strict=True))
+            likely.update((parts_[(parts_ % 3 < 2) & (share >= OVERLAP - 1e-9)] // 3).tolist())
+        found = {i: tuple(shares.get(3 * i + k, 0.0) for k in range(3)) for i in likely}
+        return {i: s for i, s in found.items() if s[0] >= OVERLAP - 1e-9 or min(s[1:]) >= OVERLAP - 1e-9}
 
     def doc_ids(self, text: str) -> np.ndarray:
         words = WORD.findall(text.lower())
@@ -117,10 +161,15 @@ class Index:
         key = (place * terms + np.concatenate([ids[at], ids[at]]))[(place >= 0) & (place < rows)]
         key = np.unique(key)
         passage, t = key // terms, key % terms
-        many = self.max_first[t + 1] - self.max_first[t]
-        place = np.repeat(self.max_first[t] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        bound = np.bincount(np.repeat(passage, many) * self.blocks + self.max_block[place], self.max_impact[place], rows * self.blocks).reshape(rows, self.blocks)
-        return [tuple(x) for x in np.argwhere(bound >= self.block_least - 1e-9).tolist()]
+        out, step = [], max(1, BOUNDS // self.blocks)
+        for a in range(0, rows, step):
+            size = min(step, rows - a)
+            here = slice(*np.searchsorted(passage, (a, a + size)))
+            own, many = t[here], self.max_first[t[here] + 1] - self.max_first[t[here]]
+            place = np.repeat(self.max_first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            bound = np.bincount(np.repeat(passage[here] - a, many) * self.blocks + self.max_block[place], self.max_impact[place], size * self.blocks).reshape(size, self.blocks)
+            out += [(a + x, y) for x, y in np.argwhere(bound >= self.block_least - 1e-9).tolist()]
+        return out
 
     def wand(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
         """(unit, score) of the block's units at their threshold or above, for a set of terms."""
@@ -161,27 +210,20 @@ class Index:
     def search(self, text: str) -> list[tuple[int, float, float, float, float]]:
         """(item, best score, overlap, question's overlap, answer's overlap) of the items found in a text."""
         ids = self.doc_ids(text)
-        if len(ids) < WORDS or not len(self.owner):
+        if not len(ids) or not len(self.owner):
             return []
+        passed = self.verified(ids)
+        if not passed:
+            return []
+        blocks = set((np.concatenate([self.unit_of[self.unit_first[i] : self.unit_first[i + 1]] for i in passed]) // BLOCK).tolist())
         best: dict[int, float] = defaultdict(float)
         for passage, block in self.candidates(ids):
-            own = ids[passage * (PASSAGE // 2) : passage * (PASSAGE // 2) + PASSAGE]
-            for unit, score in self.wand(np.unique(own[own >= 0]), block):
-                item = int(self.owner[unit])
-                best[item] = max(best[item], score)
-        out, have = [], {}
-        for item, score in sorted(best.items()):
-            name, whole, *halves = self.items[item]
-
-            def share(wanted: np.ndarray, words: int) -> float:
-                if words not in have:
-                    have[words] = shingles(ids, words)
-                return float(np.isin(wanted, have[words]).mean()) if len(wanted) else 0.0
-
-            all_of, question, answer = share(whole, WORDS), share(*halves[0]), share(*halves[1])
-            if all_of >= OVERLAP or min(question, answer) >= OVERLAP:
-                out.append((name, score, all_of, question, answer))
-        return out
+            if block in blocks:
+                own = ids[passage * (PASSAGE // 2) : passage * (PASSAGE // 2) + PASSAGE]
+                for unit, score in self.wand(np.unique(own[own >= 0]), block):
+                    item = int(self.owner[unit])
+                    best[item] = max(best[item], score)
+        return [(self.items[i], score, *passed[i]) for i, score in sorted(best.items()) if i in passed]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -349,6 +349,23 @@ def test_decontamination(spark, rows, docs, nothing):
     assert decontaminate.leaks(docs, benchmark).count() >= 0
 
 
+def test_decontamination_of_distant_halves_and_short_items(spark):
+    question, answer = " ".join(f"q{i}" for i in range(20)) + "?", " ".join(f"a{i}" for i in range(20)) + "."
+    apart = " ".join(f"filler{i}" for i in range(500))
+    items = [(1, f"{question} {answer}"), (2, "Two words"), (3, "安全"), (4, "one. two."), (5, "!"), (6, "a b. c")]
+    texts = [(10, f"{question} {apart} {answer}"), (11, f"{answer} {apart} {question}"), (12, f"{question} {apart}"), (13, f"{apart} two, WORDS"), (14, "two other words"), (15, "安全"), (16, "two one"), (17, f"one two {apart}"), (18, "c a b"), (19, None)]
+    found = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert table(found, "doc_id", "item_id") == [(10, 1), (11, 1), (13, 2), (15, 3), (17, 4)]
+
+
+def test_bounds_in_slices(rows, monkeypatch):
+    index = decontaminate.Index(duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet' ORDER BY 1").fetchall())
+    ids = index.doc_ids(" ".join(r[1] or "" for r in rows[:40]))
+    want = index.candidates(ids)
+    monkeypatch.setattr(decontaminate, "BOUNDS", 3 * index.blocks)
+    assert index.candidates(ids) == want and len(want) > 0
+
+
 def test_wand_equals_scoring_all(rows):
     items = [(i, t) for i, t in duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet' ORDER BY 1").fetchall()]
     index = decontaminate.Index(items)
