@@ -92,7 +92,8 @@ class TokenBytes(dict):
 
     def of(self, text: str) -> bytes:
         """The ids of a whole text. Only white space on which all tokenizers agree splits it."""
-        if len(text) <= 1_000_000 and latin(text):  # lower-case here only where every library agrees
+        # lower-case here only where every library agrees; the tokenizer finds its special strings ("<|...|>") before it lower-cases
+        if len(text) <= 1_000_000 and "<|" not in text and latin(text):
             text = self.mark.sub(r" \g<0>", text.lower())
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 

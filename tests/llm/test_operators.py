@@ -298,6 +298,11 @@ def test_token_bytes_equals_the_tokenizer(rows):
     assert [np.frombuffer(memo.of(t), "<u4").tolist() for t in texts] == encoded(texts)
 
 
+@pytest.mark.parametrize("text", ["a <|ENDOFTEXT|> b", "a <|EndOfText|> b <|endoftext|> C.", "<|STARTOFTEXT|>x", "<| It's <|endofTEXT|>."])
+def test_token_bytes_of_special_spellings(text):
+    assert np.frombuffer(token_bytes(word_tokenizer_path()).of(text), "<u4").tolist() == encoded([text])[0]
+
+
 # 6. Suffix dedup
 
 
