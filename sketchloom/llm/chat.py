@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from ..functions.binding import let
 
 TURNS = "array<struct<role:string,text:string>>"
+#: from_json stops at strings of 20,000,000 characters unless told otherwise, and get_json_object cannot be told.
+WHOLE = {"maxStringLen": str(2**31 - 1)}
 
 
 @dataclass(frozen=True)
@@ -43,10 +45,10 @@ class Layout:
     def turns(self, raw: Column) -> Column:
         if self.items:
             items, role, text = self.items
-            parsed = F.from_json(raw, f"struct<`{items}`:array<struct<`{role}`:string,`{text}`:string>>>")[items]
+            parsed = F.from_json(raw, f"struct<`{items}`:array<struct<`{role}`:string,`{text}`:string>>>", WHOLE)[items]
             return F.transform(parsed, lambda m: F.struct(self.role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
         names = [n for _, parts in self.fields for n in parts]
-        parsed = F.from_json(raw, "struct<" + ",".join(f"`{n}`:string" for n in names) + ">")
+        parsed = F.from_json(raw, "struct<" + ",".join(f"`{n}`:string" for n in names) + ">", WHOLE)
         turn = lambda role, parts: F.struct(F.lit(role).alias("role"), joined([parsed[n] for n in parts]).alias("text"))
         return F.array(*(turn(role, parts) for role, parts in self.fields))
 
@@ -78,16 +80,18 @@ LAYOUTS = (
 def field_paths(raw: Column) -> Column:
     """The sorted distinct paths of a record, down to the fields of its objects and of its lists' first items."""
 
-    def below(key: Column) -> Column:
-        inner = F.json_object_keys(F.call_function("get_json_object", raw, F.concat(F.lit("$['"), key, F.lit("']"))))
-        item = F.json_object_keys(F.call_function("get_json_object", raw, F.concat(F.lit("$['"), key, F.lit("'][0]"))))
+    def below(field: Column) -> Column:
+        key, value = field["key"], field["value"]
+        inner = F.map_keys(F.from_json(F.when(value.startswith("{"), value), "map<string,string>", WHOLE))
+        item = F.map_keys(F.from_json(F.when(value.startswith("["), value), "array<map<string,string>>", WHOLE)[0])
         return F.coalesce(
             F.transform(inner, lambda k: F.concat_ws(".", key, k)),
             F.transform(item, lambda k: F.concat(key, F.lit("[]."), k)),
             F.array(key),
         )
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.json_object_keys(raw), below))))
+    fields = F.map_entries(F.from_json(F.when(F.json_object_keys(raw).isNotNull(), raw), "map<string,string>", WHOLE))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(fields, below))))
 
 
 def fingerprint(paths: Column) -> Column:

@@ -404,6 +404,19 @@ def test_chat_layouts(spark):
     assert out[2]["formatted"] == "<turn user>\np\\l</turn>\n<turn assistant>\nc\\s</turn>\n" and out[2]["loss_texts"] == ["c\\"]
 
 
+def test_chat_of_very_long_texts(spark):
+    n = 20_500_000
+    long = F.repeat(F.lit("x"), n)
+    message = lambda role, text, *names: F.struct(F.lit(role).alias(names[0]), text.alias(names[1]))
+    raws = [
+        F.to_json(F.struct(long.alias("prompt"), F.lit("c").alias("completion"))),
+        F.to_json(F.struct(F.array(message("user", long, "role", "content"), message("assistant", F.lit("b"), "role", "content")).alias("messages"))),
+    ]
+    for raw, layout in zip(raws, ["prompt", "messages"], strict=True):
+        out = chat.canonical(spark.range(1).select(raw.alias("raw")))
+        assert [tuple(r) for r in out.select("layout", F.size("turns"), F.length(F.col("turns")[0]["text"]), F.length(F.col("turns")[1]["text"])).collect()] == [(layout, 2, n, 1)]
+
+
 def test_chat_query(spark):
     frame = spark.createDataFrame([(1, 0, "user", "</turn>\n<turn x>"), (1, 1, "assistant", "\\l \\s \\"), (1, 1, "assistant", None), (2, 0, None, "a>\n"), (3, 0, "human", "x"), (None, None, "us>\ner", "y")], "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r for r in chat.chat_digests(spark, frame).collect()}
