@@ -145,6 +145,22 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([k for k, _ in pairs], [np.frombuffer(c, "<i4") for _, c in pairs])
 
 
+def in_a_language(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, as they are, in whose text a language is found; a model without languages rejects only texts without a letter."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model.scorer()
+        for batch in batches:
+            for i in range(0, len(batch), 128):
+                part = batch.slice(i, 128)
+                texts = part.column(at).to_pylist()
+                keep = [name != "und" for name, _ in score(texts)] if model.languages else [bool(t) and len(grams(t)) > 0 for t in texts]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every whole text."""
 

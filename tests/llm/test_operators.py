@@ -458,3 +458,17 @@ def test_pipeline(spark, rows):
     want = {d for d, t, _ in kept if d in want and not any(found_by_words(t, x) for _, x in items)}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()} == want
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontaminate", "packing"]
+
+
+def test_pipeline_decides_row_by_row(spark, rows, tmp_path):
+    import corpus_pipeline
+
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet' ORDER BY 1").fetchall()
+    word = lambda k: " ".join(hashlib.sha256(f"{k} {i}".encode()).hexdigest()[:9] + "z" for i in range(60))
+    a, b, c, d, e = map(word, range(5))
+    texts = [(3, a), (2, a), (3, b), (4, c), (4, c), (None, d), (None, d), (None, items[0][1]), (6, items[1][1]), (6, e), (6, ""), (7, None)]
+    frame = spark.createDataFrame([(i, t, None, "s", 0) for i, t in texts], DOCS)
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).where("start = 0")
+    assert table(got, "doc_id") == sorted([(2,), (3,), (4,), (None,), (6,)], key=repr)
