@@ -29,7 +29,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removal_digests(documents(spark, sf_dir))
+    return suffix_dedup.row_digests(documents(spark, sf_dir))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,11 @@ Ranks are 64-bit digests, and only pairs of them decide, so equality stands on
 128 bits. A core that a third of the documents share is one sort run, which
 Spark spills; copies within a batch are settled before the shuffle.
 
-Null texts count as empty. A null doc_id counts as one id after all others. Of
-rows with equal doc_ids the one with the smallest text is the document. No
-documents give no rows.
+Null texts count as empty. Null doc_ids come after all others. row_digests
+answers every row: rows are ordered by doc_id and text, and rows equal in both
+by a number. removal_digests answers each doc_id once: of rows with equal
+doc_ids (all null ones are equal) the one with the smallest text is the
+document. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -155,18 +157,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     return spans(found.where("settled").select("doc_id", "first", "many").unionByName(single))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text, one row for each doc_id."""
+def keyed(docs: DataFrame, every_row: bool = False) -> DataFrame:
+    """doc_id (a unique key in the order of the documents), text and id, the given doc_id; one row for each given doc_id, or every row."""
     rows = docs.select(id_or_last("doc_id").alias("doc_id"), whole_text("text").alias("text"))
     ids = rows.groupBy("doc_id").count()
     if ids.where("count > 1").isEmpty():
-        return rows
-    return stored(rows.groupBy("doc_id").agg(F.min("text").alias("text")))
+        return rows.withColumn("id", F.col("doc_id"))
+    if every_row:
+        ordered = rows.withColumn("n", F.monotonically_increasing_id()).orderBy("doc_id", "text", "n")
+        return stored(ordered.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("doc_id").alias("id")))
+    return stored(rows.groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("id", F.col("doc_id")))
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, every_row: bool = False) -> DataFrame:
     """doc_id, n_bytes, removed (array of first, last of the maximal runs), kept (the other bytes)."""
-    rows = keyed(docs)
+    rows = keyed(docs, every_row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -188,12 +193,17 @@ def removed(docs: DataFrame) -> DataFrame:
                     kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
-    joined = rows.join(repeats(rows), "doc_id", "left").select("doc_id", "text", "spans")
+    joined = rows.join(repeats(rows.select("doc_id", "text")), "doc_id", "left").select("id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<first:int,last:int>>, kept binary")
 
 
-def removal_digests(docs: DataFrame) -> DataFrame:
-    out = removed(docs)
+def row_digests(docs: DataFrame) -> DataFrame:
+    """The digests of every row."""
+    return removal_digests(docs, every_row=True)
+
+
+def removal_digests(docs: DataFrame, every_row: bool = False) -> DataFrame:
+    out = removed(docs, every_row)
     return out.select(
         id_or_null("doc_id").alias("doc_id"),
         "n_bytes",

@@ -318,6 +318,18 @@ def test_suffix_dedup(spark, rows, nothing):
     assert suffix_dedup.removal_digests(nothing).count() == 0
 
 
+def test_suffix_dedup_answers_every_row(spark, tmp_path):
+    rng = random.Random(12)
+    x, y, z = ("".join(rng.choices("abcdef ", k=300)) for _ in range(3))
+    texts = [(2, x), (2, y + x[:150]), (2, x), (None, z), (None, y), (None, "short"), (None, None), (1, y[:120] + z[100:250])]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    order = sorted((2**63 - 1 if d is None else d, t or "") for d, t in texts)
+    brute = suffix_dedup.brute_force([(i, t) for i, (_, t) in enumerate(order)])
+    want = sorted(((None if d == 2**63 - 1 else d, *brute[i]) for i, (d, _) in enumerate(order)), key=repr)
+    got = entry.queries()["op6_suffix_dedup"](spark, str(tmp_path))
+    assert table(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_suffix_dedup_of_long_texts_and_awkward_rows(spark, docs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PART", 257)
     text = "".join(random.Random(9).choices("abcdef ", k=3000))
