@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import tables as t
 
 
+#: Positions of one block of running sums.
+BLOCK = 4096
+
+
 def running_size(members: DataFrame) -> DataFrame:
-    """members plus running, the expanded bytes up to and with each member."""
-    return members.withColumn("running", F.sum("file_size").over(Window.partitionBy("package").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    """members plus running, the expanded bytes up to and with each member: totals of earlier blocks of pos, and the sum inside the block."""
+    rows = members.withColumn("block", F.floor(F.col("pos") / BLOCK))
+    totals = rows.groupBy(F.col("package").alias("of"), F.col("block").alias("nth")).agg(F.sum("file_size").alias("total"))
+    earlier = F.sum("total").over(Window.partitionBy("of").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("file_size").over(Window.partitionBy("package", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    joined = rows.withColumn("inside", inside).join(totals.select("of", "nth", earlier.alias("earlier")), F.col("package").eqNullSafe(F.col("of")) & F.col("block").eqNullSafe(F.col("nth")))
+    running = F.coalesce(F.col("earlier") + F.col("inside"), "inside", "earlier")
+    return joined.select(*members.columns, running.alias("running"))
 
 
 def excessive(ratio: Column | float) -> Column:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sketchloom.operators import designs, dot, graph, layout, normalize
+from sketchloom.operators import designs, dot, graph, layout, normalize, packages, snapshots
 
 NODE = "diagram_id string, pos long, id string, type string, label string, parent_id string, reference_number string"
 EDGE = "diagram_id string, pos long, id string, source string, target string, relation string, direction string, label string, style string, style_explicit boolean"
@@ -146,3 +146,14 @@ def test_dot_and_positions(spark):
 def test_hints_take_the_last(spark):
     hints = spark.createDataFrame([("g", 0, "e1", "left", "auto"), ("g", 1, "e1", "top", "right")], "diagram_id string, pos int, edge_id string, source_side string, target_side string")
     assert designs.hint_map(hints).select(F.col("hints")["e1"]["source_side"].alias("s")).first()["s"] == "top"
+
+
+def test_running_size_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packages, "BLOCK", 4)
+    sizes = [(p, i, None if i % 7 == 0 else i * i) for p in ("a", "b", None) for i in range(0, 40, 1 + (p == "b"))]
+    rows = packages.running_size(spark.createDataFrame(sizes, "package string, pos long, file_size long"))
+    want = [(p, i, sum(s or 0 for q, j, s in sizes if q == p and j <= i) if any(s is not None for q, j, s in sizes if q == p and j <= i) else None) for p, i, _ in sizes]
+    got = [tuple(r) for r in rows.select("package", "pos", "running").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window ") >= 2
