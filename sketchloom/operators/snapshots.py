@@ -27,14 +27,25 @@ def signatures(connections: DataFrame, *by: str) -> DataFrame:
 
 
 def compared(before: DataFrame, moved: DataFrame, reopened: DataFrame) -> DataFrame:
-    """drawing, shapes, moved_far, pins_lost, signatures_changed of each drawing.
+    """drawing, shapes, moved_far, pins_lost, signatures_changed of each drawing, and its shapes and connections in each stage.
 
-    Each table: drawing, label, pin_x, pin_y, signatures of its shapes.
+    Each table: drawing, label, pin_x, pin_y, signatures of its shapes. A shape
+    that a stage lacks counts as moved, lost and changed against its neighbours.
     """
-    side = lambda rows, p: rows.select("drawing", "label", *(F.col(c).alias(f"{p}_{c}") for c in ("pin_x", "pin_y", "signatures")))
-    rows = side(before, "b").join(side(moved, "m"), ["drawing", "label"]).join(side(reopened, "r"), ["drawing", "label"])
-    kept = near(F.col("m_pin_x"), F.col("r_pin_x")) & near(F.col("m_pin_y"), F.col("r_pin_y"))
-    stayed = near(F.col("b_pin_x"), F.col("m_pin_x")) & near(F.col("b_pin_y"), F.col("m_pin_y"))
-    changed = (F.col("b_signatures") != F.col("m_signatures")) | (F.col("m_signatures") != F.col("r_signatures"))
-    count = lambda c: F.sum(c.cast("long"))
-    return rows.groupBy("drawing").agg(F.count("*").alias("shapes"), count(~stayed).alias("moved_far"), count(~kept).alias("pins_lost"), count(changed).alias("signatures_changed"))
+    side = lambda rows, p: rows.select("drawing", "label", F.lit(p).alias("stage"), F.struct("pin_x", "pin_y", "signatures").alias("shape"))
+    every = side(before, "b").unionByName(side(moved, "m")).unionByName(side(reopened, "r"))
+    rows = every.groupBy("drawing", "label").agg(*(F.max(F.when(F.col("stage") == p, F.col("shape"))).alias(p) for p in "bmr"))
+
+    def differ(a: str, b: str, unlike: Column) -> Column:
+        here = F.col(a).isNotNull(), F.col(b).isNotNull()
+        return (here[0] != here[1]) | (here[0] & here[1] & unlike)
+
+    far = lambda a, b: differ(a, b, ~(near(F.col(a)["pin_x"], F.col(b)["pin_x"]) & near(F.col(a)["pin_y"], F.col(b)["pin_y"])))
+    other = lambda a, b: differ(a, b, F.col(a)["signatures"] != F.col(b)["signatures"])
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    names = (("b", "before"), ("m", "moved"), ("r", "reopened"))
+    return rows.groupBy("drawing").agg(
+        F.count("*").alias("shapes"), count(far("b", "m")).alias("moved_far"), count(far("m", "r")).alias("pins_lost"), count(other("b", "m") | other("m", "r")).alias("signatures_changed"),
+        *(count(F.col(p).isNotNull()).alias(f"shapes_{n}") for p, n in names),
+        *(F.coalesce(F.sum(F.size(F.col(p)["signatures"])), F.lit(0)).cast("long").alias(f"connections_{n}") for p, n in names),
+    )

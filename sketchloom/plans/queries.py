@@ -524,7 +524,8 @@ def first_shape_by_label(read):
 def snapshot_compare(read):
     rows = snapshots.first_by_label(read("snapshots"))
     stage = lambda p, s: rows.select("drawing", "label", F.col(f"{p}_x").alias("pin_x"), F.col(f"{p}_y").alias("pin_y"), F.array(s).alias("signatures"))
-    return snapshots.compared(stage("before", "signature"), stage("moved", "signature"), stage("reopened", "reopened_signature"))
+    out = snapshots.compared(stage("before", "signature"), stage("moved", "signature"), stage("reopened", "reopened_signature"))
+    return out.select("drawing", "shapes", "moved_far", "pins_lost", "signatures_changed")
 
 
 # Provenance.

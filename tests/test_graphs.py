@@ -157,3 +157,11 @@ def test_running_size_over_blocks(spark, monkeypatch):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window ") >= 2
+
+
+def test_snapshots_with_shapes_that_come_and_go(spark):
+    stage = lambda *rows: spark.createDataFrame([("d", label, x, 0.0, ["s"] * n) for label, x, n in rows], "drawing string, label string, pin_x double, pin_y double, signatures array<string>")
+    out = snapshots.compared(stage(("a", 1.0, 1), ("lost", 2.0, 2)), stage(("a", 1.0, 1), ("gone", 3.0, 1)), stage(("a", 1.0, 1), ("new", 4.0, 3))).first()
+    assert (out["shapes"], out["moved_far"], out["pins_lost"], out["signatures_changed"]) == (4, 2, 2, 3)
+    assert [out[f"shapes_{n}"] for n in ("before", "moved", "reopened")] == [2, 2, 2]
+    assert [out[f"connections_{n}"] for n in ("before", "moved", "reopened")] == [3, 2, 4]
