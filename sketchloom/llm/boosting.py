@@ -12,8 +12,8 @@ LEAVES = tuple[int, float, int, int] | float
 class Booster:
     """Trees of logistic loss; each is a nested tuple (feature, threshold, below, above) or a leaf's value."""
 
-    def __init__(self, rounds: int = 30, depth: int = 3, rate: float = 0.3, least: int = 5, bins: int = 24):
-        self.rounds, self.depth, self.rate, self.least, self.bins = rounds, depth, rate, least, bins
+    def __init__(self, rounds: int = 30, depth: int = 3, rate: float = 0.3, least: int = 5, bins: int = 24, gain: float = 1.0):
+        self.rounds, self.depth, self.rate, self.least, self.bins, self.gain = rounds, depth, rate, least, bins, gain
         self.trees, self.prior = [], 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Booster:
@@ -32,7 +32,7 @@ class Booster:
 
     def grow(self, x, g, h, rows, cuts, depth):
         value = self.rate * g[rows].sum() / (h[rows].sum() + 1.0)
-        best, split = 1e-6, None
+        best, split = self.gain, None
         if depth and len(rows) >= 2 * self.least:
             top = g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
             for f, edges in enumerate(cuts):

@@ -97,6 +97,43 @@ def test_pii_adds_what_looks_alike_and_redacts(spark):
     assert all(r["text"].startswith("call [phone] or the code") for r in clean)
 
 
+def test_pii_adds_what_no_pattern_says(spark):
+    rng = random.Random(7)
+    word = lambda n=1: " ".join("".join(rng.choices("abdeghilmnorstu", k=rng.randrange(3, 9))) for _ in range(n))
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+    part = lambda: str(rng.randrange(256))
+
+    def card():
+        body = "4" + d(14)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    base = [lambda: f"{word()}.{d(2)}@{word()}.example.com", lambda: ".".join(part() for _ in range(4)), card, lambda: f"+1 ({d(3)}) 555-{d(4)}"]
+    texts = [f"{word(9)} {base[i % 4]()} {word(6)}" for i in range(1200)] + [f"{word(9)} {d(9 + i % 4)} {word(6)}" for i in range(200)]
+    hidden = [
+        ("email", lambda: f"{word()}.{d(2)} (at) {word()} (dot) example (dot) com"), ("email", lambda: f"{word()}{d(1)}[at]{word()}[dot]com"), ("ip", lambda: "[.]".join(part() for _ in range(4))),
+        ("phone", lambda: f"1 ({d(3)}) 555-{d(4)}"), ("phone", lambda: f"({d(3)}) 555-{d(4)}"), ("secret", lambda: f'"{rng.getrandbits(160):040x}"'), ("secret", lambda: f"{rng.getrandbits(128):032X}"),
+    ]
+    lead = {"secret": ' token = '}
+    odd = [lambda: f"20{d(2)}-04-1{d(1)} 10.3{d(1)}", lambda: f"{d(1)}.{d(3)}.{d(3)}", lambda: f"order {d(9)}", lambda: f"{word(2).replace(' ', '/')}/{word(2).replace(' ', '/')}/{word()}", lambda: "-" * 40, lambda: "passwords: required", lambda: "x" * 50, lambda: "meet at noon dot the end"]
+    planted = [(kind, f"{word(9)} {lead.get(kind, '')}{make()} {word(6)}") for _ in range(30) for kind, make in hidden]
+    plain = [f"{word(9)} {odd[i % len(odd)]()} {word(6)}" for i in range(240)]
+    frame = spark.createDataFrame(list(enumerate([*texts, *(t for _, t in planted), *plain])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find_pii(frame).collect()}
+    hits = [[pii.KINDS[a["kind"]] for a in got[len(texts) + i]["added"]] == [kind] for i, (kind, _) in enumerate(planted)]
+    assert sum(hits) >= 0.9 * len(hits)
+    assert not any(r["added"] for i, r in got.items() if i < len(texts) or i >= len(texts) + len(planted))
+    for i, (kind, text) in enumerate(planted):
+        if kind == "secret" and hits[i]:
+            a = got[len(texts) + i]["added"][0]
+            assert re.fullmatch("[0-9a-fA-F]+", text[a["first"] : a["last"]])
+
+
+def test_pii_spans_apart(spark):
+    spans = [(4, 0, 10, 0.9), (3, 5, 12, 0.95), (0, 12, 20, 0.9), (1, 12, 20, 0.9), (2, 30, 31, 0.6)]
+    frame = spark.createDataFrame([(spans,), ([],)], "s array<struct<kind:int,first:int,last:int,score:double>>")
+    assert [[tuple(x) for x in r["a"]] for r in frame.select(pii.apart(F.col("s")).alias("a")).collect()] == [[(3, 5, 12), (0, 12, 20), (2, 30, 31)], []]
+
+
 def test_boosting_in_sql_equals_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 9, (500, 3)).astype(float)
