@@ -1,34 +1,42 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings by prefix doubling over names of byte strings.
 
 A byte goes if a LENGTH-byte string over it also starts earlier (in a smaller
-doc_id, or earlier in the same document). Ranks double in two rounds of Spark
-sorts, each over (rank, rank at an offset) pairs, and what is unique after a
-round never reaches the next:
-
-1. Windows of LENGTH bytes are represented by their minimizer, the least of
-   their CORE-byte hashes, so that equal windows have equal minimizers at equal
-   offsets. Hashes double from 1 byte to CORE bytes where the text lies. One
-   sort over (core, surroundings) pairs settles three cases: a core seen once
-   has no repeated window; a core whose surroundings are all equal repeats as a
-   whole, all but its first place; the rest is open.
-2. For the windows of open places, pairs (rank of the first half, rank of the
-   second) are sorted; in each run of equal pairs all but the first are repeats.
-
-Ranks are 64-bit digests, and only pairs of them decide, so equality stands on
-128 bits. A core that a third of the documents share is one sort run, which
-Spark spills; copies within a batch are settled before the shuffle.
-
-Null texts count as empty. Null doc_ids come after all others. row_digests
-answers every row: rows are ordered by doc_id and text, and rows equal in both
-by a number. removal_digests answers each doc_id once: of rows with equal
-doc_ids (all null ones are equal) the one with the smallest text is the
-document. No documents give no rows.
+doc_id, or earlier in the same document). Names of equal strings double in
+length, and Spark sorts (name, name at an offset) pairs at growing lengths;
+what is unique at a length never reaches the next:
+
+1. Up to CORE bytes names are 64-bit digests that double where the text lies:
+   below that length nearly every string repeats, so a sort would drop nothing.
+   Windows of LENGTH bytes are represented by their minimizer, the least of
+   their CORE-byte names, so that equal windows have equal minimizers at equal
+   offsets.
+2. Sorted at CORE bytes, with the name of all bytes that the place's windows
+   cover: a core seen once has no repeated window; a core whose surroundings
+   are all equal repeats as a whole, all but its first place; the rest is open.
+3. Sorted at LENGTH bytes, for the windows of open places: pairs (name of the
+   first half, name of the second); of equal pairs all but the first repeat.
+
+Pairs of names decide, so equality stands on 128 bits of digests keyed anew in
+each job; texts are not compared byte by byte. doubled() is the plain method
+over every position, with exact names and no digest. It gives the same answer
+and costs many times the input (see the README), so the query does not use it.
+
+What many documents share is settled before the shuffle as far as one batch
+knows: of equal places or windows only the first is sorted, and of a core with
+many surroundings only a few places are, while the others are open anyway.
+
+Null texts count as empty, null doc_ids come after all others. Every row is
+answered: rows are ordered by doc_id and text, and rows equal in both by a
+number. The repeated ranges of one document come together in a row. No
+documents give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +46,23 @@ from pyspark.sql import functions as F
 from .common import id_or_last, id_or_null, stored, whole_text
 
 LENGTH, CORE = 100, 62
-#: Windows whose minimizer is looked for at once, and texts longer than this are taken in overlapping parts.
-SPREAD, PART = LENGTH - CORE + 1, 1 << 19
-PLACES = "settled boolean, core long, around long, doc_id long, first int, many int"
-PAIRS = "a long, b long, doc_id long, at int"
+#: Windows whose minimizer is looked for at once.
+SPREAD = LENGTH - CORE + 1
+#: What is known of a place before the sort.
+ASKED, REPEATS, OPEN = 0, 1, 2
+PLACES = "state int, core long, around long, doc_id long, first int, many int"
+PAIRS = "state int, a long, b long, doc_id long, first int, many int"
 
 
-def doubled(x: np.ndarray, gap: int, salt: int) -> np.ndarray:
+class Bounds(NamedTuple):
+    """What a task works on at once. The result is the same for all values."""
+
+    part: int = 1 << 19  #: texts longer than this are taken in overlapping parts (2 ** 20 at most)
+    held: int = 1 << 20  #: places or windows before they are passed on
+    crowd: int = 4  #: places of one core that are passed on to be sorted (2 at least)
+
+
+def longer(x: np.ndarray, gap: int, salt: int) -> np.ndarray:
     """Hashes of strings from those of their first part and of the part `gap` further on."""
     with np.errstate(over="ignore"):
         out = (x[: len(x) - gap] * np.uint64(0xD6E8FEB86659FD93 + 2 * salt)) ^ (x[gap:] + np.uint64(0x9E3779B97F4A7C15 ^ salt))
@@ -52,18 +70,18 @@ def doubled(x: np.ndarray, gap: int, salt: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
-def hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of each string of `length` bytes, by doubling; the last step overlaps."""
-    x, have = data.astype(np.uint64), 1
+def hashes(data: np.ndarray, length: int, key: int = 0) -> np.ndarray:
+    """A 64-bit name of each string of `length` bytes, by doubling; the last step overlaps."""
+    x, have = (data.astype(np.uint64) + np.uint64(key)), 1
     while have < length:
         gap = min(have, length - have)
-        x, have = doubled(x, gap, have * 1000 + gap), have + gap
+        x, have = longer(x, gap, have * 1000 + gap), have + gap
     return x
 
 
-def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(core hash, surroundings' hash, first window, number of windows) of each minimizer of a text."""
-    cores = hashes(data, CORE)
+def minimizers(data: np.ndarray, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(core's name, surroundings' name, first window, number of windows) of each minimizer of a text."""
+    cores = hashes(data, CORE, key)
     low = ((cores >> np.uint64(20)) << np.uint64(20)) | np.arange(len(cores), dtype=np.uint64)  # the leftmost of equals
     least, have = low, 1
     while have < SPREAD:
@@ -72,8 +90,8 @@ def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     place = (least & np.uint64((1 << 20) - 1)).astype(np.int64)
     first = np.nonzero(np.diff(place, prepend=-1))[0]
     many = np.diff(np.append(first, len(place)))
-    # the surroundings: all bytes of the place's windows, hashed from the windows' own hashes at both ends and between
-    whole = hashes(data, LENGTH)
+    # the surroundings: all bytes of the place's windows, named by the windows at both ends, which overlap or touch
+    whole = hashes(data, LENGTH, key)
     last = first + many - 1
     around = mixed(whole[first], whole[last], many, place[first] - first)
     return cores[place[first]], around, first, many
@@ -89,122 +107,175 @@ def mixed(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> np.ndarray:
         return out
 
 
-def parts(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def parts(data: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(start, bytes) of overlapping parts, so that each window lies in one of them."""
-    for i in range(0, max(1, len(data) - LENGTH + 1), PART):
-        yield i, data[i : i + PART + LENGTH - 1]
+    for i in range(0, max(1, len(data) - LENGTH + 1), size):
+        yield i, data[i : i + size + LENGTH - 1]
+
+
+def spread(state: np.ndarray, name: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The name for those that are asked; for the others one that deals them over all partitions."""
+    return np.where(state == ASKED, name, mixed(name, doc, first)).view(np.int64)
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """Each text's minimizers; copies inside a batch are settled at once."""
+def sent(schema: str, state: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype(), copy=False), t) for c, t in zip((state, *columns), kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
+
+
+def sorted_places(found: list[tuple[np.ndarray, ...]], crowd: int) -> pa.RecordBatch:
+    """PLACES of some texts: copies repeat, the crowd of a core is open, the rest is asked."""
+    core, around, doc, first, many = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((first, doc, around, core))
+    core, around, doc, first, many = core[order], around[order], doc[order], first[order], many[order]
+    fresh, new = np.ones(len(core), bool), np.ones(len(core), bool)
+    fresh[1:] = core[1:] != core[:-1]
+    new[1:] = fresh[1:] | (around[1:] != around[:-1])
+    nth = np.cumsum(new)
+    nth -= np.maximum.accumulate(np.where(fresh, nth, 0))  # distinct surroundings of the core before this one
+    state = np.where(~new, REPEATS, np.where(nth >= crowd, OPEN, ASKED))
+    return sent(PLACES, state, spread(state, core, doc, first), around.view(np.int64), doc, first, many)
+
+
+def places(docs: DataFrame, key: int, bounds: Bounds) -> DataFrame:
+    """Each text's minimizers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = [], 0
         for batch in batches:
-            found = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 if len(data) >= LENGTH:
-                    for at, part in parts(data):
-                        core, around, first, many = minimizers(part)
+                    for at, part in parts(data, bounds.part):
+                        core, around, first, many = minimizers(part, key)
                         found.append((core, around, np.full(len(core), doc), first + at, many))
-            if not found:
-                continue
-            core, around, doc, first, many = (np.concatenate(c) for c in zip(*found, strict=True))
-            order = np.lexsort((first, doc, around, core))
-            core, around, doc, first, many = core[order], around[order], doc[order], first[order], many[order]
-            again = np.zeros(len(core), bool)
-            again[1:] = (core[1:] == core[:-1]) & (around[1:] == around[:-1])
-            core = np.where(again, mixed(core, doc, first), core)  # spreads the settled ones over the partitions
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(again), pa.array(core.view(np.int64)), pa.array(around.view(np.int64)), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(many.astype(np.int32))],
-                ["settled", "core", "around", "doc_id", "first", "many"],
-            )
+                        n += len(core)
+                        if n >= bounds.held:
+                            yield sorted_places(found, bounds.crowd)
+                            found, n = [], 0
+        if found:
+            yield sorted_places(found, bounds.crowd)
 
     return docs.mapInArrow(run, PLACES)
 
 
 def compared(rows: DataFrame) -> DataFrame:
     """Places that repeat as a whole (settled) and those that are open; the others are gone."""
-    same = Window.partitionBy("core", "settled")
-    run = Window.partitionBy("core", "settled", "around").orderBy("doc_id", "first")
+    same = Window.partitionBy("core", "state")
+    run = Window.partitionBy("core", "state", "around").orderBy("doc_id", "first")
     seen = rows.withColumn("n", F.row_number().over(run)).withColumn("low", F.min("around").over(same)).withColumn("high", F.max("around").over(same))
-    repeat = F.col("settled") | (F.col("n") > 1)
-    return seen.where(repeat | (F.col("low") != F.col("high"))).select(repeat.alias("settled"), "doc_id", "first", "many")
-
-
-def open_pairs(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(rank of the first half, rank of the second, doc_id, start) of each window of the open places."""
+    asked = F.col("state") == ASKED
+    repeat = (F.col("state") == REPEATS) | (asked & (F.col("n") > 1))
+    open_ = (F.col("state") == OPEN) | (asked & (F.col("low") != F.col("high")))
+    return seen.where(repeat | open_).select(repeat.alias("settled"), "doc_id", "first", "many")
+
+
+def sorted_windows(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """PAIRS of some windows (a, b, doc_id, at): the first of equals is asked, the others are ranges that repeat."""
+    a, b, doc, at = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((at, doc, b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    asked, again = order[new], np.sort(order[~new])
+    yield sent(PAIRS, np.full(len(asked), ASKED), a[asked].view(np.int64), b[asked].view(np.int64), doc[asked], at[asked], np.ones(len(asked), np.int32))
+    if len(again):
+        doc, at, name = doc[again], at[again], a[again]
+        head = np.nonzero((np.diff(doc, prepend=doc[0] - 1) != 0) | (np.diff(at, prepend=at[0]) != 1))[0]
+        many = np.diff(np.append(head, len(at)))
+        state = np.full(len(head), REPEATS)
+        yield sent(PAIRS, state, spread(state, name[head], doc[head], at[head]), np.zeros(len(head), np.int64), doc[head], at[head], many)
+
+
+def open_pairs(docs: DataFrame, ranges: DataFrame, key: int, bounds: Bounds) -> DataFrame:
+    """(name of the first half, name of the second) of each window of the open places."""
     half = LENGTH // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = [], 0
         for batch in batches:
-            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for doc, text, first, many in zip(batch.column(0).to_pylist(), batch.column(1), *spans_of(batch.column(2)), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                rank = hashes(data, half)
-                at = np.sort(np.concatenate([np.arange(s["first"], s["first"] + s["many"]) for s in spans]))
-                yield pa.RecordBatch.from_arrays([pa.array(rank[at].view(np.int64)), pa.array(rank[at + half].view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], ["a", "b", "doc_id", "at"])
+                for low, part in parts(data, bounds.part):
+                    mine = (first < low + bounds.part) & (first + many > low)
+                    if not mine.any():
+                        continue
+                    a, b = np.maximum(first[mine], low), np.minimum(first[mine] + many[mine], low + bounds.part)
+                    at = np.sort(np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange((b - a).sum()))
+                    name = hashes(part, half, key)
+                    found.append((name[at - low], name[at - low + half], np.full(len(at), doc), at))
+                    n += len(at)
+                    if n >= bounds.held:
+                        yield from sorted_windows(found)
+                        found, n = [], 0
+        if found:
+            yield from sorted_windows(found)
 
     return docs.join(ranges, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, PAIRS)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def spans_of(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The first and many numbers of each row's spans, none for null."""
+    at, inner = column.offsets.to_numpy(), column.values
+    rows = [slice(a, b) if ok else slice(0) for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), column.is_valid().to_pylist(), strict=True)]
+    first, many = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    return [first[r] for r in rows], [many[r] for r in rows]
+
+
+def repeats(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """doc_id and spans (first, many): starts of all windows that also start earlier."""
-    found = stored(compared(places(docs)))
+    key = secrets.randbits(56)
+    found = stored(compared(places(docs, key, bounds)))
     spans = lambda rows: rows.groupBy("doc_id").agg(F.collect_list(F.struct("first", "many")).alias("spans"))
-    pairs = open_pairs(docs, spans(found.where(~F.col("settled"))))
-    later = F.row_number().over(Window.partitionBy("a", "b").orderBy("doc_id", "at")) > 1
-    single = pairs.withColumn("later", later).where("later").select("doc_id", F.col("at").alias("first"), F.lit(1).alias("many"))
-    return spans(found.where("settled").select("doc_id", "first", "many").unionByName(single))
+    pairs = open_pairs(docs, spans(found.where(~F.col("settled"))), key, bounds)
+    nth = F.row_number().over(Window.partitionBy("a", "b", "state").orderBy("doc_id", "first"))
+    again = pairs.withColumn("n", nth).where((F.col("state") == REPEATS) | (F.col("n") > 1)).select("doc_id", "first", "many")
+    return spans(found.where("settled").select("doc_id", "first", "many").unionByName(again))
 
 
-def keyed(docs: DataFrame, every_row: bool = False) -> DataFrame:
-    """doc_id (a unique key in the order of the documents), text and id, the given doc_id; one row for each given doc_id, or every row."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (a unique key in the order of the documents), text and id, the given doc_id, of every row."""
     rows = docs.select(id_or_last("doc_id").alias("doc_id"), whole_text("text").alias("text"))
-    ids = rows.groupBy("doc_id").count()
-    if ids.where("count > 1").isEmpty():
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         return rows.withColumn("id", F.col("doc_id"))
-    if every_row:
-        ordered = rows.withColumn("n", F.monotonically_increasing_id()).orderBy("doc_id", "text", "n")
-        return stored(ordered.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("doc_id").alias("id")))
-    return stored(rows.groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("id", F.col("doc_id")))
+    ordered = rows.withColumn("n", F.monotonically_increasing_id()).orderBy("doc_id", "text", "n")
+    return stored(ordered.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("doc_id").alias("id")))
+
+
+def joined_runs(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (exclusive) bytes of the maximal runs that windows of these ranges cover."""
+    if not len(first):
+        return first, first
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], np.maximum.accumulate((first + many - 1 + LENGTH)[order])
+    head = np.append(True, first[1:] > last[:-1])
+    return first[head], last[np.append(np.nonzero(head)[0][1:] - 1, len(last) - 1)]
 
 
-def removed(docs: DataFrame, every_row: bool = False) -> DataFrame:
+def removed(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """doc_id, n_bytes, removed (array of first, last of the maximal runs), kept (the other bytes)."""
-    rows = keyed(docs, every_row)
+    rows = keyed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part, sizes, runs, kept = batch.slice(i, 256), [], [], []
-                for text, spans in zip(part.column(1), part.column(2).to_pylist(), strict=True):
+                for text, first, many in zip(part.column(1), *spans_of(part.column(2)), strict=True):
                     data = text.as_buffer().to_pybytes()
-                    gone = []
-                    for s in sorted(spans or (), key=lambda s: s["first"]):
-                        first, last = s["first"], s["first"] + s["many"] - 1 + LENGTH
-                        if gone and first <= gone[-1]["last"]:
-                            gone[-1]["last"] = max(gone[-1]["last"], last)
-                        else:
-                            gone.append({"first": first, "last": last})
-                    edges = [0, *(x for g in gone for x in (g["first"], g["last"])), len(data)]
+                    gone = list(zip(*(x.tolist() for x in joined_runs(first, many)), strict=True))
+                    edges = [0, *(x for g in gone for x in g), len(data)]
                     sizes.append(len(data))
-                    runs.append(gone)
+                    runs.append([{"first": a, "last": b} for a, b in gone])
                     kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
-    joined = rows.join(repeats(rows.select("doc_id", "text")), "doc_id", "left").select("id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<first:int,last:int>>, kept binary")
+    found = rows.join(repeats(rows.select("doc_id", "text"), bounds), "doc_id", "left").select("id", "text", "spans")
+    return found.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<first:int,last:int>>, kept binary")
 
 
-def row_digests(docs: DataFrame) -> DataFrame:
+def removal_digests(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """The digests of every row."""
-    return removal_digests(docs, every_row=True)
-
-
-def removal_digests(docs: DataFrame, every_row: bool = False) -> DataFrame:
-    out = removed(docs, every_row)
-    return out.select(
+    return removed(docs, bounds).select(
         id_or_null("doc_id").alias("doc_id"),
         "n_bytes",
         (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
@@ -213,6 +284,27 @@ def removal_digests(docs: DataFrame, every_row: bool = False) -> DataFrame:
     )
 
 
+def doubled(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, at: starts of all strings of `length` bytes (8 or more) that also start earlier, by doubling over every position.
+
+    A name is the earliest place (doc_id, at) of its string. Equal pairs of
+    names are grouped at growing offsets; positions that are unique are dropped,
+    and with them those whose second half is. doc_ids have to be unique.
+    """
+    rows = docs.select(id_or_last("doc_id").alias("doc_id"), F.encode(whole_text("text"), "UTF-8").alias("data"))
+    rows = rows.where(F.length("data") >= length).select("doc_id", "data", F.explode(F.sequence(F.lit(0), F.length("data") - 8)).alias("at"))
+    rows = rows.select("doc_id", "at", F.substring("data", F.col("at") + 1, 8).alias("a"), F.lit(0).alias("b"))
+    have = 8
+    while True:
+        named = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("name")).where("n > 1")
+        rows = stored(rows.join(named, ["a", "b"]).select("doc_id", "at", "name"))
+        if have == length:
+            return rows.where("name <> struct(doc_id, at)").select("doc_id", "at")
+        gap = min(have, length - have)
+        second = rows.select("doc_id", (F.col("at") - gap).alias("at"), F.col("name").alias("b"))
+        rows, have = rows.withColumnRenamed("name", "a").join(second, ["doc_id", "at"]), have + gap
+
+
 def brute_force(texts: list[tuple[int, str]], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:
     """The same digests by a dictionary of all windows, for small tests."""
     seen, out = set(), {}

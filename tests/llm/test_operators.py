@@ -367,17 +367,41 @@ def test_suffix_dedup_answers_every_row(spark, tmp_path):
     assert table(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
-def test_suffix_dedup_of_long_texts_and_awkward_rows(spark, docs, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PART", 257)
+def test_suffix_dedup_of_long_texts_and_awkward_rows(spark, docs):
+    bounds = suffix_dedup.Bounds(part=257)
     text = "".join(random.Random(9).choices("abcdef ", k=3000))
     texts = [(1, text), (2, text[500:900] + "!" + text[100:1700])]
     rows = spark.createDataFrame(texts, "doc_id long, text string")
     data = np.frombuffer(text.encode(), np.uint8)
-    windows = sorted(w for at, part in suffix_dedup.parts(data) for _, _, first, many in [suffix_dedup.minimizers(part)] for a, n in zip(first, many, strict=True) for w in range(at + a, at + a + n))
+    windows = sorted(w for at, part in suffix_dedup.parts(data, 257) for _, _, first, many in [suffix_dedup.minimizers(part)] for a, n in zip(first, many, strict=True) for w in range(at + a, at + a + n))
     assert windows == list(range(len(text) - 99))
-    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.removal_digests(rows).collect()}
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.removal_digests(rows, bounds).collect()}
     assert got == {k: v[1] for k, v in suffix_dedup.brute_force(texts).items()}
-    assert suffix_dedup.removal_digests(docs).count() == docs.select(F.coalesce("doc_id", F.lit(-1))).distinct().count()
+    assert suffix_dedup.removal_digests(docs).count() == docs.count()
+
+
+@pytest.mark.parametrize(("held", "crowd"), [(50, 2), (1 << 20, 2), (300, 4)])
+def test_suffix_dedup_of_what_all_share(spark, held, crowd):
+    bounds = suffix_dedup.Bounds(200, held, crowd)
+    rng = random.Random(5)
+    line = "".join(rng.choices("abcdef ", k=130))
+    texts = [(i, "".join(rng.choices("ghijkl", k=rng.randrange(200))) + line[rng.randrange(8) : 130 - rng.randrange(8)] + "".join(rng.choices("mnopq", k=rng.randrange(200)))) for i in range(120)]
+    texts += [(200 + i, texts[i % 7][1]) for i in range(30)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.removal_digests(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), bounds).collect()}
+    assert got == suffix_dedup.brute_force(texts)
+
+
+def test_plain_doubling_gives_the_same_starts(spark):
+    rng = random.Random(3)
+    shared = ["".join(rng.choices("abc", k=n)) for n in (40, 33, 60)]
+    texts = [(i, "".join(rng.choices("de", k=rng.randrange(30))) + rng.choice(shared) + "".join(rng.choices("fgé", k=rng.randrange(30)))) for i in range(30)] + [(50, "a" * 90), (51, None), (52, "short")]
+    seen, want = set(), set()
+    for doc, text in texts:
+        data = (text or "").encode()
+        for i in range(len(data) - 32):
+            want |= {(doc, i)} if data[i : i + 33] in seen else set()
+            seen.add(data[i : i + 33])
+    assert set(table(suffix_dedup.doubled(spark.createDataFrame(texts, "doc_id long, text string"), 33), "doc_id", "at")) == want
 
 
 # 7. Decontamination
