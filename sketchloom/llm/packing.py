@@ -1,13 +1,24 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Each source is a queue of tokens: its documents end to end, in the order of
-the input's partitions. Window k takes from every queue the tokens that bring
-the queue's served total to its target share of (k + 1) windows; what a queue is
-short of, a few tokens at most, is its deficit and is carried to the next
-window. Served totals are a function of k alone, so deficits carry across
-partitions without any task waiting for another: a task only needs the queue
-totals (at most QUEUES numbers) and where its documents begin in their queue.
-Every window is full except for the last.
+the input's partitions. Queues take turns. A turn falls due when the queue's
+share of the tokens served so far reaches it, and windows are filled with turns
+in the order in which they fall due; what a queue is short of is its deficit
+and is carried on until its next turn. Queues with at least TURN tokens a window
+take turns of one token, so that each window holds their share to the token; a
+rarer one waits until TURN tokens are due to it, so that its documents are not
+shredded. Inside a window the tokens of a queue lie together. Queues that run
+dry leave their share to the others.
+
+What is served before any window is a function of the window alone, so deficits
+carry across partitions without any task waiting for another: a task only needs
+the queue totals and where its documents begin in their queue. Long documents
+are walked in slices, and only the windows that they touch are looked at. Every
+window is full except for the last.
+
+Sources with one token a window or more, on average by documents, are among the
+`size` largest ones and have a queue each, as have all with a target. The rest,
+of which no window could hold the proportions, keep their joint share in one.
 
 Null texts count as empty (their end token still takes a place), null sources
 are a source of their own, repeated rows are packed as often as they occur.
@@ -15,93 +26,127 @@ are a source of their own, repeated rows are packed as often as they occur.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_or_last, id_or_null, stored, token_bytes, whole_text
 
-#: Queues at most. The most frequent sources have one each; the rest share the others by hash.
-QUEUES = 256
+#: Tokens of a rare queue's turn (a sixteenth of a window at most), tokens of a slice, and numbers in the tables of a group of slices.
+TURN, SLICE, NUMBERS = 256, 1 << 16, 1 << 21
 END_ID = 2
 ENCODED = "doc_id long, queue int, part int, first long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def encode(docs: DataFrame, tokenizer: str, queues: dict[str, int], shared: int) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, queues: dict[str, int]) -> DataFrame:
     """A row for each document with its ids and its place among its partition's tokens of the same queue."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    queue = F.pmod(F.xxhash64(source), F.lit(max(shared, 1))).cast("int") + len(queues)
-    if queues:
-        known = F.create_map(*(F.lit(x) for pair in queues.items() for x in pair))
-        queue = F.coalesce(F.element_at(known, source), queue)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, part, served = token_bytes(tokenizer), TaskContext.get().partitionId(), {}
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             ids = [memo.of(x.as_py()) + end for x in batch.column(2)]
+            queue = [queues.get(x, len(queues)) for x in batch.column(1).to_pylist()]
             n, first = [len(x) // 4 for x in ids], []
-            for q, m in zip(batch.column(1).to_pylist(), n, strict=True):
+            for q, m in zip(queue, n, strict=True):
                 first.append(served.get(q, 0))
                 served[q] = first[-1] + m
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([part] * len(n), pa.int32()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                [batch.column(0), pa.array(queue, pa.int32()), pa.array([part] * len(n), pa.int32()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "queue", "part", "first", "n", "ids"],
             )
 
-    return docs.select(id_or_last("doc_id").alias("doc_id"), queue.alias("queue"), whole_text("text").alias("text")).mapInArrow(run, ENCODED)
-
-
-def served(windows: np.ndarray, totals: np.ndarray, shares: np.ndarray, size: int) -> np.ndarray:
-    """Tokens that each queue has given before each window: rows of windows, columns of queues.
-
-    Token j of a queue (from 1) falls due at (2 j - 1) / (2 share); windows take
-    tokens in due order. Queues that run dry leave their share to the others.
-    """
-    dry = np.sort(totals / shares)
-    stops = np.concatenate([[0.0], dry])
-    goal = np.minimum(windows * size, totals.sum())
-    due = np.interp(goal, np.minimum(totals, stops[:, None] * shares).sum(axis=1), stops)
-    out = np.minimum(totals, np.floor(due[:, None] * shares + 0.5)).astype(np.int64)
-    short = goal - out.sum(axis=1)
-    while short.any():
-        for sign in (1, -1):
-            rows = np.nonzero(short * sign > 0)[0]
-            if len(rows):
-                at = out[rows]
-                if sign > 0:
-                    pick = np.where(at < totals, (2 * at + 1) / (2 * shares), np.inf).argmin(axis=1)
-                else:
-                    pick = len(totals) - 1 - np.where(at > 0, (2 * at - 1) / (2 * shares), -np.inf)[:, ::-1].argmax(axis=1)
-                out[rows, pick] += sign
-                short[rows] -= sign
-    return out
-
-
-def cut(batch: list[tuple[int, int, int, bytes]], totals: np.ndarray, shares: np.ndarray, size: int) -> Iterator[tuple]:
+    return docs.select(id_or_last("doc_id").alias("doc_id"), name_of().alias("source"), whole_text("text").alias("text")).mapInArrow(run, ENCODED)
+
+
+def name_of() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
+class Turns:
+    """The order of all turns of all queues: by the time at which they fall due, then by queue."""
+
+    def __init__(self, totals: np.ndarray, shares: np.ndarray, phases: np.ndarray, size: int):
+        self.totals, self.shares, self.size = totals, shares, size
+        turn = max(1, min(TURN, size // 16))
+        self.turn = np.where(shares * size >= turn, 1, turn)
+        self.phase = np.where(self.turn == 1, 0.5, phases)
+        self.many = -(-totals // self.turn)
+
+    def due(self, turn: np.ndarray, q=slice(None)) -> np.ndarray:
+        """When a turn (its number in its queue) falls due: as far into its tokens as the queue's phase says."""
+        first = turn * self.turn[q]
+        return (first + self.phase[q] * (np.minimum(self.totals[q], first + self.turn[q]) - first)) / self.shares[q]
+
+    def before(self, time: np.ndarray) -> np.ndarray:
+        """Tokens of turns that fall due before each time: rows of times, columns of queues."""
+        time = time[:, None]
+        n = np.clip(np.minimum(time * self.shares, self.totals + 1.0) // self.turn, 0, self.many).astype(np.int64)
+        while (late := (n > 0) & (self.due(n - 1) >= time)).any():
+            n -= late
+        while (early := (n < self.many) & (self.due(n) < time)).any():
+            n += early
+        return np.minimum(self.totals, n * self.turn)
+
+    def served(self, windows: np.ndarray) -> np.ndarray:
+        """Tokens that each queue has given before each window: rows of windows, columns of queues."""
+        goal = np.minimum(windows * self.size, self.totals.sum())
+        low, high = np.zeros(len(goal)), np.full(len(goal), (self.totals / self.shares).max() + 1)
+        while (np.nextafter(low, high) < high).any():  # the latest time before which no more than the goal is due
+            middle = low + (high - low) / 2
+            middle = np.where((middle <= low) | (middle >= high), np.nextafter(low, high), middle)
+            fits = self.before(middle).sum(axis=1) <= goal
+            low, high = np.where(fits & (middle < high), middle, low), np.where(fits, high, middle)
+        sure = self.before(low)
+        next_ = np.where((goal == self.totals.sum())[:, None], self.totals, self.before(high)) - sure
+        rest = (goal - sure.sum(axis=1))[:, None] - (np.cumsum(next_, axis=1) - next_)
+        return sure + np.clip(rest, 0, next_)
+
+    def touched(self, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slice, window): the windows, and maybe some around them, that hold tokens low to high of a queue."""
+        a, b = low // self.turn[q], (high - 1) // self.turn[q]
+        many = np.where(self.turn[q] == 1, 2, b - a + 1)  # of turns of one token the first and the last tell all
+        who = np.repeat(np.arange(len(q)), many)
+        nth = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+        time = self.due(np.where(self.turn[q[who]] == 1, np.where(nth == 0, a[who], b[who]), a[who] + nth), q[who])
+        first = self.before(time).sum(axis=1) // self.size
+        last = (np.maximum(self.before(np.nextafter(time, np.inf)).sum(axis=1), 1) - 1) // self.size
+        single = self.turn[q[who]] == 1
+        last = np.where(single & (nth == 0), np.append(last[1:], 0), last)  # from the first token's window to the last one's
+        use = ~single | (nth == 0)
+        who, first, last = who[use], first[use], last[use]
+        many = last - first + 1
+        window = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        pairs = np.unique(np.stack([np.repeat(who, many), window]), axis=1)
+        return pairs[0], pairs[1]
+
+
+def cut(batch: list[tuple[int, int, int, bytes]], turns: Turns) -> Iterator[tuple]:
     """PIECES rows of documents (doc_id, queue, first position in the queue, ids)."""
-    lows, highs = [], []
-    for _, q, at, ids in batch:
-        for ends, position in ((lows, at), (highs, at + len(ids) // 4)):
-            ends.append(np.minimum(totals, position / shares[q] * shares).sum())
-    slack = len(totals) + 1
-    low = np.maximum(0, np.floor((np.asarray(lows) - slack) / size)).astype(np.int64)
-    high = np.ceil((np.asarray(highs) + slack) / size).astype(np.int64) + 1
-    windows = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high, strict=True)]))
-    table = served(windows, totals, shares, size)
-    before = np.zeros_like(table)  # where each queue's tokens begin in the window
-    before[:-1, 1:] = np.cumsum(np.diff(table, axis=0), axis=1)[:, :-1]
-    firsts = np.searchsorted(windows, low)
-    for (doc, q, at, ids), i, many in zip(batch, firsts, high - low + 1, strict=True):
-        column, n = table[i : i + many, q], len(ids) // 4
-        edges = [at, *np.unique(column[(column > at) & (column < at + n)]).tolist(), at + n]
-        for a, b, k in zip(edges, edges[1:], (np.searchsorted(column, edges[:-1], "right") - 1).tolist(), strict=False):
-            yield doc, a - at, b - a, n, int(windows[i + k]), int(before[i + k, q] + a - column[k]), ids[4 * (a - at) : 4 * (b - at)]
+    slices = [(i, at) for i, (_, _, _, ids) in enumerate(batch) for at in range(0, len(ids) // 4, SLICE)]
+    step = max(1, NUMBERS // (len(turns.totals) * (SLICE // TURN)))
+    for j in range(0, len(slices), step):
+        group = slices[j : j + step]
+        q = np.asarray([batch[i][1] for i, _ in group])
+        low = np.asarray([batch[i][2] + at for i, at in group])
+        high = low + [min(SLICE, len(batch[i][3]) // 4 - at) for i, at in group]
+        who, window = turns.touched(q, low, high)
+        windows = np.unique(np.concatenate([window, window + 1]))
+        table = turns.served(windows)
+        row, next_, own = np.searchsorted(windows, window), np.searchsorted(windows, window + 1), q[who]
+        given = table[next_] - table[row]
+        ahead = (np.cumsum(given, axis=1) - given)[np.arange(len(who)), own]  # where the queue's tokens begin in the window
+        begin = table[row, own]
+        a, b = np.maximum(low[who], begin), np.minimum(high[who], table[next_, own])
+        for s, k, x, y, offset in zip(*(v[b > a].tolist() for v in (who, window, a, b, ahead + a - begin)), strict=True):
+            doc, _, at, ids = batch[group[s][0]]
+            yield doc, x - at, y - x, len(ids) // 4, k, offset, ids[4 * (x - at) : 4 * (y - at)]
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 4096, targets: dict[str, float] | None = None) -> DataFrame:
@@ -111,33 +156,31 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, targets: dict[str, f
     all of them by default, keep their share of the corpus, so that no queue
     runs dry before the last window.
     """
-    spark = docs.sparkSession
-    if targets and len(targets) >= QUEUES:
-        raise ValueError(f"at most {QUEUES - 1} targets")
-    names = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).count()
-    top = [r["source"] for r in names.orderBy(F.desc("count"), "source").limit(QUEUES).collect()]
-    own = top if len(top) < QUEUES else top[: QUEUES // 2]
-    own = list(dict.fromkeys([*(targets or {}), *own]))[: QUEUES - 1]
-    encoded = stored(encode(docs, tokenizer, {s: i for i, s in enumerate(own)}, QUEUES - len(own)))
+    names = docs.groupBy(name_of().alias("source")).count()
+    top = [r["source"] for r in names.orderBy(F.desc("count"), "source").limit(size).collect()]
+    own = {s: i for i, s in enumerate(dict.fromkeys([*(targets or {}), *top]))}
+    encoded = stored(encode(docs, tokenizer, own))
     runs = encoded.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # kept as a table so that Spark knows its size: small, it is broadcast and the ids stay where they are
     runs = stored(runs.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier")))
-    sums = {r["queue"]: r["n"] for r in encoded.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # QUEUES rows at most
+    sums = {r["queue"]: r["n"] for r in encoded.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row for each queue
     live = sorted(sums)
     totals = np.asarray([sums[q] for q in live] or [1], np.int64)
     shares = totals / totals.sum()
     for source, share in (targets or {}).items():
-        if own.index(source) in sums:
-            shares[live.index(own.index(source))] = share
+        if own[source] in sums:
+            shares[live.index(own[source])] = share
     place = {q: i for i, q in enumerate(live)}
+    phases = np.asarray([zlib.crc32(b"%d" % q) % 997 + 1 for q in live] or [1]) / 998  # rare queues of one turn are spread
+    turns = Turns(totals, shares, phases, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 256):
                 rows = batch.slice(i, 256)
                 docs = [(d, place[q], at, ids) for d, q, at, ids in zip(*(c.to_pylist() for c in rows.columns), strict=True)]
-                columns = list(zip(*cut(docs, totals, shares, size), strict=True))
+                columns = list(zip(*cut(docs, turns), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 6 + [pa.binary()], strict=True)], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     placed = encoded.join(runs, ["queue", "part"]).select("doc_id", "queue", (F.col("first") + F.col("earlier")).alias("at"), "ids")
