@@ -5,19 +5,22 @@ a query; every test unit (an item, its question or its answer, or PIECE words
 of a longer one) that scores at least SHARE of its own full score retrieves its
 item, so question and answer may stand far apart. Units are indexed in blocks
 of BLOCK; each term keeps its largest impact in each block, so most passages
-drop all blocks by summed block maxima, and WAND pivots through the rest.
+drop a block by its summed maxima, and WAND pivots through the rest.
 Items are verified word by word against the whole document: by the share of
 the 5-word shingles of the question (all but the last sentence), of the answer
 (the last) and of the whole item that the document has. As an item has to pass
 both, the verification comes first (one look-up of the document's shingles)
-and only the blocks of items that pass are searched.
+and only the blocks of items that pass are searched, one after another, so that
+a task holds no more than a few numbers for each word of a document.
 
 An item is found when 0.8 of all its shingles are there, or 0.8 of the
 question's and of the answer's. An item of fewer than five words is found when
 all its words follow each other in the document; one without words never is.
 Null texts are empty. Rows with equal doc_ids are
 answered each, null doc_ids come back null, empty tables give no rows. The
-index is broadcast in blocks of at most INDEX_CHARS characters of items.
+index is broadcast in passes of at most INDEX_CHARS characters of items;
+frequencies and lengths are those of the whole benchmark, so scores and
+thresholds do not depend on the number of passes.
 """
 
 from __future__ import annotations
@@ -25,22 +28,21 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import stored, whole_text
 
 PASSAGE, PIECE, BLOCK, SHARE = 128, 64, 4, 0.6
 WORDS, OVERLAP = 5, 0.8
 #: Characters of test items that one broadcast index holds; a larger benchmark is searched in several passes.
 INDEX_CHARS = 64_000_000
-#: Block bounds (passages x blocks) that are summed at once.
-BOUNDS = 1 << 23
 K1, B = 1.2, 0.75
 WORD = re.compile(r"[^\W_]+")
 LAST_SENTENCE = re.compile(r"[.!?\n](?=\s*[^\s.!?\n])")
@@ -65,29 +67,56 @@ def parts(text: str) -> tuple[str, str]:
     return (text[: cuts[-1]], text[cuts[-1] :]) if cuts else (text, text)
 
 
+def words_of(text: str | None) -> tuple[list[str], list[list[str]]]:
+    """The words of an item, and those of its question and its answer; of a short item only the whole sequence is evidence."""
+    words = WORD.findall((text or "").lower())
+    return words, [WORD.findall(h) for h in parts((text or "").lower())] if len(words) >= WORDS else [words, words]
+
+
+def units_of(words: list, halves: list[list]) -> list[list]:
+    """What of an item is indexed: pieces of the whole and of both halves."""
+    return [own[i : i + PIECE] for own in (words, *(h for h in halves if 0 < len(h) < len(words))) for i in range(0, max(1, len(own) - PIECE // 2), PIECE) if len(own)]
+
+
+@dataclass
+class Statistics:
+    """Of all units of the benchmark: their number, their words, and how many have a term."""
+
+    units: int
+    words: int
+    having: dict[str, int]
+
+
+def statistics_of(texts: Iterable[str | None]) -> Statistics:
+    out = Statistics(0, 0, Counter())
+    for text in texts:
+        for unit in units_of(*words_of(text)):
+            out.units, out.words = out.units + 1, out.words + len(unit)
+            out.having.update(set(unit))
+    return out
+
+
 class Index:
-    """Postings with impacts, block maxima and the items' shingles."""
+    """Postings with impacts, block maxima and the items' shingles; known: the statistics of all items, by default of these."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], known: Statistics | None = None):
+        known = known or statistics_of(t for _, t in items)
         self.terms: dict[str, int] = {}
         self.held: dict[int, tuple | None] = {}  # postings of a term in a block, as they come to be used
         self.items, units, owner, wanted = [], [], [], defaultdict(list)
         for item, text in items:
-            words = WORD.findall((text or "").lower())
+            words, halves = words_of(text)
             if not words:
                 continue
             ids = np.asarray([self.terms.setdefault(w, len(self.terms)) for w in words], np.int32)
-            halves = [np.asarray([self.terms[w] for w in WORD.findall(h)], np.int32) for h in parts((text or "").lower())]
-            if len(ids) < WORDS:
-                halves = [ids, ids]  # only the whole sequence is evidence
+            halves = [np.asarray([self.terms[w] for w in h], np.int32) for h in halves]
             for kind, own in enumerate((ids, *halves)):
-                words = min(WORDS, max(len(own), 1))
-                wanted[words].append((3 * len(self.items) + kind, np.unique(shingles(own, words))))
+                n = min(WORDS, max(len(own), 1))
+                wanted[n].append((3 * len(self.items) + kind, np.unique(shingles(own, n))))
             self.items.append(item)
-            for own in (ids, *(h for h in halves if 0 < len(h) < len(ids))):
-                for i in range(0, max(1, len(own) - PIECE // 2), PIECE):
-                    units.append(own[i : i + PIECE])
-                    owner.append(len(self.items) - 1)
+            for own in units_of(ids, halves):
+                units.append(own)
+                owner.append(len(self.items) - 1)
         self.wanted = {words: self.looked_up(found) for words, found in wanted.items()}
         n = len(units)
         self.blocks = math.ceil(n / BLOCK)
@@ -95,9 +124,9 @@ class Index:
         tf = np.concatenate([np.unique(u, return_counts=True)[1] for u in units]) if n else np.zeros(0)
         u = np.repeat(np.arange(n), [len(np.unique(x)) for x in units]) if n else np.zeros(0, np.int64)
         size = np.asarray([len(x) for x in units], float)
-        df = np.bincount(t, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[u] / max(size.mean(), 1))) if n else np.zeros(0)
+        df = np.asarray([known.having[w] for w in self.terms], float)
+        idf = np.log1p((known.units - df + 0.5) / (df + 0.5))
+        impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[u] / max(known.words / max(known.units, 1), 1))) if n else np.zeros(0)
         # units of like thresholds share a block, so that the least of a block is close to all of its own
         least = SHARE * np.bincount(u, impact, n)
         rank = np.argsort(least, kind="stable")
@@ -108,12 +137,13 @@ class Index:
         t, u, impact = t[order], u[order], impact[order]
         self.first = np.searchsorted(t, np.arange(len(self.terms) + 1))
         self.unit, self.impact = u, impact
-        # block maxima, by term and block
-        key = t * max(self.blocks, 1) + u // BLOCK
+        # block maxima, by block and term
+        order = np.lexsort((t, u // BLOCK))
+        key = (u // BLOCK * max(len(self.terms), 1) + t)[order]
         at = np.nonzero(np.diff(key, prepend=-1))[0]
-        self.max_impact = np.maximum.reduceat(impact, at) if len(at) else np.zeros(0)
-        self.max_block = (key % max(self.blocks, 1))[at]
-        self.max_first = np.searchsorted(key[at] // max(self.blocks, 1), np.arange(len(self.terms) + 1))
+        self.max_impact = np.maximum.reduceat(impact[order], at) if len(at) else np.zeros(0)
+        self.max_term = (key % max(len(self.terms), 1))[at]
+        self.max_first = np.searchsorted(key[at] // max(len(self.terms), 1), np.arange(self.blocks + 1))
         self.block_least = np.full(self.blocks, np.inf)
         np.minimum.at(self.block_least, np.arange(n) // BLOCK, self.least)
         self.unit_of = np.argsort(self.owner, kind="stable")
@@ -152,24 +182,24 @@ class Index:
         words = WORD.findall(text.lower())
         return np.array(list(map(self.terms.get, words, itertools.repeat(-1))), np.int32)
 
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(passage, block) pairs whose summed block maxima reach the block's least threshold."""
-        half, terms = PASSAGE // 2, len(self.terms)
+    def passages(self, ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """The number of passages, and (passage, term) pairs: each known term once in each passage."""
+        half, terms = PASSAGE // 2, max(len(self.terms), 1)
         rows = max(1, math.ceil(len(ids) / half) - 1)
         at = np.nonzero(ids >= 0)[0]
         place = np.concatenate([at // half, at // half - 1])  # each half belongs to two passages
-        key = (place * terms + np.concatenate([ids[at], ids[at]]))[(place >= 0) & (place < rows)]
-        key = np.unique(key)
-        passage, t = key // terms, key % terms
-        out, step = [], max(1, BOUNDS // self.blocks)
-        for a in range(0, rows, step):
-            size = min(step, rows - a)
-            here = slice(*np.searchsorted(passage, (a, a + size)))
-            own, many = t[here], self.max_first[t[here] + 1] - self.max_first[t[here]]
-            place = np.repeat(self.max_first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            bound = np.bincount(np.repeat(passage[here] - a, many) * self.blocks + self.max_block[place], self.max_impact[place], size * self.blocks).reshape(size, self.blocks)
-            out += [(a + x, y) for x, y in np.argwhere(bound >= self.block_least - 1e-9).tolist()]
-        return out
+        key = np.unique((place * terms + np.concatenate([ids[at], ids[at]]))[(place >= 0) & (place < rows)])
+        return rows, key // terms, key % terms
+
+    def candidates(self, ids: np.ndarray, blocks: Iterable[int]) -> Iterator[tuple[int, int]]:
+        """(passage, block) pairs whose summed block maxima reach the block's least threshold."""
+        rows, passage, term = self.passages(ids)
+        for block in blocks:
+            known = slice(self.max_first[block], self.max_first[block + 1])
+            at = np.minimum(np.searchsorted(self.max_term[known], term), known.stop - known.start - 1)
+            has = self.max_term[known][at] == term
+            bound = np.bincount(passage[has], self.max_impact[known][at[has]], rows)
+            yield from ((p, block) for p in np.nonzero(bound >= self.block_least[block] - 1e-9)[0].tolist())
 
     def wand(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
         """(unit, score) of the block's units at their threshold or above, for a set of terms."""
@@ -215,26 +245,41 @@ class Index:
         passed = self.verified(ids)
         if not passed:
             return []
-        blocks = set((np.concatenate([self.unit_of[self.unit_first[i] : self.unit_first[i + 1]] for i in passed]) // BLOCK).tolist())
+        blocks = np.unique(np.concatenate([self.unit_of[self.unit_first[i] : self.unit_first[i + 1]] for i in passed]) // BLOCK).tolist()
         best: dict[int, float] = defaultdict(float)
-        for passage, block in self.candidates(ids):
-            if block in blocks:
-                own = ids[passage * (PASSAGE // 2) : passage * (PASSAGE // 2) + PASSAGE]
-                for unit, score in self.wand(np.unique(own[own >= 0]), block):
-                    item = int(self.owner[unit])
-                    best[item] = max(best[item], score)
+        for passage, block in self.candidates(ids, blocks):
+            own = ids[passage * (PASSAGE // 2) : passage * (PASSAGE // 2) + PASSAGE]
+            for unit, score in self.wand(np.unique(own[own >= 0]), block):
+                item = int(self.owner[unit])
+                best[item] = max(best[item], score)
         return [(self.items[i], score, *passed[i]) for i, score in sorted(best.items()) if i in passed]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def statistics(items: DataFrame) -> DataFrame:
+    """term, units: how many units have a term; the empty term has the number of units, the null one their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = statistics_of(x.as_py() for x in batch.column(0))
+            terms, counts = [*found.having, "", None], [*found.having.values(), found.units, found.words]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["term", "units"])
+
+    return items.select("text").mapInArrow(run, "term string, units long").groupBy("term").agg(F.sum("units").alias("units"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, index_chars: int = INDEX_CHARS) -> DataFrame:
     """FOUND rows: the test items found in each document."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes, found = max(1, math.ceil(chars / INDEX_CHARS)), None
+    passes, found = max(1, math.ceil(chars / index_chars)), None
+    known = stored(statistics(items))
+    sums = {r["term"]: r["units"] for r in known.where("term is null or term = ''").collect()}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"))
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).toArrow().to_pylist()
-        index = docs.sparkSession.sparkContext.broadcast(Index(sorted(((r["item_id"], r["text"]) for r in part), key=lambda r: (r[0] is None, r))))
+        terms = known if passes == 1 else known.join(statistics(docs.sparkSession.createDataFrame(part, items.schema)).select("term"), "term", "left_semi")
+        having = {r["term"]: r["units"] for r in terms.where("term <> ''").toLocalIterator()}  # the terms of at most index_chars characters
+        index = docs.sparkSession.sparkContext.broadcast(Index(sorted(((r["item_id"], r["text"]) for r in part), key=lambda r: (r[0] is None, r)), Statistics(sums.get("", 0), sums.get(None, 0), having)))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

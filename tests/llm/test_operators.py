@@ -504,12 +504,30 @@ def test_decontamination_of_distant_halves_and_short_items(spark):
     assert table(found, "doc_id", "item_id") == [(10, 1), (11, 1), (13, 2), (15, 3), (17, 4)]
 
 
-def test_bounds_in_slices(rows, monkeypatch):
+def test_decontamination_in_passes(spark, rows):
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet' ORDER BY 1").fetchall() + [(901, ""), (902, "two words"), (903, "!")]
+    texts = [(r[0], r[1]) for r in rows] + [(2000, "start " + items[0][1].upper() + " end"), (2001, items[5][1] + " two words " + items[1][1])]
+    frame, benchmark = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    key = ("doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap")
+    rounded = lambda found: [tuple(x if x is None else round(x, 9) for x in r) for r in table(found, *key)]
+    want = rounded(decontaminate.leaks(frame, benchmark))
+    assert rounded(decontaminate.leaks(frame, benchmark, sum(len(t) for _, t in items) // 3)) == want and len(want) > 3
+
+
+def test_block_bounds(rows):
     index = decontaminate.Index(duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet' ORDER BY 1").fetchall())
     ids = index.doc_ids(" ".join(r[1] or "" for r in rows[:40]))
-    want = index.candidates(ids)
-    monkeypatch.setattr(decontaminate, "BOUNDS", 3 * index.blocks)
-    assert index.candidates(ids) == want and len(want) > 0
+    want, half = set(), decontaminate.PASSAGE // 2
+    for p in range(max(1, -(-len(ids) // half) - 1)):
+        for b in range(index.blocks):
+            units = range(decontaminate.BLOCK * b, decontaminate.BLOCK * (b + 1))
+            bound = 0.0
+            for t in set(ids[p * half : p * half + 2 * half].tolist()) - {-1}:
+                own = slice(index.first[t], index.first[t + 1])
+                bound += max((i for u, i in zip(index.unit[own], index.impact[own], strict=True) if u in units), default=0.0)
+            if bound >= index.block_least[b] - 1e-9:
+                want.add((p, b))
+    assert set(index.candidates(ids, range(index.blocks))) == want and len(want) > 0
 
 
 def test_wand_equals_scoring_all(rows):
