@@ -16,9 +16,11 @@ NO_ID = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (in tests only) a local one."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where the session is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -58,12 +60,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 class TokenBytes(dict):
     """Word -> its token ids as little-endian uint32 bytes, filled on first use.
 
-    Valid for tokenizers that drop white space, lower-case, and part letters
-    from punctuation, so that a text's ids are those of its words and of the
-    single marks behind them, in order. Long words and words past the size
-    limit are encoded each time and not kept.
+    Words are used for tokenizers that drop white space, lower-case, and part
+    letters from punctuation, so that a text's ids are those of its words and of
+    the single marks behind them, in order; PROBES tell at the start whether a
+    tokenizer is one of them, and any other one encodes whole texts. Long words
+    and words past the size limit are encoded each time and not kept.
     """
 
+    PROBES = (
+        "It's a,b. c.. Don't", " two  spaces, at both ends  ", "line\nbreaks,\n\nand\ttabs.\r\nend.", "ABC DeF É é ß ÀÇ. ñandú,", "12 3.5 x1 1,000 a-b (c) \"d\"",
+        "a <|endoftext|> b <|END|>", "ǅ İ ſ ς Σ 安全 😀", "hello", " hello", "hello ", "", " ", "the the, The. THE", "x" * 50 + " " + "é" * 50, "\x0b\x1c\xa0 z",
+    )
+
     def __init__(self, path: str, keep: int = 600_000, longest: int = 40):
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -75,25 +83,32 @@ class TokenBytes(dict):
         self.byte_level = {c: shown.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}
         # a lower-case word of Latin letters is one piece for the model, unless this tokenizer parts words otherwise
         self.one_piece = all(self.direct(w) == self.encode(w) for w in ("a", "thorn", "queue", "élève", "straße", "ñandú", "zzxqy"))
+        self.by_word = True
+        self.by_word = all(self.of(x) == self.whole(x) for x in self.PROBES)
 
     def encode(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
+    def whole(self, text: str) -> bytes:
+        return array("I", self.encode(text)).tobytes()
+
     def direct(self, word: str) -> list[int]:
         """The same by the model alone, without the steps that find and trim words."""
         return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.byte_level))]
 
     def __missing__(self, word: str) -> bytes:
         plain = self.one_piece and word.isalpha() and word.islower() and latin(word)
-        out = array("I", self.direct(word) if plain else self.encode(word)).tobytes()
+        out = array("I", self.direct(word)).tobytes() if plain else self.whole(word)
         if len(word) <= self.longest and len(self) < self.keep:
             self[word] = out
         return out
 
     def of(self, text: str) -> bytes:
         """The ids of a whole text. Only white space on which all tokenizers agree splits it."""
+        if not self.by_word:
+            return self.whole(text)
         # lower-case here only where every library agrees; the tokenizer finds its special strings ("<|...|>") before it lower-cases
-        if len(text) <= 1_000_000 and "<|" not in text and latin(text):
+        if "<|" not in text and latin(text):
             text = self.mark.sub(r" \g<0>", text.lower())
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 

@@ -403,6 +403,19 @@ def test_token_bytes_equals_the_tokenizer(rows):
     assert [np.frombuffer(memo.of(t), "<u4").tolist() for t in texts] == encoded(texts)
 
 
+def test_token_bytes_of_other_tokenizers_and_very_long_texts(rows):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    texts = [r[1] or "" for r in rows[:60]] + [" a  b", "A\n\nB", ""]
+    memo, other = token_bytes(public.path("byte_bpe_50k.json")), Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    assert not memo.by_word and [np.frombuffer(memo.of(t), "<u4").tolist() for t in texts] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+    word = token_bytes(word_tokenizer_path())
+    long = " ".join(texts)
+    long = (long + " ") * (1_200_000 // len(long) + 1)
+    assert word.by_word and np.frombuffer(word.of(long), "<u4").tolist() == encoded([long])[0]
+
+
 @pytest.mark.parametrize("text", ["a <|ENDOFTEXT|> b", "a <|EndOfText|> b <|endoftext|> C.", "<|STARTOFTEXT|>x", "<| It's <|endofTEXT|>."])
 def test_token_bytes_of_special_spellings(text):
     assert np.frombuffer(token_bytes(word_tokenizer_path()).of(text), "<u4").tolist() == encoded([text])[0]
