@@ -7,9 +7,10 @@ point), all else to a break. Kernel values against LANDMARKS texts, whitened,
 are the features of one ridge regression for each language; texts are scored
 in batches by matrix products.
 
-The model is fitted on at most about SAMPLE labelled rows, shared evenly by
-the languages and drawn by a hash of doc_id; text and lang of these rows are
-all that it sees, and a prediction sees text alone. Null texts and texts
+The model is fitted on at most about SAMPLE labelled rows (or one for each
+language, if there are more languages), shared evenly by the languages and
+drawn by a hash of doc_id; text and lang of these rows are
+all that it sees, and a prediction sees text alone. Every language is learned. Null texts and texts
 without a letter get ``und`` and score 0; so do all when no row has a label.
 Null and repeated ids are each answered; no documents give no rows.
 """
@@ -25,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows to fit on at most, languages learned at most (the most frequent), landmark texts, ridge.
-SAMPLE, LANGUAGES, LANDMARKS, RIDGE = 1_600, 400, 160, 1e-2
+from .common import stored
+
+#: Labelled rows to fit on at most, landmark texts, ridge.
+SAMPLE, LANDMARKS, RIDGE = 1_600, 160, 1e-2
 CLASSES = 64
 #: Where the codes of the 1-, 2- and 3-grams begin, and their number.
 STARTS = (0, CLASSES, CLASSES + CLASSES**2, CLASSES + CLASSES**2 + CLASSES**3)
@@ -106,34 +109,38 @@ def fit(languages: list[str], sets: list[np.ndarray], landmarks: int = LANDMARKS
         rank[label == k] = np.arange((label == k).sum())
     chosen = np.lexsort((label, rank))[:landmarks]  # evenly from all languages
     vocabulary = np.unique(np.concatenate([sets[i] for i in chosen]))
-    have = np.zeros((len(sets), len(vocabulary)), np.float32)
-    norms = np.zeros((len(sets), 3))
     order = np.searchsorted(vocabulary, STARTS)
-    for i, codes in enumerate(sets):
-        at = np.searchsorted(vocabulary, codes)
-        have[i, at[(at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == codes)]] = 1
-        norms[i] = np.sqrt(np.diff(np.searchsorted(codes, STARTS)))
-    scaled = have.copy()
-    for n in range(3):
-        scaled[:, order[n] : order[n + 1]] /= np.maximum(norms[:, n : n + 1], 1)
-    kernel = (scaled @ scaled[chosen].T).astype(float) / 3
+
+    def presence(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Which codes of the vocabulary each text has, and the roots of each text's own counts."""
+        have, norms = np.zeros((len(codes), len(vocabulary)), np.float32), np.zeros((len(codes), 3))
+        for i, own in enumerate(codes):
+            at = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
+            have[i, at[vocabulary[at] == own]] = 1
+            norms[i] = np.sqrt(np.diff(np.searchsorted(own, STARTS)))
+        return have, norms
+
+    def scaled(have: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        return np.concatenate([have[:, order[n] : order[n + 1]] / np.maximum(norms[:, n : n + 1], 1) for n in range(3)], axis=1)
+
+    marks, norms = presence([sets[i] for i in chosen])
+    across = scaled(marks, norms).T
+    kernel = np.concatenate([scaled(*presence(sets[i : i + 128])) @ across for i in range(0, len(sets), 128)]).astype(float) / 3
     value, vector = np.linalg.eigh(kernel[chosen] + 1e-6 * np.eye(len(chosen)))
     white = vector / np.sqrt(np.maximum(value, 1e-6))
     phi = kernel @ white
     target = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
     beta = np.linalg.solve(phi.T @ phi + ridge * len(sets) / 100 * np.eye(len(chosen)), phi.T @ target)
-    return Model(names, vocabulary, np.packbits(have[chosen].astype(bool), axis=1), norms[chosen], white @ beta)
+    return Model(names, vocabulary, np.packbits(marks.astype(bool), axis=1), norms, white @ beta)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on labelled rows that are not held out."""
     rows = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return fit([], [])
-    share = max(1, sample // len(counts))
-    limits = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(1_000_000 * min(1.0, share / n)))))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(limits, F.col("lang")))
+    counts = stored(rows.groupBy("lang").count())  # Spark broadcasts it while it is small
+    share = max(1, sample // max(counts.count(), 1))
+    limits = counts.select("lang", F.ceil(F.least(F.lit(1.0), F.lit(share) / F.col("count")) * 1_000_000).alias("limit"))
+    drawn = rows.select("doc_id", "lang", "text").join(limits, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("limit"))
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,10 +42,10 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
-    """(first, last, distinct words) of each sentence that has words; places in the lower-cased text."""
+    """(first, last, distinct lower-case words) of each sentence that has words; places in the text as it is."""
     first, last, words = -1, 0, []
     for m in SENTENCE.finditer(text):
-        found = WORD.findall(m[0])
+        found = WORD.findall(m[0].lower())
         if found:
             first, last = (m.start() if first < 0 else first), m.end()
             words += found
@@ -68,7 +68,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 250, rate: float = 0
     words, ends, bags = [], [], []
     for text in texts:
         bags.append(len(ends))
-        for _, _, found in sentences(text.lower()):
+        for _, _, found in sentences(text):
             ends.append(len(words))
             words += [known.setdefault(w, len(known)) for w in sorted(found)]
     if not words or not 0 < labels.sum() < len(labels):
@@ -126,7 +126,7 @@ class Scorer(dict):
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """(first, last, probability) of each sentence."""
         out, get = [], self.__getitem__
-        for first, last, words in sentences(text.lower()):
+        for first, last, words in sentences(text):
             z = self.bias + sum(map(get, words))
             out.append((first, last, 1 / (1 + math.exp(-min(z, 30))) if z > -30 else 0.0))
         return out

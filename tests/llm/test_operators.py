@@ -277,6 +277,118 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.score(nothing, (-5.0, {})).count() == 0
 
 
+def folded(text):
+    """The letters' classes of a text, one break for all that lies between."""
+    code = lambda c: (ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 37) if c.isalpha() else 0
+    out = [0]
+    for c in map(code, text.lower()):
+        out += [c] if c or out[-1] else []
+    return out + ([0] if out[-1] or len(out) == 1 else [0])
+
+
+def presence_kernel(a, b):
+    total = 0.0
+    for n in (1, 2, 3):
+        x, y = ({tuple(t[i : i + n]) for i in range(len(t) - n + 1)} for t in (a, b))
+        total += len(x & y) / max(1, np.sqrt(len(x))) / max(1, np.sqrt(len(y))) / 3
+    return total
+
+
+def test_language_equals_a_naive_kernel_ridge(rows):
+    texts = [(r[2], r[1][:600]) for r in rows[:48] if r[2]]
+    sets = [np.unique(langid.grams(t)) for _, t in texts]
+    model = langid.fit([k for k, _ in texts], sets, landmarks=12)
+    names = sorted({k for k, _ in texts})
+    turn = {k: [i for i, (x, _) in enumerate(texts) if x == k] for k in names}
+    marks = [turn[k][j] for j in range(len(texts)) for k in names if j < len(turn[k])][:12]
+    forms = [folded(t) for _, t in texts]
+    k_mm = np.asarray([[presence_kernel(forms[i], forms[j]) for j in marks] for i in marks])
+    k_nm = np.asarray([[presence_kernel(f, forms[j]) for j in marks] for f in forms])
+    value, vector = np.linalg.eigh(k_mm + 1e-6 * np.eye(len(marks)))
+    white = vector @ np.diag(1 / np.sqrt(value))
+    phi, target = k_nm @ white, np.asarray([[1.0 if k == n else -1.0 for n in names] for k, _ in texts])
+    beta = np.linalg.solve(phi.T @ phi + langid.RIDGE * len(texts) / 100 * np.eye(len(marks)), phi.T @ target)
+    for text in [rows[50][1], rows[60][1][:80], "é", "abc " + rows[3][1][:200]]:
+        values = np.asarray([presence_kernel(folded(text), forms[j]) for j in marks]) @ white @ beta
+        name, score = model.scorer()([text])[0]
+        assert name == names[values.argmax()] and abs(score - np.clip((1 + values.max()) / 2, 0, 1)) < 1e-3
+
+
+def test_language_learns_all_labels(spark):
+    rng = random.Random(3)
+    alphabets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 5)) for _ in range(60)]
+    made = [(i, " ".join("".join(rng.choices(alphabets[i % 60], k=6)) for _ in range(40)), f"l{i % 60:02d}") for i in range(1200)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string").withColumn("count", F.lit("clash")).withColumn("limit", F.lit("clash"))
+    model = langid.train(frame, sample=50)
+    assert model.languages == sorted({m[2] for m in made if not held(m[0])} & set(model.languages)) and len(model.languages) >= 30
+    assert len(langid.train(frame, sample=10**6).languages) == 60
+
+
+def naive_sentences(text):
+    out, words, first = [], [], None
+    for m in re.finditer(r"[^.!?\n]+", text):
+        found = re.findall(r"[^\W_]+", m[0].lower())
+        if found:
+            first, last, words = (m.start() if first is None else first), m.end(), words + found
+            if len(words) >= toxicity.SHORT:
+                out.append((first, last, set(words)))
+                first, words = None, []
+    return out + ([(first, last, set(words))] if words else [])
+
+
+def naive_features(word):
+    return [zlib.crc32(m.encode()) for m in ["=" + word] + ["^" + word[:n] for n in (3, 4, 5, 6) if len(word) >= n]]
+
+
+def test_toxicity_equals_a_naive_noisy_or(spark, rows, docs):
+    rng = random.Random(4)
+    texts = [r[1][:400] + (" you zonk. " if i % 3 == 0 else "") for i, r in enumerate(rows[:60])]
+    labels = np.asarray([float(i % 3 == 0) for i in range(60)])
+    bias, weight = toxicity.fit(texts, labels, rounds=5)
+    bags = [[w for _, _, w in naive_sentences(t)] for t in texts]
+    of = {f: {i for i, b in enumerate(bags) for s in b for w in s if f in naive_features(w)} for f in {f for b in bags for s in b for w in s for f in naive_features(w)}}
+    theta, squares, b0, b2 = dict.fromkeys((f for f in of if len(of[f]) >= toxicity.COMMON), 0.0), dict.fromkeys(of, 1.0), -7.0, 1.0
+    for _ in range(5):
+        g, gb = dict.fromkeys(theta, 0.0), 0.0
+        for y, bag in zip(labels, bags, strict=True):
+            z = [b0 + sum(theta.get(f, 0.0) for w in s for f in naive_features(w)) for s in bag]
+            stay = np.prod([1 / (1 + np.exp(v)) for v in z])
+            share = len(labels) / 2 / (labels.sum() if y else len(labels) - labels.sum())
+            for s, v in zip(bag, z, strict=True):
+                slope = share / (1 + np.exp(-v)) * (-stay / (1 - stay) if y else 1.0)
+                gb += slope
+                for w in s:
+                    for f in naive_features(w):
+                        if f in g:
+                            g[f] += slope
+        for f in theta:
+            squares[f] += g[f] ** 2
+            step = 0.3 / np.sqrt(squares[f])
+            v = theta[f] - step * g[f]
+            theta[f] = np.sign(v) * max(abs(v) - step * 0.6, 0.0)
+        b2 += gb * gb
+        b0 -= 0.3 * gb / np.sqrt(b2)
+    want = {f: v for f, v in theta.items() if abs(v) > 1e-4}
+    assert abs(bias - b0) < 1e-6 and set(weight) == set(want) and all(abs(weight[f] - v) < 1e-6 for f, v in want.items()) and want
+    model = (-3.0, {f: rng.uniform(-2, 2) for f in of})
+    for r in toxicity.score(docs, model).collect():
+        text = {d["doc_id"]: d["text"] for d in docs.where(F.col("doc_id") == r["doc_id"]).collect()}.get(r["doc_id"]) if r["doc_id"] in (1000, 1001, 1005, 1008, 1009, 3, 7) else False
+        if text is not False:
+            p = [1 / (1 + np.exp(-min(30, model[0] + sum(model[1].get(f, 0.0) for w in s for f in naive_features(w))))) for _, _, s in naive_sentences(text or "")]
+            assert abs(r["score"] - (1 - np.prod([1 - min(x, 1 - 1e-12) for x in p]))) < 1e-9 and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_toxicity_places_and_odd_labels(spark):
+    text = "İİİİİİ. a b c d e f g h. you zonk and all the rest now. fine"
+    got = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), (-5.0, {zlib.crc32(b"=zonk"): 12.0})).first()
+    assert [text[s["first"] : s["last"]] for s in got["offending"]] == [" you zonk and all the rest now"]
+    texts = [(i, f"some words and more {'zonk' if i % 2 else 'of'} in line {i % 5}") for i in range(200)]
+    labels = [(i, t, "clash") for i, _ in texts for t in ((1, 0) if i % 2 else (0, None, 7))]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumn("toxic", F.lit("clash"))
+    model = toxicity.train(frame, spark.createDataFrame(labels, "doc_id long, toxic int, text string"))
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in toxicity.score(frame, model).collect())
+
+
 # 5. Token counts, 9. packing
 
 
