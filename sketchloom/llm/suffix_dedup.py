@@ -127,13 +127,13 @@ def sorted_places(found: list[tuple[np.ndarray, ...]], crowd: int) -> pa.RecordB
     """PLACES of some texts: copies repeat, the crowd of a core is open, the rest is asked."""
     core, around, doc, first, many = (np.concatenate(c) for c in zip(*found, strict=True))
     order = np.lexsort((first, doc, around, core))
-    core, around, doc, first, many = core[order], around[order], doc[order], first[order], many[order]
     fresh, new = np.ones(len(core), bool), np.ones(len(core), bool)
-    fresh[1:] = core[1:] != core[:-1]
-    new[1:] = fresh[1:] | (around[1:] != around[:-1])
+    fresh[1:] = core[order][1:] != core[order][:-1]
+    new[1:] = fresh[1:] | (around[order][1:] != around[order][:-1])
     nth = np.cumsum(new)
     nth -= np.maximum.accumulate(np.where(fresh, nth, 0))  # distinct surroundings of the core before this one
-    state = np.where(~new, REPEATS, np.where(nth >= crowd, OPEN, ASKED))
+    state = np.empty(len(core), np.int32)  # rows go on in the order of the texts, in which they compress best
+    state[order] = np.where(~new, REPEATS, np.where(nth >= crowd, OPEN, ASKED))
     return sent(PLACES, state, spread(state, core, doc, first), around.view(np.int64), doc, first, many)
 
 
@@ -176,7 +176,7 @@ def sorted_windows(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBat
     order = np.lexsort((at, doc, b, a))
     new = np.ones(len(a), bool)
     new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    asked, again = order[new], np.sort(order[~new])
+    asked, again = np.sort(order[new]), np.sort(order[~new])
     yield sent(PAIRS, np.full(len(asked), ASKED), a[asked].view(np.int64), b[asked].view(np.int64), doc[asked], at[asked], np.ones(len(asked), np.int32))
     if len(again):
         doc, at, name = doc[again], at[again], a[again]
