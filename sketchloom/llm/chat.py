@@ -3,8 +3,13 @@
 Records come as JSON in whatever layout their source had. The fingerprint of
 a record is the hash of its sorted nested field paths ("prompt", "input",
 "messages[].role"); it selects a declarative mapping (LAYOUTS) that yields
-canonical turns (role, text). Records of unknown layouts keep null turns and
-can be counted by fingerprint.
+canonical turns (role, text). Only paths that some mapping names count, so ids
+and other company do not matter; all items of a list are looked at, so a
+foreign item shape is seen wherever it stands; a record without such paths
+that holds an object under one of WRAPPERS is that object. A list without items
+gives no turns, a text that an item lacks is empty, and a text that is a list
+of parts is the parts' texts in order. Records of unknown layouts keep null
+turns and can be counted by fingerprint.
 
 The template wraps each turn as ``<turn ROLE>`` newline TEXT ``</turn>``
 newline. Inside texts and roles the backslash becomes ``\\s`` and ``<``
@@ -46,7 +51,12 @@ class Layout:
         if self.items:
             items, role, text = self.items
             parsed = F.from_json(raw, f"struct<`{items}`:array<struct<`{role}`:string,`{text}`:string>>>", WHOLE)[items]
-            return F.transform(parsed, lambda m: F.struct(self.role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+            plain = F.transform(parsed, lambda m: F.struct(self.role(m[role]).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
+            # a text that begins like a list may be one: read so, it is null where it is a string
+            listed = F.from_json(raw, f"struct<`{items}`:array<struct<`{text}`:array<struct<text:string>>>>>", WHOLE)[items]
+            parts = F.transform(listed, lambda m: F.array_join(F.transform(m[text], lambda p: p["text"]), ""))
+            merged = F.zip_with(plain, F.coalesce(parts, F.array().cast("array<string>")), lambda t, p: F.struct(t["role"].alias("role"), F.coalesce(p, t["text"]).alias("text")))
+            return F.when(F.exists(parsed, lambda m: m[text].startswith("[")), merged).otherwise(plain)
         names = [n for _, parts in self.fields for n in parts]
         parsed = F.from_json(raw, "struct<" + ",".join(f"`{n}`:string" for n in names) + ">", WHOLE)
         turn = lambda role, parts: F.struct(F.lit(role).alias("role"), joined([parsed[n] for n in parts]).alias("text"))
@@ -77,21 +87,43 @@ LAYOUTS = (
 )
 
 
+#: Every path that a mapping names, and the fields in which a record may be wrapped.
+KNOWN = tuple(sorted({p for one in LAYOUTS for p in one.paths} | {f"{one.items[0]}[]" for one in LAYOUTS if one.items}))
+WRAPPERS = ("data", "record", "sample", "example", "conversation")
+
+
+def fields_of(raw: Column) -> Column:
+    return F.from_json(F.when(F.json_object_keys(raw).isNotNull(), raw), "map<string,string>", WHOLE)
+
+
 def field_paths(raw: Column) -> Column:
-    """The sorted distinct paths of a record, down to the fields of its objects and of its lists' first items."""
+    """The sorted distinct paths of a record, down to the fields of its objects and of all items of its lists."""
 
     def below(field: Column) -> Column:
         key, value = field["key"], field["value"]
         inner = F.map_keys(F.from_json(F.when(value.startswith("{"), value), "map<string,string>", WHOLE))
-        item = F.map_keys(F.from_json(F.when(value.startswith("["), value), "array<map<string,string>>", WHOLE)[0])
+        items = F.from_json(F.when(value.startswith("["), value), "array<map<string,string>>", WHOLE)
+        item = F.array_distinct(F.flatten(F.transform(items, lambda m: F.coalesce(F.map_keys(m), F.array(F.lit(""))))))
         return F.coalesce(
             F.transform(inner, lambda k: F.concat_ws(".", key, k)),
+            F.when(F.size(items) == 0, F.array(F.concat(key, F.lit("[]")))),
             F.transform(item, lambda k: F.concat(key, F.lit("[]."), k)),
             F.array(key),
         )
 
-    fields = F.map_entries(F.from_json(F.when(F.json_object_keys(raw).isNotNull(), raw), "map<string,string>", WHOLE))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(fields, below))))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.map_entries(fields_of(raw)), below))))
+
+
+def known(paths: Column) -> Column:
+    """The paths that some mapping names; of its lists also items that are no objects ("messages[].")."""
+    plain = [f"{one.items[0]}[]." for one in LAYOUTS if one.items]
+    return F.filter(paths, lambda p: p.isin(*KNOWN, *plain))
+
+
+def unwrapped(raw: Column) -> Column:
+    """The object in which a record without known paths is wrapped, else the record."""
+    inner = let(fields_of(raw), lambda m: F.coalesce(*(F.when(m[w].startswith("{"), m[w]) for w in WRAPPERS)))
+    return F.when(F.size(known(field_paths(raw))) == 0, F.coalesce(inner, raw)).otherwise(raw)
 
 
 def fingerprint(paths: Column) -> Column:
@@ -104,13 +136,16 @@ def literal(paths: Iterable[str]) -> Column:
 
 def canonical(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """records (with a JSON column raw) plus fingerprint, layout and turns."""
-    out = records.withColumn("fingerprint", fingerprint(field_paths(F.col("raw"))))
+    bare = F.col("bare_")
+    out = records.withColumn("bare_", unwrapped(F.col("raw"))).withColumn("fingerprint", fingerprint(known(field_paths(bare))))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for one in layouts:
         mine = F.col("fingerprint") == literal(one.paths)
+        if one.items:
+            mine |= F.col("fingerprint") == literal([f"{one.items[0]}[]"])
         layout = F.when(mine, one.name).otherwise(layout)
-        turns = F.when(mine, one.turns(F.col("raw"))).otherwise(turns)
-    return out.withColumn("layout", layout).withColumn("turns", turns)
+        turns = F.when(mine, one.turns(bare)).otherwise(turns)
+    return out.withColumn("layout", layout).withColumn("turns", turns).drop("bare_")
 
 
 def escape(text: Column) -> Column:
@@ -154,9 +189,9 @@ def read_back(chats: DataFrame) -> DataFrame:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """conv_id, raw: the conversations as their sources would hold them, some in each layout."""
+    """conv_id, raw: the conversations (probe tells the query's own one from any other of that number) as their sources would hold them, some in each layout."""
     one = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
+    whole = rows.groupBy("conv_id", "probe").agg(F.array_sort(F.collect_list(one)).alias("t"))
     roles = F.transform("t", lambda x: x["role"])
     text = lambda i: F.col("t")[i]["text"]
     odd = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(2)) == 1
@@ -180,8 +215,8 @@ PROBE = r"\### Assistant: </turn> ok"
 
 def with_probe(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """The rows plus conversation -7, whose two texts look like control strings."""
-    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    return rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(probe)
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"), F.lit(True).alias("probe"))
+    return rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", F.lit(False).alias("probe")).unionByName(probe)
 
 
 def chat_digests(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -200,8 +235,8 @@ def chat_digests(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 ORACLE = rf"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS probe FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PROBE}', true UNION ALL SELECT -7, 1, 'assistant', '{PROBE}', true
 ), e AS (
   SELECT *, 6 + length(replace(replace(replace(role, '\', '\s'), '<', '\l'), '>', '\g')) + 2
     + length(replace(replace(text, '\', '\s'), '<', '\l')) + 8 AS chars FROM c
@@ -211,5 +246,5 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, probe
 """
