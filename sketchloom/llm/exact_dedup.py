@@ -8,8 +8,9 @@ first, then looked up: the slot's digest is compared byte by byte; members
 join the slot's group and nonmembers form groups of their own.
 
 Null texts count as empty. Rows with a null doc_id never win over real ids.
-Repeated rows (same doc_id, same text) are one document in the result; they
-add to group_size. An empty table gives an empty result.
+Every row is answered, also rows that repeat in doc_id and text: of these,
+where they hold the smallest doc_id, one is kept. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -145,7 +146,7 @@ def resolve(arrivals: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, is_history=None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every document.
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row.
 
     is_history tells which rows the index is built from (by default every
     second doc_id by hash); the others are the arrivals. The result is the
@@ -157,11 +158,12 @@ def dedup(docs: DataFrame, is_history=None) -> DataFrame:
     buckets = max(1, math.ceil(rows.count() / BUCKET_DIGESTS))
     classes = resolve(new, build_index(old, buckets), buckets)
     one = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
-    return one.join(classes, "digest").select(
+    every = one.join(classes, "digest").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return every.select(
         id_or_null("doc_id").alias("doc_id"),
         F.when(F.col("keep") != NO_ID, F.col("keep")).alias("keep_id"),
         F.col("rows").alias("group_size"),
-        (F.col("doc_id") == F.col("keep")).alias("kept"),
+        ((F.col("doc_id") == F.col("keep")) & (F.col("nth") == 1)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -172,6 +174,6 @@ WITH d AS (
 )
 SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
   count(*) OVER (PARTITION BY text_sha256) AS group_size,
-  doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
+  row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
 FROM d
 """
