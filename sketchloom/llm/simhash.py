@@ -29,8 +29,8 @@ from .components import components
 
 SEED = 42
 RADIUS = 3
-#: Fingerprints of one tile that are compared as one block.
-BLOCK = 2048
+#: Fingerprints of one tile that travel as one block: what is shuffled falls as blocks grow, what is compared stays.
+BLOCK = 32_768
 LANES = np.uint64(0x0101010101010101)
 SPACE = bytes(range(9, 14))
 
@@ -99,16 +99,17 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def linked(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within the radius, in bounded memory."""
+    """All pairs within the radius, compared by tiles in bounded memory."""
     a, b = [left[:0]], [right[:0]]
     for i in range(0, len(left), 256):
-        rows, columns = np.nonzero(np.bitwise_count(left[i : i + 256, None] ^ right[None, :]) <= radius)
-        if len(rows) > len(left) + len(right):
-            x, y = forest(left[i + rows], right[columns])
-        else:
-            x, y = left[i + rows], right[columns]
-        a.append(x)
-        b.append(y)
+        for j in range(0, len(right), 4096):
+            one, other = left[i : i + 256], right[j : j + 4096]
+            x, y = np.nonzero(np.bitwise_count(one[:, None] ^ other[None, :]) <= radius)
+            x, y = one[x], other[y]
+            if len(x) > len(one) + len(other):
+                x, y = forest(x, y)
+            a.append(x)
+            b.append(y)
     return np.concatenate(a), np.concatenate(b)
 
 

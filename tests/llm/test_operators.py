@@ -149,22 +149,30 @@ def test_boosting_in_sql_equals_numpy(spark):
 
 
 def test_exact_dedup(docs, nothing):
-    groups, many = {}, {}
+    groups = {}
     for r in docs.collect():
         key = re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "")
         groups.setdefault(key, []).append(r["doc_id"])
-        many[r["doc_id"], key] = many.get((r["doc_id"], key), 0) + 1
     want = []
-    for doc, key in many:
-        ids = [i for i in groups[key] if i is not None]
-        keep = min(ids, default=None)
-        want.append((doc, keep, len(groups[key]), doc == keep, hashlib.sha256(key.encode()).hexdigest()))
+    for key, ids in groups.items():
+        ids.sort(key=lambda i: (i is None, i))
+        keep = ids[0]
+        want += [(doc, keep, len(ids), n == 0, hashlib.sha256(key.encode()).hexdigest()) for n, doc in enumerate(ids)]
     for history in (None, F.lit(True), F.lit(False)):
         got = exact_dedup.dedup(docs, history)
         assert table(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=repr)
     assert exact_dedup.dedup(nothing).count() == 0
 
 
+def test_exact_dedup_of_repeated_rows(spark, tmp_path):
+    rows = [(2, "a b"), (2, "a  b"), (2, "a b"), (1, "c"), (None, "a b"), (None, "d"), (None, "d"), (3, None), (4, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["op2_exact_dedup"](spark, str(tmp_path))
+    want = duckdb.sql(exact_dedup.ORACLE.replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert table(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=repr) and len(want) == len(rows)
+    assert got.where("kept").count() == got.select("text_sha256").distinct().count() == 4
+
+
 def test_minimal_perfect_hash():
     words = np.random.default_rng(0).integers(0, 2**63, (5000, 4)).astype(np.uint64)
     starts, flat, slot = exact_dedup.build(words)
@@ -678,6 +686,12 @@ def test_chat_layouts(spark):
         ('{"instruction": "i", "input": "", "output": "o"}', "instruction_input", [("user", "i"), ("assistant", "o")]),
         ('{"instruction": "i", "input": "x", "output": "o"}', "instruction_input", [("user", "i\n\nx"), ("assistant", "o")]),
         ('{"answer": "a", "question": "q"}', "question", [("user", "q"), ("assistant", "a")]),
+        ('{"id": 7, "messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant"}], "meta": {"prompt": 1}}', "messages", [("user", "a"), ("assistant", "")]),
+        ('{"messages": []}', "messages", []), ('{"id": 1, "data": {"messages": [{"role": "user", "content": "a"}], "x": 1}}', "messages", [("user", "a")]),
+        ('{"messages": [{"role": "user", "content": [{"type": "text", "text": "a "}, {"type": "image"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": "[c]"}]}', "messages", [("user", "a b"), ("assistant", "[c]")]),
+        ('{"messages": [{"role": "user", "content": "[a"}, {"role": "assistant", "content": "[{\\"text\\": 1}]"}]}', "messages", [("user", "[a"), ("assistant", '[{"text": 1}]')]),
+        ('{"record": {"prompt": "p", "completion": "c"}}', "prompt", [("user", "p"), ("assistant", "c")]), ('{"messages": ["a", "b"]}', None, None), ('{"messages": [{"role": "user", "content": "a"}, 5]}', None, None),
+        ('{"prompt": "p", "messages": [{"role": "user", "content": "a"}]}', None, None), ('{"data": {"other": 1}}', None, None),
         ('{"other": 1}', None, None), ("no json", None, None), (None, None, None),
     ]
     frame = spark.createDataFrame([(i, r[0]) for i, r in enumerate(raws)], "i int, raw string")
@@ -708,6 +722,8 @@ def test_chat_query(spark):
     assert got[1]["turns_sha256"] == want(("user", "</turn>\n<turn x>"), ("assistant", ""), ("assistant", "\\l \\s \\"))
     assert got[1]["loss_sha256"] == hashlib.sha256(b"\\l \\s \\").hexdigest() and got[1]["loss_chars"] == 7
     assert got[2]["turns_sha256"] == want(("", "a>\n")) and got[3]["turns_sha256"] == want(("human", "x")) and got[None]["turns_sha256"] == want(("us>\ner", "y"))
+    twice = chat.chat_digests(spark, frame.unionByName(spark.createDataFrame([(-7, 0, "user", "own")], frame.schema))).where("conv_id = -7").collect()
+    assert sorted(r["n_turns"] for r in twice) == [1, 2]
     assert got[-7]["turns_sha256"] == want(("user", chat.PROBE), ("assistant", chat.PROBE)) and len(got) == 5
 
 
