@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from array import array
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ class TokenBytes(dict):
         "a <|endoftext|> b <|END|>", "ǅ İ ſ ς Σ 安全 😀", "hello", " hello", "hello ", "", " ", "the the, The. THE", "x" * 50 + " " + "é" * 50, "\x0b\x1c\xa0 z",
     )
 
-    def __init__(self, path: str, keep: int = 600_000, longest: int = 40):
+    def __init__(self, path: str, keep: int = 400_000, longest: int = 40):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
@@ -107,10 +108,23 @@ class TokenBytes(dict):
         """The ids of a whole text. Only white space on which all tokenizers agree splits it."""
         if not self.by_word:
             return self.whole(text)
+        return b"".join(b"".join(map(self.__getitem__, self.words(x))) for x in stretches(text))
+
+    def words(self, text: str) -> list[str]:
         # lower-case here only where every library agrees; the tokenizer finds its special strings ("<|...|>") before it lower-cases
         if "<|" not in text and latin(text):
             text = self.mark.sub(r" \g<0>", text.lower())
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
+        return text.replace("\n", " ").replace("\t", " ").split(" ")
+
+
+def stretches(text: str, size: int = 1 << 15) -> Iterator[str]:
+    """The text in stretches that end before a space, so that a very long one is not held as words all at once."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + size)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
 
 
 def latin(text: str) -> bool:

@@ -51,16 +51,18 @@ def encode(docs: DataFrame, tokenizer: str, queues: dict[str, int]) -> DataFrame
         memo, part, served = token_bytes(tokenizer), TaskContext.get().partitionId(), {}
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
-            ids = [memo.of(x.as_py()) + end for x in batch.column(2)]
-            queue = [queues.get(x, len(queues)) for x in batch.column(1).to_pylist()]
-            n, first = [len(x) // 4 for x in ids], []
-            for q, m in zip(queue, n, strict=True):
-                first.append(served.get(q, 0))
-                served[q] = first[-1] + m
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(queue, pa.int32()), pa.array([part] * len(n), pa.int32()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "queue", "part", "first", "n", "ids"],
-            )
+            for i in range(0, len(batch), 512):
+                rows = batch.slice(i, 512)
+                ids = [memo.of(x.as_py()) + end for x in rows.column(2)]
+                queue = [queues.get(x, len(queues)) for x in rows.column(1).to_pylist()]
+                n, first = [len(x) // 4 for x in ids], []
+                for q, m in zip(queue, n, strict=True):
+                    first.append(served.get(q, 0))
+                    served[q] = first[-1] + m
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array(queue, pa.int32()), pa.array([part] * len(n), pa.int32()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                    ["doc_id", "queue", "part", "first", "n", "ids"],
+                )
 
     return docs.select(id_or_last("doc_id").alias("doc_id"), name_of().alias("source"), whole_text("text").alias("text")).mapInArrow(run, ENCODED)
 
