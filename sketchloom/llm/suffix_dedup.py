@@ -5,8 +5,9 @@ doc_id, or earlier in the same document). Names of equal strings double in
 length, and Spark sorts (name, name at an offset) pairs at growing lengths;
 what is unique at a length never reaches the next:
 
-1. Up to CORE bytes names are 64-bit digests that double where the text lies:
-   below that length nearly every string repeats, so a sort would drop nothing.
+1. Up to CORE bytes, half of LENGTH, names are 64-bit digests that double where
+   the text lies: below that length most strings repeat or a sort would cost
+   more than it drops.
    Windows of LENGTH bytes are represented by their minimizer, the least of
    their CORE-byte names, so that equal windows have equal minimizers at equal
    offsets.
@@ -16,7 +17,7 @@ what is unique at a length never reaches the next:
 3. Sorted at LENGTH bytes, for the windows of open places: pairs (name of the
    first half, name of the second); of equal pairs all but the first repeat.
 
-Pairs of names decide, so equality stands on 128 bits of digests keyed anew in
+Pairs of names decide, so equality stands on 126 bits of digests keyed anew in
 each job; texts are not compared byte by byte. doubled() is the plain method
 over every position, with exact names and no digest. It gives the same answer
 and costs many times the input (see the README), so the query does not use it.
@@ -40,18 +41,21 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_or_last, id_or_null, stored, whole_text
 
-LENGTH, CORE = 100, 62
+LENGTH = 100
+CORE = LENGTH // 2
 #: Windows whose minimizer is looked for at once.
 SPREAD = LENGTH - CORE + 1
-#: What is known of a place before the sort.
+#: What is known of a place before the sort: the two lowest bits of its name.
 ASKED, REPEATS, OPEN = 0, 1, 2
-PLACES = "state int, core long, around long, doc_id long, first int, many int"
-PAIRS = "state int, a long, b long, doc_id long, first int, many int"
+#: at: first window x 64 + number of windows. Rows are narrow, as all places of the corpus are shuffled.
+PLACES = "core long, around long, doc_id long, at long"
+#: b: of a window that is asked the name of its second half, of a range that repeats the number of windows.
+PAIRS = "a long, b long, doc_id long, first int"
 
 
 class Bounds(NamedTuple):
@@ -113,28 +117,30 @@ def parts(data: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
         yield i, data[i : i + size + LENGTH - 1]
 
 
-def spread(state: np.ndarray, name: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The name for those that are asked; for the others one that deals them over all partitions."""
-    return np.where(state == ASKED, name, mixed(name, doc, first)).view(np.int64)
+def with_state(state: np.ndarray, name: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The name for those that are asked; for the others one that deals them over all partitions. The state is in the lowest bits."""
+    name = np.where(state == ASKED, name, mixed(name, doc, first))
+    return (name & ~np.uint64(3) | state.astype(np.uint64)).view(np.int64)
 
 
-def sent(schema: str, state: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype(), copy=False), t) for c, t in zip((state, *columns), kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
+def sent(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(f"int{32 if k == 'int' else 64}", copy=False)) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
 def sorted_places(found: list[tuple[np.ndarray, ...]], crowd: int) -> pa.RecordBatch:
     """PLACES of some texts: copies repeat, the crowd of a core is open, the rest is asked."""
     core, around, doc, first, many = (np.concatenate(c) for c in zip(*found, strict=True))
+    core &= ~np.uint64(3)
     order = np.lexsort((first, doc, around, core))
     fresh, new = np.ones(len(core), bool), np.ones(len(core), bool)
     fresh[1:] = core[order][1:] != core[order][:-1]
     new[1:] = fresh[1:] | (around[order][1:] != around[order][:-1])
     nth = np.cumsum(new)
     nth -= np.maximum.accumulate(np.where(fresh, nth, 0))  # distinct surroundings of the core before this one
-    state = np.empty(len(core), np.int32)  # rows go on in the order of the texts, in which they compress best
+    state = np.empty(len(core), np.int64)  # rows go on in the order of the texts, in which they compress best
     state[order] = np.where(~new, REPEATS, np.where(nth >= crowd, OPEN, ASKED))
-    return sent(PLACES, state, spread(state, core, doc, first), around.view(np.int64), doc, first, many)
+    return sent(PLACES, with_state(state, core, doc, first), around.view(np.int64), doc, first.astype(np.int64) << 6 | many)
 
 
 def places(docs: DataFrame, key: int, bounds: Bounds) -> DataFrame:
@@ -159,31 +165,36 @@ def places(docs: DataFrame, key: int, bounds: Bounds) -> DataFrame:
     return docs.mapInArrow(run, PLACES)
 
 
+def state_of(name: str) -> Column:
+    return F.col(name).bitwiseAND(F.lit(3))
+
+
 def compared(rows: DataFrame) -> DataFrame:
     """Places that repeat as a whole (settled) and those that are open; the others are gone."""
-    same = Window.partitionBy("core", "state")
-    run = Window.partitionBy("core", "state", "around").orderBy("doc_id", "first")
+    same = Window.partitionBy("core")
+    run = Window.partitionBy("core", "around").orderBy("doc_id", "at")
     seen = rows.withColumn("n", F.row_number().over(run)).withColumn("low", F.min("around").over(same)).withColumn("high", F.max("around").over(same))
-    asked = F.col("state") == ASKED
-    repeat = (F.col("state") == REPEATS) | (asked & (F.col("n") > 1))
-    open_ = (F.col("state") == OPEN) | (asked & (F.col("low") != F.col("high")))
-    return seen.where(repeat | open_).select(repeat.alias("settled"), "doc_id", "first", "many")
+    asked = state_of("core") == ASKED
+    repeat = (state_of("core") == REPEATS) | (asked & (F.col("n") > 1))
+    open_ = (state_of("core") == OPEN) | (asked & (F.col("low") != F.col("high")))
+    first, many = F.shiftright("at", 6).cast("int"), F.col("at").bitwiseAND(F.lit(63)).cast("int")
+    return seen.where(repeat | open_).select(repeat.alias("settled"), "doc_id", first.alias("first"), many.alias("many"))
 
 
 def sorted_windows(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """PAIRS of some windows (a, b, doc_id, at): the first of equals is asked, the others are ranges that repeat."""
     a, b, doc, at = (np.concatenate(c) for c in zip(*found, strict=True))
+    a &= ~np.uint64(3)
     order = np.lexsort((at, doc, b, a))
     new = np.ones(len(a), bool)
     new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
     asked, again = np.sort(order[new]), np.sort(order[~new])
-    yield sent(PAIRS, np.full(len(asked), ASKED), a[asked].view(np.int64), b[asked].view(np.int64), doc[asked], at[asked], np.ones(len(asked), np.int32))
+    yield sent(PAIRS, with_state(np.full(len(asked), ASKED), a[asked], doc[asked], at[asked]), b[asked].view(np.int64), doc[asked], at[asked])
     if len(again):
         doc, at, name = doc[again], at[again], a[again]
         head = np.nonzero((np.diff(doc, prepend=doc[0] - 1) != 0) | (np.diff(at, prepend=at[0]) != 1))[0]
         many = np.diff(np.append(head, len(at)))
-        state = np.full(len(head), REPEATS)
-        yield sent(PAIRS, state, spread(state, name[head], doc[head], at[head]), np.zeros(len(head), np.int64), doc[head], at[head], many)
+        yield sent(PAIRS, with_state(np.full(len(head), REPEATS), name[head], doc[head], at[head]), many, doc[head], at[head])
 
 
 def open_pairs(docs: DataFrame, ranges: DataFrame, key: int, bounds: Bounds) -> DataFrame:
@@ -227,16 +238,17 @@ def repeats(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     found = stored(compared(places(docs, key, bounds)))
     spans = lambda rows: rows.groupBy("doc_id").agg(F.collect_list(F.struct("first", "many")).alias("spans"))
     pairs = open_pairs(docs, spans(found.where(~F.col("settled"))), key, bounds)
-    nth = F.row_number().over(Window.partitionBy("a", "b", "state").orderBy("doc_id", "first"))
-    again = pairs.withColumn("n", nth).where((F.col("state") == REPEATS) | (F.col("n") > 1)).select("doc_id", "first", "many")
+    nth = F.row_number().over(Window.partitionBy("a", "b").orderBy("doc_id", "first"))
+    range_ = state_of("a") == REPEATS
+    again = pairs.withColumn("n", nth).where(range_ | (F.col("n") > 1)).select("doc_id", "first", F.when(range_, F.col("b")).otherwise(1).cast("int").alias("many"))
     return spans(found.where("settled").select("doc_id", "first", "many").unionByName(again))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id (a unique key in the order of the documents), text and id, the given doc_id, of every row."""
+    """doc_id (a unique key in the order of the documents) and text of every row, and id, the given doc_id, where the key is another."""
     rows = docs.select(id_or_last("doc_id").alias("doc_id"), whole_text("text").alias("text"))
     if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rows.withColumn("id", F.col("doc_id"))
+        return rows
     ordered = rows.withColumn("n", F.monotonically_increasing_id()).orderBy("doc_id", "text", "n")
     return stored(ordered.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("doc_id").alias("id")))
 
@@ -269,7 +281,7 @@ def removed(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
                     kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
-    found = rows.join(repeats(rows.select("doc_id", "text"), bounds), "doc_id", "left").select("id", "text", "spans")
+    found = rows.join(repeats(rows.select("doc_id", "text"), bounds), "doc_id", "left").select(rows.columns[-1] if "id" in rows.columns else "doc_id", "text", "spans")
     return found.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<first:int,last:int>>, kept binary")
 
 
