@@ -19,6 +19,10 @@ ORIENTATIONS = ("top_to_bottom", "left_to_right")
 COMPOSITIONS = ("balanced_hierarchy", "compact_flow", "spacious_system", "contained_schematic", "radial", "custom")
 SIDES = ("top", "right", "bottom", "left", "auto")
 IMPORTANCES = ("primary", "secondary", "supporting")
+SEVERITIES = ("low", "medium", "high")
+CATEGORIES = (
+    "source_fidelity", "hierarchy", "spacing", "overlap", "connector_crossing", "connector_clarity", "obstruction", "label_readability", "balance", "containment", "other",
+)
 CONTAINER_TYPES = ("housing", "subsystem")
 
 # Node type -> (template marker, default width, default height).

@@ -1,20 +1,16 @@
-"""Responses to graphs: strict decoding, the choice of an attempt, repair requests."""
+"""Responses to graphs, designs and critiques: decoding, judgement, the choice of an attempt, repair requests."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import tables as t
 from ..functions import text as tx
-
-NODE_KEYS = ("id", "type", "label", "parent_id", "reference_number", "notes")
-EDGE_KEYS = ("id", "source", "target", "relation", "direction", "label", "style")
-GRAPH_KEYS = ("title", "diagram_type", "orientation", "nodes", "edges")
-NODE = "struct<id:string,type:string,label:string,parent_id:string,reference_number:string,notes:string>"
-EDGE = "struct<id:string,source:string,target:string,relation:string,direction:string,label:string,style:string>"
-GRAPH = f"struct<title:string,diagram_type:string,orientation:string,nodes:array<{NODE}>,edges:array<{EDGE}>>"
-RAW_ITEMS = "array<map<string,string>>"
+from ..storage import kept
+from . import designs, normalize
+from .decode import SHAPES, ddl, verdict
 
 
 def is_json(content: Column) -> Column:
@@ -26,73 +22,18 @@ def extension(content: Column) -> Column:
     return F.when(is_json(content), "json").otherwise("txt")
 
 
-def only(keys: Column, allowed: tuple[str, ...]) -> Column:
-    return F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) == 0
-
-
-def json_type(content: Column, path: str) -> Column:
-    """The first character of the raw value at a path tells its JSON type; null where there is none."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(content), path, "variant"))
-
-
-def text_fields(items: str, content: Column, required: tuple[str, ...], optional: tuple[str, ...]) -> Column:
-    """Whether all items of a list have text in their required fields, and text or null in their optional ones."""
-    values = F.try_variant_get(F.try_parse_json(content), f"$.{items}", "array<variant>")
-    kind = lambda item, name: F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant"))
-
-    def sound(item: Column) -> Column:
-        out = F.lit(True)
-        for name in required:
-            out = out & (F.coalesce(kind(item, name), F.lit("")) == "STRING")
-        for name in optional:
-            out = out & F.coalesce(kind(item, name), F.lit("VOID")).isin("STRING", "VOID")
-        return out
-
-    return F.coalesce(F.forall(values, sound), F.lit(False))
-
-
-def decoded(attempts: DataFrame) -> DataFrame:
-    """attempts plus graph and decode: ok, or the first reason for which content is no graph.
-
-    Unknown keys are refused at every level; an enum has to hold one of its
-    values; defaults stand in only for keys that are absent.
-    """
-    content = F.col("content")
-    graph = F.from_json(content, GRAPH)
-    keys = F.json_object_keys(content)
-    raw = lambda name: F.from_json(F.get_json_object(content, f"$.{name}"), RAW_ITEMS)
-    top_text = F.lit(True)
-    for name in ("title", "diagram_type", "orientation"):
-        top_text = top_text & (F.coalesce(json_type(content, f"$.{name}"), F.lit("")) == "STRING")
-    in_domain = (
-        F.col("graph.diagram_type").isin(*t.DIAGRAM_TYPES)
-        & F.col("graph.orientation").isin(*t.ORIENTATIONS)
-        & F.forall("graph.nodes", lambda n: n["type"].isin(*t.NODE_TYPES))
-        & F.forall("graph.edges", lambda e: e["relation"].isin(*t.RELATIONS) & F.coalesce(e["direction"], F.lit("forward")).isin(*t.DIRECTIONS) & F.coalesce(e["style"], F.lit("solid")).isin(*t.STYLES))
-    )
-    listed = lambda name: F.coalesce(json_type(content, f"$.{name}").startswith("ARRAY"), F.lit(False))
-    known = F.forall(raw("nodes"), lambda m: only(F.map_keys(m), NODE_KEYS)) & F.forall(raw("edges"), lambda m: only(F.map_keys(m), EDGE_KEYS))
-    reason = (
-        F.when(~is_json(content), "no_json")
-        .when(keys.isNull(), "no_object")
-        .when(F.size(F.array_except(F.array(*map(F.lit, GRAPH_KEYS)), keys)) > 0, "missing_key")
-        .when(~only(keys, GRAPH_KEYS), "unknown_key")
-        .when(~top_text | ~listed("nodes") | ~listed("edges"), "wrong_type")
-        .when(~F.coalesce(known, F.lit(False)), "unknown_key")
-        .when(~text_fields("nodes", content, ("id", "type", "label"), ("parent_id", "reference_number", "notes")), "wrong_type")
-        .when(~text_fields("edges", content, ("source", "target", "relation"), ("id", "label")), "wrong_type")
-        .when(~F.coalesce(in_domain, F.lit(False)), "out_of_domain")
-        .otherwise("ok")
-    )
-    return attempts.withColumn("graph", graph).withColumn("decode", reason)
+def decoded(attempts: DataFrame, what: str = "graph") -> DataFrame:
+    """attempts plus the decoded content in a column named what (graph, design or critique), and decode: ok, or why it is none."""
+    shape, content = SHAPES[what], F.col("content")
+    return attempts.withColumns({what: F.from_json(content, ddl(shape)), "decode": verdict(content, shape)})
 
 
 def flattened(graphs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Node rows and edge rows of a graph column, in list order, with defaults where keys are absent."""
     nodes = graphs.select(F.col(key).alias("diagram_id"), F.posexplode("graph.nodes").alias("pos", "n")).select("diagram_id", "pos", "n.*")
     edges = graphs.select(F.col(key).alias("diagram_id"), F.posexplode("graph.edges").alias("pos", "e")).select("diagram_id", "pos", "e.*")
-    explicit = F.col("style").isNotNull()
-    return nodes, edges.withColumns({"style_explicit": explicit, "direction": F.coalesce("direction", F.lit("forward")), "style": F.coalesce("style", F.lit("solid"))})
+    default = lambda name, value: F.coalesce(name, F.lit(value))
+    return nodes, edges.withColumns({"style_explicit": F.col("style").isNotNull(), "relation": default("relation", "flow"), "direction": default("direction", "forward"), "style": default("style", "solid")})
 
 
 def rebuilt(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -101,11 +42,37 @@ def rebuilt(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return listing(nodes, "nodes").join(listing(edges, "edges"), "diagram_id", "left")
 
 
-def judged(attempts: DataFrame) -> DataFrame:
-    """decoded() plus outcome of each attempt by itself: ok, no_diagram, or invalid."""
-    rows = decoded(attempts)
-    empty = (F.col("decode") == "ok") & (F.size("graph.nodes") == 0)
-    return rows.withColumn("judgement", F.when(empty, "no_diagram").when(F.col("decode") == "ok", "ok").otherwise("invalid"))
+def laid_out(good: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Placements, hints (with defaults where keys are absent) and pages of a design column."""
+    boxes = good.select(F.col(key).alias("diagram_id"), F.posexplode("design.layout.placements").alias("pos", "p")).select("diagram_id", "pos", "p.*")
+    hints = good.select(F.col(key).alias("diagram_id"), F.posexplode("design.layout.connector_hints").alias("pos", "h")).select("diagram_id", "pos", "h.*")
+    auto = {c: F.coalesce(c, F.lit("auto")) for c in ("source_side", "target_side")}
+    pages = good.select(F.col(key).alias("diagram_id"), "design.layout.page_width", "design.layout.page_height")
+    return boxes.withColumn("importance", F.coalesce("importance", F.lit("secondary"))), hints.withColumns(auto), pages
+
+
+def judged(attempts: DataFrame, what: str = "graph") -> DataFrame:
+    """decoded() plus what each attempt is by itself (judgement: ok, no_diagram, or invalid) and the finding that speaks against it.
+
+    A graph has to pass normalization; without nodes it says that there is no
+    diagram. A design has to pass normalization and the rules for its
+    placements; it may have no nodes.
+    """
+    rows = kept(decoded(attempts, what).withColumn("key", F.concat_ws("#", F.col("run_id").cast("string"), F.col("attempt_no").cast("string"))))
+    good = rows.where("decode = 'ok'")
+    graphs = good if what == "graph" else good.withColumn("graph", F.col("design.graph"))
+    nodes, edges = flattened(graphs, "key")
+    nodes, edges, failures = normalize.normalize(nodes, edges)
+    found = failures.select(F.col("diagram_id").alias("key"), F.col("message").alias("finding"))
+    if what == "design":
+        boxes, hints, pages = laid_out(graphs.join(found, "key", "left_anti"), "key")
+        rules = designs.listed(designs.design_findings(nodes, edges, boxes, hints, pages))
+        found = found.unionByName(rules.select(F.col("diagram_id").alias("key"), F.col("findings").alias("finding")))
+    rows = rows.join(found, "key", "left").drop("key")
+    empty = F.coalesce(F.size("graph.nodes"), F.lit(0)) <= 0 if what == "graph" else F.lit(False)
+    ok = F.col("decode") == "ok"
+    rows = rows.withColumn("judgement", F.when(ok & empty, "no_diagram").when(ok & F.col("finding").isNull(), "ok").otherwise("invalid"))
+    return rows.withColumn("finding", F.when(ok, F.col("finding")).otherwise(F.col("decode")))
 
 
 def chosen(judgements: DataFrame, requests: DataFrame) -> DataFrame:
@@ -139,21 +106,42 @@ def chosen(judgements: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def repair_queue(judgements: DataFrame, requests: DataFrame, with_source: bool = False) -> DataFrame:
+#: What is asked for after an invalid answer. Callers with wording of their own give it; {source}, {finding} and {response} are filled in.
+REPAIR = "The answer below was refused: {finding}\nSend it again as one JSON document that keeps its meaning and mends this.\n\n{response}"
+REPAIR_WITH_SOURCE = "Request:\n{source}\n\n" + REPAIR
+CRITIQUE_REQUEST = "Request:\n{source}\n\nDesign that was drawn:\n{design}"
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with columns in the places of its names in braces."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)))
+
+
+def repair_queue(judgements: DataFrame, requests: DataFrame, template: str = REPAIR) -> DataFrame:
     """run_id, prompt: what to ask for where the first attempt of a request that is not blank is invalid."""
     rows = judgements.where("attempt_no = 1 and judgement = 'invalid'").join(requests.where(~tx.is_blank(F.col("text"))), "run_id")
-    if with_source:
-        prompt = F.concat(
-            F.lit("Repair the previous diagram design using the hard validation findings below. Preserve the source meaning and the useful parts of the composition; change only what is needed to make the complete design valid. Return the entire schema-conforming design as JSON.\n\nOriginal request:\n"),
-            F.col("text"), F.lit("\n\nHard validation findings:\n"), F.col("decode"), F.lit("\n\nPrevious response:\n"), F.col("content"),
-        )
-    else:
-        prompt = F.concat(
-            F.lit("Repair the following response so it satisfies the JSON schema. Return JSON only, preserve the source semantics, and add no geometry. Validation error: "),
-            F.col("decode"), F.lit("\nInvalid response: "), F.col("content"),
-        )
-    return rows.select("run_id", prompt.alias("prompt"))
-
-
-def critique_request(source: Column, design: Column) -> Column:
-    return F.concat(F.lit("Original request:\n"), source, F.lit("\n\nStructured design used for this preview:\n"), F.to_json(design, {"pretty": "true", "ignoreNullFields": "false"}))
+    return rows.select("run_id", filled(template, source=F.col("text"), finding=F.col("finding"), response=F.col("content")).alias("prompt"))
+
+
+def critique_request(source: Column, design: Column, template: str = CRITIQUE_REQUEST) -> Column:
+    return filled(template, source=source, design=F.to_json(design, {"pretty": "true", "ignoreNullFields": "false"}))
+
+
+def reviewed(critiques: DataFrame) -> DataFrame:
+    """Critique responses (run_id, content, initial: the design's JSON) resolved: run_id, outcome, revision_applied, final_design.
+
+    A response that is no critique is invalid; a revision has to decode and to
+    pass all rules for designs.
+    """
+    rows = kept(decoded(critiques, "critique").withColumn("revised", F.to_json(F.try_variant_get(F.try_parse_json("content"), "$.revised_design", "variant"))))
+    rows = rows.withColumn("revised", F.when((F.col("decode") == "ok") & (F.col("revised") != "null"), F.col("revised")))
+    revisions = judged(rows.where("revised is not null").select("run_id", F.lit(1).alias("attempt_no"), F.col("revised").alias("content")), "design")
+    rows = rows.join(revisions.select("run_id", (F.col("judgement") == "ok").alias("revision_valid")), "run_id", "left")
+    known = rows.select("run_id", "decode", "initial", F.coalesce("critique.approved", F.lit(True)).alias("approved"), F.col("revised").alias("revised_design"), F.coalesce("revision_valid", F.lit(True)).alias("revision_valid"))
+    out = designs.resolved_critiques(known, F.col("initial"))
+    wrong = F.col("decode") != "ok"
+    return out.select(
+        "run_id", F.when(wrong, "invalid_critique").otherwise(F.col("outcome")).alias("outcome"), (~wrong & F.col("revision_applied")).alias("revision_applied"),
+        F.when(~wrong, F.col("final_design")).alias("final_design"),
+    )

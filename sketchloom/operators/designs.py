@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..plans.keep import kept
+from ..storage import kept
 from .normalize import again, by_position, finding, quoted_message
 
 

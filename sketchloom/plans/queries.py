@@ -282,7 +282,14 @@ DESIGN_SEEDS = ("schematic_nodes", "schematic_edges", "placements", "hints", "pa
 
 
 def design_sql(*phases: int) -> str:
-    return DESIGN + f" SELECT diagram_id, phase, message FROM found WHERE phase IN ({', '.join(map(str, phases))})"
+    """The rules of these phases alone."""
+    union = " UNION ALL ".join(f"SELECT diagram_id, phase, message FROM f{p} AS f(diagram_id, phase, pos, k1, k2, sub, message)" for p in phases)
+    items = DESIGN[: DESIGN.index("\n), found AS (") + 2]
+    if phases != (4,):  # the edges' ids only matter to hints
+        head, rest = items.split(", pnth AS (", 1)
+        items = ", pnth AS (" + rest
+        items = items[: items.index("\n), hnth AS (") + 2] + items[items.index(", bx AS (") :]
+    return items + " " + union
 
 
 def design_out(findings: DataFrame) -> DataFrame:
@@ -334,10 +341,26 @@ def critique_resolution(read):
 
 # Responses.
 
-KINDS = {0: ("ok", "ok"), 1: ("no_json", "invalid"), 2: ("missing_key", "invalid"), 3: ("unknown_key", "invalid"), 4: ("ok", "no_diagram"), 5: ("out_of_domain", "invalid")}
-JUDGED = f""", judged AS (
-  SELECT *, CASE kind {' '.join(f"WHEN {k} THEN '{v[0]}'" for k, v in KINDS.items())} END AS decode, CASE kind {' '.join(f"WHEN {k} THEN '{v[1]}'" for k, v in KINDS.items())} END AS judgement FROM attempts
-), firsts AS (SELECT run_id, judgement AS first FROM judged WHERE attempt_no = 1
+KINDS = {
+    0: ("ok", "ok", None), 1: ("no_json", "invalid", None), 2: ("missing_key", "invalid", None), 3: ("unknown_key", "invalid", None), 4: ("ok", "no_diagram", None), 5: ("out_of_domain", "invalid", None),
+    6: ("ok", "ok", None), 7: ("ok", "no_diagram", None), 8: ("wrong_type", "invalid", None), 9: ("ok", "invalid", "edge target 'zz' does not reference an existing node"), 10: ("ok", "invalid", "duplicate node ID 'a'"),
+    11: ("wrong_type", "invalid", None),
+}
+DESIGN_KINDS = {
+    0: ("ok", "ok", None), 1: ("ok", "invalid", "placements for nodes 'a' and 'b' overlap"), 2: ("out_of_domain", "invalid", None), 3: ("missing_key", "invalid", None), 4: ("out_of_domain", "invalid", None), 5: ("ok", "ok", None),
+    6: ("ok", "invalid", "edge source 'zz' does not reference an existing node"), 7: ("wrong_type", "invalid", None), 8: ("ok", "invalid", "missing placement for node 'a'"), 9: ("ok", "invalid", "placement for node 'a' is outside page bounds"),
+    10: ("ok", "ok", None), 11: ("ok", "invalid", "connector hint references unknown edge 'e1'"),
+}
+
+
+def judged_sql(kinds: dict[int, tuple[str, str, str | None]], table: str) -> str:
+    """The answers that each kind of seeded response has to get."""
+    pick = lambda i: " ".join("WHEN {} THEN '{}'".format(k, v[i].replace("'", "''")) for k, v in kinds.items() if v[i])
+    return f""", answered AS (SELECT *, CASE kind {pick(0)} END AS decode, CASE kind {pick(1)} END AS judgement FROM {table}
+), judged AS (SELECT *, CASE WHEN decode <> 'ok' THEN decode ELSE CASE kind {pick(2)} END END AS finding FROM answered"""
+
+
+JUDGED = judged_sql(KINDS, "attempts") + """), firsts AS (SELECT run_id, judgement AS first FROM judged WHERE attempt_no = 1
 ), used AS (SELECT j.* FROM judged j JOIN firsts USING (run_id) WHERE attempt_no = 1 OR attempt_no = 2 AND first = 'invalid'
 ), by_run AS (
   SELECT run_id, max_by(judgement, attempt_no) AS last, max_by(content, attempt_no) AS content, count(*) AS attempts,
@@ -349,9 +372,38 @@ JUDGED = f""", judged AS (
 RESPONSES = ("attempts", "requests")
 
 
-@query(JUDGED + " SELECT run_id, attempt_no, decode, judgement FROM judged", *RESPONSES)
+JUDGEMENT = ("run_id", "attempt_no", "decode", "judgement", "finding")
+
+
+@query(JUDGED + " SELECT run_id, attempt_no, decode, judgement, finding FROM judged", *RESPONSES)
 def strict_decode(read):
-    return attempts.judged(read("attempts")).select("run_id", "attempt_no", "decode", "judgement")
+    return attempts.judged(read("attempts")).select(*JUDGEMENT)
+
+
+@query(judged_sql(DESIGN_KINDS, "design_attempts") + ") SELECT run_id, attempt_no, decode, judgement, finding FROM judged", "design_attempts")
+def design_decode(read):
+    return attempts.judged(read("design_attempts"), "design").select(*JUDGEMENT)
+
+
+@query(
+    judged_sql(DESIGN_KINDS, "design_attempts") + """), firsts AS (SELECT run_id, judgement AS first FROM judged WHERE attempt_no = 1)
+      SELECT r.diagram_id AS run_id, CASE WHEN f.first = 'ok' THEN 'ok' WHEN s.judgement = 'ok' THEN 'repaired' ELSE 'failed' END AS outcome,
+        CASE WHEN f.first = 'ok' THEN a.content WHEN s.judgement = 'ok' THEN s.content END AS content
+      FROM schematic_diagrams r JOIN firsts f ON f.run_id = r.diagram_id JOIN judged a ON a.run_id = r.diagram_id AND a.attempt_no = 1 LEFT JOIN judged s ON s.run_id = r.diagram_id AND s.attempt_no = 2""",
+    "design_attempts", "schematic_diagrams")
+def design_choice(read):
+    requests = read("schematic_diagrams").select(F.col("diagram_id").alias("run_id"), F.lit("Draw it").alias("text"))
+    return attempts.chosen(attempts.judged(read("design_attempts"), "design"), requests).select("run_id", "outcome", "content")
+
+
+@query(" SELECT run_id, kind, CASE kind WHEN 6 THEN 'out_of_domain' WHEN 7 THEN 'wrong_type' WHEN 8 THEN 'missing_key' ELSE 'ok' END AS decode FROM reviews", "reviews")
+def critique_decode(read):
+    return attempts.decoded(read("reviews"), "critique").select("run_id", "kind", "decode")
+
+
+@query(" SELECT run_id, CASE WHEN kind IN (0, 1, 4) THEN 'ok' ELSE 'invalid_critique' END AS outcome, kind = 4 AS revision_applied, CASE WHEN kind IN (0, 1) THEN initial END AS kept_design FROM reviews", "reviews")
+def review_outcomes(read):
+    return attempts.reviewed(read("reviews")).select("run_id", "outcome", "revision_applied", F.when(~F.col("revision_applied"), F.col("final_design")).alias("kept_design"))
 
 
 @query(JUDGED + " SELECT run_id, outcome, CASE WHEN outcome IN ('ok', 'repaired') THEN content END AS content FROM outcome", *RESPONSES)
@@ -366,7 +418,7 @@ def attempt_metadata(read):
 
 
 @query(
-    JUDGED + """ SELECT j.run_id, 'Repair the following response so it satisfies the JSON schema. Return JSON only, preserve the source semantics, and add no geometry. Validation error: ' || decode || chr(10) || 'Invalid response: ' || content AS prompt
+    JUDGED + """ SELECT j.run_id, 'The answer below was refused: ' || finding || chr(10) || 'Send it again as one JSON document that keeps its meaning and mends this.' || chr(10) || chr(10) || content AS prompt
       FROM judged j JOIN requests r ON j.run_id = r.run_id WHERE attempt_no = 1 AND judgement = 'invalid' AND trim(text) <> ''""",
     *RESPONSES,
 )
@@ -600,8 +652,9 @@ def dot_lines(read):
 # More of the inventory: decoded rows, maps, gaps, imports, times.
 
 
-@query(""" SELECT a.run_id || '#' || a.attempt_no AS diagram_id, CAST(0 AS BIGINT) AS pos, 'a' AS id, 'process' AS type, e.event_type AS label FROM attempts a
-    JOIN flow_events e ON a.run_id = e.diagram_id AND a.attempt_no = e.k WHERE a.kind = 0""", "attempts")
+@query(""", listed AS (SELECT kind, unnest(CASE kind WHEN 6 THEN ['a', 'b'] WHEN 10 THEN ['a', 'a'] ELSE ['a'] END) AS id, unnest(CASE WHEN kind IN (6, 10) THEN [0, 1] ELSE [0] END) AS pos FROM (VALUES (0), (6), (9), (10)) AS k(kind))
+    SELECT a.run_id || '#' || a.attempt_no AS diagram_id, CAST(l.pos AS BIGINT) AS pos, l.id, 'process' AS type, e.event_type AS label FROM attempts a JOIN listed l ON l.kind = a.kind
+    JOIN flow_events e ON a.run_id = e.diagram_id AND a.attempt_no = e.k""", "attempts")
 def decoded_nodes(read):
     rows = attempts.decoded(read("attempts")).where("decode = 'ok'").withColumn("key", F.concat_ws("#", "run_id", F.col("attempt_no").cast("string")))
     nodes, _ = attempts.flattened(rows, "key")

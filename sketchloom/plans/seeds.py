@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .keep import kept
+from ..storage import kept
 
 SEEDS = {
     # flows: one diagram for each user and day, one edge for each step
@@ -77,18 +77,54 @@ SEEDS = {
     "pages_of": "SELECT DISTINCT diagram_id, 12e0 AS page_width, 7e0 AS page_height FROM order_lines",
     "hints": """
         SELECT diagram_id, n AS pos, 'e' || CAST(CASE WHEN n % 5 = 4 THEN 1 WHEN n % 7 = 6 THEN 90 + n ELSE n END AS STRING) AS edge_id, 'left' AS source_side, 'auto' AS target_side FROM order_lines""",
-    # responses: valid graphs and five ways to fail
+    # responses: valid graphs and many ways to fail
     "attempts": """
-        SELECT diagram_id AS run_id, k AS attempt_no, CAST(CAST(round(value * 100) AS BIGINT) % 6 AS INT) AS kind,
-          CASE CAST(round(value * 100) AS BIGINT) % 6
+        SELECT diagram_id AS run_id, k AS attempt_no, CAST(CAST(round(value * 100) AS BIGINT) % 12 AS INT) AS kind,
+          CASE CAST(round(value * 100) AS BIGINT) % 12
             WHEN 0 THEN '{"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || event_type || '"}], "edges": []}'
             WHEN 1 THEN 'no json ' || event_type
             WHEN 2 THEN '{"title": "t", "orientation": "left_to_right", "nodes": [], "edges": []}'
-            WHEN 3 THEN '{"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "b", "x": 1}], "edges": []}'
+            WHEN 3 THEN '{"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || event_type || '", "x": 1}], "edges": []}'
             WHEN 4 THEN '{"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [], "edges": []}'
-            ELSE '{"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "gadget", "label": "b"}], "edges": []}' END AS content,
+            WHEN 5 THEN '{"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "gadget", "label": "b"}], "edges": []}'
+            WHEN 6 THEN '{"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || event_type || '"}, {"id": "b", "type": "process", "label": "' || event_type || '"}], "edges": [{"source": "a", "target": "b"}]}'
+            WHEN 7 THEN '{"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right"}'
+            WHEN 8 THEN '{"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || event_type || '"}], "edges": [{"source": "a", "target": "a", "direction": null}]}'
+            WHEN 9 THEN '{"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || event_type || '"}], "edges": [{"source": "a", "target": "zz", "relation": "data"}]}'
+            WHEN 10 THEN '{"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || event_type || '"}, {"id": "a", "type": "process", "label": "' || event_type || '"}], "edges": []}'
+            ELSE '{"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [5], "edges": []}' END AS content,
           CASE WHEN k % 2 = 1 THEN 'r' || CAST(event_id AS STRING) END AS request_id, CASE WHEN k % 3 <> 0 THEN value END AS elapsed_ms
         FROM flow_events""",
+    # designs of the orders as responses, and reviews of them
+    "design_attempts": """
+        SELECT diagram_id AS run_id, n AS attempt_no, CAST(l_partkey % 12 AS INT) AS kind, CAST(NULL AS STRING) AS request_id, 1e0 AS elapsed_ms,
+          CASE l_partkey % 12
+            WHEN 0 THEN '{"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || l_returnflag || '"}], "edges": []}, "layout": {"composition": "radial", "page_width": 9, "page_height": 7, "placements": [{"node_id": "a", "x": 2, "y": 2, "width": 1, "height": 1}]}, "rationale": "r"}'
+            WHEN 1 THEN '{"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || l_returnflag || '"}, {"id": "b", "type": "process", "label": "' || l_returnflag || '"}], "edges": []}, "layout": {"composition": "radial", "page_width": 9, "page_height": 7, "placements": [{"node_id": "a", "x": 2, "y": 2, "width": 1, "height": 1}, {"node_id": "b", "x": 2.5, "y": 2, "width": 1, "height": 1}]}, "rationale": "r"}'
+            WHEN 2 THEN '{"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || l_returnflag || '"}], "edges": []}, "layout": {"composition": "radial", "page_width": 9, "page_height": 7, "placements": [{"node_id": "a", "x": 2, "y": 2, "width": 1, "height": 1, "importance": "vital"}]}, "rationale": "r"}'
+            WHEN 3 THEN '{"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || l_returnflag || '"}], "edges": []}, "layout": {"composition": "radial", "page_width": 9, "page_height": 7, "placements": [{"node_id": "a", "x": 2, "y": 2, "width": 1, "height": 1}]}}'
+            WHEN 4 THEN '{"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || l_returnflag || '"}], "edges": []}, "layout": {"composition": "radial", "page_width": 9, "page_height": 7, "placements": [{"node_id": "a", "x": 2, "y": 2, "width": 0, "height": 1}]}, "rationale": "r"}'
+            WHEN 5 THEN '{"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [], "edges": []}, "layout": {"composition": "radial", "page_width": 9, "page_height": 7, "placements": []}, "rationale": "r"}'
+            WHEN 6 THEN '{"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || l_returnflag || '"}], "edges": [{"source": "zz", "target": "a"}]}, "layout": {"composition": "radial", "page_width": 9, "page_height": 7, "placements": [{"node_id": "a", "x": 2, "y": 2, "width": 1, "height": 1}]}, "rationale": "r"}'
+            WHEN 7 THEN '{"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || l_returnflag || '"}], "edges": []}, "layout": {"composition": "radial", "page_width": "9", "page_height": 7, "placements": [{"node_id": "a", "x": 2, "y": 2, "width": 1, "height": 1}]}, "rationale": "r"}'
+            WHEN 8 THEN '{"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || l_returnflag || '"}], "edges": []}, "layout": {"composition": "radial", "page_width": 9, "page_height": 7, "placements": []}, "rationale": "r"}'
+            WHEN 9 THEN '{"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || l_returnflag || '"}], "edges": []}, "layout": {"composition": "radial", "page_width": 9, "page_height": 7, "placements": [{"node_id": "a", "x": 8.9, "y": 2, "width": 1, "height": 1}]}, "rationale": "r"}'
+            WHEN 10 THEN '{"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || l_returnflag || '"}], "edges": [{"source": "a", "target": "a"}]}, "layout": {"composition": "radial", "page_width": 9, "page_height": 7, "placements": [{"node_id": "a", "x": 2, "y": 2, "width": 1, "height": 1}], "connector_hints": [{"edge_id": "e1", "target_side": "top"}]}, "rationale": "r"}'
+            ELSE '{"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || l_returnflag || '"}], "edges": []}, "layout": {"composition": "radial", "page_width": 9, "page_height": 7, "placements": [{"node_id": "a", "x": 2, "y": 2, "width": 1, "height": 1}], "connector_hints": [{"edge_id": "e1"}]}, "rationale": "r"}' END AS content
+        FROM order_lines""",
+    "reviews": """
+        SELECT diagram_id AS run_id, CAST(l_suppkey % 9 AS INT) AS kind, 'i' || diagram_id AS initial,
+          CASE l_suppkey % 9
+            WHEN 0 THEN '{"approved": true, "summary": "s"}'
+            WHEN 1 THEN '{"approved": true, "summary": "s", "issues": [{"severity": "low", "category": "spacing", "description": "d"}], "revised_design": null}'
+            WHEN 2 THEN '{"approved": true, "summary": "s", "revised_design": {"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || l_returnflag || '"}], "edges": []}, "layout": {"composition": "radial", "page_width": 9, "page_height": 7, "placements": [{"node_id": "a", "x": 2, "y": 2, "width": 1, "height": 1}]}, "rationale": "r"}}'
+            WHEN 3 THEN '{"approved": false, "summary": "s"}'
+            WHEN 4 THEN '{"approved": false, "summary": "s", "revised_design": {"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || l_returnflag || '"}], "edges": []}, "layout": {"composition": "radial", "page_width": 9, "page_height": 7, "placements": [{"node_id": "a", "x": 2, "y": 2, "width": 1, "height": 1}]}, "rationale": "r"}}'
+            WHEN 5 THEN '{"approved": false, "summary": "s", "revised_design": {"graph": {"title": "t", "diagram_type": "flowchart", "orientation": "left_to_right", "nodes": [{"id": "a", "type": "process", "label": "' || l_returnflag || '"}], "edges": []}, "layout": {"composition": "radial", "page_width": 9, "page_height": 7, "placements": []}, "rationale": "r"}}'
+            WHEN 6 THEN '{"approved": true, "summary": "s", "issues": [{"severity": "huge", "category": "spacing", "description": "d"}]}'
+            WHEN 7 THEN '{"approved": null, "summary": "s"}'
+            ELSE '{"approved": true}' END AS content
+        FROM order_lines WHERE n = 1""",
     "requests": "SELECT diagram_id AS run_id, CASE WHEN min(user_id) % 17 = 0 THEN '  ' ELSE 'Draw ' || diagram_id END AS text FROM flow_events GROUP BY diagram_id",
     # critiques of the orders' designs
     "critiques": """

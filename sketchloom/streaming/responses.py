@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.attempts import extension, judged
@@ -16,10 +17,15 @@ def arriving(spark: SparkSession, folder: str, files_at_once: int = 1_000) -> Da
 
 
 def judge_stream(attempts: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append each attempt once, with its decode, judgement and extension, as Parquet.
+    """Append each attempt once, with its decode, judgement and extension, as Parquet below epoch=N.
 
     Judging looks at one attempt alone, so the stream keeps no state; choosing
-    between attempts is a batch job over the folder.
+    between attempts is a batch job over the folder. A batch that runs again
+    after a failure overwrites its own epoch.
     """
-    rows = judged(attempts).withColumn("ext", extension(attempts["content"])).drop("graph")
-    return rows.writeStream.format("parquet").partitionBy("ext").option("path", folder).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+    def judge(rows: DataFrame, epoch: int) -> None:
+        out = judged(rows).withColumn("ext", extension(F.col("content"))).drop("graph")
+        out.write.mode("overwrite").partitionBy("ext").parquet(f"{folder}/epoch={epoch}")
+
+    return attempts.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
