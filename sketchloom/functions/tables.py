@@ -102,4 +102,4 @@ def node_visuals(spark: SparkSession) -> DataFrame:
 def sql_case(key: str, table: dict, field: int | None = None) -> str:
     """The same lookup as SQL text."""
     show = lambda v: f"'{v}'" if isinstance(v, str) else f"{v!r}e0" if isinstance(v, float) else str(v)
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {show(v if field is None else v[field])}" for k, v in table.items()) + " END"
+    return f"CASE {key} " + " ".join(f"WHEN {show(k)} THEN {show(v if field is None else v[field])}" for k, v in table.items()) + " END"

@@ -21,21 +21,28 @@ def manifests(runs: DataFrame, hashes: DataFrame) -> DataFrame:
     return runs.join(listed, "run_id", "left")
 
 
-def verified(manifest: DataFrame, seen: DataFrame, provider: str) -> DataFrame:
-    """run_id, failed: the names of all checks that a run fails, in order.
-
-    manifest: run_id, clean, critiqued, provider and, by path, the recorded hash.
-    seen: run_id, path, sha256, recomputed. Hashes compare without case.
-    """
+def verified(manifest: DataFrame, seen: DataFrame) -> DataFrame:
+    """run_id, path, recorded, sha256, ok: the recorded hashes (manifest: run_id, path, recorded) against those recomputed, without case."""
     both = manifest.select("run_id", "path", F.lower("recorded").alias("recorded")).join(seen.select("run_id", "path", F.lower("sha256").alias("sha256")), ["run_id", "path"], "full_outer")
     return both.withColumn("ok", F.col("recorded").eqNullSafe(F.col("sha256")))
 
 
-def run_checks(runs: DataFrame, comparisons: DataFrame, provider: str) -> DataFrame:
-    """run_id, mismatches, failed (first failing check, or null)."""
+def run_checks(runs: DataFrame, comparisons: DataFrame, provider: str, revision: str, model: str, native: str = "passed") -> DataFrame:
+    """run_id, provider, mismatches, failed (first failing check, or null).
+
+    runs: revision, clean, critiqued, provider, model, output_sha256 (recorded),
+    seen_sha256 (recomputed), native_status, native_sha256 (what the native
+    check read) and after_sha256 (afterwards). A value that is missing fails.
+    """
     counts = comparisons.groupBy("run_id").agg(F.sum((~F.col("ok")).cast("long")).alias("mismatches"))
     rows = runs.join(counts, "run_id", "left").na.fill(0, ["mismatches"])
-    failed = F.when(~F.col("clean"), "worktree").when(~F.col("critiqued"), "critique").when(F.col("provider") != provider, "provider").when(F.col("mismatches") > 0, "hash")
+    same = lambda a, b: F.lower(a) == F.lower(b)
+    checks = {
+        "revision": F.col("revision") == revision, "worktree": F.col("clean"), "critique": F.col("critiqued"), "provider": F.col("provider") == provider, "model": F.col("model") == model,
+        "output_hash": same("output_sha256", "seen_sha256"), "hash": F.col("mismatches") == 0, "native_status": F.col("native_status") == native,
+        "native_hash": same("native_sha256", "seen_sha256"), "after_hash": same("after_sha256", "seen_sha256"),
+    }
+    failed = F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks.items()))
     return rows.select("run_id", "provider", "mismatches", failed.alias("failed"))
 
 

@@ -49,3 +49,10 @@ def compared(before: DataFrame, moved: DataFrame, reopened: DataFrame) -> DataFr
         *(count(F.col(p).isNotNull()).alias(f"shapes_{n}") for p, n in names),
         *(F.coalesce(F.sum(F.size(F.col(p)["signatures"])), F.lit(0)).cast("long").alias(f"connections_{n}") for p, n in names),
     )
+
+
+def outcomes(comparison: DataFrame) -> DataFrame:
+    """drawing, failed: the first check that a compared drawing fails, or null."""
+    same = lambda what: (F.col(f"{what}_before") == F.col(f"{what}_moved")) & (F.col(f"{what}_moved") == F.col(f"{what}_reopened"))
+    failed = F.when(~same("shapes"), "shape_count").when(~same("connections"), "connection_count").when(F.col("signatures_changed") > 0, "signatures").when(F.col("pins_lost") > 0, "pins")
+    return comparison.select("drawing", failed.alias("failed"))

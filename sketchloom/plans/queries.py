@@ -475,12 +475,14 @@ def callout_sql() -> str:
     ), lim AS (
       SELECT *, greatest(1.3125e0, text_x + 0.2e0 - 1.3125e0) AS lx, least(page_width - 1.3125e0, text_x - 0.2e0 + 1.3125e0) AS hx, greatest(0.15625e0, text_y + 0.125e0 - 0.15625e0) AS ly, least(page_height - 0.15625e0, text_y - 0.125e0 + 0.15625e0) AS hy FROM cand
     ), fit AS (SELECT *, row_number() OVER (PARTITION BY diagram_id, id ORDER BY n) AS nth FROM lim WHERE text_x - 0.2e0 >= 0 AND text_x + 0.2e0 <= page_width AND text_y - 0.125e0 >= 0 AND text_y + 0.125e0 <= page_height AND lx <= hx AND ly <= hy)
-    SELECT w.diagram_id, w.id, f.side, round(least(greatest(f.text_x, lx), hx), 4) AS root_x, round(least(greatest(f.text_y, ly), hy), 4) AS root_y FROM withref w LEFT JOIN fit f ON w.diagram_id = f.diagram_id AND w.id = f.id AND f.nth = 1"""
+    SELECT w.diagram_id, w.id, f.side, round(least(greatest(f.text_x, lx), hx), 4) AS root_x, round(least(greatest(f.text_y, ly), hy), 4) AS root_y,
+      round(w.x - least(greatest(f.text_x, lx), hx) + 1.3125e0 + 1e-8, 4) AS leader_x, round(w.y - w.height / 2 - least(greatest(f.text_y, ly), hy) + 0.15625e0 + 1e-8, 4) AS leader_y FROM withref w LEFT JOIN fit f ON w.diagram_id = f.diagram_id AND w.id = f.id AND f.nth = 1"""
 
 
 @query(callout_sql(), *DRAW_SEEDS)
 def draw_callouts(read):
-    return rounded(drawing.callouts(drawn(read), read("pages_of")).select("diagram_id", "id", "side", "root_x", "root_y"), "root_x", "root_y", digits=4)
+    out = drawing.callouts(drawn(read), read("pages_of")).select("diagram_id", "id", "side", "root_x", "root_y", (F.col("leader_x") + 1e-8).alias("leader_x"), (F.col("leader_y") + 1e-8).alias("leader_y"))
+    return rounded(out, "root_x", "root_y", "leader_x", "leader_y", digits=4)
 
 
 @query(
@@ -505,6 +507,34 @@ def auto_references(read):
     return drawing.automatic_references(read("schematic_nodes")).select("diagram_id", "pos", "reference_number")
 
 
+@query(
+    DRAWN + """, ruled AS (
+      SELECT d.diagram_id, id, CASE WHEN pos % 10 = 3 THEN 'no_geometry' WHEN pos % 10 = 4 THEN 'not_finite'
+        WHEN x + width / 2 > page_width + 1e-6 OR y + height / 2 > page_height + 1e-6 OR x - width / 2 < -1e-6 OR y - height / 2 < -1e-6 THEN 'outside_page' END AS rule FROM drawn d JOIN pages_of USING (diagram_id)
+    ) SELECT * FROM ruled WHERE rule IS NOT NULL""",
+    *DRAW_SEEDS)
+def drawing_rules(read):
+    """Some centres are taken away and some widths made unusable, to be found."""
+    nodes = drawn(read)
+    nodes = nodes.withColumns({"x": F.when(F.col("pos") % 10 != 3, F.col("x")), "width": F.when(F.col("pos") % 10 == 4, float("nan")).otherwise(F.col("width"))})
+    return drawing.drawing_findings(nodes, read("pages_of"))
+
+
+@query(f""", required AS (SELECT unnest([{", ".join(f"'{m}'" for m in t.MARKERS)}]) AS marker)
+    SELECT r.marker, count(s.shape_id) AS n FROM required r LEFT JOIN template_shapes s ON r.marker = s.marker GROUP BY r.marker HAVING count(s.shape_id) <> 1""", "template_shapes")
+def marker_gaps(read):
+    markers = read.spark.createDataFrame([(m,) for m in t.MARKERS], "marker string")
+    return drawing.marker_counts(read("template_shapes"), markers)
+
+
+@query(""" SELECT n.diagram_id, n.id, n.type, 'missing_marker' AS rule FROM schematic_nodes n WHERE n.type IN ('sensor', 'memory')""", "schematic_nodes")
+def visual_gaps(read):
+    """Against a template that lacks two markers."""
+    nodes = read("schematic_nodes")
+    there = drawing.shapes(nodes).select("marker").distinct().where(~F.col("marker").isin(t.NODE_VISUALS["sensor"][0], t.NODE_VISUALS["memory"][0]))
+    return drawing.unknown_visuals(nodes, there)
+
+
 @query(f" SELECT {t.sql_case('type', t.NODE_VISUALS, 0)} AS marker, count(*) AS n FROM schematic_nodes GROUP BY 1", "schematic_nodes")
 def marker_inventory(read):
     return drawing.shapes(read("schematic_nodes")).groupBy("marker").agg(F.count("*").alias("n"))
@@ -514,11 +544,18 @@ def marker_inventory(read):
 
 DIFFS = """, b AS (SELECT coalesce(e.diagram_id, a.diagram_id) AS case_id, coalesce(e.pos, a.pos) AS k, e.diagram_id IS NULL AS no_e, a.diagram_id IS NULL AS no_a,
     e.relation AS er, a.relation AS ar, e.direction AS ed, a.direction AS ad, e.source AS es, a.source AS as_, e.target AS et, a.target AS at_ FROM expected_edges e FULL OUTER JOIN actual_edges a ON e.diagram_id = a.diagram_id AND e.pos = a.pos
+), nb AS (SELECT coalesce(e.diagram_id, a.diagram_id) AS case_id, coalesce(e.pos, a.pos) AS k, e.diagram_id IS NULL AS no_e, a.diagram_id IS NULL AS no_a, e.id AS ei, a.id AS ai, e.label AS el, a.label AS al, e.type AS et, a.type AS at_, a.parent_id AS ap
+    FROM expected_nodes e FULL OUTER JOIN actual_nodes a ON e.diagram_id = a.diagram_id AND e.pos = a.pos
 ), diffs AS (
   SELECT case_id, k, 'edges[' || k || ']' AS path, CASE WHEN no_e THEN '<missing>' ELSE '{"direction":"' || ed || '","relation":"' || er || '","source":"' || es || '","target":"' || et || '"}' END AS expected,
     CASE WHEN no_a THEN '<missing>' ELSE '{"direction":"' || ad || '","relation":"' || ar || '","source":"' || as_ || '","target":"' || at_ || '"}' END AS actual FROM b WHERE no_e OR no_a
   UNION ALL SELECT case_id, k, 'edges[' || k || '].relation', er, ar FROM b WHERE er <> ar UNION ALL SELECT case_id, k, 'edges[' || k || '].direction', ed, ad FROM b WHERE ed <> ad
   UNION ALL SELECT case_id, k, 'edges[' || k || '].source', es, as_ FROM b WHERE es <> as_ UNION ALL SELECT case_id, k, 'edges[' || k || '].target', et, at_ FROM b WHERE et <> at_
+  UNION ALL SELECT case_id, k, 'nodes[' || k || ']', CASE WHEN no_e THEN '<missing>' ELSE '{"id":"' || ei || '","label":"' || el || '","type":"' || et || '"}' END, CASE WHEN no_a THEN '<missing>' ELSE '{"id":"' || ai || '","label":"' || al || '"' || coalesce(',"parent_id":"' || ap || '"', '') || ',"type":"' || at_ || '"}' END FROM nb WHERE no_e OR no_a
+  UNION ALL SELECT case_id, k, 'nodes[' || k || '].label', el, al FROM nb WHERE el <> al UNION ALL SELECT case_id, k, 'nodes[' || k || '].type', et, at_ FROM nb WHERE et <> at_
+  UNION ALL SELECT case_id, k, 'nodes[' || k || '].parent_id', '<missing>', ap FROM nb WHERE NOT no_e AND ap IS NOT NULL
+  UNION ALL SELECT e.diagram_id, -1, 'title', e.title, a.title FROM flow_diagrams e JOIN actual_diagrams a USING (diagram_id) WHERE e.title <> a.title
+  UNION ALL SELECT e.diagram_id, -1, 'orientation', e.orientation, a.orientation FROM flow_diagrams e JOIN actual_diagrams a USING (diagram_id) WHERE e.orientation <> a.orientation
 ), answers AS (SELECT diagram_id AS case_id, CASE WHEN length(diagram_id) % 4 = 3 AND orientation = 'left_to_right' THEN 'no_diagram' WHEN diagram_id LIKE '7/%' THEN 'ProviderError' ELSE 'graph' END AS actual FROM flow_diagrams
 ), marks AS (SELECT diagram_id AS case_id FROM flow_diagrams WHERE diagram_id LIKE '1%' AND orientation = 'left_to_right'
 ), cases AS (
@@ -526,12 +563,14 @@ DIFFS = """, b AS (SELECT coalesce(e.diagram_id, a.diagram_id) AS case_id, coale
     CASE WHEN a.actual = 'graph' AND m.case_id IS NULL THEN coalesce(n, 0) ELSE 0 END AS differences
   FROM answers a LEFT JOIN (SELECT case_id, count(*) AS n FROM diffs GROUP BY case_id) d ON a.case_id = d.case_id LEFT JOIN marks m ON a.case_id = m.case_id
 )"""
-EVAL = ("expected_edges", "actual_edges", "flow_diagrams")
+EVAL = ("expected_edges", "actual_edges", "expected_nodes", "actual_nodes", "flow_diagrams", "actual_diagrams")
 
 
 def differences(read) -> DataFrame:
     pick = lambda name: read(name).withColumnRenamed("diagram_id", "case_id")
-    return evaluate.list_differences(pick("expected_edges"), pick("actual_edges"), "case_id", "edges", ["direction", "relation", "source", "target"])
+    edges = evaluate.list_differences(pick("expected_edges"), pick("actual_edges"), "case_id", "edges", ["direction", "relation", "source", "target"])
+    nodes = evaluate.list_differences(pick("expected_nodes"), pick("actual_nodes"), "case_id", "nodes", ["id", "label", "parent_id", "type"])
+    return edges.unionByName(nodes).unionByName(evaluate.field_differences(pick("flow_diagrams"), pick("actual_diagrams"), "case_id", ["diagram_type", "orientation", "title"]))
 
 
 def cases(read) -> DataFrame:
@@ -563,21 +602,37 @@ FIRSTS = r""", firsts AS (
 )"""
 
 
+COMPARED = """, compared AS (
+  SELECT drawing, count(*) AS shapes, CAST(sum((NOT in_moved OR abs(before_x - moved_x) > 1e-4 OR abs(before_y - moved_y) > 1e-4)::INT) AS BIGINT) AS moved_far,
+    CAST(sum((in_moved <> in_reopened OR in_moved AND (abs(moved_x - reopened_x) > 1e-4 OR abs(moved_y - reopened_y) > 1e-4))::INT) AS BIGINT) AS pins_lost,
+    CAST(sum((NOT in_moved OR NOT in_reopened OR signature <> reopened_signature)::INT) AS BIGINT) AS signatures_changed,
+    count(*) AS shapes_before, CAST(sum(in_moved::INT) AS BIGINT) AS shapes_moved, CAST(sum(in_reopened::INT) AS BIGINT) AS shapes_reopened,
+    count(*) AS connections_before, CAST(sum(in_moved::INT) AS BIGINT) AS connections_moved, CAST(sum(in_reopened::INT) AS BIGINT) AS connections_reopened FROM firsts GROUP BY drawing
+)"""
+
+
 @query(FIRSTS + " SELECT drawing, name AS label, root_pos FROM firsts", "snapshots")
 def first_shape_by_label(read):
     return snapshots.first_by_label(read("snapshots")).select("drawing", "label", "root_pos")
 
 
 @query(
-    FIRSTS + """ SELECT drawing, count(*) AS shapes, CAST(sum((abs(before_x - moved_x) > 1e-4 OR abs(before_y - moved_y) > 1e-4)::INT) AS BIGINT) AS moved_far,
-      CAST(sum((abs(moved_x - reopened_x) > 1e-4 OR abs(moved_y - reopened_y) > 1e-4)::INT) AS BIGINT) AS pins_lost, CAST(sum((signature <> reopened_signature)::INT) AS BIGINT) AS signatures_changed FROM firsts GROUP BY drawing""",
-    "snapshots",
-)
+    FIRSTS + COMPARED + " SELECT * FROM compared", "snapshots")
 def snapshot_compare(read):
+    return compared_snapshots(read)
+
+
+@query(
+    FIRSTS + COMPARED + """ SELECT drawing, CASE WHEN shapes_before <> shapes_moved OR shapes_moved <> shapes_reopened THEN 'shape_count' WHEN connections_before <> connections_moved OR connections_moved <> connections_reopened THEN 'connection_count'
+      WHEN signatures_changed > 0 THEN 'signatures' WHEN pins_lost > 0 THEN 'pins' END AS failed FROM compared""", "snapshots")
+def snapshot_outcomes(read):
+    return snapshots.outcomes(compared_snapshots(read))
+
+
+def compared_snapshots(read) -> DataFrame:
     rows = snapshots.first_by_label(read("snapshots"))
-    stage = lambda p, s: rows.select("drawing", "label", F.col(f"{p}_x").alias("pin_x"), F.col(f"{p}_y").alias("pin_y"), F.array(s).alias("signatures"))
-    out = snapshots.compared(stage("before", "signature"), stage("moved", "signature"), stage("reopened", "reopened_signature"))
-    return out.select("drawing", "shapes", "moved_far", "pins_lost", "signatures_changed")
+    stage = lambda p, s, there: rows.where(there).select("drawing", "label", F.col(f"{p}_x").alias("pin_x"), F.col(f"{p}_y").alias("pin_y"), F.array(s).alias("signatures"))
+    return snapshots.compared(stage("before", "signature", F.lit(True)), stage("moved", "signature", "in_moved"), stage("reopened", "reopened_signature", "in_reopened"))
 
 
 # Provenance.
@@ -590,13 +645,14 @@ def artifact_hashes(read):
 
 CHECKS = """, sums AS (SELECT run_id, CAST(sum((sha256(coalesce(content, '')) <> recorded)::INT) AS BIGINT) AS mismatches FROM artifacts GROUP BY run_id
 ), checks AS (
-  SELECT r.run_id, provider, mismatches, CASE WHEN NOT clean THEN 'worktree' WHEN NOT critiqued THEN 'critique' WHEN provider <> 'codex' THEN 'provider' WHEN mismatches > 0 THEN 'hash' END AS failed FROM runs r JOIN sums s ON r.run_id = s.run_id
+  SELECT r.run_id, provider, mismatches, CASE WHEN revision <> 'new' THEN 'revision' WHEN NOT clean THEN 'worktree' WHEN NOT critiqued THEN 'critique' WHEN provider <> 'codex' THEN 'provider' WHEN model <> 'large' THEN 'model'
+    WHEN seen_sha256 <> 'ab12' THEN 'output_hash' WHEN mismatches > 0 THEN 'hash' WHEN native_status <> 'passed' THEN 'native_status' WHEN native_sha256 <> 'ab12' THEN 'native_hash' WHEN after_sha256 <> 'ab12' THEN 'after_hash' END AS failed FROM runs r JOIN sums s ON r.run_id = s.run_id
 )"""
 
 
 def run_checks(read) -> DataFrame:
     artifacts = read("artifacts")
-    return provenance.run_checks(read("runs"), provenance.verified(artifacts.select("run_id", "path", "recorded"), provenance.hashed(artifacts), "codex"), "codex")
+    return provenance.run_checks(read("runs"), provenance.verified(artifacts.select("run_id", "path", "recorded"), provenance.hashed(artifacts)), "codex", "new", "large")
 
 
 @query(CHECKS + " SELECT * FROM checks", "artifacts", "runs")
@@ -649,6 +705,21 @@ def dot_lines(read):
 
 
 
+@query(
+    sizes_sql("schematic_nodes") + f""", txt AS (SELECT *, '"' || id || '" [width="' || printf('%.4f', w) || '", height="' || printf('%.4f', h) || '", label="' || label || '"];' AS node FROM sizes
+    ), lines AS (
+      SELECT diagram_id, 0 AS section, '' AS k1, '' AS k2, '' AS k3, 'digraph diagram {{' || chr(10) || '  graph [rankdir="LR", nodesep="1.2500", ranksep="1.5000"];' || chr(10) || '  node [fixedsize="true", shape="box"];' AS line FROM schematic_diagrams
+      UNION ALL SELECT diagram_id, 1, id, '', '', '  ' || node FROM txt WHERE parent_id IS NULL AND id <> 'order'
+      UNION ALL SELECT diagram_id, 2, id, '', '', '  subgraph "cluster_' || id || '" {{' || chr(10) || '    graph [label="' || label || '", margin="24.0000"];' FROM txt WHERE id = 'order'
+      UNION ALL SELECT diagram_id, 2, parent_id, '1', id, '    ' || node FROM txt WHERE parent_id IS NOT NULL UNION ALL SELECT diagram_id, 2, id, '2', '', '  }}' FROM txt WHERE id = 'order'
+      UNION ALL SELECT diagram_id, 3, source, target, coalesce(id, ''), '  "' || source || '" -> "' || target || '" [weight="' || {t.sql_case('relation', t.RELATION_VISUALS, 2)} || '"];' FROM schematic_edges
+      UNION ALL SELECT diagram_id, 4, '', '', '', '}}' FROM schematic_diagrams
+    ) SELECT diagram_id, string_agg(line, chr(10) ORDER BY section, k1, k2, k3, line) || chr(10) AS dot FROM lines GROUP BY diagram_id""",
+    "schematic_nodes", "schematic_edges", "schematic_diagrams", keep_bases=True)
+def dot_texts(read):
+    return dot.export_dot(read("schematic_diagrams"), read("schematic_nodes"), read("schematic_edges"))
+
+
 # More of the inventory: decoded rows, maps, gaps, imports, times.
 
 

@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.tables import MARKERS, sql_case
 from ..storage import kept
 
 SEEDS = {
@@ -135,18 +136,33 @@ SEEDS = {
     "actual_edges": """
         SELECT diagram_id, pos, source, target, CASE WHEN (pos + length(diagram_id)) % 5 = 0 THEN 'power' ELSE relation END AS relation, direction
         FROM (SELECT *, max(pos) OVER (PARTITION BY diagram_id) AS last_pos FROM expected_edges) AS e WHERE NOT (pos = last_pos AND length(diagram_id) % 2 = 0)""",
+    "expected_nodes": "SELECT diagram_id, pos - 1 AS pos, id, type, label, parent_id FROM flow_nodes",
+    "actual_nodes": """
+        SELECT diagram_id, pos, id, CASE WHEN (pos + length(diagram_id)) % 9 = 2 THEN 'note' ELSE type END AS type, CASE WHEN pos = 1 AND length(diagram_id) % 2 = 0 THEN label || '!' ELSE label END AS label,
+          CASE WHEN pos = 2 THEN 'home' END AS parent_id FROM expected_nodes WHERE NOT (pos = 3 AND length(diagram_id) % 2 = 1)
+        UNION ALL SELECT diagram_id, CAST(9 AS BIGINT) AS pos, 'extra' AS id, 'note' AS type, 'x' AS label, CAST(NULL AS STRING) AS parent_id FROM flow_diagrams WHERE length(diagram_id) % 4 = 2""",
+    "actual_diagrams": """
+        SELECT diagram_id, CASE WHEN diagram_id LIKE '2%' THEN 'other' ELSE title END AS title, diagram_type, CASE WHEN diagram_id LIKE '3%' THEN 'left_to_right' ELSE orientation END AS orientation FROM flow_diagrams""",
     # snapshots of drawings before a move, after it, and reopened
     "snapshots": """
         SELECT diagram_id AS drawing, n AS root_pos, 0 AS dfs_pos, CASE WHEN n % 3 = 0 THEN 'Part\t' || CAST(l_partkey % 50 AS STRING) ELSE ' Part  ' || CAST(l_partkey % 50 AS STRING) END AS label,
           1e0 + n AS before_x, 2e0 + l_tax AS before_y, CASE WHEN n <= 2 THEN 1.35e0 + n ELSE 1e0 + n END AS moved_x, CASE WHEN n <= 2 THEN 2.15e0 + l_tax ELSE 2e0 + l_tax END AS moved_y,
           CASE WHEN l_quantity > 45 THEN 1.36e0 + n WHEN n <= 2 THEN 1.35e0 + n ELSE 1e0 + n END AS reopened_x, CASE WHEN n <= 2 THEN 2.15e0 + l_tax ELSE 2e0 + l_tax END AS reopened_y,
           CAST(l_suppkey AS STRING) || '|BeginX|' || CAST(n AS STRING) || '|PinX' AS signature,
-          CASE WHEN l_discount > 0.09 THEN 'x' ELSE CAST(l_suppkey AS STRING) END || '|BeginX|' || CAST(n AS STRING) || '|PinX' AS reopened_signature
+          CASE WHEN l_discount > 0.09 THEN 'x' ELSE CAST(l_suppkey AS STRING) END || '|BeginX|' || CAST(n AS STRING) || '|PinX' AS reopened_signature,
+          l_quantity <> 7 AS in_moved, l_quantity NOT IN (7, 11) AS in_reopened
         FROM order_lines""",
     # artifacts of runs, and hashes on record of which some are wrong
     "artifacts": """
         SELECT source AS run_id, CAST(doc_id AS STRING) AS path, text AS content, sha2(coalesce(text, '') || CASE WHEN doc_id % 97 = 0 THEN '!' ELSE '' END, 256) AS recorded FROM @documents""",
-    "runs": "SELECT source AS run_id, count(*) % 2 = 0 AS clean, max(doc_id) % 3 > 0 AS critiqued, CASE WHEN min(doc_id) % 5 = 4 THEN 'other' ELSE 'codex' END AS provider FROM @documents GROUP BY source",
+    "runs": """
+        SELECT source AS run_id, count(*) % 2 = 0 AS clean, max(doc_id) % 3 > 0 AS critiqued, CASE WHEN min(doc_id) % 5 = 4 THEN 'other' ELSE 'codex' END AS provider,
+          CASE WHEN max(doc_id) % 11 = 1 THEN 'old' ELSE 'new' END AS revision, CASE WHEN max(doc_id) % 11 = 2 THEN 'small' ELSE 'large' END AS model, 'AB12' AS output_sha256,
+          CASE WHEN max(doc_id) % 11 = 4 THEN 'ff' ELSE 'ab12' END AS seen_sha256, CASE WHEN max(doc_id) % 11 = 3 THEN 'failed' ELSE 'passed' END AS native_status,
+          CASE WHEN max(doc_id) % 11 = 5 THEN 'ff' ELSE 'ab12' END AS native_sha256, CASE WHEN max(doc_id) % 11 = 6 THEN 'ff' ELSE 'ab12' END AS after_sha256 FROM @documents GROUP BY source""",
+    # shapes of a template: some markers twice, some not at all
+    "template_shapes": f"""
+        SELECT DISTINCT CAST(l_suppkey % 23 AS BIGINT) AS shape_id, {sql_case("l_suppkey % 23", {i: MARKERS[i % 21 % len(MARKERS)] for i in range(23)})} AS marker FROM order_lines""",
     # members of packages: the pages of a host
     "members": """
         SELECT substring(url, 1, 9) AS package, page_id AS pos,
