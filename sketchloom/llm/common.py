@@ -4,41 +4,26 @@ from __future__ import annotations
 
 import functools
 import re
-import tempfile
-import uuid
 from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import kept, shared_folder
+
 #: Stands for a null document id inside the operators: such a row sorts after every real id.
 NO_ID = 2**63 - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where the session is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A table written once to the shared folder and read back: lineage is cut, lost executors lose nothing.
+stored = kept
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder, for loops whose plans would grow."""
-    shared_dir(df.sparkSession)
     if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

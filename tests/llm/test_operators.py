@@ -772,3 +772,19 @@ def test_pipeline_decides_row_by_row(spark, rows, tmp_path):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).where("start = 0")
     assert table(got, "doc_id") == sorted([(2,), (3,), (4,), (None,), (6,)], key=repr)
+
+
+def test_pipeline_of_an_empty_table_and_clashing_columns(spark, rows, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = spark.createDataFrame([(r[0], r[1], r[2], None, r[4]) for r in rows[:30]] + [(90, None, None, None, None), (91, "", "en", "x", 0)], DOCS)
+    clashing = frame.withColumns({c: F.lit("clash") for c in ("class", "id", "fp", "queue", "digest", "keep", "item_id")})
+    clashing.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() > 0 and not {90, 91} & {r["doc_id"] for r in got.select("doc_id").collect()}
+    docs = clashing.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0
+        assert name == "packing" or set(clashing.columns) <= set(docs.columns)
