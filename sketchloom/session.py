@@ -6,21 +6,28 @@ import os
 import tempfile
 import zipfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
-def session(name: str = "sketchloom", cpus: str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings the jobs expect."""
-    builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)
+def session(name: str = "sketchloom", cpus: str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the jobs expect; what is set already (spark-submit, a cluster's defaults) stays.
+
+    cpus: run locally on so many. Without it, and without a master from outside, all local ones.
+    """
+    given = SparkConf()
     settings = {
-        "spark.sql.shuffle.partitions": "8",
+        "spark.master": f"local[{cpus or '*'}]",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
-    for key, value in (settings | conf).items():
+    if given.get("spark.master", settings["spark.master"]).startswith("local"):
+        settings["spark.sql.shuffle.partitions"] = "8"
+    builder = SparkSession.builder.appName(name)
+    for key, value in ({k: v for k, v in settings.items() if not given.contains(k)} | conf).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
