@@ -1,6 +1,6 @@
 """Normalization of graphs: reciprocal edges, edge ids, rules in their order.
 
-All jobs shuffle once, on diagram_id; windows on (diagram_id, ...) reuse that.
+Rules are windows, groupings and joins on (diagram_id, ...), each over all diagrams.
 Findings are rows (diagram_id, phase, k1, k2, sub, rule, message); the order of
 (phase, k1, k2, sub) is the order in which a reader would meet them.
 """
@@ -97,8 +97,9 @@ def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def with_parents(nodes: DataFrame) -> DataFrame:
     """Nodes that name a parent, with the parent's type and its own parent (null if there is none)."""
-    parents = nodes.select(F.col("diagram_id").alias("d"), F.col("id").alias("pid"), F.col("type").alias("parent_type"), F.col("parent_id").alias("grandparent_id"), F.lit(True).alias("found"))
-    parents = parents.dropDuplicates(["d", "pid"])
+    first = F.min_by(F.struct("type", "parent_id"), "pos").alias("p")  # of nodes with one id the first
+    parents = nodes.groupBy(F.col("diagram_id").alias("d"), F.col("id").alias("pid")).agg(first)
+    parents = parents.select("d", "pid", F.col("p.type").alias("parent_type"), F.col("p.parent_id").alias("grandparent_id"), F.lit(True).alias("found"))
     children = nodes.where(F.col("parent_id").isNotNull())
     return children.join(parents, (children["diagram_id"] == parents["d"]) & (children["parent_id"] == parents["pid"]), "left").drop("d", "pid")
 
@@ -129,17 +130,19 @@ def containment_cycles(nodes: DataFrame) -> DataFrame:
     """Nodes from which the chain of parents comes back to a node it has passed.
 
     Only diagrams with unique ids (elsewhere an earlier rule has the word) in
-    which some parent has a parent are looked at. A chain of n links that has
-    not ended after n steps runs in a circle.
+    which some parent has a parent are looked at. A chain that has not ended after
+    as many steps as there are nodes runs in a circle; steps double.
     """
     rows = nodes.groupBy("diagram_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "parent_id"))).alias("all"))
     ids = F.transform("all", lambda n: n["id"])
     links = F.filter("all", lambda n: n["parent_id"].isNotNull())
     deep = F.arrays_overlap(F.transform(links, lambda n: n["parent_id"]), F.transform(links, lambda n: n["id"]))
     rows = rows.where((F.size(F.array_distinct(ids)) == F.size("all")) & deep)
-    end = lambda up, n: F.aggregate(F.sequence(F.lit(1), F.size(up) + 1), n["id"], lambda at, _: F.element_at(up, at))
-    up = F.map_from_entries(F.transform(links, lambda n: F.struct(n["id"], n["parent_id"])))
-    bad = let(up, lambda up: F.filter("all", lambda n: end(up, n).isNotNull()))
+    # where each node's parent stands (0: none, or not in the diagram); doubling the step leaves 0 for every chain that ends
+    up = let(ids, lambda ids: F.transform("all", lambda n: F.coalesce(F.array_position(ids, n["parent_id"]).cast("int"), F.lit(0))))
+    jump = lambda up: F.transform(up, lambda p: F.when(p == 0, 0).otherwise(F.get(up, p - 1)))
+    far = F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size("all") + 1)).cast("int")), up, lambda up, _: let(up, jump))
+    bad = F.transform(F.filter(F.arrays_zip(F.col("all").alias("n"), far.alias("far")), lambda z: z["far"] > 0), lambda z: z["n"])
     found = rows.select("diagram_id", F.explode(bad).alias("n")).select("diagram_id", "n.pos", "n.id")
     return by_position(found, 5, "containment_cycle", quoted_message("containment cycle detected from node ", F.col("id")))
 
