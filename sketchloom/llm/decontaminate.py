@@ -50,13 +50,15 @@ FOUND = "doc_id long, item_id long, score double, overlap double, question_overl
 
 
 def shingles(ids: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """64-bit hashes of all runs of `words` ids."""
+    """64-bit hashes of all runs of `words` ids without a word that no item has (-1)."""
     if len(ids) < words:
         return np.zeros(0, np.uint64)
+    known = np.append(0, np.cumsum(ids >= 0))
+    at = np.nonzero(known[words:] - known[:-words] == words)[0]
     with np.errstate(over="ignore"):
-        out = np.zeros(len(ids) - words + 1, np.uint64)
+        out = np.zeros(len(at), np.uint64)
         for k in range(words):
-            out = (out ^ (ids[k : len(ids) - words + 1 + k].astype(np.int64) + 2).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out = (out ^ (ids[at + k].astype(np.int64) + 2).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(31)
     return out
 
@@ -103,13 +105,15 @@ class Index:
         known = known or statistics_of(t for _, t in items)
         self.terms: dict[str, int] = {}
         self.held: dict[int, tuple | None] = {}  # postings of a term in a block, as they come to be used
-        self.items, units, owner, wanted = [], [], [], defaultdict(list)
+        self.items, units, owner, wanted, self.short = [], [], [], defaultdict(list), set()
         for item, text in items:
             words, halves = words_of(text)
             if not words:
                 continue
             ids = np.asarray([self.terms.setdefault(w, len(self.terms)) for w in words], np.int32)
             halves = [np.asarray([self.terms[w] for w in h], np.int32) for h in halves]
+            if max(map(len, halves)) < WORDS:  # found by short parts alone
+                self.short |= {min(WORDS, max(len(own), 1)) for own in (ids, *halves)}
             for kind, own in enumerate((ids, *halves)):
                 n = min(WORDS, max(len(own), 1))
                 wanted[n].append((3 * len(self.items) + kind, np.unique(shingles(own, n))))
@@ -162,8 +166,11 @@ class Index:
     def verified(self, ids: np.ndarray) -> dict[int, tuple[float, float, float]]:
         """Item -> overlap, question's overlap, answer's overlap, of the items that a document passes for."""
         shares: dict[int, float] = {}
-        likely: set[int] = set()
-        for words, (distinct, first, part, weight) in self.wanted.items():
+        likely: set[int] = set()  # items of which a part passes
+        for words in sorted(self.wanted, reverse=True):
+            if words < WORDS and not likely and words not in self.short:
+                continue  # its items have a longer part, and none of these passes
+            distinct, first, part, weight = self.wanted[words]
             have = shingles(ids, words)
             if not len(have) or not len(distinct):
                 continue
@@ -174,7 +181,7 @@ class Index:
             parts_, inverse = np.unique(part[place], return_inverse=True)
             share = np.bincount(inverse, weight[place], len(parts_))
             shares.update(zip(parts_.tolist(), share.tolist(), strict=True))
-            likely.update((parts_[(parts_ % 3 < 2) & (share >= OVERLAP - 1e-9)] // 3).tolist())
+            likely.update((parts_[share >= OVERLAP - 1e-9] // 3).tolist())
         found = {i: tuple(shares.get(3 * i + k, 0.0) for k in range(3)) for i in likely}
         return {i: s for i, s in found.items() if s[0] >= OVERLAP - 1e-9 or min(s[1:]) >= OVERLAP - 1e-9}
 
