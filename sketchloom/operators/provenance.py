@@ -15,9 +15,14 @@ def hashed(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("run_id", "path", sha256(F.col("content")).alias("sha256"))
 
 
-def manifests(runs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """runs plus artifact_sha256, a map in the order of paths."""
-    listed = hashes.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "sha256")))).alias("artifact_sha256"))
+def manifests(runs: DataFrame, hashes: DataFrame, digits: int = 2) -> DataFrame:
+    """runs plus bucket and artifact_sha256, a map in the order of paths.
+
+    A run's paths are dealt into 16 ** digits buckets by their own hash, so that
+    no row has to hold them all; a run without artifacts has one row of nulls.
+    """
+    bucket = F.substring(F.sha2("path", 256), 1, digits)
+    listed = hashes.groupBy("run_id", bucket.alias("bucket")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "sha256")))).alias("artifact_sha256"))
     return runs.join(listed, "run_id", "left")
 
 

@@ -770,11 +770,11 @@ def layout_assembly(read):
     return layout.layout_findings(designs.last_placements(read("placements")), read("schematic_nodes"), read("pages_of"))
 
 
-@query(" SELECT run_id, clean, count(*) AS n, string_agg(path || '=' || sha256(coalesce(content, '')), ',' ORDER BY path) AS hashes FROM artifacts JOIN runs USING (run_id) GROUP BY run_id, clean", "artifacts", "runs")
+@query(" SELECT run_id, clean, substring(sha256(path), 1, 2) AS bucket, count(*) AS n, string_agg(path || '=' || sha256(coalesce(content, '')), ',' ORDER BY path) AS hashes FROM artifacts JOIN runs USING (run_id) GROUP BY run_id, clean, bucket", "artifacts", "runs")
 def manifest_maps(read):
     out = provenance.manifests(read("runs"), provenance.hashed(read("artifacts")))
     entries = F.transform(F.map_entries("artifact_sha256"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return out.select("run_id", "clean", F.size("artifact_sha256").cast("long").alias("n"), F.array_join(entries, ",").alias("hashes"))
+    return out.select("run_id", "clean", "bucket", F.size("artifact_sha256").cast("long").alias("n"), F.array_join(entries, ",").alias("hashes"))
 
 
 POSITIONS = """, b AS (SELECT *, l_orderkey % 19 = 3 AS broken FROM (SELECT p.*, CAST(substring(diagram_id, 2) AS BIGINT) AS l_orderkey, row_number() OVER (PARTITION BY diagram_id, node_id ORDER BY pos DESC) AS back FROM placements p) AS x WHERE back = 1)"""

@@ -165,7 +165,7 @@ SEEDS = {
         SELECT DISTINCT CAST(l_suppkey % 23 AS BIGINT) AS shape_id, {sql_case("l_suppkey % 23", {i: MARKERS[i % 21 % len(MARKERS)] for i in range(23)})} AS marker FROM order_lines""",
     # members of packages: the pages of a host
     "members": """
-        SELECT substring(url, 1, 9) AS package, page_id AS pos,
+        SELECT regexp_extract(url, '://([^/]+)', 1) AS package, page_id AS pos,
           CASE WHEN page_id % 40 = 0 THEN '[Content_Types].xml' WHEN page_id % 40 = 1 THEN 'visio/document.xml' WHEN page_id % 40 = 2 THEN 'visio/pages/page' || CAST(page_id AS STRING) || '.xml' ELSE url END AS name,
           CASE WHEN page_id % 211 = 7 THEN 1 ELSE 0 END AS flag_bits, CAST(length(html) AS BIGINT) AS file_size, CAST(floor(length(html) / (1 + page_id % 9)) AS BIGINT) AS compress_size,
           page_id % 157 <> 3 AS crc_ok, page_id % 149 <> 2 AS xml_ok
