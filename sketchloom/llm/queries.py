@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, langid, packing, pii, simhash, suffix_dedup, token_lengths, toxicity
+from . import chat, decontaminate, exact_dedup, hard_negatives, langid, packing, pii, simhash, suffix_dedup, token_lengths, toxicity
 from .common import documents, word_tokenizer_path
 
 
@@ -54,6 +54,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.shifted_labels(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -66,8 +71,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
+        "op11_hard_negatives": op11_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op8_chat_format": chat.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op8_chat_format": chat.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
