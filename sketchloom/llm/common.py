@@ -112,6 +112,17 @@ def stretches(text: str, size: int = 1 << 15) -> Iterator[str]:
         at = end
 
 
+#: Runs of digits, of letters in lower case and of bytes beyond ASCII, and A-Z to a-z.
+LOWER_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+LOWER_CASE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def lower_words(text: str) -> Iterator[list[bytes]]:
+    """The words of a text after A-Z have become lower case, as UTF-8, in lists of bounded stretches."""
+    for part in stretches(text, 1 << 20):
+        yield LOWER_WORD.findall(part.encode().translate(LOWER_CASE))
+
+
 def latin(text: str) -> bool:
     if text.isascii():
         return True

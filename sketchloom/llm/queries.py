@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, hard_negatives, langid, packing, pii, simhash, suffix_dedup, token_lengths, toxicity
+from . import chat, decontaminate, exact_dedup, hard_negatives, langid, licenses, packing, pii, ranked_search, simhash, suffix_dedup, token_lengths, toxicity
 from .common import documents, word_tokenizer_path
 
 
@@ -59,6 +59,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("finds")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -72,8 +80,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_licenses": op12_licenses,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op8_chat_format": chat.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op8_chat_format": chat.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_licenses": licenses.oracle(), "op13_ranked_search": ranked_search.ORACLE}
