@@ -113,12 +113,14 @@ WORDS = [f"w{i}" for i in range(K)]
 
 
 def gram_positions(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
-    """A row for each gram of each template, and one for the empty gram (template -1)."""
+    """A row for each gram of each template, and one for the empty gram (template -1); a local relation, so that Spark knows its size before it chooses a join."""
+    names = ["template", "t", "size", "label", "base", "needed", *WORDS]
     rows = [(-1, 0, 0, "", False, 1.0, *[""] * K)]
     for number, template in enumerate(templates):
         words = template.words.split()
         rows += [(number, t, len(words), template.label, template.base, template.needed, *words[t : t + K]) for t in range(len(words) - K + 1)]
-    return spark.createDataFrame(rows, "template int, t int, size int, label string, base boolean, needed double, " + ", ".join(f"{w} string" for w in WORDS))
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.float64(), *[pa.string()] * K]
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names))
 
 
 def votes(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
