@@ -80,6 +80,29 @@ MAX_MEMBERS, MAX_MEMBER_BYTES, MAX_TOTAL_BYTES, MAX_RATIO = 2_000, 20 * 1024 * 1
 REQUIRED_PARTS = ("[Content_Types].xml", "visio/document.xml")
 
 
+# What a finding says; names in braces are filled in.
+MESSAGES = {
+    "geometry": "extracted graph must not contain layout geometry",
+    "duplicate_node": "duplicate node ID '{id}'",
+    "duplicate_edge": "duplicate edge ID '{id}'",
+    "dangling_edge": "edge {end} '{id}' does not reference an existing node",
+    "self_parent": "node '{id}' cannot contain itself",
+    "missing_parent": "node '{id}' references missing parent '{parent_id}'",
+    "parent_type": "parent '{parent_id}' is not container-capable",
+    "containment_cycle": "containment cycle detected from node '{id}'",
+    "containment_depth": "node '{id}' exceeds the baseline one level of containment",
+    "duplicate_reference": "duplicate reference number '{id}'",
+    "duplicate_placement": "duplicate placement for node '{id}'",
+    "missing_placement": "missing placement for node '{id}'",
+    "unknown_placement": "placement references unknown node '{id}'",
+    "duplicate_hint": "Duplicate connector hint for edge '{id}'",
+    "unknown_hint": "connector hint references unknown edge '{id}'",
+    "outside_page": "placement for node '{id}' is outside page bounds",
+    "overlap": "placements for nodes '{id}' and '{other}' overlap",
+    "outside_container": "placement for node '{id}' is outside container '{parent_id}'",
+}
+
+
 def looked_up(key: Column, table: dict, field: int | None = None) -> Column:
     """The value of a constant table for a key; null for an unknown key."""
     out = None

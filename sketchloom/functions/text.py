@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import textwrap
 from collections.abc import Iterator
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .binding import let
+from .tables import MESSAGES
 
 
 def expand_tabs(text: Column, size: int = 8) -> Column:
@@ -93,9 +95,12 @@ def wrapped(rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return rows.select(key, text).mapInArrow(run, schema)
 
 
+#: White space at both ends, in the Unicode sense.
+ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
 def strip(text: Column) -> Column:
-    """Without white space at both ends, in the Unicode sense."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(text, ENDS, "")
 
 
 def is_blank(text: Column) -> Column:
@@ -113,5 +118,16 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A template with columns in the places of its names in braces."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)))
+
+
+def message(rule: str, **values: Column) -> Column:
+    """What a finding of a rule says."""
+    return filled(MESSAGES[rule], **values)
+
+
 def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import json_text
 from ..functions import text as tx
+from ..functions.binding import let
 from ..storage import kept
-from . import designs, normalize
-from .decode import SHAPES, ddl, verdict
+from . import designs, normalize, packed
+from .decode import SHAPES, content_as, last_key_counts, parsed, verdict
 
 
 def is_json(content: Column) -> Column:
-    return F.try_parse_json(content).isNotNull()
+    return json_text.is_document(content)
 
 
 def extension(content: Column) -> Column:
-    """Where a raw response is kept: json if it parses, else txt."""
+    """Where a raw response is kept: json if it is a document, else txt."""
     return F.when(is_json(content), "json").otherwise("txt")
 
 
 def decoded(attempts: DataFrame, what: str = "graph") -> DataFrame:
-    """attempts plus the decoded content in a column named what (graph, design or critique), and decode: ok, or why it is none."""
-    shape, content = SHAPES[what], F.col("content")
-    return attempts.withColumns({what: F.from_json(content, ddl(shape)), "decode": verdict(content, shape)})
+    """attempts plus the decoded content in a column named what (graph, design or critique; null if it is none), and decode: ok, or why it is none."""
+    last_key_counts(attempts.sparkSession)
+    shape = SHAPES[what]
+    rows = attempts.withColumn("value", parsed(F.col("content")))
+    rows = rows.withColumn("decode", verdict(shape))
+    return rows.withColumn(what, F.when(F.col("decode") == "ok", content_as(shape))).drop("value")
 
 
 def flattened(graphs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -51,15 +56,28 @@ def laid_out(good: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame
     return boxes.withColumn("importance", F.coalesce("importance", F.lit("secondary"))), hints.withColumns(auto), pages
 
 
-def judged(attempts: DataFrame, what: str = "graph") -> DataFrame:
-    """decoded() plus what each attempt is by itself (judgement: ok, no_diagram, or invalid) and the finding that speaks against it.
+DEFAULTS = {"relation": "flow", "direction": "forward", "style": "solid"}
 
-    A graph has to pass normalization; without nodes it says that there is no
-    diagram. A design has to pass normalization and the rules for its
-    placements; it may have no nodes.
-    """
-    rows = kept(decoded(attempts, what).withColumn("key", F.concat_ws("#", F.col("run_id").cast("string"), F.col("attempt_no").cast("string"))))
-    good = rows.where("decode = 'ok'")
+
+def finding_in_row(what: str) -> Column:
+    """The finding against a decoded graph or design of at most packed.LARGE items, null if there is none."""
+    graph = F.col("graph") if what == "graph" else F.col("design.graph")
+    fields = lambda e: F.struct(*(F.coalesce(e[c], F.lit(DEFAULTS[c])).alias(c) if c in DEFAULTS else e[c].alias(c) for c in packed.EDGE))
+
+    def told(nodes: Column, edges: Column) -> Column:
+        broken = packed.failure(nodes, edges)["message"]
+        if what == "graph":
+            return broken
+        layout = F.col("design.layout")
+        messages = packed.design_messages(nodes, edges, layout["placements"], layout["connector_hints"], layout["page_width"], layout["page_height"])
+        return F.coalesce(broken, F.nullif(F.array_join(messages, "; "), F.lit("")))
+
+    lists = F.struct(graph["nodes"].alias("nodes"), packed.collapsed(F.transform(graph["edges"], fields)).alias("edges"))
+    return let(lists, lambda x: told(x["nodes"], x["edges"]))
+
+
+def findings_by_tables(good: DataFrame, what: str) -> DataFrame:
+    """key, finding of decoded graphs or designs of any size."""
     graphs = good if what == "graph" else good.withColumn("graph", F.col("design.graph"))
     nodes, edges = flattened(graphs, "key")
     nodes, edges, failures = normalize.normalize(nodes, edges)
@@ -68,11 +86,34 @@ def judged(attempts: DataFrame, what: str = "graph") -> DataFrame:
         boxes, hints, pages = laid_out(graphs.join(found, "key", "left_anti"), "key")
         rules = designs.listed(designs.design_findings(nodes, edges, boxes, hints, pages))
         found = found.unionByName(rules.select(F.col("diagram_id").alias("key"), F.col("findings").alias("finding")))
-    rows = rows.join(found, "key", "left").drop("key")
-    empty = F.coalesce(F.size("graph.nodes"), F.lit(0)) <= 0 if what == "graph" else F.lit(False)
+    return found
+
+
+def judged(attempts: DataFrame, what: str = "graph") -> DataFrame:
+    """decoded() plus what each attempt is by itself (judgement: ok, no_diagram, or invalid) and the finding that speaks against it.
+
+    A graph has to pass normalization; without nodes it says that there is no
+    diagram. A design has to pass normalization and the rules for its
+    placements; it may have no nodes. A response comes in one row and is judged
+    there, without a shuffle; only those of more than packed.LARGE items go
+    through tables.
+    """
     ok = F.col("decode") == "ok"
-    rows = rows.withColumn("judgement", F.when(ok & empty, "no_diagram").when(ok & F.col("finding").isNull(), "ok").otherwise("invalid"))
-    return rows.withColumn("finding", F.when(ok, F.col("finding")).otherwise(F.col("decode")))
+    rows = decoded(attempts, what)
+    graph = "graph" if what == "graph" else "design.graph"
+    lists = [f"{graph}.nodes", f"{graph}.edges", *(["design.layout.placements", "design.layout.connector_hints"] if what == "design" else [])]
+    items = reduce(Column.__add__, (F.size(c) for c in lists))
+    rows = kept(rows.withColumn("large", ok & (items > packed.LARGE)))
+    small = F.when(ok & ~F.col("large"), finding_in_row(what))
+    if rows.where("large").isEmpty():
+        rows = rows.withColumn("finding", small)
+    else:
+        rows = rows.withColumn("key", F.concat_ws("#", F.col("run_id").cast("string"), F.col("attempt_no").cast("string")))
+        found = findings_by_tables(rows.where("large"), what)
+        rows = rows.where("not large").withColumn("finding", small).unionByName(rows.where("large").join(found, "key", "left"), allowMissingColumns=True).drop("key")
+    empty = F.size("graph.nodes") == 0 if what == "graph" else F.lit(False)
+    judgement = F.when(ok & empty, "no_diagram").when(ok & F.col("finding").isNull(), "ok").otherwise("invalid")
+    return rows.drop("large").withColumn("judgement", judgement).withColumn("finding", F.when(ok, F.col("finding")).otherwise(F.col("decode")))
 
 
 def chosen(judgements: DataFrame, requests: DataFrame) -> DataFrame:
@@ -112,20 +153,14 @@ REPAIR_WITH_SOURCE = "Request:\n{source}\n\n" + REPAIR
 CRITIQUE_REQUEST = "Request:\n{source}\n\nDesign that was drawn:\n{design}"
 
 
-def filled(template: str, **values: Column) -> Column:
-    """A template with columns in the places of its names in braces."""
-    parts = re.split(r"\{(\w+)\}", template)
-    return F.concat(*(values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)))
-
-
 def repair_queue(judgements: DataFrame, requests: DataFrame, template: str = REPAIR) -> DataFrame:
     """run_id, prompt: what to ask for where the first attempt of a request that is not blank is invalid."""
     rows = judgements.where("attempt_no = 1 and judgement = 'invalid'").join(requests.where(~tx.is_blank(F.col("text"))), "run_id")
-    return rows.select("run_id", filled(template, source=F.col("text"), finding=F.col("finding"), response=F.col("content")).alias("prompt"))
+    return rows.select("run_id", tx.filled(template, source=F.col("text"), finding=F.col("finding"), response=F.col("content")).alias("prompt"))
 
 
 def critique_request(source: Column, design: Column, template: str = CRITIQUE_REQUEST) -> Column:
-    return filled(template, source=source, design=F.to_json(design, {"pretty": "true", "ignoreNullFields": "false"}))
+    return tx.filled(template, source=source, design=F.to_json(design, {"pretty": "true", "ignoreNullFields": "false"}))
 
 
 def reviewed(critiques: DataFrame) -> DataFrame:
@@ -134,8 +169,8 @@ def reviewed(critiques: DataFrame) -> DataFrame:
     A response that is no critique is invalid; a revision has to decode and to
     pass all rules for designs.
     """
-    rows = kept(decoded(critiques, "critique").withColumn("revised", F.to_json(F.try_variant_get(F.try_parse_json("content"), "$.revised_design", "variant"))))
-    rows = rows.withColumn("revised", F.when((F.col("decode") == "ok") & (F.col("revised") != "null"), F.col("revised")))
+    revised = F.to_json(F.try_variant_get(parsed(F.col("content")), "$.revised_design", "variant"))
+    rows = kept(decoded(critiques, "critique").withColumn("revised", F.when((F.col("decode") == "ok") & F.col("critique.revised_design").isNotNull(), revised)))
     revisions = judged(rows.where("revised is not null").select("run_id", F.lit(1).alias("attempt_no"), F.col("revised").alias("content")), "design")
     rows = rows.join(revisions.select("run_id", (F.col("judgement") == "ok").alias("revision_valid")), "run_id", "left")
     known = rows.select("run_id", "decode", "initial", F.coalesce("critique.approved", F.lit(True)).alias("approved"), F.col("revised").alias("revised_design"), F.coalesce("revision_valid", F.lit(True)).alias("revision_valid"))

@@ -3,7 +3,7 @@
 Each diagram is one row: its node ids in order and, for each node, the nodes it
 reaches as bits of a long. Closure and ranks are array expressions over that
 row, so the corpus takes one shuffle and no loop. Diagrams of more than SMALL
-nodes do not fit a long and go through a per-diagram function instead.
+nodes do not fit a long; these stay rows and go through large_graphs.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
+from ..storage import kept
+from . import large_graphs
 
 #: Nodes of a diagram whose sets fit the bits of a long.
 SMALL = 62
@@ -35,10 +37,10 @@ def layout_nodes(nodes: DataFrame) -> DataFrame:
 def directed_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (diagram_id, source, target) between the given nodes; associations and undirected edges give none."""
     ids = nodes.select("diagram_id", "id").distinct()
-    kept = edges
+    inside = edges
     for end in ("source", "target"):
-        kept = kept.join(ids.withColumnRenamed("id", end), ["diagram_id", end], "left_semi")
-    return kept.select("diagram_id", F.explode(pair_ways()).alias("p")).select("diagram_id", "p.source", "p.target").distinct()
+        inside = inside.join(ids.withColumnRenamed("id", end), ["diagram_id", end], "left_semi")
+    return inside.select("diagram_id", F.explode(pair_ways()).alias("p")).select("diagram_id", "p.source", "p.target").distinct()
 
 
 def pair_ways() -> Column:
@@ -95,63 +97,39 @@ def ranked(graphs: DataFrame) -> DataFrame:
     return graphs.withColumn("ranked", F.when(F.size("ids") > 0, each).otherwise(F.array().cast(RANKED)))
 
 
-def ranked_large(graphs: DataFrame) -> DataFrame:
-    """The same for larger diagrams, one function call for each."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in rows.itertuples():
-            after: dict[str, list[str]] = {n: [] for n in row.ids}
-            before: dict[str, list[str]] = {n: [] for n in row.ids}
-            for p in row.pairs:
-                after[p["source"]].append(p["target"])
-                before[p["target"]].append(p["source"])
-            finished, seen = [], set()  # strong components by two searches: in order of finishing, then backwards
-            for start in row.ids:
-                stack = [] if start in seen else [(start, iter(after[start]))]
-                seen.add(start)
-                while stack:
-                    node, rest = stack[-1]
-                    following = next((x for x in rest if x not in seen), None)
-                    if following is None:
-                        finished.append(node)
-                        stack.pop()
-                    else:
-                        seen.add(following)
-                        stack.append((following, iter(after[following])))
-            component, rank = {}, {}
-            for start in reversed(finished):  # components come in topological order
-                if start not in component:
-                    members, stack = [], [start]
-                    component[start] = start
-                    while stack:
-                        node = stack.pop()
-                        members.append(node)
-                        for x in before[node]:
-                            if x not in component:
-                                component[x] = start
-                                stack.append(x)
-                    name, level = min(members), max((rank[x] + 1 for m in members for x in before[m] if x in rank), default=0)
-                    for m in members:
-                        rank[m] = level
-                    out += [(row.diagram_id, m, name, level) for m in members]
-        return pd.DataFrame(out, columns=["diagram_id", "id", "component", "rank"])
-
-    return graphs.groupBy("diagram_id").applyInPandas(run, "diagram_id string, id string, component string, rank int")
-
-
-def with_ranks(graphs: DataFrame) -> DataFrame:
-    """packed() graphs plus ranked, whatever their size."""
-    small = ranked(graphs.where(F.size("ids") <= SMALL))
-    large = graphs.where(F.size("ids") > SMALL)
-    found = ranked_large(large.select("diagram_id", "ids", "pairs")).groupBy("diagram_id").agg(F.collect_list(F.struct("id", "component", "rank")).alias("ranked"))
-    return small.unionByName(large.join(found, "diagram_id"))
+def split(nodes: DataFrame, most: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
+    """The nodes of diagrams of at most `most` nodes, and the ids of the larger ones (None if there are none)."""
+    large = kept(nodes.groupBy("diagram_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("diagram_id"))
+    return (nodes, None) if large.isEmpty() else (nodes.join(large, "diagram_id", "left_anti"), large)
+
+
+def ranks_of_large(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    own = kept(layout_nodes(nodes).select("diagram_id", "id").distinct())
+    return large_graphs.ranked(own, kept(directed_pairs(own, edges)))
 
 
 def ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """diagram_id, id, component, rank of all nodes that lay themselves out."""
-    return with_ranks(packed(nodes, edges)).select("diagram_id", F.inline("ranked"))
+    small, large = split(nodes)
+    out = ranked(packed(small, edges)).select("diagram_id", F.inline("ranked"))
+    if large is None:
+        return out
+    of = lambda df: df.join(large, "diagram_id", "left_semi")
+    return out.unionByName(ranks_of_large(of(nodes), of(edges)))
+
+
+def ranked_nodes(nodes: DataFrame, edges: DataFrame, *carried: str) -> DataFrame:
+    """diagram_id, id, parent_id, the carried columns, is_container (its id is a parent's) and rank (null for containers) of every node."""
+    small, large = split(nodes)
+    rows = ranked(packed(small, edges, *carried)).withColumn("rank_of", F.map_from_entries(F.transform("ranked", lambda r: F.struct(r["id"], r["rank"]))))
+    rows = rows.select("diagram_id", "containers", "rank_of", F.inline("nodes"))
+    rows = rows.withColumns({"is_container": F.array_contains("containers", F.col("id")), "rank": F.element_at("rank_of", F.col("id"))}).drop("containers", "rank_of")
+    if large is None:
+        return rows
+    of = lambda df: df.join(large, "diagram_id", "left_semi")
+    parents = is_container_id(of(nodes)).withColumn("is_container", F.lit(True))
+    more = of(nodes).join(ranks_of_large(of(nodes), of(edges)).drop("component"), ["diagram_id", "id"], "left").join(parents, ["diagram_id", "id"], "left")
+    return rows.unionByName(more.withColumn("is_container", F.coalesce("is_container", F.lit(False))).select(rows.columns))
 
 
 def condensation(pairs: DataFrame, components: DataFrame) -> DataFrame:

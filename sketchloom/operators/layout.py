@@ -91,10 +91,7 @@ def layout(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
 
     Diagrams without nodes have no rows; see empty_diagrams.
     """
-    graphs = graph.packed(sized(nodes), edges, "own_width", "own_height").join(diagrams.select("diagram_id", "orientation"), "diagram_id")
-    ranked = graph.with_ranks(graphs).withColumn("rank_of", F.map_from_entries(F.transform("ranked", lambda r: F.struct(r["id"], r["rank"]))))
-    rows = ranked.select("diagram_id", "orientation", "containers", "rank_of", F.inline("nodes"))
-    rows = rows.withColumns({"is_container": F.array_contains("containers", F.col("id")), "rank": F.element_at("rank_of", F.col("id"))}).drop("containers", "rank_of")
+    rows = graph.ranked_nodes(sized(nodes), edges, "own_width", "own_height").join(diagrams.select("diagram_id", "orientation"), "diagram_id")
     boxes = around_children(layered(rows)).select("diagram_id", "id", "x", "y", "width", "height")
     return fit_page(boxes, margin=t.MARGIN)
 

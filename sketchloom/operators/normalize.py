@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tables, text
 from ..functions.binding import let
+from ..storage import kept
+from . import large_graphs, packed
 
 FINDING = ("diagram_id", "phase", "k1", "k2", "sub", "rule", "message")
 
@@ -26,10 +28,6 @@ def by_position(rows: DataFrame, phase: int, rule: str | Column, message: Column
     return finding(rows, phase, rule, message, F.format_string("%012d", F.col("pos").cast("long")), sub=sub)
 
 
-def quoted_message(before: str, value: Column, after: str = "") -> Column:
-    return F.concat(F.lit(before + "'"), value, F.lit("'" + after))
-
-
 def collapse_reciprocal(edges: DataFrame) -> DataFrame:
     """The first of each pair of opposite, otherwise equal forward edges, made bidirectional; its partner goes.
 
@@ -78,12 +76,12 @@ def again(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def duplicate_nodes(nodes: DataFrame) -> DataFrame:
-    return by_position(again(nodes, "id"), 1, "duplicate_node", quoted_message("duplicate node ID ", F.col("id")))
+    return by_position(again(nodes, "id"), 1, "duplicate_node", text.message("duplicate_node", id=F.col("id")))
 
 
 def duplicate_edges(edges: DataFrame) -> DataFrame:
     named = edges.where(F.coalesce(F.col("id"), F.lit("")) != "")
-    return by_position(again(named, "id"), 2, "duplicate_edge", quoted_message("duplicate edge ID ", F.col("id")))
+    return by_position(again(named, "id"), 2, "duplicate_edge", text.message("duplicate_edge", id=F.col("id")))
 
 
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -91,7 +89,7 @@ def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     end = lambda sub, name: F.struct(F.lit(sub).alias("sub"), F.lit(name).alias("end"), F.col(name).alias("id"))
     ends = edges.select("diagram_id", "pos", F.inline(F.array(end(0, "source"), end(1, "target"))))
     lost = ends.join(nodes.select("diagram_id", "id"), ["diagram_id", "id"], "left_anti")
-    message = F.concat(F.lit("edge "), F.col("end"), F.lit(" '"), F.col("id"), F.lit("' does not reference an existing node"))
+    message = text.message("dangling_edge", end=F.col("end"), id=F.col("id"))
     return by_position(lost, 3, "dangling_edge", message, F.col("sub"))
 
 
@@ -106,14 +104,13 @@ def with_parents(nodes: DataFrame) -> DataFrame:
 
 def containment_findings(nodes: DataFrame) -> DataFrame:
     """What is wrong with a node's parent, and nodes whose parent has a parent, from one join."""
-    name = lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
-    told = lambda phase, rule, message: F.struct(F.lit(phase).alias("phase"), F.lit(rule).alias("rule"), message.alias("message"))
+    told = lambda phase, rule: F.struct(F.lit(phase).alias("phase"), F.lit(rule).alias("rule"), text.message(rule, id=F.col("id"), parent_id=F.col("parent_id")).alias("message"))
     wrong = (
-        F.when(F.col("parent_id") == F.col("id"), told(4, "self_parent", F.concat(F.lit("node "), name("id"), F.lit(" cannot contain itself"))))
-        .when(F.col("found").isNull(), told(4, "missing_parent", F.concat(F.lit("node "), name("id"), F.lit(" references missing parent "), name("parent_id"))))
-        .when(~tables.is_container(F.col("parent_type")), told(4, "parent_type", F.concat(F.lit("parent "), name("parent_id"), F.lit(" is not container-capable"))))
+        F.when(F.col("parent_id") == F.col("id"), told(4, "self_parent"))
+        .when(F.col("found").isNull(), told(4, "missing_parent"))
+        .when(~tables.is_container(F.col("parent_type")), told(4, "parent_type"))
     )
-    deep = F.when(F.col("grandparent_id").isNotNull(), told(6, "containment_depth", F.concat(F.lit("node "), name("id"), F.lit(" exceeds the baseline one level of containment"))))
+    deep = F.when(F.col("grandparent_id").isNotNull(), told(6, "containment_depth"))
     rows = with_parents(nodes).select("diagram_id", "pos", F.explode(F.array_compact(F.array(wrong, deep))).alias("f"))
     return rows.select("diagram_id", F.col("f.phase").alias("phase"), F.format_string("%012d", F.col("pos").cast("long")).alias("k1"), F.lit("").alias("k2"), F.lit(0).alias("sub"), F.col("f.rule").alias("rule"), F.col("f.message").alias("message"))
 
@@ -131,8 +128,21 @@ def containment_cycles(nodes: DataFrame) -> DataFrame:
 
     Only diagrams with unique ids (elsewhere an earlier rule has the word) in
     which some parent has a parent are looked at. A chain that has not ended after
-    as many steps as there are nodes runs in a circle; steps double.
+    as many steps as there are nodes runs in a circle; steps double, in the row of
+    a diagram or, for large diagrams, by joins.
     """
+    parts, large = packed.by_size({"nodes": (nodes, ["pos", "id", "parent_id"])})
+    found = circles(parts["nodes"][0])
+    if large is not None:
+        own = kept(nodes.join(large, "diagram_id", "left_semi"))
+        unique = own.groupBy("diagram_id").agg((F.count("*") == F.countDistinct("id")).alias("u")).where("u").select("diagram_id")
+        own = kept(own.join(unique, "diagram_id", "left_semi"))
+        found = found.unionByName(large_graphs.endless(own).join(own.select("diagram_id", "id", "pos"), ["diagram_id", "id"]).select("diagram_id", "pos", "id"))
+    return by_position(found, 5, "containment_cycle", text.message("containment_cycle", id=F.col("id")))
+
+
+def circles(nodes: DataFrame) -> DataFrame:
+    """diagram_id, pos, id of such nodes, each diagram in one row."""
     rows = nodes.groupBy("diagram_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "parent_id"))).alias("all"))
     ids = F.transform("all", lambda n: n["id"])
     links = F.filter("all", lambda n: n["parent_id"].isNotNull())
@@ -143,13 +153,12 @@ def containment_cycles(nodes: DataFrame) -> DataFrame:
     jump = lambda up: F.transform(up, lambda p: F.when(p == 0, 0).otherwise(F.get(up, p - 1)))
     far = F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size("all") + 1)).cast("int")), up, lambda up, _: let(up, jump))
     bad = F.transform(F.filter(F.arrays_zip(F.col("all").alias("n"), far.alias("far")), lambda z: z["far"] > 0), lambda z: z["n"])
-    found = rows.select("diagram_id", F.explode(bad).alias("n")).select("diagram_id", "n.pos", "n.id")
-    return by_position(found, 5, "containment_cycle", quoted_message("containment cycle detected from node ", F.col("id")))
+    return rows.select("diagram_id", F.explode(bad).alias("n")).select("diagram_id", "n.pos", "n.id")
 
 
 def duplicate_references(nodes: DataFrame) -> DataFrame:
     rows = nodes.where(F.col("reference_number").isNotNull()).withColumn("reference", text.strip(F.col("reference_number"))).where("reference <> ''")
-    return by_position(again(rows, "reference"), 7, "duplicate_reference", quoted_message("duplicate reference number ", F.col("reference")))
+    return by_position(again(rows, "reference"), 7, "duplicate_reference", text.message("duplicate_reference", id=F.col("reference")))
 
 
 def geometry_present(nodes: DataFrame) -> DataFrame:
@@ -159,7 +168,7 @@ def geometry_present(nodes: DataFrame) -> DataFrame:
         nodes, given = nodes.withColumn("x", F.lit(None)), ["x"]
     has = F.coalesce(*map(F.col, given)).isNotNull()
     rows = nodes.groupBy("diagram_id").agg(F.bool_or(has).alias("has")).where("has").withColumn("pos", F.lit(0))
-    return by_position(rows, 0, "geometry", F.lit("extracted graph must not contain layout geometry"))
+    return by_position(rows, 0, "geometry", text.message("geometry"))
 
 
 def normalization_findings(nodes: DataFrame, edges: DataFrame, extracted: bool = False) -> DataFrame:
@@ -179,9 +188,25 @@ def first_failure(findings: DataFrame) -> DataFrame:
     return findings.groupBy("diagram_id").agg(first).select("diagram_id", "first.rule", "first.message")
 
 
+def failures(nodes: DataFrame, edges: DataFrame, extracted: bool = False) -> DataFrame:
+    """diagram_id, rule, message of the first rule that each diagram breaks.
+
+    A diagram is packed into a row and judged there, all in one shuffle; those
+    too large for a row go through one table for each rule.
+    """
+    geometry = tuple(c for c in ("x", "y", "width", "height") if extracted and c in nodes.columns)
+    parts = {"nodes": (nodes, ["pos", "id", "type", "parent_id", "reference_number", *geometry]), "edges": (edges, ["pos", "id", "source", "target"])}
+    small, large = packed.by_size(parts)
+    found = packed.pack(small).select("diagram_id", packed.failure(F.col("nodes"), F.col("edges"), geometry).alias("f")).where("f is not null").select("diagram_id", "f.rule", "f.message")
+    if large is None:
+        return found
+    of = lambda df: df.join(large, "diagram_id", "left_semi")
+    return found.unionByName(first_failure(normalization_findings(of(nodes), of(edges), extracted)))
+
+
 def normalize(nodes: DataFrame, edges: DataFrame, extracted: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges with all ids, failures): tables of the diagrams that pass, and the first failure of the others."""
     edges = collapse_reciprocal(edges) if extracted else edges
-    failures = first_failure(normalization_findings(nodes, edges, extracted))
-    bad = failures.select("diagram_id")
-    return nodes.join(bad, "diagram_id", "left_anti"), assign_edge_ids(edges.join(bad, "diagram_id", "left_anti")), failures
+    broken = kept(failures(nodes, edges, extracted))
+    bad = broken.select("diagram_id")
+    return nodes.join(bad, "diagram_id", "left_anti"), assign_edge_ids(edges.join(bad, "diagram_id", "left_anti")), broken

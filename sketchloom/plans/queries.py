@@ -231,7 +231,7 @@ def schematic_cycles(read):
 
 @query(RULES + " SELECT diagram_id, min_by(rule, phase::BIGINT * 1000000000 + pos * 10 + sub) AS rule, min_by(message, phase::BIGINT * 1000000000 + pos * 10 + sub) AS message FROM findings GROUP BY diagram_id", *DIRTY, recursive=True, keep_bases=True)
 def normalize_first_failure(read):
-    return normalize.first_failure(normalize.normalization_findings(read("dirty_nodes"), read("dirty_edges")))
+    return normalize.failures(read("dirty_nodes"), read("dirty_edges"))
 
 
 @query(of_phase(4, 6).replace("FROM findings WHERE", "FROM findings JOIN sound USING (diagram_id) WHERE"), *DIRTY, recursive=True)
@@ -324,8 +324,7 @@ def placement_containment(read):
 
 @query(DESIGN + " SELECT diagram_id, count(*) AS n, string_agg(message, '; ' ORDER BY phase, pos, k1, k2, sub, message) AS findings FROM found GROUP BY diagram_id", *DESIGN_SEEDS, keep_bases=True)
 def design_findings(read):
-    edges = normalize.assign_edge_ids(read("schematic_edges"))
-    return designs.listed(designs.design_findings(read("schematic_nodes"), edges, read("placements"), read("hints"), read("pages_of")))
+    return designs.checked(*(read(name) for name in DESIGN_SEEDS))
 
 
 @query(
@@ -348,7 +347,7 @@ KINDS = {
 }
 DESIGN_KINDS = {
     0: ("ok", "ok", None), 1: ("ok", "invalid", "placements for nodes 'a' and 'b' overlap"), 2: ("out_of_domain", "invalid", None), 3: ("missing_key", "invalid", None), 4: ("out_of_domain", "invalid", None), 5: ("ok", "ok", None),
-    6: ("ok", "invalid", "edge source 'zz' does not reference an existing node"), 7: ("wrong_type", "invalid", None), 8: ("ok", "invalid", "missing placement for node 'a'"), 9: ("ok", "invalid", "placement for node 'a' is outside page bounds"),
+    6: ("ok", "invalid", "edge source 'zz' does not reference an existing node"), 7: ("ok", "ok", None), 8: ("ok", "invalid", "missing placement for node 'a'"), 9: ("ok", "invalid", "placement for node 'a' is outside page bounds"),
     10: ("ok", "ok", None), 11: ("ok", "invalid", "connector hint references unknown edge 'e1'"),
 }
 
