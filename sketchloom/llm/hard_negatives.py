@@ -96,6 +96,7 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def screened(a: Block, b: Block, alive: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Of the pairs alive those whose score may lie between the anchor's low and high, narrowed level by level."""
+    low, high = np.where(low <= float(LEAST), -np.inf, low), np.where(high >= float(MOST), np.inf, high)  # clipped scores stand for all beyond
     for width, (mean_a, dev_a), (mean_b, dev_b) in zip(SEGMENTS, a.levels, b.levels, strict=True):
         r, c = np.nonzero(alive.any(axis=1))[0], np.nonzero(alive.any(axis=0))[0]
         if not len(r):

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -69,25 +70,42 @@ def matches(text: Column, pattern: str, hint: Column | None = None) -> Column:
     return found if hint is None else F.when(hint, found).otherwise(F.array().cast("array<string>"))
 
 
+#: Values that a running result is copied over; between chunks only their ends are.
+CHUNK = 256
+
+
+def running(values: Column, start: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """merge over the first values, the first two, and so on. Two levels, as an array that grows value by value would be copied for each of them."""
+    none = F.array().cast("array<int>")
+
+    def along(state: Column, x: Column) -> Column:
+        return let(merge(state["last"], x), lambda last: F.struct(last.alias("last"), F.concat(state["out"], F.array(last)).alias("out")))
+
+    def one(items: Column) -> Column:
+        return F.aggregate(items, F.struct(start.alias("last"), none.alias("out")), along)["out"]
+
+    def joined(scans: Column) -> Column:
+        ends = one(F.transform(scans, lambda c: F.element_at(c, -1)))
+        return F.flatten(let(ends, lambda ends: F.transform(scans, lambda c, i: let(F.when(i == 0, start).otherwise(F.get(ends, i - 1)), lambda before: F.transform(c, lambda x: merge(before, x))))))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.size(values) - 1, F.lit(CHUNK)), lambda i: one(F.slice(values, i + 1, F.lit(CHUNK))))
+    return F.when(F.size(values) > 0, let(chunks, joined)).otherwise(none)
+
+
 def placed(found: Column, text: Column, pattern: str) -> Column:
     """array of (first, last, value, before, after): the matches with their places and neighbouring text.
 
-    The pieces between matches give the places, so the text is not searched for each match.
+    The lengths of matches and of the pieces between them give the places, so the text is not searched for each match.
     """
     none = F.array().cast("array<struct<first:int,last:int,value:string,before:string,after:string>>")
 
-    def walk(found: Column, gaps: Column) -> Column:
-        def add(state: Column, i: Column) -> Column:
-            value, gap = F.element_at(found, i + 1), F.get(gaps, i)
-            first = state["at"] + F.length(gap)
-            one = F.struct(first.alias("first"), (first + F.length(value)).alias("last"), value.alias("value"), F.right(gap, F.lit(24)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(2)).alias("after"))
-            return F.struct(one["last"].alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
-
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, add)["out"]
+    def told(found: Column, gaps: Column) -> Column:
+        lengths = F.transform(found, lambda value, i: F.length(F.get(gaps, i)) + F.length(value))
+        one = lambda value, i, ends: F.struct((F.get(ends, i) - F.length(value)).alias("first"), F.get(ends, i).alias("last"), value.alias("value"), F.right(F.get(gaps, i), F.lit(24)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(2)).alias("after"))
+        return let(let(lengths, lambda n: running(n, F.lit(0), lambda a, b: a + b)), lambda ends: F.transform(found, lambda value, i: one(value, i, ends)))
 
     both = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps"))
-    return F.when(F.size(found) > 0, let(both, lambda b: walk(b["found"], b["gaps"]))).otherwise(none)
+    return F.when(F.size(found) > 0, let(both, lambda b: told(b["found"], b["gaps"]))).otherwise(none)
 
 
 def digits_of(value: Column) -> Column:
@@ -159,6 +177,28 @@ def features(c: Column, maker: Column) -> list[Column]:
     return [x.cast("int").alias(n) for n, x in zip(FEATURES, out, strict=True)]
 
 
+def reach(base: Column) -> Column:
+    """(firsts, ends): where the spans begin, sorted, and how far the spans up to each one reach."""
+    ordered = F.array_sort(F.transform(base, lambda b: F.struct(b["first"].alias("first"), b["last"].alias("last"))))
+    told = lambda o: F.struct(F.transform(o, lambda b: b["first"]).alias("firsts"), running(F.transform(o, lambda b: b["last"]), F.lit(-1), F.greatest).alias("ends"))
+    return let(ordered, told)
+
+
+def hit(base: Column, c: Column) -> Column:
+    """Whether a candidate overlaps a span of reach(): bisection finds the spans that begin before it ends, of which one must reach behind its start."""
+    firsts, ends = base["firsts"], base["ends"]
+
+    def halve(s: Column, _: Column) -> Column:
+        """low: so many begin before the end for certain; high: no more than so many do."""
+        middle = ((s["low"] + s["high"] + 1) / 2).cast("int")
+        inside = F.get(firsts, middle - 1) < c["last"]
+        return F.when(s["low"] < s["high"], F.struct(F.when(inside, middle).otherwise(s["low"]).alias("low"), F.when(inside, s["high"]).otherwise(middle - 1).alias("high"))).otherwise(s)
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(firsts) + F.lit(1))).cast("int"))
+    number = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(firsts).alias("high")), halve)["low"]
+    return F.when(F.size(firsts) == 0, False).otherwise(F.coalesce(F.get(ends, number - 1) > c["first"], F.lit(False)))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base (array of spans), seen (the base spans with their text) and proposed (candidates with features) of every whole text."""
     text = F.col("text")
@@ -175,9 +215,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     proposed = F.concat(*(of(i, k) for i, k in enumerate(GENERATORS)))
     rows = rows.select("doc_id", F.concat(*(span(k) for k in BASE)).alias("seen"), proposed.alias("proposed"))
     rows = rows.withColumn("base", F.transform("seen", lambda c: F.struct(c["kind"].alias("kind"), c["first"].alias("first"), c["last"].alias("last"))))
-    hit = lambda base, c: F.exists(base, lambda b: (b["first"] < c["last"]) & (c["first"] < b["last"]))
     told = lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), *features(c, c["maker"]))
-    new = let(F.col("base"), lambda base: F.transform(F.filter("proposed", lambda c: ~hit(base, c)), told))
+    new = let(reach(F.col("base")), lambda base: F.transform(F.filter("proposed", lambda c: ~hit(base, c)), told))
     return rows.select("doc_id", "base", "seen", new.alias("proposed"))
 
 
@@ -260,11 +299,25 @@ def kind_of(c: Column) -> Column:
 
 
 def apart(scored: Column) -> Column:
-    """Of spans that overlap, the one with the highest score; then the earlier one, then the longer."""
-    rank = F.transform(scored, lambda s: F.struct((-s["score"]).alias("a"), s["first"].alias("b"), (-s["last"]).alias("c"), s["kind"].alias("kind")))
-    ordered = F.transform(F.array_sort(rank), lambda s: F.struct(s["kind"].alias("kind"), s["b"].alias("first"), (-s["c"]).alias("last")))
-    clear = lambda kept, s: ~F.exists(kept, lambda k: (k["first"] < s["last"]) & (s["first"] < k["last"]))
-    return F.aggregate(ordered, F.array().cast(f"array<{SPAN}>"), lambda kept, s: F.when(clear(kept, s), F.concat(kept, F.array(s))).otherwise(kept))
+    """Of spans that overlap, the one with the highest score; then the earlier one, then the longer. Only spans of one cluster, joined by overlaps, are held against each other."""
+    ordered = F.array_sort(F.transform(scored, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), s["score"].alias("score"), s["kind"].alias("kind"))))
+
+    def chosen(cluster: Column) -> Column:
+        rank = F.transform(cluster, lambda s: F.struct((-s["score"]).alias("a"), s["first"].alias("b"), (-s["last"]).alias("c"), s["kind"].alias("kind")))
+        ordered = F.transform(F.array_sort(rank), lambda s: F.struct(s["kind"].alias("kind"), s["b"].alias("first"), (-s["c"]).alias("last")))
+        clear = lambda kept, s: ~F.exists(kept, lambda k: (k["first"] < s["last"]) & (s["first"] < k["last"]))
+        return F.aggregate(ordered, F.array().cast(f"array<{SPAN}>"), lambda kept, s: F.when(clear(kept, s), F.concat(kept, F.array(s))).otherwise(kept))
+
+    def split(o: Column, ends: Column) -> Column:
+        heads = F.filter(F.transform(o, lambda s, i: F.when((i == 0) | (s["first"] >= F.get(ends, i - 1)), i)), lambda i: i.isNotNull())
+        cut = lambda heads: F.flatten(F.transform(heads, lambda at, i: chosen(F.slice(o, at + 1, F.coalesce(F.get(heads, i + 1), F.size(o)) - at))))
+        return let(heads, cut)
+
+    def both(o: Column) -> Column:
+        ends = running(F.transform(o, lambda s: s["last"]), F.lit(-1), F.greatest)
+        return let(ends, lambda ends: split(o, ends))
+
+    return F.when(F.size(scored) > 0, let(ordered, both)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def at_least(least: float):

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -128,6 +129,35 @@ def test_pii_adds_what_no_pattern_says(spark):
             assert re.fullmatch("[0-9a-fA-F]+", text[a["first"] : a["last"]])
 
 
+def test_pii_of_a_text_full_of_contacts(spark):
+    rng = random.Random(3)
+    line = lambda i: f"mail joe.{i}@example{i % 7}.com or +1 (040) 555-{1000 + i % 9000} order {10**9 + i * 7919} at {i % 256}.2.3.4"
+    text = "\n".join(map(line, range(6000)))  # quadratic steps would take minutes
+    plain = [(i, f"call +1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)} or the code {rng.randrange(10**11)} now") for i in range(50)]
+    got = {r["doc_id"]: r for r in pii.pii_digests(spark.createDataFrame([*plain, (99, text)], "doc_id long, text string")).collect()}
+    assert got[99]["base_sha256"] == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+    assert (got[99]["n_email"], got[99]["n_ip"]) == (6000, 6000)
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 700])
+def test_running_results(spark, n):
+    rng = random.Random(n)
+    values = [rng.randrange(-5, 1000) for _ in range(n)]
+    frame = spark.createDataFrame([(values,), ([],)], "v array<int>")
+    plus, most = pii.running(F.col("v"), F.lit(0), lambda a, b: a + b), pii.running(F.col("v"), F.lit(-9), F.greatest)
+    rows = frame.select(plus.alias("plus"), most.alias("most")).collect()
+    assert rows[0]["plus"] == np.cumsum(values).tolist() and rows[0]["most"] == np.maximum.accumulate(values).tolist() and rows[1]["plus"] == rows[1]["most"] == []
+
+
+def test_pii_hits(spark):
+    rng = random.Random(4)
+    base = [(0, a, a + rng.randrange(1, 30)) for a in (rng.randrange(3000) for _ in range(120))]
+    asked = [(a, a + rng.randrange(1, 30)) for a in (rng.randrange(3100) for _ in range(400))]
+    frame = spark.createDataFrame([(base, asked), ([], asked[:5])], "base array<struct<kind:int,first:int,last:int>>, asked array<struct<first:int,last:int>>")
+    found = frame.select(pii.let(pii.reach(F.col("base")), lambda b: F.transform("asked", lambda c: pii.hit(b, c))).alias("h")).collect()
+    assert found[0]["h"] == [any(f < d and c < e for _, f, e in base) for c, d in asked] and found[1]["h"] == [False] * 5
+
+
 def test_pii_spans_apart(spark):
     spans = [(4, 0, 10, 0.9), (3, 5, 12, 0.95), (0, 12, 20, 0.9), (1, 12, 20, 0.9), (2, 30, 31, 0.6)]
     frame = spark.createDataFrame([(spans,), ([],)], "s array<struct<kind:int,first:int,last:int,score:double>>")
@@ -512,6 +542,56 @@ def test_packing_of_a_long_document_in_a_rare_source():
     tracemalloc.stop()
 
 
+def test_target_shares():
+    of = packing.shares_of
+    corpus = {"a": 200, "b": 300, None: 500}
+    assert of(corpus, {}) == {"a": 0.2, "b": 0.3, None: 0.5}
+    assert of(corpus, {"a": 0.5}) == pytest.approx({"a": 0.5, "b": 0.1875, None: 0.3125})
+    assert of(corpus, {"a": 0.0, "absent": 0.7}) == pytest.approx({"a": 0.0, "b": 0.375, None: 0.625})
+    assert of(corpus, {"a": 0.4, "b": 0.6}) == pytest.approx({"a": 0.4, "b": 0.6, None: 0.0})
+    assert of({"a": 1, "b": 3}, {"a": 0.1, "b": 0.3}) == pytest.approx({"a": 0.25, "b": 0.75})
+    assert of({"a": 1, "b": 3}, {"a": 0.0, "b": 0.0}) == {"a": 0.25, "b": 0.75}
+    assert of({}, {"a": 0.5}) == {}
+    for wrong in ({"a": -0.1}, {"a": 0.6, "b": 0.6}, {"a": float("nan")}):
+        with pytest.raises(ValueError, match="shares"):
+            of(corpus, wrong)
+
+
+@pytest.mark.parametrize("targets", [{"a": 0.5}, {"a": 0.0}, {"a": 0.1, "b": 0.8}, {"a": 1.0}, {"a": 0.0, "b": 0.0}])
+def test_every_window_holds_the_targets(targets):
+    rng = random.Random(2)
+    lengths = [[rng.randrange(1, 900) for _ in range(n)] for n in (60, 100, 160)]
+    shares = packing.shares_of(dict(zip("abc", map(sum, lengths), strict=True)), targets)
+    out, turns = dealt(lengths, 1024, np.asarray([shares[s] for s in "abc"]))
+    given, live = np.zeros(3), np.ones(3, bool)
+    for k in sorted(out):
+        before = given.copy()
+        for _, q, _, _, length in out[k]:
+            given[q] += length
+        if (given < turns.totals).all():  # no queue has run dry: the window holds the shares to a token or two
+            got = (given - before) / 1024
+            assert all(abs(got[q] - shares[s]) <= 2.5 / 1024 for q, s in enumerate("abc")), (k, got, shares)
+        live = given < turns.totals
+        zero = [q for q, s in enumerate("abc") if shares[s] == 0]
+        assert all(given[q] == 0 for q in zero) or not live[[q for q in range(3) if q not in zero]].any()
+
+
+def test_packing_ranks_sources_by_tokens(spark):
+    rows = [(i, "w " * 3, f"many{i % 40}") for i in range(400)] + [(1000, "w " * 20_000, "huge")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    pieces = packing.pack(frame, word_tokenizer_path(), 64).collect()  # 64 queues are more than there are sources
+    few = packing.pack(frame, word_tokenizer_path(), 16).collect()  # the huge source is among the 16 largest
+    for size, found in ((64, pieces), (16, few)):
+        total = sum(p["length"] for p in found)
+        share = sum(p["length"] for p in found if p["doc_id"] == 1000) / total
+        served = Counter()
+        for p in found:
+            if p["doc_id"] == 1000:
+                served[p["sequence_id"]] += p["length"]
+        assert all(abs(served[k] / size - share) <= 3 / size for k in range(total // size))
+        assert sum(p["doc_id"] == 1000 and p["start"] == 0 for p in found) == 1
+
+
 def test_packing_of_odd_tables(docs, nothing):
     assert packing.pack(nothing, word_tokenizer_path()).count() == 0
     assert packing.pack(docs, word_tokenizer_path()).where("start = 0").count() == docs.count()
