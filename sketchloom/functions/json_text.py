@@ -12,7 +12,7 @@ explains stays as it is. Then innermost objects and lists fold into one value
 at a time; a document folds into a single mark. Text behind the document,
 comments, quotes of other kinds, a comma too many and control characters never
 fold. Keys may repeat. NaN, Infinity and -Infinity count as numbers, as most
-readers take them; has_odd_number() tells them.
+readers take them.
 """
 
 from __future__ import annotations
@@ -66,8 +66,3 @@ def is_document(text: Column) -> Column:
     """True for one JSON document and white space around it; null is none."""
     reads = lambda before, after: F.try_parse_json(F.concat(F.lit(before), text, F.lit(after))).isNotNull()
     return F.coalesce(reads("[", "]") & reads('{"":', "}") | by_grammar(text), F.lit(False))
-
-
-def has_odd_number(text: Column) -> Column:
-    """Whether NaN or an infinity stands for a number in a document."""
-    return F.contains(text, F.lit("N")) & without_strings(text).rlike("NaN|Infinity") | F.contains(text, F.lit("Infinity")) & without_strings(text).rlike("Infinity")

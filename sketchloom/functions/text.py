@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import re
-import textwrap
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .binding import let
@@ -25,74 +22,67 @@ def expand_tabs(text: Column, size: int = 8) -> Column:
     return F.when(F.contains(text, F.lit("\t")), F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), parts[0], add)).otherwise(text)
 
 
+#: Lines that wrap() gathers in one list before it opens the next, so that a list is not copied for each line of a long text.
+BLOCK = 128
+
+
 def wrap(text: Column, width: int) -> Column:
     """Greedy lines of at most `width` characters; long words are broken, hyphens are not break points.
 
     White space is dropped at the ends of lines and at their starts, save at
     the start of the first; a line that a broken word completes keeps its own.
-    An empty text is one empty line.
+    An empty text is one empty line; null gives null. Time grows with the text.
     """
     plain = F.regexp_replace(expand_tabs(text), r"[\t\n\x0b\f\r]", " ")
     none = F.array().cast("array<string>")
-    push = lambda lines, line: F.when(line != "", F.concat(lines, F.array(line))).otherwise(lines)
-    state = lambda lines, line: F.struct(lines.alias("lines"), line.alias("line"))
+    # full: blocks of lines; line: what is gathered; tail: the length of its last chunk if that is blank, -1 where a blank chunk went at the line's start
+    state = lambda full, lines, line, tail: F.struct(full.alias("full"), lines.alias("lines"), line.alias("line"), tail.alias("tail"))
+
+    def blank(chunk: Column) -> Column:
+        """Only white space, in the Unicode sense; only the space parts chunks."""
+        return F.when(F.startswith(chunk, F.lit(" ")) | (chunk == ""), True).when(chunk.between("!", "~~"), False).otherwise(strip(chunk) == "")
 
     def pieces(rest: Column) -> Column:
-        """All full lines of a long word's rest but its last piece."""
+        """All full lines of a long word's rest but its last piece, save blank ones."""
         n = F.floor((F.length(rest) - 1) / width).cast("int")
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(rest, i * width + 1, F.lit(width)))).otherwise(none)
+        cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(rest, i * width + 1, F.lit(width)))
+        return F.when(n > 0, F.filter(cut, lambda x: ~blank(x))).otherwise(none)
 
     def last(rest: Column) -> Column:
         return F.substring(rest, F.floor((F.length(rest) - 1) / width).cast("int") * width + 1, F.lit(width))
 
+    def opened(s: Column, closed: Column, chunk: Column, more: Column | None = None) -> Column:
+        """The state after the line `closed` (none if it is empty) and more lines; a new line begins with the chunk, or empty where the chunk is blank and no first line."""
+        lines = F.when(closed != "", F.concat(s["lines"], F.array(closed))).otherwise(s["lines"])
+        lines = lines if more is None else F.concat(lines, more)
+        size = F.when(blank(chunk), F.length(chunk)).otherwise(0)
+        begin = lambda full, x, begun: F.when((size > 0) & begun, state(full, x, F.lit(""), F.lit(-1))).otherwise(state(full, x, chunk, size))
+        packed = lambda x: F.when(F.size(x) < BLOCK, begin(s["full"], x, (F.size(x) > 0) | (F.size(s["full"]) > 0))).otherwise(begin(F.concat(s["full"], F.array(x)), none, F.lit(True)))
+        return let(lines, packed)
+
+    def broken(s: Column, chunk: Column, room: Column) -> Column:
+        """After a chunk longer than a line: it fills the line (which keeps the blanks before it), and is cut."""
+        piece, rest = F.substring(chunk, F.lit(1), room), F.substring(chunk, room + 1, F.length(chunk))
+        return opened(s, F.when(blank(piece), s["line"]).otherwise(F.concat(s["line"], piece)), last(rest), pieces(rest))
+
     def add(s: Column, chunk: Column) -> Column:
-        lines, line, size = s["lines"], s["line"], F.length(chunk)
-        blank, room = F.trim(chunk) == "", F.lit(width) - F.length(s["line"])
-        closed = push(lines, F.rtrim(line))
-        broken = push(lines, F.concat(line, F.substring(chunk, F.lit(1), room)))
-        rest = F.substring(chunk, room + 1, size)
-        opened = push(lines, line)
+        line, size, room = s["line"], F.length(chunk), F.lit(width) - F.length(s["line"])
+        begun = (F.size(s["lines"]) > 0) | (F.size(s["full"]) > 0)
         return (
-            F.when(blank & (line == "") & (F.size(lines) > 0), s)
-            .when(size <= room, state(lines, F.concat(line, chunk)))
-            .when((size <= width) & blank & (F.size(closed) > 0), state(closed, F.lit("")))
-            .when(size <= width, state(closed, chunk))
-            .when(blank & (F.size(opened) > 0), state(opened, F.lit("")))
-            .when(blank, state(opened, last(rest)))
-            .otherwise(state(F.concat(broken, pieces(rest)), last(rest)))
+            F.when((line == "") & begun & (s["tail"] >= 0) & blank(chunk), s.withField("tail", F.lit(-1)))
+            .when(size <= room, state(s["full"], s["lines"], F.concat(line, chunk), F.when(blank(chunk), size).otherwise(0)))
+            .when(size <= width, opened(s, trimmed(s), chunk))
+            .otherwise(broken(s, chunk, room))
         )
 
+    trimmed = lambda s: F.left(s["line"], F.length(s["line"]) - F.greatest(s["tail"], F.lit(0)))
     chunks = F.regexp_extract_all(plain, F.lit("( +|[^ ]+)"), F.lit(1))
-    lines = F.aggregate(chunks, state(none, F.lit("")), add, lambda s: push(s["lines"], F.rtrim(s["line"])))
+    start = state(F.array().cast("array<array<string>>"), none, F.lit(""), F.lit(0))
+    rest = lambda s: F.when(trimmed(s) != "", F.array(trimmed(s))).otherwise(none)
+    lines = F.aggregate(chunks, start, add, lambda s: F.concat(F.flatten(s["full"]), s["lines"], rest(s)))
     lines = let(lines, lambda out: F.when(F.size(out) > 0, out).otherwise(F.array(F.lit(""))))
-    short = (F.length(text) <= width) & ~text.rlike(r"[\t\n\x0b\f\r]")  # most labels are one line as they are
-    return F.when(short, F.array(F.rtrim(text))).otherwise(lines)
-
-
-class Wrapper(textwrap.TextWrapper):
-    """wrap()'s rule for texts of any length: the rest of a long word is cut at once, not copied for each line."""
-
-    def _handle_long_word(self, reversed_chunks: list[str], cur_line: list[str], cur_len: int, width: int) -> None:
-        chunk, room = reversed_chunks.pop(), width - cur_len
-        cur_line.append(chunk[:room])
-        rest = chunk[room:]
-        reversed_chunks += [rest[i : i + width] for i in range(0, len(rest), width)][::-1] if rest.strip() else [rest] if rest else []
-
-
-def wrapped(rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """key, n_lines, wrapped (the lines, joined) of whole texts; null for null. The growing list of wrap() would be copied for each line of a long text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wrapper = Wrapper(width=width, break_long_words=True, break_on_hyphens=False)
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
-                found = [None if x is None else wrapper.wrap(x) or [""] for x in part.column(1).to_pylist()]
-                sizes, joined = [x and len(x) for x in found], [x and "\n".join(x) for x in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(joined, pa.string())], [key, "n_lines", "wrapped"])
-
-    schema = rows.select(key, F.lit(None).cast("int").alias("n_lines"), F.lit(None).cast("string").alias("wrapped")).schema
-    return rows.select(key, text).mapInArrow(run, schema)
+    short = (F.length(text) <= width) & text.rlike(r"\A[ -~]*\z")  # most labels are one line as they are
+    return F.when(short, F.array(F.rtrim(text))).when(text.isNotNull(), lines)
 
 
 #: White space at both ends, in the Unicode sense.

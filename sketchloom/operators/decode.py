@@ -149,9 +149,10 @@ def parsed(content: Column) -> Column:
 
 def verdict(shape: dict[str, Field], content: str = "content", value: str = "value") -> Column:
     """ok, or the first of REASONS for which a response (columns: the text, and parsed) is not of the shape."""
-    odd = json_text.has_odd_number(F.col(content)) & json_text.is_document(F.col(content))
+    unread = json_text.is_document(F.col(content))  # a document that holds NaN, an infinity or a number past the parser's limits
+    lost = F.when(unread, F.when(F.col(content).rlike(r"^[ \t\n\r]*\{"), "out_of_domain").otherwise("no_object")).otherwise("no_json")
     is_object = F.coalesce(F.schema_of_variant(F.col(value)), F.lit("")).startswith("OBJECT")
-    told = F.when(F.col(value).isNull(), F.when(odd, "out_of_domain").otherwise("no_json")).when(~is_object, "no_object")
+    told = F.when(F.col(value).isNull(), lost).when(~is_object, "no_object")
     return told.otherwise(F.coalesce(F.get(F.array(*map(F.lit, REASONS)), F.expr(of_object(value, shape))), F.lit("ok")))
 
 

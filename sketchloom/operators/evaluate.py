@@ -2,10 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+from ..storage import kept
+from . import packed
+
 MISSING = "<missing>"
+NODE_FIELDS = ("height", "id", "label", "notes", "parent_id", "reference_number", "type", "width", "x", "y")
+EDGE_FIELDS = ("direction", "label", "relation", "source", "style", "target")
+GRAPH_FIELDS = ("diagram_type", "orientation", "title")
+
+
+def graph_documents(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """diagram_id, document: each graph as JSON with sorted keys, without nulls and without the ids of edges, in one shuffle. Fields that a table lacks are absent."""
+    own = lambda df, fields: [f for f in fields if f in df.columns]
+    parts = {"diagrams": (diagrams, own(diagrams, GRAPH_FIELDS)), "nodes": (nodes, ["pos", *own(nodes, NODE_FIELDS)]), "edges": (edges, ["pos", *own(edges, EDGE_FIELDS)])}
+    fields = lambda name: F.transform(name, lambda x: F.struct(*(x[f].alias(f) for f in parts[name][1] if f != "pos"))).alias(name)
+    top = {f: F.get("diagrams", F.lit(0))[f].alias(f) for f in parts["diagrams"][1]} | {name: fields(name) for name in ("nodes", "edges")}
+    return packed.pack(parts).select("diagram_id", F.to_json(F.struct(*(top[f] for f in sorted(top)))).alias("document"))
+
+
+def children(path: Column, expected: Column, actual: Column) -> Column:
+    """array of (path, expected, actual): what two documents of one kind hold, by sorted key or by place; JSON null counts as absent."""
+    child = lambda at, e, a: F.struct(at.alias("path"), *(F.nullif(F.to_json(v), F.lit("null")).alias(n) for n, v in (("expected", e), ("actual", a))))
+    read = lambda kind: F.struct(*(F.try_variant_get(F.try_parse_json(v), "$", kind).alias(n) for n, v in (("e", expected), ("a", actual))))
+    keys = lambda m: F.array_sort(F.array_union(F.map_keys(m["e"]), F.map_keys(m["a"])))
+    named = lambda k: F.when(path == "", k).otherwise(F.concat(path, F.lit("."), k))
+    of_objects = let(read("map<string,variant>"), lambda m: F.transform(keys(m), lambda k: child(named(k), m["e"][k], m["a"][k])))
+    size = lambda m: F.greatest(F.size(m["e"]), F.size(m["a"]))
+    placed = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+    of_lists = let(read("array<variant>"), lambda m: F.transform(F.when(size(m) > 0, F.sequence(F.lit(0), size(m) - 1)).otherwise(F.array().cast("array<int>")), lambda i: child(placed(i), F.get(m["e"], i), F.get(m["a"], i))))
+    return F.when(F.startswith(expected, F.lit("{")), of_objects).otherwise(of_lists)
+
+
+def structural_differences(pairs: DataFrame, key: str) -> DataFrame:
+    """key, path, expected, actual of all places at which two documents (key, expected, actual: JSON texts) differ, to any depth.
+
+    Objects are compared by the keys of either, lists place by place; what one
+    side lacks is one difference that holds the whole of the other's, and so are
+    values of unlike kinds. Numbers are compared as numbers. No level of the
+    documents takes a shuffle, and equal parts go no further down.
+    """
+    both = lambda mark: F.startswith("expected", F.lit(mark)) & F.startswith("actual", F.lit(mark))
+    number = lambda c: F.when(~F.startswith(c, F.lit('"')), F.col(c).try_cast("double"))
+    same = F.col("expected").eqNullSafe(F.col("actual")) | F.coalesce(number("expected") == number("actual"), F.lit(False))
+    shown = lambda c: F.coalesce(F.when(F.startswith(c, F.lit('"')), F.try_variant_get(F.try_parse_json(F.col(c)), "$", "string")).otherwise(F.col(c)), F.lit(MISSING)).alias(c)
+    told = lambda rows: rows.where("not deeper").select(key, "path", shown("expected"), shown("actual"))
+    plain = lambda c: F.to_json(F.try_parse_json(F.col(c))).alias(c)  # noqa: E731  keys sorted, white space gone
+    rows, found = pairs.select(key, F.lit("").alias("path"), plain("expected"), plain("actual")), []
+    while True:
+        rows = kept(rows.where(~same).withColumn("deeper", F.coalesce(both("{") | both("["), F.lit(False))))
+        found.append(told(rows))
+        rows = rows.where("deeper")
+        if rows.isEmpty():
+            break
+        rows = rows.select(key, F.inline(children(F.col("path"), F.col("expected"), F.col("actual"))))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def list_differences(expected: DataFrame, actual: DataFrame, key: str, name: str, fields: list[str]) -> DataFrame:

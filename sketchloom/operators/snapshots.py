@@ -22,19 +22,43 @@ def first_by_label(shapes: DataFrame) -> DataFrame:
     return rows.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
-def signatures(connections: DataFrame, *by: str) -> DataFrame:
-    return connections.groupBy(*by).agg(F.array_sort(F.collect_list("signature")).alias("signatures"))
+STAGES = (("b", "before"), ("m", "moved"), ("r", "reopened"))
+
+
+def staged(before: DataFrame, moved: DataFrame, reopened: DataFrame) -> DataFrame:
+    """All shapes of the three stages: drawing, label (white space apart), root_pos, dfs_pos (0: top level), pin_x, pin_y, signatures, stage."""
+    columns = ("drawing", text.one_line(F.col("label")).alias("label"), "root_pos", "dfs_pos", "pin_x", "pin_y", "signatures")
+    sides = [rows.select(*columns, F.lit(p).alias("stage")) for (p, _), rows in zip(STAGES, (before, moved, reopened), strict=True)]
+    return sides[0].unionByName(sides[1]).unionByName(sides[2])
+
+
+def inventory(before: DataFrame, moved: DataFrame, reopened: DataFrame) -> DataFrame:
+    """drawing, kind (shape: by label, top level only; connection: by signature), item, before, moved, reopened: what the pages hold, as bags of items, where the bags differ."""
+    rows = staged(before, moved, reopened)
+    of = lambda df, kind, item: df.select("drawing", F.lit(kind).alias("kind"), item.alias("item"), "stage")
+    items = of(rows.where("dfs_pos = 0"), "shape", F.col("label")).unionByName(of(rows, "connection", F.explode("signatures")))
+    bags = items.groupBy("drawing", "kind", "item").agg(*(F.count(F.when(F.col("stage") == p, 1)).alias(n) for p, n in STAGES))
+    return bags.where("before <> moved or moved <> reopened")
 
 
 def compared(before: DataFrame, moved: DataFrame, reopened: DataFrame) -> DataFrame:
     """drawing, shapes, moved_far, pins_lost, signatures_changed of each drawing, and its shapes and connections in each stage.
 
-    Each table: drawing, label, pin_x, pin_y, signatures of its shapes. A shape
-    that a stage lacks counts as moved, lost and changed against its neighbours.
+    Each table holds all shapes of a page (see staged). A page's counts are those
+    of all its top-level shapes and connections; positions and signatures are
+    compared for the first shape of each label, which is looked up in each stage
+    anew. A label that a stage lacks counts as moved, lost and changed.
     """
-    side = lambda rows, p: rows.select("drawing", "label", F.lit(p).alias("stage"), F.struct("pin_x", "pin_y", "signatures").alias("shape"))
-    every = side(before, "b").unionByName(side(moved, "m")).unionByName(side(reopened, "r"))
-    rows = every.groupBy("drawing", "label").agg(*(F.max(F.when(F.col("stage") == p, F.col("shape"))).alias(p) for p in "bmr"))
+    rows = staged(before, moved, reopened)
+    shape = F.struct("pin_x", "pin_y", F.array_sort("signatures").alias("signatures"))
+    of = lambda p, value: F.when(F.col("stage") == p, value)
+    place = F.struct("root_pos", "dfs_pos")
+    top = F.when(F.col("dfs_pos") == 0, 1)
+    by_label = rows.groupBy("drawing", "label").agg(
+        *(F.min_by(shape, of(p, place)).alias(p) for p, _ in STAGES), *(F.count(of(p, F.lit(1))).alias(f"{p}_here") for p, _ in STAGES),
+        *(F.count(of(p, top)).alias(f"{p}_shapes") for p, _ in STAGES), *(F.coalesce(F.sum(of(p, F.size("signatures"))), F.lit(0)).alias(f"{p}_connections") for p, _ in STAGES),
+    )
+    by_label = by_label.withColumns({p: F.when(F.col(f"{p}_here") > 0, F.col(p)) for p, _ in STAGES})
 
     def differ(a: str, b: str, unlike: Column) -> Column:
         here = F.col(a).isNotNull(), F.col(b).isNotNull()
@@ -43,11 +67,9 @@ def compared(before: DataFrame, moved: DataFrame, reopened: DataFrame) -> DataFr
     far = lambda a, b: differ(a, b, ~(near(F.col(a)["pin_x"], F.col(b)["pin_x"]) & near(F.col(a)["pin_y"], F.col(b)["pin_y"])))
     other = lambda a, b: differ(a, b, F.col(a)["signatures"] != F.col(b)["signatures"])
     count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    names = (("b", "before"), ("m", "moved"), ("r", "reopened"))
-    return rows.groupBy("drawing").agg(
+    return by_label.groupBy("drawing").agg(
         F.count("*").alias("shapes"), count(far("b", "m")).alias("moved_far"), count(far("m", "r")).alias("pins_lost"), count(other("b", "m") | other("m", "r")).alias("signatures_changed"),
-        *(count(F.col(p).isNotNull()).alias(f"shapes_{n}") for p, n in names),
-        *(F.coalesce(F.sum(F.size(F.col(p)["signatures"])), F.lit(0)).cast("long").alias(f"connections_{n}") for p, n in names),
+        *(F.sum(f"{p}_{what}").cast("long").alias(f"{what}_{n}") for what in ("shapes", "connections") for p, n in STAGES),
     )
 
 

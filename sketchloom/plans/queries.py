@@ -247,7 +247,8 @@ def schematic_parent_findings(read):
 
 @query()
 def label_wrap(read):
-    return tx.wrapped(read("labels_of"), "doc_id", "text", 30)
+    lines = read("labels_of").select("doc_id", tx.wrap(F.col("text"), 30).alias("lines"))
+    return lines.select("doc_id", F.when(F.col("lines").isNotNull(), F.size("lines")).alias("n_lines"), F.array_join("lines", "\n").alias("wrapped"))
 
 
 @query(sizes_sql("schematic_nodes") + " SELECT diagram_id, id, round(w, 4) AS width, round(h, 4) AS height FROM sizes", "schematic_nodes")
@@ -425,6 +426,25 @@ def repair_queue(read):
     return attempts.repair_queue(attempts.judged(read("attempts")), read("requests"))
 
 
+@query(
+    JUDGED + """ SELECT j.run_id, 'Request:' || chr(10) || text || chr(10) || chr(10) || 'The answer below was refused: ' || finding || chr(10) || 'Send it again as one JSON document that keeps its meaning and mends this.' || chr(10) || chr(10) || content AS prompt
+      FROM judged j JOIN requests r ON j.run_id = r.run_id WHERE attempt_no = 1 AND judgement = 'invalid' AND trim(text) <> ''""",
+    *RESPONSES,
+)
+def repair_queue_with_source(read):
+    return attempts.repair_queue(attempts.judged(read("attempts")), read("requests"), attempts.REPAIR_WITH_SOURCE)
+
+
+@query(
+    """ SELECT diagram_id AS run_id, 'Request:' || chr(10) || 'Draw ' || diagram_id || chr(10) || chr(10) || 'Design that was drawn:' || chr(10) || '{' || chr(10) || '  "title" : "' || title || '",' || chr(10) || '  "page" : {' || chr(10)
+      || '    "width" : 12.0,' || chr(10) || '    "note" : null' || chr(10) || '  }' || chr(10) || '}' AS prompt FROM schematic_diagrams""",
+    "schematic_diagrams")
+def critique_requests(read):
+    design = F.struct("title", F.struct(F.lit(12.0).alias("width"), F.lit(None).cast("string").alias("note")).alias("page"))
+    rows = read("schematic_diagrams").withColumn("design", design)
+    return rows.select(F.col("diagram_id").alias("run_id"), attempts.critique_request(F.concat(F.lit("Draw "), F.col("diagram_id")), F.col("design")).alias("prompt"))
+
+
 @query(" SELECT run_id, attempt_no, CASE WHEN json_valid(content) THEN 'json' ELSE 'txt' END AS ext FROM attempts", "attempts")
 def response_routing(read):
     return read("attempts").select("run_id", "attempt_no", attempts.extension(F.col("content")).alias("ext"))
@@ -594,6 +614,27 @@ def eval_report(read):
     return evaluate.report(cases(read), "actual")
 
 
+def structures_sql() -> str:
+    """Differences of whole graphs with all fields."""
+    parts = []
+    for name, fields in (("nodes", ("id", "label", "notes", "parent_id", "reference_number", "type")), ("edges", ("direction", "label", "relation", "source", "style", "target"))):
+        document = lambda p, fields=fields: f"CASE WHEN {p}.diagram_id IS NULL THEN '<missing>' ELSE CAST(json_merge_patch('{{}}', json_object({', '.join(f"'{f}', {p}.{f}" for f in fields)})) AS VARCHAR) END"
+        placed = lambda who, name=name: f"(SELECT *, row_number() OVER (PARTITION BY diagram_id ORDER BY pos) - 1 AS k FROM {who}_full_{name})"
+        joined = f"{placed('expected')} e FULL OUTER JOIN {placed('actual')} a ON e.diagram_id = a.diagram_id AND e.k = a.k"
+        place = f"'{name}[' || coalesce(e.k, a.k) || ']"
+        parts.append(f"SELECT coalesce(e.diagram_id, a.diagram_id) AS case_id, {place}' AS path, {document('e')} AS expected, {document('a')} AS actual FROM {joined} WHERE e.diagram_id IS NULL OR a.diagram_id IS NULL")
+        parts += [f"SELECT e.diagram_id, {place}.{f}', coalesce(e.{f}, '<missing>'), coalesce(a.{f}, '<missing>') FROM {joined} WHERE e.diagram_id IS NOT NULL AND a.diagram_id IS NOT NULL AND e.{f} IS DISTINCT FROM a.{f}" for f in fields]
+    parts += [f"SELECT diagram_id, '{f}', e.{f}, a.{f} FROM flow_diagrams e JOIN actual_diagrams a USING (diagram_id) WHERE e.{f} <> a.{f}" for f in ("title", "orientation")]
+    return " " + " UNION ALL ".join(parts)
+
+
+@query(structures_sql(), "expected_full_edges", "actual_full_edges", "expected_full_nodes", "actual_full_nodes", "flow_diagrams", "actual_diagrams")
+def eval_structures(read):
+    side = lambda who, diagrams: evaluate.graph_documents(read(diagrams), read(f"{who}_full_nodes"), read(f"{who}_full_edges")).withColumnRenamed("document", who)
+    pairs = side("expected", "flow_diagrams").join(side("actual", "actual_diagrams"), "diagram_id")
+    return evaluate.structural_differences(pairs.withColumnRenamed("diagram_id", "case_id"), "case_id")
+
+
 # Snapshots.
 
 FIRSTS = r""", firsts AS (
@@ -601,12 +642,22 @@ FIRSTS = r""", firsts AS (
 )"""
 
 
-COMPARED = """, compared AS (
-  SELECT drawing, count(*) AS shapes, CAST(sum((NOT in_moved OR abs(before_x - moved_x) > 1e-4 OR abs(before_y - moved_y) > 1e-4)::INT) AS BIGINT) AS moved_far,
-    CAST(sum((in_moved <> in_reopened OR in_moved AND (abs(moved_x - reopened_x) > 1e-4 OR abs(moved_y - reopened_y) > 1e-4))::INT) AS BIGINT) AS pins_lost,
-    CAST(sum((NOT in_moved OR NOT in_reopened OR signature <> reopened_signature)::INT) AS BIGINT) AS signatures_changed,
-    count(*) AS shapes_before, CAST(sum(in_moved::INT) AS BIGINT) AS shapes_moved, CAST(sum(in_reopened::INT) AS BIGINT) AS shapes_reopened,
-    count(*) AS connections_before, CAST(sum(in_moved::INT) AS BIGINT) AS connections_moved, CAST(sum(in_reopened::INT) AS BIGINT) AS connections_reopened FROM firsts GROUP BY drawing
+STAGED = r""", staged AS (
+  SELECT drawing, trim(regexp_replace(label, '\s+', ' ', 'g')) AS label, root_pos, dfs_pos, 'b' AS stage, before_x AS x, before_y AS y, signature AS sig FROM snapshots
+  UNION ALL SELECT drawing, trim(regexp_replace(label, '\s+', ' ', 'g')), root_pos, dfs_pos, 'm', moved_x, moved_y, signature FROM snapshots WHERE in_moved
+  UNION ALL SELECT drawing, trim(regexp_replace(label, '\s+', ' ', 'g')), root_pos, dfs_pos, 'r', reopened_x, reopened_y, reopened_signature FROM snapshots WHERE in_reopened
+)"""
+COMPARED = STAGED + """, looked_up AS (SELECT * FROM staged QUALIFY row_number() OVER (PARTITION BY drawing, label, stage ORDER BY root_pos, dfs_pos) = 1
+), together AS (
+  SELECT b.drawing, b.label, m.x IS NOT NULL AS in_m, r.x IS NOT NULL AS in_r, b.x AS bx, b.y AS by_, m.x AS mx, m.y AS my, r.x AS rx, r.y AS ry, b.sig AS bs, m.sig AS ms, r.sig AS rs FROM (SELECT * FROM looked_up WHERE stage = 'b') b
+  LEFT JOIN (SELECT * FROM looked_up WHERE stage = 'm') m ON b.drawing = m.drawing AND b.label = m.label LEFT JOIN (SELECT * FROM looked_up WHERE stage = 'r') r ON b.drawing = r.drawing AND b.label = r.label
+), pages AS (
+  SELECT drawing, CAST(sum((stage = 'b')::INT) AS BIGINT) AS nb, CAST(sum((stage = 'm')::INT) AS BIGINT) AS nm, CAST(sum((stage = 'r')::INT) AS BIGINT) AS nr FROM staged GROUP BY drawing
+), by_drawing AS (
+  SELECT drawing, count(*) AS shapes, CAST(sum((NOT in_m OR abs(bx - mx) > 1e-4 OR abs(by_ - my) > 1e-4)::INT) AS BIGINT) AS moved_far,
+    CAST(sum((in_m <> in_r OR in_m AND (abs(mx - rx) > 1e-4 OR abs(my - ry) > 1e-4))::INT) AS BIGINT) AS pins_lost, CAST(sum((NOT in_m OR NOT in_r OR bs <> ms OR ms <> rs)::INT) AS BIGINT) AS signatures_changed FROM together GROUP BY drawing
+), compared AS (
+  SELECT d.*, nb AS shapes_before, nm AS shapes_moved, nr AS shapes_reopened, nb AS connections_before, nm AS connections_moved, nr AS connections_reopened FROM by_drawing d JOIN pages p ON d.drawing = p.drawing
 )"""
 
 
@@ -615,23 +666,34 @@ def first_shape_by_label(read):
     return snapshots.first_by_label(read("snapshots")).select("drawing", "label", "root_pos")
 
 
-@query(
-    FIRSTS + COMPARED + " SELECT * FROM compared", "snapshots")
+@query(COMPARED + " SELECT * FROM compared", "snapshots")
 def snapshot_compare(read):
     return compared_snapshots(read)
 
 
 @query(
-    FIRSTS + COMPARED + """ SELECT drawing, CASE WHEN shapes_before <> shapes_moved OR shapes_moved <> shapes_reopened THEN 'shape_count' WHEN connections_before <> connections_moved OR connections_moved <> connections_reopened THEN 'connection_count'
+    COMPARED + """ SELECT drawing, CASE WHEN shapes_before <> shapes_moved OR shapes_moved <> shapes_reopened THEN 'shape_count' WHEN connections_before <> connections_moved OR connections_moved <> connections_reopened THEN 'connection_count'
       WHEN signatures_changed > 0 THEN 'signatures' WHEN pins_lost > 0 THEN 'pins' END AS failed FROM compared""", "snapshots")
 def snapshot_outcomes(read):
     return snapshots.outcomes(compared_snapshots(read))
 
 
+def stages(read) -> list[DataFrame]:
+    rows = read("snapshots")
+    stage = lambda p, s, there: rows.where(there).select("drawing", "label", "root_pos", "dfs_pos", F.col(f"{p}_x").alias("pin_x"), F.col(f"{p}_y").alias("pin_y"), F.array(s).alias("signatures"))
+    return [stage("before", "signature", F.lit(True)), stage("moved", "signature", "in_moved"), stage("reopened", "reopened_signature", "in_reopened")]
+
+
 def compared_snapshots(read) -> DataFrame:
-    rows = snapshots.first_by_label(read("snapshots"))
-    stage = lambda p, s, there: rows.where(there).select("drawing", "label", F.col(f"{p}_x").alias("pin_x"), F.col(f"{p}_y").alias("pin_y"), F.array(s).alias("signatures"))
-    return snapshots.compared(stage("before", "signature", F.lit(True)), stage("moved", "signature", "in_moved"), stage("reopened", "reopened_signature", "in_reopened"))
+    return snapshots.compared(*stages(read))
+
+
+@query(
+    STAGED + """, items AS (SELECT drawing, 'shape' AS kind, label AS item, stage FROM staged WHERE dfs_pos = 0 UNION ALL SELECT drawing, 'connection', sig, stage FROM staged
+    ), bags AS (SELECT drawing, kind, item, count(*) FILTER (WHERE stage = 'b') AS before, count(*) FILTER (WHERE stage = 'm') AS moved, count(*) FILTER (WHERE stage = 'r') AS reopened FROM items GROUP BY ALL)
+    SELECT * FROM bags WHERE before <> moved OR moved <> reopened""", "snapshots")
+def page_inventory(read):
+    return snapshots.inventory(*stages(read))
 
 
 # Provenance.

@@ -143,6 +143,16 @@ SEEDS = {
         UNION ALL SELECT diagram_id, CAST(9 AS BIGINT) AS pos, 'extra' AS id, 'note' AS type, 'x' AS label, CAST(NULL AS STRING) AS parent_id FROM flow_diagrams WHERE length(diagram_id) % 4 = 2""",
     "actual_diagrams": """
         SELECT diagram_id, CASE WHEN diagram_id LIKE '2%' THEN 'other' ELSE title END AS title, diagram_type, CASE WHEN diagram_id LIKE '3%' THEN 'left_to_right' ELSE orientation END AS orientation FROM flow_diagrams""",
+    # the same with all fields, by which structures are compared
+    "expected_full_nodes": """
+        SELECT diagram_id, pos, id, type, label, parent_id, CASE WHEN pos % 2 = 0 THEN CAST(pos + 10 AS STRING) END AS reference_number, CASE WHEN pos % 3 = 1 THEN 'seen as "' || id || '"' END AS notes FROM expected_nodes""",
+    "actual_full_nodes": """
+        SELECT diagram_id, pos, id, type, label, parent_id, CASE WHEN pos % 2 = 0 AND length(diagram_id) % 3 > 0 THEN CAST(pos + 10 AS STRING) WHEN pos = 1 AND length(diagram_id) % 4 = 1 THEN '1' END AS reference_number,
+          CASE WHEN pos % 3 = 1 AND length(diagram_id) % 5 = 0 THEN 'other' WHEN pos % 3 = 1 THEN 'seen as "' || id || '"' END AS notes FROM actual_nodes""",
+    "expected_full_edges": """
+        SELECT diagram_id, pos, source, target, relation, direction, CASE WHEN pos % 2 = 0 THEN 'to ' || target END AS label, CASE WHEN pos % 3 = 0 THEN 'dashed' ELSE 'solid' END AS style FROM expected_edges""",
+    "actual_full_edges": """
+        SELECT diagram_id, pos, source, target, relation, direction, CASE WHEN pos % 2 = 0 AND length(diagram_id) % 4 > 0 THEN 'to ' || target END AS label, CASE WHEN (pos + length(diagram_id)) % 3 = 0 THEN 'dashed' ELSE 'solid' END AS style FROM actual_edges""",
     # snapshots of drawings before a move, after it, and reopened
     "snapshots": """
         SELECT diagram_id AS drawing, n AS root_pos, 0 AS dfs_pos, CASE WHEN n % 3 = 0 THEN 'Part\t' || CAST(l_partkey % 50 AS STRING) ELSE ' Part  ' || CAST(l_partkey % 50 AS STRING) END AS label,

@@ -160,8 +160,15 @@ def test_running_size_over_blocks(spark, monkeypatch):
 
 
 def test_snapshots_with_shapes_that_come_and_go(spark):
-    stage = lambda *rows: spark.createDataFrame([("d", label, x, 0.0, ["s"] * n) for label, x, n in rows], "drawing string, label string, pin_x double, pin_y double, signatures array<string>")
+    kinds = "drawing string, label string, root_pos int, dfs_pos int, pin_x double, pin_y double, signatures array<string>"
+    stage = lambda *rows: spark.createDataFrame([("d", label, i, 0, x, 0.0, ["s"] * n) for i, (label, x, n) in enumerate(rows)], kinds)
     out = snapshots.compared(stage(("a", 1.0, 1), ("lost", 2.0, 2)), stage(("a", 1.0, 1), ("gone", 3.0, 1)), stage(("a", 1.0, 1), ("new", 4.0, 3))).first()
     assert (out["shapes"], out["moved_far"], out["pins_lost"], out["signatures_changed"]) == (4, 2, 2, 3)
     assert [out[f"shapes_{n}"] for n in ("before", "moved", "reopened")] == [2, 2, 2]
     assert [out[f"connections_{n}"] for n in ("before", "moved", "reopened")] == [3, 2, 4]
+    twice, once = stage(("a", 1.0, 1), ("a ", 2.0, 0)), stage(("a", 1.0, 1))
+    lost = snapshots.compared(twice, twice, once)
+    assert [r["failed"] for r in snapshots.outcomes(lost).collect()] == ["shape_count"]
+    assert [tuple(r) for r in snapshots.inventory(twice, twice, once).collect()] == [("d", "shape", "a", 2, 2, 1)]
+    behind = snapshots.compared(twice, twice, stage(("b", 0.0, 0), ("a", 2.0, 1))).first()  # the first shape with a label is looked up in each stage
+    assert (behind["pins_lost"], behind["shapes_reopened"]) == (2, 2)
