@@ -42,7 +42,7 @@ from .common import stored, whole_text
 PASSAGE, PIECE, BLOCK, SHARE = 128, 64, 4, 0.6
 WORDS, OVERLAP = 5, 0.8
 #: Characters of test items that one broadcast index holds; a larger benchmark is searched in several passes.
-INDEX_CHARS = 64_000_000
+INDEX_CHARS = 4_000_000
 K1, B = 1.2, 0.75
 WORD = re.compile(r"[^\W_]+")
 LAST_SENTENCE = re.compile(r"[.!?\n](?=\s*[^\s.!?\n])")

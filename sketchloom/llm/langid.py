@@ -145,9 +145,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(grams(x.as_py())).astype("<i4").tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["lang", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column(2)], ["lang", "codes", "h"])
 
-    got = drawn.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(codes, "lang string, codes binary").where(F.length("codes") > 0).toArrow()
+    coded = drawn.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(codes, "lang string, codes binary, h long")
+    got = coded.where(F.length("codes") > 0).orderBy("h").limit(2 * sample + share).toArrow()  # rows that share one doc_id are drawn all or none
     pairs = sorted(zip(got["lang"].to_pylist(), got["codes"].to_pylist(), strict=True))
     return fit([k for k, _ in pairs], [np.frombuffer(c, "<i4") for _, c in pairs])
 

@@ -32,6 +32,7 @@ are a source of their own, repeated rows are packed as often as they occur.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -108,13 +109,22 @@ class Turns:
         """Tokens that each queue has given before each window: rows of windows, columns of queues."""
         goal = np.minimum(windows * self.size, self.totals.sum())
         low, high = np.zeros(len(goal)), np.full(len(goal), (self.start + self.totals / self.shares).max() + 1)
-        while (np.nextafter(low, high) < high).any():  # the latest time before which no more than the goal is due
-            middle = low + (high - low) / 2
-            middle = np.where((middle <= low) | (middle >= high), np.nextafter(low, high), middle)
-            fits = self.before(middle).sum(axis=1) <= goal
-            low, high = np.where(fits & (middle < high), middle, low), np.where(fits, high, middle)
-        sure = self.before(low)
-        next_ = np.where((goal == self.totals.sum())[:, None], self.totals, self.before(high)) - sure
+        sure, more = np.zeros((len(goal), len(self.totals)), np.int64), np.tile(self.totals, (len(goal), 1))  # what is due before low and before high
+        near, left = goal + np.asarray([[-1.0], [1.0]]) * (self.turn.sum() + len(self.turn)), np.arange(len(goal))  # while no queue is dry, time and tokens go together
+        for step in itertools.count():
+            # done where no time is left between the two, or one turn of one queue at most
+            gap = more[left] - sure[left]
+            left = left[(((gap > 0).sum(axis=1) > 1) | (gap > self.turn).any(axis=1)) & (np.nextafter(low[left], high[left]) < high[left])]
+            if not len(left):
+                break
+            a, b = low[left], high[left]
+            middle = near[step, left] if step < 2 else a + (b - a) / 2
+            middle = np.where((middle <= a) | (middle >= b), np.nextafter(a, b) if step >= 2 else a + (b - a) / 2, middle)
+            due = self.before(middle)
+            fits = due.sum(axis=1) <= goal[left]
+            low[left], high[left] = np.where(fits, middle, a), np.where(fits, b, middle)
+            sure[left[fits]], more[left[~fits]] = due[fits], due[~fits]
+        next_ = more - sure
         rest = (goal - sure.sum(axis=1))[:, None] - (np.cumsum(next_, axis=1) - next_)
         return sure + np.clip(rest, 0, next_)
 

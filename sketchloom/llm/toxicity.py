@@ -139,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
     share = lambda k: int(1_000_000 * min(1.0, sample / 2 / max(counts.get(k, 0), 1)))
     drawn = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, share(1)).otherwise(share(0)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & (F.length("text") <= FIT_CHARS))
-    got = texts.join(F.broadcast(drawn), "doc_id").select("text", "toxic").toArrow()  # drawn has about `sample` rows
+    joined = texts.join(F.broadcast(drawn), "doc_id")  # drawn has about `sample` rows
+    got = joined.orderBy(F.xxhash64("doc_id", "text")).limit(2 * sample).select("text", "toxic").toArrow()  # documents may repeat a doc_id
     pairs = sorted(zip(got["text"].to_pylist(), got["toxic"].to_pylist(), strict=True))
     return fit([t for t, _ in pairs], np.asarray([y for _, y in pairs], float))
 
