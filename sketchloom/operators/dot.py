@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as t
 from ..functions.text import quoted
-from .layout import sized
+from .layout import around_children, fit_page, sized
 
 
 def number(value: Column) -> Column:
@@ -60,7 +60,7 @@ FIELD = r'("(?:[^"\\]|\\.)*"|[^\s"]+)'
 
 
 def parsed_positions(lines: DataFrame) -> DataFrame:
-    """diagram_id, id, x, y, width, height, ok from lines of positioned text (diagram_id, pos, line).
+    """diagram_id, id, x, y, width, height, ok, graph_width, graph_height from lines of positioned text (diagram_id, pos, line).
 
     Margins are added to centres. ok is false for all boxes of a text without a
     graph record of positive size, with a short or unreadable record, or
@@ -76,8 +76,9 @@ def parsed_positions(lines: DataFrame) -> DataFrame:
         F.bool_or(bad).alias("bad"), F.max_by(F.struct(value(2).alias("w"), value(3).alias("h")), F.when(is_graph, F.col("pos"))).alias("page"), F.collect_list(F.when(~is_graph & ~bad, box)).alias("boxes")
     )
     ok = ~F.col("bad") & F.coalesce((F.col("page.w") > 0) & (F.col("page.h") > 0), F.lit(False)) & (F.size("boxes") > 0)
-    flat = lines.select("diagram_id").distinct().join(last.withColumn("ok", ok), "diagram_id", "left").select("diagram_id", F.coalesce("ok", F.lit(False)).alias("ok"), F.explode_outer("boxes").alias("b")).select("diagram_id", "ok", "b.*")
-    return flat.groupBy("diagram_id", "ok", "id").agg(*(F.max_by(c, "pos").alias(c) for c in ("x", "y", "width", "height")))
+    flat = lines.select("diagram_id").distinct().join(last.withColumn("ok", ok), "diagram_id", "left").select("diagram_id", F.coalesce("ok", F.lit(False)).alias("ok"), F.col("page.w").alias("graph_width"), F.col("page.h").alias("graph_height"), F.explode_outer("boxes").alias("b"))
+    flat = flat.select("diagram_id", "ok", "graph_width", "graph_height", "b.*")
+    return flat.groupBy("diagram_id", "ok", "graph_width", "graph_height", "id").agg(*(F.max_by(c, "pos").alias(c) for c in ("x", "y", "width", "height")))
 
 
 def with_own_sizes(boxes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -86,3 +87,32 @@ def with_own_sizes(boxes: DataFrame, nodes: DataFrame) -> DataFrame:
     return boxes.join(own, ["diagram_id", "id"], "left").withColumns({"width": F.coalesce("own_width", "width"), "height": F.coalesce("own_height", "height")}).drop("own_width", "own_height")
 
 
+
+
+def imported(nodes: DataFrame, lines: DataFrame) -> DataFrame:
+    """diagram_id, id, x, y, width, height, page_width, page_height of all nodes, from positioned text: parsed, with the nodes' own sizes, containers around their children, on a page that holds all and is no smaller than the text's.
+
+    Only diagrams whose text is ok, gives a box to every node that is no
+    container, and names no others; unplaced() tells the rest.
+    """
+    boxes = parsed_positions(lines).where("ok")
+    good = nodes.select("diagram_id").distinct().join(unplaced(nodes, lines).select("diagram_id").distinct(), "diagram_id", "left_anti")
+    parents = nodes.where(F.col("parent_id").isNotNull()).select("diagram_id", F.col("parent_id").alias("id"), F.lit(True).alias("inside")).distinct()
+    rows = sized(nodes).join(good, "diagram_id").join(boxes.select("diagram_id", "id", "x", "y"), ["diagram_id", "id"], "left").join(parents, ["diagram_id", "id"], "left")
+    rows = around_children(rows.withColumn("is_container", F.coalesce("inside", F.lit(False)))).select("diagram_id", "id", "x", "y", "width", "height")
+    pages = boxes.select("diagram_id", "graph_width", "graph_height").distinct()
+    out = fit_page(rows.join(pages, "diagram_id"), t.MARGIN, F.col("graph_width") + 2 * t.MARGIN, F.col("graph_height") + 2 * t.MARGIN)
+    return out.drop("graph_width", "graph_height")
+
+
+def unplaced(nodes: DataFrame, lines: DataFrame) -> DataFrame:
+    """diagram_id, id, rule of what keeps a positioned text from being a layout: malformed, missing (a node without a box) or unknown (a box without a node)."""
+    boxes = parsed_positions(lines)
+    parents = nodes.where(F.col("parent_id").isNotNull()).select("diagram_id", F.col("parent_id").alias("id")).distinct()
+    own = nodes.select("diagram_id", "id", F.lit(True).alias("is_node")).join(parents, ["diagram_id", "id"], "left_anti")
+    both = own.join(boxes.where("ok").select("diagram_id", "id", F.lit(True).alias("is_box")), ["diagram_id", "id"], "full_outer")
+    both = both.join(parents.withColumn("inside", F.lit(True)), ["diagram_id", "id"], "left").where("inside is null")
+    both = both.join(boxes.where("not ok").select("diagram_id").distinct(), "diagram_id", "left_anti")
+    rule = F.when(F.col("is_box").isNull(), "missing").when(F.col("is_node").isNull(), "unknown")
+    malformed = boxes.where("not ok").select("diagram_id", F.lit(None).cast("string").alias("id"), F.lit("malformed").alias("rule")).distinct()
+    return both.select("diagram_id", "id", rule.alias("rule")).where("rule is not null").unionByName(malformed)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import tables as t
+from ..functions.binding import let
+from ..storage import kept
+from . import packed
 from .normalize import fill_numbers
 
 
@@ -58,7 +63,11 @@ def connectors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Ends lie where the line between centres leaves each box. A self-loop leaves
     and enters on the right; other edges between equal centres get null ends.
     """
-    rows = between(edges, nodes)
+    return connected(between(edges, nodes))
+
+
+def connected(rows: DataFrame) -> DataFrame:
+    """The same for edges that carry the boxes of both ends (s_x, ..., t_height)."""
     dx, dy = F.col("t_x") - F.col("s_x"), F.col("t_y") - F.col("s_y")
     same, loop = (dx == 0) & (dy == 0), F.col("source") == F.col("target")
 
@@ -89,8 +98,12 @@ def callouts(nodes: DataFrame, pages: DataFrame, width: float = t.CALLOUT_WIDTH,
 
     side is null where nothing fits.
     """
+    return called_out(nodes.where(F.col("reference_number").isNotNull()).join(pages, "diagram_id"), width, height)
+
+
+def called_out(rows: DataFrame, width: float = t.CALLOUT_WIDTH, height: float = t.CALLOUT_HEIGHT) -> DataFrame:
+    """The same for nodes with a reference number that carry their page."""
     tw, th = min(t.CALLOUT_TEXT_WIDTH, width), min(t.CALLOUT_TEXT_HEIGHT, height)
-    rows = nodes.where(F.col("reference_number").isNotNull()).join(pages, "diagram_id")
     page_width, page_height = F.col("page_width"), F.col("page_height")
 
     def candidate(side: str, x: Column, y: Column) -> Column:
@@ -118,6 +131,59 @@ def callouts(nodes: DataFrame, pages: DataFrame, width: float = t.CALLOUT_WIDTH,
     )
 
 
+def leftover_markers(nodes: DataFrame) -> DataFrame:
+    """diagram_id, id, rule of nodes whose text still holds a marker of the template."""
+    return nodes.where(F.col("label").rlike("__template_[a-z_]+__")).select("diagram_id", "id", F.lit("marker_left").alias("rule"))
+
+
+@dataclass
+class Drawing:
+    """The tables of one draw job: nodes with their boxes, shapes, connectors, callouts, and findings (diagram_id, id, rule)."""
+
+    nodes: DataFrame
+    shapes: DataFrame
+    connectors: DataFrame
+    callouts: DataFrame
+    findings: DataFrame
+
+
+NODE, EDGE, PLACE = ["pos", "id", "type", "label", "parent_id", "reference_number"], ["pos", "id", "source", "target", "relation", "direction", "label", "style", "style_explicit"], ["pos", "node_id", "x", "y", "width", "height"]
+BOX = ("x", "y", "width", "height")
+
+
+def draw(nodes: DataFrame, placements: DataFrame, edges: DataFrame, pages: DataFrame) -> Drawing:
+    """All tables of the drawings, from one row for each diagram, which one shuffle brings together.
+
+    A node is drawn in its last placement; nodes without one are left out, and
+    connectors whose ends are. Diagrams too large for a row are joined instead.
+    """
+    parts = {"nodes": (nodes, NODE), "placements": (placements, PLACE), "edges": (edges, EDGE), "pages": (pages, ["page_width", "page_height"])}
+    small, large = packed.by_size(parts)
+    box = lambda p, prefix="": [p[c].alias(f"{prefix}{c}") for c in BOX]
+    last = lambda n: F.try_element_at(F.filter("placements", lambda p: p["node_id"] == n["id"]), F.lit(-1))
+    placed = F.transform("nodes", lambda n: let(last(n), lambda p: F.when(p.isNotNull(), F.struct(*(n[c].alias(c) for c in NODE), *box(p)))))
+    rows = packed.pack(small).select("diagram_id", F.filter(placed, lambda n: n.isNotNull()).alias("nodes"), "edges", F.get("pages", F.lit(0)).alias("page"))
+    found = lambda name: F.get(F.filter("nodes", lambda n: n["id"] == name), F.lit(0))
+    ends = lambda e: let(F.struct(found(e["source"]).alias("s"), found(e["target"]).alias("t")), lambda b: F.when(b["s"].isNotNull() & b["t"].isNotNull(), F.struct(*(e[c].alias(c) for c in EDGE), *box(b["s"], "s_"), *box(b["t"], "t_"))))
+    rows = kept(rows.select("diagram_id", "nodes", F.filter(F.transform("edges", ends), lambda e: e.isNotNull()).alias("edges"), F.col("page.page_width").alias("page_width"), F.col("page.page_height").alias("page_height")))
+    own = rows.select("diagram_id", "page_width", "page_height", F.inline("nodes"))
+    lines = rows.select("diagram_id", F.inline("edges"))
+    order = F.array_sort(F.transform("nodes", lambda n: F.struct((~t.is_container(n["type"])).alias("inner"), n["pos"].alias("pos"), n.alias("n"))))
+    ordered = F.transform(order, lambda o, i: F.struct(*(o["n"][c].alias(c) for c in (*NODE, *BOX)), t.looked_up(o["n"]["type"], t.NODE_VISUALS, 0).alias("marker"), (~o["inner"]).alias("is_container"), (i + 1).alias("draw_order")))
+    drawn = rows.select("diagram_id", F.inline(ordered))
+    if large is not None:
+        of = lambda df: df.join(large, "diagram_id", "left_semi")
+        nth = F.row_number().over(Window.partitionBy("diagram_id", "node_id").orderBy(F.desc("pos")))
+        boxes = of(placements).withColumn("nth", nth).where("nth = 1").select("diagram_id", F.col("node_id").alias("id"), *BOX)
+        more = kept(of(nodes).select("diagram_id", *NODE).join(boxes, ["diagram_id", "id"]))
+        own = own.unionByName(more.join(pages.select("diagram_id", "page_width", "page_height"), "diagram_id", "left"))
+        lines = lines.unionByName(between(of(edges).select("diagram_id", *EDGE), more))
+        drawn = drawn.unionByName(shapes(more).select(drawn.columns))
+    bare = own.drop("page_width", "page_height")
+    findings = drawing_findings(bare, own.where("page_width is not null").select("diagram_id", "page_width", "page_height").distinct()).unionByName(leftover_markers(own))
+    return Drawing(own, drawn, connected(lines), called_out(own.where("reference_number is not null and page_width is not null")), findings)
+
+
 def inventory(nodes: DataFrame, edges: DataFrame, callouts_: DataFrame) -> DataFrame:
     """diagram_id, expected_shapes (nodes, edges and callouts), expected_connections (two for each edge), unique_ids."""
     count = lambda rows, name: rows.groupBy("diagram_id").agg(F.count("*").alias(name))

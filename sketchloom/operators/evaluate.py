@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..storage import kept
+from . import attempts as responses
 from . import packed
 
 MISSING = "<missing>"
@@ -50,7 +51,7 @@ def structural_differences(pairs: DataFrame, key: str) -> DataFrame:
     same = F.col("expected").eqNullSafe(F.col("actual")) | F.coalesce(number("expected") == number("actual"), F.lit(False))
     shown = lambda c: F.coalesce(F.when(F.startswith(c, F.lit('"')), F.try_variant_get(F.try_parse_json(F.col(c)), "$", "string")).otherwise(F.col(c)), F.lit(MISSING)).alias(c)
     told = lambda rows: rows.where("not deeper").select(key, "path", shown("expected"), shown("actual"))
-    plain = lambda c: F.to_json(F.try_parse_json(F.col(c))).alias(c)  # noqa: E731  keys sorted, white space gone
+    plain = lambda c: F.nullif(F.to_json(F.try_parse_json(F.col(c))), F.lit("null")).alias(c)  # noqa: E731  keys sorted, white space gone
     rows, found = pairs.select(key, F.lit("").alias("path"), plain("expected"), plain("actual")), []
     while True:
         rows = kept(rows.where(~same).withColumn("deeper", F.coalesce(both("{") | both("["), F.lit(False))))
@@ -116,3 +117,34 @@ def case_results(answers: DataFrame, differences: DataFrame, error_marked: DataF
 def report(cases: DataFrame, *by: str) -> DataFrame:
     """case_count and mismatch_count (all that do not match, errors too)."""
     return cases.groupBy(*by).agg(F.count("*").alias("case_count"), F.sum((F.col("status") != "match").cast("long")).alias("mismatch_count"))
+
+
+def document_of(graph: Column, nodes: tuple[str, ...], edges: Column) -> Column:
+    """A graph as the JSON by which graphs are compared: sorted keys, no nulls, no ids of edges."""
+    pick = lambda items, fields: F.transform(items, lambda x: F.struct(*(x[f].alias(f) for f in fields)))
+    return F.to_json(F.struct(graph["diagram_type"].alias("diagram_type"), pick(edges, EDGE_FIELDS).alias("edges"), pick(graph["nodes"], nodes).alias("nodes"), graph["orientation"].alias("orientation"), graph["title"].alias("title")))
+
+
+def evaluated(requests: DataFrame, expected: DataFrame, error_marks: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cases, differences, documents) of a corpus: requests (case_id, text), reviewed graphs (case_id and the graph's columns), cases of which an error is expected, and answers.
+
+    answers: case_id, attempt_no, content, request_id, elapsed_ms, failure (the
+    name of what kept a case from being answered, else null). An answer is
+    decoded, judged and repaired once, as in attempts; what is left of it is
+    compared as a structure. documents: case_id, document of each graph.
+    """
+    failed = answers.where(F.col("failure").isNotNull()).groupBy("case_id").agg(F.min("failure").alias("failure"))
+    given = answers.where(F.col("failure").isNull()).withColumnRenamed("case_id", "run_id").drop("failure")
+    chosen = responses.chosen(responses.judged(given), requests.withColumnRenamed("case_id", "run_id"))
+    graphs = responses.decoded(chosen, "graph").withColumnRenamed("run_id", "case_id").join(failed, "case_id", "left")
+    named = F.when(F.col("outcome").isin("ok", "repaired"), "graph").when(F.col("outcome").isin("no_diagram", "empty_request"), "no_diagram").otherwise("ExtractionValidationError")
+    actual = F.when(F.col("outcome") == "empty_request", "no_diagram").otherwise(F.coalesce("failure", named))
+    fields = lambda e: F.struct(*(F.coalesce(e[c], F.lit(responses.DEFAULTS[c])).alias(c) if c in responses.DEFAULTS else e[c].alias(c) for c in packed.EDGE))
+    edges = packed.collapsed(F.transform(F.col("graph.edges"), fields))
+    drawn = tuple(f for f in NODE_FIELDS if f not in ("x", "y", "width", "height"))
+    rows = kept(graphs.select("case_id", actual.alias("actual"), F.when(actual == "graph", document_of(F.col("graph"), drawn, edges)).alias("document")))
+    reviewed = F.struct("title", "diagram_type", "orientation", F.coalesce("nodes", F.expr("slice(nodes, 1, 0)")).alias("nodes"))
+    wanted = expected.select("case_id", document_of(reviewed, NODE_FIELDS, F.col("edges")).alias("expected"))
+    pairs = wanted.join(rows.where("actual = 'graph'").select("case_id", F.col("document").alias("actual")), "case_id").join(error_marks.select("case_id").distinct(), "case_id", "left_anti")
+    differences = kept(structural_differences(pairs, "case_id"))
+    return case_results(rows.select("case_id", "actual"), differences, error_marks), differences, rows.where("document is not null").select("case_id", "document")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -74,15 +74,16 @@ def childless_boxes(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
     return children.join(boxes, ["diagram_id", "id"], "left_anti").select("diagram_id", F.col("parent_id").alias("id")).distinct()
 
 
-def fit_page(boxes: DataFrame, margin: float = 0.5, minimum_width: float = 0.0, minimum_height: float = 0.0) -> DataFrame:
-    """boxes, shifted right and up so that all keep the margin, plus page_width and page_height."""
+def fit_page(boxes: DataFrame, margin: float = 0.5, minimum_width: Column | float = 0.0, minimum_height: Column | float = 0.0) -> DataFrame:
+    """boxes, shifted right and up so that all keep the margin, plus page_width and page_height (no smaller than the minima)."""
+    least = lambda x: x if isinstance(x, Column) else F.lit(x)
     all_of = Window.partitionBy("diagram_id")
     shifted = boxes.withColumns({"dx": F.greatest(F.lit(0.0), margin - F.min(g.left()).over(all_of)), "dy": F.greatest(F.lit(0.0), margin - F.min(g.bottom()).over(all_of))})
     moved = (F.col("dx") > 0) | (F.col("dy") > 0)
     shifted = shifted.withColumns({"x": F.when(moved, F.bround(F.col("x") + F.col("dx"), 4)).otherwise(F.col("x")), "y": F.when(moved, F.bround(F.col("y") + F.col("dy"), 4)).otherwise(F.col("y"))})
     return shifted.withColumns({
-        "page_width": F.bround(F.greatest(F.lit(minimum_width), F.max(g.right()).over(all_of) + margin), 4),
-        "page_height": F.bround(F.greatest(F.lit(minimum_height), F.max(g.top()).over(all_of) + margin), 4),
+        "page_width": F.bround(F.greatest(least(minimum_width), F.max(g.right()).over(all_of) + margin), 4),
+        "page_height": F.bround(F.greatest(least(minimum_height), F.max(g.top()).over(all_of) + margin), 4),
     }).drop("dx", "dy")
 
 

@@ -464,9 +464,13 @@ def drawn(read) -> DataFrame:
     return read("schematic_nodes").join(boxes, ["diagram_id", "id"])
 
 
+def draw_job(read) -> drawing.Drawing:
+    return drawing.draw(*(read(name) for name in ("schematic_nodes", "placements", "schematic_edges", "pages_of")))
+
+
 @query(DRAWN + f" SELECT diagram_id, id, {t.sql_case('type', t.NODE_VISUALS, 0)} AS marker, row_number() OVER (PARTITION BY diagram_id ORDER BY type NOT IN ('housing', 'subsystem'), pos) AS draw_order FROM drawn", *DRAW_SEEDS)
 def draw_shapes(read):
-    return drawing.shapes(drawn(read)).select("diagram_id", "id", "marker", F.col("draw_order").cast("long").alias("draw_order"))
+    return draw_job(read).shapes.select("diagram_id", "id", "marker", F.col("draw_order").cast("long").alias("draw_order"))
 
 
 @query(
@@ -481,8 +485,7 @@ def draw_shapes(read):
     FROM m""",
     *DRAW_SEEDS, keep_bases=True)
 def draw_connectors(read):
-    out = drawing.connectors(read("schematic_edges"), drawn(read))
-    out = out.select("diagram_id", "pos", "begin_x", "begin_y", "end_x", "end_y", "line_width", "pin_y", "line_style", F.round("weight", 6).alias("weight"), "begin_arrow", "end_arrow")
+    out = draw_job(read).connectors.select("diagram_id", "pos", "begin_x", "begin_y", "end_x", "end_y", "line_width", "pin_y", "line_style", F.round("weight", 6).alias("weight"), "begin_arrow", "end_arrow")
     ends = ("begin_x", "begin_y", "end_x", "end_y", "line_width", "pin_y")
     return rounded(out.withColumns({c: F.col(c) + 1e-8 for c in ends}), *ends, digits=6)  # exact halves would round by chance
 
@@ -500,7 +503,7 @@ def callout_sql() -> str:
 
 @query(callout_sql(), *DRAW_SEEDS)
 def draw_callouts(read):
-    out = drawing.callouts(drawn(read), read("pages_of")).select("diagram_id", "id", "side", "root_x", "root_y", (F.col("leader_x") + 1e-8).alias("leader_x"), (F.col("leader_y") + 1e-8).alias("leader_y"))
+    out = draw_job(read).callouts.select("diagram_id", "id", "side", "root_x", "root_y", (F.col("leader_x") + 1e-8).alias("leader_x"), (F.col("leader_y") + 1e-8).alias("leader_y"))
     return rounded(out, "root_x", "root_y", "leader_x", "leader_y", digits=4)
 
 

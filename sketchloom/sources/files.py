@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.attempts import extension
+from ..operators.evaluate import evaluated, report
 
 GRAPH_SCHEMA = (
     "title string, diagram_type string, orientation string, "
@@ -64,3 +65,17 @@ def write_responses(responses: DataFrame, folder: str) -> None:
 def is_below(path: str, folder: str) -> bool:
     """Whether a path lies in a folder or is the folder."""
     return f"{path.rstrip('/')}/".startswith(f"{folder.rstrip('/')}/")
+
+
+def evaluate_folders(spark: SparkSession, texts: str, expected: str, answers: DataFrame, output: str) -> DataFrame:
+    """Reads the requests (texts), the reviewed graphs and error markers (expected), compares the answers with them and writes graphs, cases and differences below output; returns the report.
+
+    The output must not lie below the reviewed graphs, and must hold nothing yet.
+    """
+    if is_below(output, expected):
+        raise ValueError("the output must not lie below the reviewed graphs")
+    cases, differences, documents = evaluated(read_requests(spark, texts), read_expected(spark, expected), read_error_marks(spark, expected), answers)
+    documents.write.mode("errorifexists").json(f"{output}/graphs")
+    cases.write.mode("errorifexists").parquet(f"{output}/cases")
+    differences.write.mode("errorifexists").parquet(f"{output}/differences")
+    return report(spark.read.parquet(f"{output}/cases"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Lists of paths, one for each open scope.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables kept inside are dropped at the end; results have to be written or collected before."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        context = spark.sparkContext
+        for path in map(context._jvm.org.apache.hadoop.fs.Path, made):
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder and read from there by all that use it."""
+    """df, written once to the shared folder and read from there by all that use it; a scope drops it."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

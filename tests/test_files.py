@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sketchloom.functions import text as tx
 from sketchloom.operators import attempts
 from sketchloom.sources import files
 
@@ -95,7 +96,7 @@ def test_judgement_of_graphs_and_designs(spark):
         (json.dumps(DESIGN), "ok", "ok", None), (json.dumps(DESIGN | {"graph": GOOD | {"nodes": [], "edges": []}, "layout": PLAN | {"placements": []}}), "ok", "ok", None),
         (plan(placements=[]), "ok", "invalid", "missing placement for node 'a'"), (plan(placements=[BOX | {"width": 0}]), "out_of_domain", "invalid", "out_of_domain"),
         (plan(placements=[BOX | {"importance": "vital"}]), "out_of_domain", "invalid", "out_of_domain"), (plan(composition="loose"), "out_of_domain", "invalid", "out_of_domain"),
-        (plan(connector_hints=[{"edge_id": "e9"}]), "ok", "invalid", "connector hint references unknown edge 'e9'"), (plan(page_width="9"), "wrong_type", "invalid", "wrong_type"),
+        (plan(connector_hints=[{"edge_id": "e9"}]), "ok", "invalid", "connector hint references unknown edge 'e9'"), (plan(page_width="9"), "ok", "ok", None), (plan(page_width="wide"), "wrong_type", "invalid", "wrong_type"),
         (json.dumps({k: v for k, v in DESIGN.items() if k != "rationale"}), "missing_key", "invalid", "missing_key"), (json.dumps(DESIGN | {"layout": {k: v for k, v in PLAN.items() if k != "placements"}}), "missing_key", "invalid", "missing_key"),
         (json.dumps(DESIGN | {"graph": two, "layout": PLAN | {"placements": [BOX, BOX | {"node_id": "b", "x": 2.5}]}}), "ok", "invalid", "placements for nodes 'a' and 'b' overlap"),
         (json.dumps(DESIGN | {"graph": GOOD | {"nodes": [node, node]}}), "ok", "invalid", "duplicate node ID 'a'"), (plan(placements=[BOX | {"x": 8.9}]), "ok", "invalid", "placement for node 'a' is outside page bounds"),
@@ -109,7 +110,7 @@ def test_reviews(spark):
     broken = DESIGN | {"layout": PLAN | {"placements": []}}
     cases = [
         (say(True), "ok", False), (say(True, None, issues=[issue]), "ok", False), (say(True, DESIGN), "invalid_critique", False), (say(False), "invalid_critique", False), (say(False, DESIGN), "ok", True),
-        (say(False, broken), "invalid_critique", False), (say(False, DESIGN | {"more": 1}), "invalid_critique", False), (say("yes"), "invalid_critique", False),
+        (say(False, broken), "invalid_critique", False), (say(False, DESIGN | {"more": 1}), "invalid_critique", False), (say("maybe"), "invalid_critique", False), (say("yes"), "ok", False),
         (say(True, issues=[issue | {"severity": "huge"}]), "invalid_critique", False), (say(True, issues=[issue | {"category": "taste"}]), "invalid_critique", False), (say(True, issues=[issue | {"node_ids": [1]}]), "invalid_critique", False), ("x", "invalid_critique", False),
     ]
     rows = spark.createDataFrame([(str(i), c[0], "first") for i, c in enumerate(cases)], "run_id string, content string, initial string")
@@ -120,5 +121,5 @@ def test_reviews(spark):
 
 def test_requests_from_templates(spark):
     rows = spark.createDataFrame([("s", "f", "r", ("d", None))], "a string, b string, c string, g struct<x:string,y:string>")
-    row = rows.select(attempts.filled("{source}: {finding} {response}{", source=F.col("a"), finding=F.col("b"), response=F.col("c")).alias("t"), attempts.critique_request(F.col("a"), F.col("g"), "{design}|{source}").alias("u")).first()
+    row = rows.select(tx.filled("{source}: {finding} {response}{", source=F.col("a"), finding=F.col("b"), response=F.col("c")).alias("t"), attempts.critique_request(F.col("a"), F.col("g"), "{design}|{source}").alias("u")).first()
     assert row["t"] == "s: f r{" and json.loads(row["u"].split("|")[0]) == {"x": "d", "y": None}
