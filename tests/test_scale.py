@@ -1,7 +1,13 @@
 """What keeps jobs in proportion to their tables: plans, parts and how often a text is judged."""
 
+import random
+import textwrap
+import time
+
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sketchloom.functions import text as tx
 from sketchloom.operators import attempts
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +32,14 @@ def test_each_review_is_judged_once(spark, monkeypatch):
     monkeypatch.setattr(attempts, "kept", lambda df: most.append(df.count()) or kept(df))
     out = entry.queries()["review_outcomes"](spark, SF)
     assert out.count() > 100 and max(most) < 40
+
+
+def test_wrap_of_long_texts(spark):
+    rng = random.Random(4)
+    words = ["a", "bcd", "efghi jk", "x" * 31, "y" * 45, " ", "   z", "\t", "\xe9t\xe9"]
+    texts = [" ".join(rng.choices(words, k=400_000)), " " * 30 + "w" * 31, " " * 29 + "ab " + "v" * 70, "u" * 29 + "  " + "t" * 40, "s" * 29 + " " + "r" * 40]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, label string")
+    begun = time.monotonic()
+    got = {r["i"]: r["lines"] for r in rows.select("i", tx.wrap(F.replace(F.col("label"), F.lit("\t"), F.lit(" ")), 30).alias("lines")).collect()}
+    assert time.monotonic() - begun < 10
+    assert [got[i] for i in range(len(texts))] == [textwrap.wrap(x.replace("\t", " "), width=30, break_on_hyphens=False) for x in texts]
