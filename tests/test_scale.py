@@ -43,3 +43,8 @@ def test_wrap_of_long_texts(spark):
     got = {r["i"]: r["lines"] for r in rows.select("i", tx.wrap(F.replace(F.col("label"), F.lit("\t"), F.lit(" ")), 30).alias("lines")).collect()}
     assert time.monotonic() - begun < 10
     assert [got[i] for i in range(len(texts))] == [textwrap.wrap(x.replace("\t", " "), width=30, break_on_hyphens=False) for x in texts]
+
+
+def test_parents_are_joined_once(spark):
+    told = plan(entry.queries()["schematic_parent_findings"](spark, SF))
+    assert told.count("LeftOuter") == 1
