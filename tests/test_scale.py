@@ -1,5 +1,6 @@
 """What keeps jobs in proportion to their tables: plans, parts and how often a text is judged."""
 
+import os
 import random
 import textwrap
 import time
@@ -7,6 +8,7 @@ import time
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sketchloom import storage
 from sketchloom.functions import text as tx
 from sketchloom.operators import attempts
 
@@ -45,6 +47,18 @@ def test_wrap_of_long_texts(spark):
     assert [got[i] for i in range(len(texts))] == [textwrap.wrap(x.replace("\t", " "), width=30, break_on_hyphens=False) for x in texts]
 
 
+def test_parts_grow_with_the_table(spark, monkeypatch):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        monkeypatch.setattr(storage, "PART", 2000)
+        want = -(-os.path.getsize(f"{SF}/lineitem.parquet") // 2000)
+        told = plan(entry.queries()["hint_findings"](spark, SF))
+        assert spark.conf.get(name) == str(want) and f", {want}), REPARTITION_BY_NUM" in told
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_parents_are_joined_once(spark):
     told = plan(entry.queries()["schematic_parent_findings"](spark, SF))
     assert told.count("LeftOuter") == 1
