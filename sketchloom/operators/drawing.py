@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import tables as t
-from ..functions.binding import let
-from ..storage import kept
-from . import packed
+from ..storage import dealt
 from .normalize import fill_numbers
 
 
@@ -24,7 +22,8 @@ def shapes(nodes: DataFrame) -> DataFrame:
 
 def unknown_visuals(nodes: DataFrame, inventory: DataFrame) -> DataFrame:
     """Nodes of an unknown type, or whose marker the template does not have."""
-    rows = shapes(nodes).join(inventory.select("marker", F.lit(True).alias("there")).distinct(), "marker", "left")
+    known = inventory.where(F.col("marker").isin(*(v[0] for v in t.NODE_VISUALS.values())))  # no more markers than types, so they go to the nodes
+    rows = shapes(nodes).join(F.broadcast(known.select("marker", F.lit(True).alias("there")).distinct()), "marker", "left")
     return rows.where("marker is null or there is null").select("diagram_id", "id", "type", F.when(F.col("marker").isNull(), "unknown_type").otherwise("missing_marker").alias("rule"))
 
 
@@ -107,23 +106,21 @@ def called_out(rows: DataFrame, width: float = t.CALLOUT_WIDTH, height: float =
     page_width, page_height = F.col("page_width"), F.col("page_height")
 
     def candidate(side: str, x: Column, y: Column) -> Column:
+        """What a place gives, null where text or carrier do not fit."""
         low_x, high_x = F.greatest(F.lit(width / 2), x + tw / 2 - width / 2), F.least(page_width - width / 2, x - tw / 2 + width / 2)
         low_y, high_y = F.greatest(F.lit(height / 2), y + th / 2 - height / 2), F.least(page_height - height / 2, y - th / 2 + height / 2)
         on_page = (x - tw / 2 >= 0) & (x + tw / 2 <= page_width) & (y - th / 2 >= 0) & (y + th / 2 <= page_height)
-        return F.struct(
-            F.lit(side).alias("side"), x.alias("text_x"), y.alias("text_y"),
-            F.least(F.greatest(x, low_x), high_x).alias("root_x"), F.least(F.greatest(y, low_y), high_y).alias("root_y"),
-            (on_page & (low_x <= high_x) & (low_y <= high_y)).alias("fits"),
-        )
+        place = F.struct(F.lit(side).alias("side"), x.alias("text_x"), y.alias("text_y"), F.least(F.greatest(x, low_x), high_x).alias("root_x"), F.least(F.greatest(y, low_y), high_y).alias("root_y"))
+        return F.when(on_page & (low_x <= high_x) & (low_y <= high_y), place)
 
-    options = F.array(
+    options = (
         candidate("right", g.right() + t.CALLOUT_GAP + tw / 2, F.col("y")),
         candidate("left", g.left() - t.CALLOUT_GAP - tw / 2, F.col("y")),
         candidate("above", F.col("x"), g.top() + t.CALLOUT_GAP + th / 2),
         candidate("below", F.col("x"), g.bottom() - t.CALLOUT_GAP - th / 2),
     )
     small = (page_width < width) | (page_height < height)
-    rows = rows.withColumn("best", F.when(~small, F.get(F.filter(options, lambda o: o["fits"]), F.lit(0))))
+    rows = rows.withColumn("best", F.when(~small, F.coalesce(*options)))
     return rows.select(
         "diagram_id", "id", "reference_number", F.col("best.side").alias("side"), F.col("best.text_x").alias("text_x"), F.col("best.text_y").alias("text_y"),
         F.col("best.root_x").alias("root_x"), F.col("best.root_y").alias("root_y"),
@@ -152,33 +149,21 @@ BOX = ("x", "y", "width", "height")
 
 
 def draw(nodes: DataFrame, placements: DataFrame, edges: DataFrame, pages: DataFrame) -> Drawing:
-    """All tables of the drawings, from one row for each diagram, which one shuffle brings together.
+    """All tables of the drawings; each costs what it needs only.
 
     A node is drawn in its last placement; nodes without one are left out, and
-    connectors whose ends are. Diagrams too large for a row are joined instead.
+    connectors whose ends are. All tables are dealt by diagram once, and joined
+    and ordered where they lie, so that no diagram has to fit a row.
     """
-    parts = {"nodes": (nodes, NODE), "placements": (placements, PLACE), "edges": (edges, EDGE), "pages": (pages, ["page_width", "page_height"])}
-    small, large = packed.by_size(parts)
-    box = lambda p, prefix="": [p[c].alias(f"{prefix}{c}") for c in BOX]
-    last = lambda n: F.try_element_at(F.filter("placements", lambda p: p["node_id"] == n["id"]), F.lit(-1))
-    placed = F.transform("nodes", lambda n: let(last(n), lambda p: F.when(p.isNotNull(), F.struct(*(n[c].alias(c) for c in NODE), *box(p)))))
-    rows = packed.pack(small).select("diagram_id", F.filter(placed, lambda n: n.isNotNull()).alias("nodes"), "edges", F.get("pages", F.lit(0)).alias("page"))
-    found = lambda name: F.get(F.filter("nodes", lambda n: n["id"] == name), F.lit(0))
-    ends = lambda e: let(F.struct(found(e["source"]).alias("s"), found(e["target"]).alias("t")), lambda b: F.when(b["s"].isNotNull() & b["t"].isNotNull(), F.struct(*(e[c].alias(c) for c in EDGE), *box(b["s"], "s_"), *box(b["t"], "t_"))))
-    rows = kept(rows.select("diagram_id", "nodes", F.filter(F.transform("edges", ends), lambda e: e.isNotNull()).alias("edges"), F.col("page.page_width").alias("page_width"), F.col("page.page_height").alias("page_height")))
-    own = rows.select("diagram_id", "page_width", "page_height", F.inline("nodes"))
-    lines = rows.select("diagram_id", F.inline("edges"))
-    order = F.array_sort(F.transform("nodes", lambda n: F.struct((~t.is_container(n["type"])).alias("inner"), n["pos"].alias("pos"), n.alias("n"))))
-    ordered = F.transform(order, lambda o, i: F.struct(*(o["n"][c].alias(c) for c in (*NODE, *BOX)), t.looked_up(o["n"]["type"], t.NODE_VISUALS, 0).alias("marker"), (~o["inner"]).alias("is_container"), (i + 1).alias("draw_order")))
-    drawn = rows.select("diagram_id", F.inline(ordered))
-    if large is not None:
-        of = lambda df: df.join(large, "diagram_id", "left_semi")
-        nth = F.row_number().over(Window.partitionBy("diagram_id", "node_id").orderBy(F.desc("pos")))
-        boxes = of(placements).withColumn("nth", nth).where("nth = 1").select("diagram_id", F.col("node_id").alias("id"), *BOX)
-        more = kept(of(nodes).select("diagram_id", *NODE).join(boxes, ["diagram_id", "id"]))
-        own = own.unionByName(more.join(pages.select("diagram_id", "page_width", "page_height"), "diagram_id", "left"))
-        lines = lines.unionByName(between(of(edges).select("diagram_id", *EDGE), more))
-        drawn = drawn.unionByName(shapes(more).select(drawn.columns))
+    nodes, placements, edges, pages = (dealt(df) for df in (nodes, placements, edges, pages))
+    nth = F.row_number().over(Window.partitionBy("diagram_id", "node_id").orderBy(*(F.desc(c) for c in PLACE if c != "node_id")))
+    boxes = placements.withColumn("nth", nth).where("nth = 1").select("diagram_id", F.col("node_id").alias("id"), *BOX)
+    placed = nodes.select("diagram_id", *NODE).join(boxes, ["diagram_id", "id"])
+    page = pages.groupBy("diagram_id").agg(F.min(F.struct("page_width", "page_height")).alias("page")).select("diagram_id", "page.page_width", "page.page_height")
+    own = placed.join(page, "diagram_id", "left").select("diagram_id", "page_width", "page_height", *NODE, *BOX)
+    again = F.row_number().over(Window.partitionBy("diagram_id", "id").orderBy("pos"))
+    lines = between(edges.select("diagram_id", *EDGE), placed.withColumn("nth", again).where("nth = 1"))  # of nodes with one id the first
+    drawn = shapes(placed).select("diagram_id", *NODE, *BOX, "marker", "is_container", "draw_order")
     bare = own.drop("page_width", "page_height")
     findings = drawing_findings(bare, own.where("page_width is not null").select("diagram_id", "page_width", "page_height").distinct()).unionByName(leftover_markers(own))
     return Drawing(own, drawn, connected(lines), called_out(own.where("reference_number is not null and page_width is not null")), findings)

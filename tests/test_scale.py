@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from sketchloom import storage
 from sketchloom.functions import text as tx
-from sketchloom.operators import attempts
+from sketchloom.operators import attempts, drawing
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,6 +47,22 @@ def test_wrap_of_long_texts(spark):
     assert [got[i] for i in range(len(texts))] == [textwrap.wrap(x.replace("\t", " "), width=30, break_on_hyphens=False) for x in texts]
 
 
+def test_markers_go_to_the_nodes(spark):
+    told = plan(entry.queries()["visual_gaps"](spark, SF))
+    assert "BroadcastHashJoin" in told and "SortMergeJoin" not in told and told.count("hashpartitioning(marker") == 1  # for the distinct markers
+
+
+def test_drawings_need_no_packed_rows(spark):
+    nodes = spark.createDataFrame([("d", 0, "a", "process", "A", None, "1"), ("d", 1, "b", "process", "B", None, None), ("d", 2, "b", "sensor", "again", None, None)], "diagram_id string, pos long, id string, type string, label string, parent_id string, reference_number string")
+    places = spark.createDataFrame([("d", 0, "a", 1.0, 1.0, 1.0, 1.0), ("d", 1, "b", 9.0, 9.0, 1.0, 1.0), ("d", 2, "b", 5.0, 1.0, 1.0, 1.0)], "diagram_id string, pos long, node_id string, x double, y double, width double, height double")
+    edges = spark.createDataFrame([("d", 0, "e", "a", "b", "flow", "forward", None, "solid", False)], "diagram_id string, pos long, id string, source string, target string, relation string, direction string, label string, style string, style_explicit boolean")
+    pages = spark.createDataFrame([("d", 12.0, 7.0)], "diagram_id string, page_width double, page_height double")
+    job = drawing.draw(nodes, places, edges, pages)
+    assert [(r["begin_x"], r["end_x"]) for r in job.connectors.collect()] == [(1.5, 4.5)]  # one line, though two nodes are b
+    assert sorted(r["label"] for r in job.shapes.collect()) == ["A", "B", "again"]
+    assert all("collect_list" not in plan(t) for t in (job.shapes, job.connectors, job.callouts, job.findings))
+
+
 def test_parts_grow_with_the_table(spark, monkeypatch):
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
