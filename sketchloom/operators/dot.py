@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
 from ..functions.text import quoted
+from ..storage import dealt
 from .layout import around_children, fit_page, sized
 
 
@@ -66,19 +69,27 @@ def parsed_positions(lines: DataFrame) -> DataFrame:
     graph record of positive size, with a short or unreadable record, or
     without nodes; such a text has one row with a null id.
     """
-    fields = F.transform(F.regexp_extract_all("line", F.lit(FIELD), F.lit(1)), lambda f: F.when(f.startswith('"'), F.regexp_replace(F.substring(f, F.lit(2), F.length(f) - 2), r"\\(.)", "$1")).otherwise(f))
-    rows = lines.withColumn("f", fields).withColumn("kind", F.get("f", F.lit(0))).where("kind in ('graph', 'node')")
-    value = lambda i: F.get("f", F.lit(i)).try_cast("double")
-    is_graph = F.col("kind") == "graph"
-    bad = F.when(is_graph, (F.size("f") < 4) | value(2).isNull() | value(3).isNull()).otherwise((F.size("f") < 6) | value(2).isNull() | value(3).isNull() | value(4).isNull() | value(5).isNull())
-    box = F.struct("pos", F.get("f", F.lit(1)).alias("id"), F.bround(value(2) + t.MARGIN, 4).alias("x"), F.bround(value(3) + t.MARGIN, 4).alias("y"), F.bround(value(4), 4).alias("width"), F.bround(value(5), 4).alias("height"))
-    last = rows.groupBy("diagram_id").agg(
-        F.bool_or(bad).alias("bad"), F.max_by(F.struct(value(2).alias("w"), value(3).alias("h")), F.when(is_graph, F.col("pos"))).alias("page"), F.collect_list(F.when(~is_graph & ~bad, box)).alias("boxes")
-    )
-    ok = ~F.col("bad") & F.coalesce((F.col("page.w") > 0) & (F.col("page.h") > 0), F.lit(False)) & (F.size("boxes") > 0)
-    flat = lines.select("diagram_id").distinct().join(last.withColumn("ok", ok), "diagram_id", "left").select("diagram_id", F.coalesce("ok", F.lit(False)).alias("ok"), F.col("page.w").alias("graph_width"), F.col("page.h").alias("graph_height"), F.explode_outer("boxes").alias("b"))
-    flat = flat.select("diagram_id", "ok", "graph_width", "graph_height", "b.*")
-    return flat.groupBy("diagram_id", "ok", "graph_width", "graph_height", "id").agg(*(F.max_by(c, "pos").alias(c) for c in ("x", "y", "width", "height")))
+    rows = lines.select("diagram_id", "pos", F.regexp_extract_all("line", F.lit(FIELD), F.lit(1)).alias("f"))
+
+    def field(i: int) -> Column:
+        bare = F.get("f", F.lit(i))
+        inside = F.substring(bare, F.lit(2), F.length(bare) - 2)
+        return F.when(bare.startswith('"'), F.when(F.contains(inside, F.lit("\\")), F.regexp_replace(inside, r"\\(.)", "$1")).otherwise(inside)).otherwise(bare)
+
+    value = lambda i: field(i).try_cast("double").alias(f"v{i}")
+    rows = rows.select("diagram_id", "pos", field(0).alias("kind"), field(1).alias("id"), *map(value, (2, 3, 4, 5)), F.size("f").alias("fields"))
+    is_graph, is_node = F.col("kind") == "graph", F.col("kind") == "node"
+    lacks = lambda *names: reduce(Column.__or__, (F.col(n).isNull() for n in names))
+    bad = F.when(is_graph, (F.col("fields") < 4) | lacks("v2", "v3")).when(is_node, (F.col("fields") < 6) | lacks("v2", "v3", "v4", "v5"))
+    rows = dealt(rows.withColumns({"bad": bad, "graph": F.coalesce(is_graph, F.lit(False)), "box": F.coalesce(is_node & ~bad, F.lit(False))}).drop("kind", "fields"))
+    text = Window.partitionBy("diagram_id")
+    page = F.max_by(F.struct(F.col("v2").alias("w"), F.col("v3").alias("h")), F.when(F.col("graph"), F.col("pos"))).over(text)
+    rows = rows.withColumns({"broken": F.bool_or("bad").over(text), "page": page, "boxes": F.count(F.when(F.col("box"), 1)).over(text)}).where("box or boxes = 0")
+    ok = F.coalesce(~F.col("broken") & (F.col("page.w") > 0) & (F.col("page.h") > 0) & (F.col("boxes") > 0), F.lit(False))
+    own = lambda value: F.when(F.col("box"), value)
+    numbers = {"x": F.bround(F.col("v2") + t.MARGIN, 4), "y": F.bround(F.col("v3") + t.MARGIN, 4), "width": F.bround("v4", 4), "height": F.bround("v5", 4)}
+    flat = rows.select("diagram_id", ok.alias("ok"), F.col("page.w").alias("graph_width"), F.col("page.h").alias("graph_height"), own(F.col("id")).alias("id"), "pos", *(own(v).alias(k) for k, v in numbers.items()))
+    return flat.groupBy("diagram_id", "ok", "graph_width", "graph_height", "id").agg(*(F.max_by(c, "pos").alias(c) for c in numbers))
 
 
 def with_own_sizes(boxes: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from sketchloom import storage
 from sketchloom.functions import text as tx
-from sketchloom.operators import attempts, drawing
+from sketchloom.operators import attempts, dot, drawing
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,6 +63,13 @@ def test_drawings_need_no_packed_rows(spark):
     assert all("collect_list" not in plan(t) for t in (job.shapes, job.connectors, job.callouts, job.findings))
 
 
+def test_positions_are_dealt_once(spark):
+    lines = spark.createDataFrame([("d", 0, "graph 1 9 9"), ("d", 1, 'node "a \\"b" 1 2 "3" 4'), ("e", 0, "graph 1 9"), ("f", 0, "edge")], "diagram_id string, pos long, line string")
+    out = dot.parsed_positions(lines)
+    assert plan(out).count("Exchange hashpartitioning") == 1
+    assert sorted((r["diagram_id"], r["id"], r["ok"], r["width"]) for r in out.collect()) == [("d", 'a "b', True, 3.0), ("e", None, False, None), ("f", None, False, None)]
+
+
 def test_parts_grow_with_the_table(spark, monkeypatch):
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
