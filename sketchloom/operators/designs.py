@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as tx
-from ..storage import kept
+from ..storage import dealt, kept
 from . import packed
 from .normalize import again, assign_edge_ids, by_position, finding
 
@@ -105,7 +105,7 @@ def outside_parent(boxes: DataFrame) -> DataFrame:
 
 def known_boxes(nodes: DataFrame, placements: DataFrame) -> DataFrame:
     """The counting placement of each node that has one, with the node's parent."""
-    return last_placements(placements).join(nodes.select("diagram_id", "id", "parent_id"), ["diagram_id", "id"])
+    return last_placements(dealt(placements)).join(dealt(nodes).select("diagram_id", "id", "parent_id"), ["diagram_id", "id"])
 
 
 def geometry_values(placements: DataFrame) -> DataFrame:
