@@ -8,10 +8,9 @@ of BLOCK; each term keeps its largest impact in each block, so most passages
 drop a block by its summed maxima, and WAND pivots through the rest.
 Items are verified word by word against the whole document: by the share of
 the 5-word shingles of the question (all but the last sentence), of the answer
-(the last) and of the whole item that the document has. As an item has to pass
-both, the verification comes first (one look-up of the document's shingles)
-and only the blocks of items that pass are searched, one after another, so that
-a task holds no more than a few numbers for each word of a document.
+(the last) and of the whole item that the document has. The search goes through
+all blocks, one after another, so that a task holds no more than a few numbers
+for each word of a document; what it retrieves is verified after it.
 
 An item is found when 0.8 of all its shingles are there, or 0.8 of the
 question's and of the answer's. An item of fewer than five words is found when
@@ -150,8 +149,6 @@ class Index:
         self.max_first = np.searchsorted(key[at] // max(len(self.terms), 1), np.arange(self.blocks + 1))
         self.block_least = np.full(self.blocks, np.inf)
         np.minimum.at(self.block_least, np.arange(n) // BLOCK, self.least)
-        self.unit_of = np.argsort(self.owner, kind="stable")
-        self.unit_first = np.searchsorted(self.owner[self.unit_of], np.arange(len(self.items) + 1))
 
     @staticmethod
     def looked_up(found: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ...]:
@@ -249,16 +246,13 @@ class Index:
         ids = self.doc_ids(text)
         if not len(ids) or not len(self.owner):
             return []
-        passed = self.verified(ids)
-        if not passed:
-            return []
-        blocks = np.unique(np.concatenate([self.unit_of[self.unit_first[i] : self.unit_first[i + 1]] for i in passed]) // BLOCK).tolist()
         best: dict[int, float] = defaultdict(float)
-        for passage, block in self.candidates(ids, blocks):
+        for passage, block in self.candidates(ids, range(self.blocks)):
             own = ids[passage * (PASSAGE // 2) : passage * (PASSAGE // 2) + PASSAGE]
             for unit, score in self.wand(np.unique(own[own >= 0]), block):
                 item = int(self.owner[unit])
                 best[item] = max(best[item], score)
+        passed = self.verified(ids) if best else {}
         return [(self.items[i], score, *passed[i]) for i, score in sorted(best.items()) if i in passed]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from sketchloom import storage
 from sketchloom.functions import text as tx
+from sketchloom.llm import decontaminate
 from sketchloom.operators import attempts, dot, drawing
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +86,12 @@ def test_parts_grow_with_the_table(spark, monkeypatch):
 def test_parents_are_joined_once(spark):
     told = plan(entry.queries()["schematic_parent_findings"](spark, SF))
     assert told.count("LeftOuter") == 1
+
+
+def test_items_are_retrieved_before_they_are_verified(monkeypatch):
+    item = "alpha beta gamma delta epsilon zeta eta theta. iota kappa lambda mu nu xi omicron"
+    index = decontaminate.Index([(1, item)])
+    asked = []
+    monkeypatch.setattr(index, "verified", lambda ids: asked.append(len(ids)) or {0: (1.0, 1.0, 1.0)})
+    assert index.search("nothing of it, but for alpha") == [] and asked == []
+    assert [hit[0] for hit in index.search(item)] == [1] and len(asked) == 1
