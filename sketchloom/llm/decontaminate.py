@@ -5,7 +5,8 @@ a query; every test unit (an item, its question or its answer, or PIECE words
 of a longer one) that scores at least SHARE of its own full score retrieves its
 item, so question and answer may stand far apart. Units are indexed in blocks
 of BLOCK; each term keeps its largest impact in each block, so most passages
-drop a block by its summed maxima, and WAND pivots through the rest.
+drop a block by its summed maxima, and WAND pivots through the rest, all pairs
+of a passage and a block that is left to it in one step.
 Items are verified word by word against the whole document: by the share of
 the 5-word shingles of the question (all but the last sentence), of the answer
 (the last) and of the whole item that the document has. The search goes through
@@ -44,10 +45,21 @@ WORDS, OVERLAP = 5, 0.8
 INDEX_CHARS = 4_000_000
 K1, B = 1.2, 0.75
 WORD = re.compile(r"[^\W_]+")
+#: Passages, and entries of a table of passages by blocks or by terms, that are searched at once; words of the texts whose passages are made at once.
+PASSAGES, CELLS, WORDS_AT_ONCE = 1024, 1 << 20, 1 << 16
+#: A term in at least one of COMMON blocks is a row of the table of maxima; what its single precision may lose of a bound.
+COMMON, NEAR = 8, 1e-4
 LAST_SENTENCE = re.compile(r"[.!?\n](?=\s*[^\s.!?\n])")
 FOUND = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
 
+def spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges: for each place in them the number of its range, and the place."""
+    many = end - first
+    which = np.repeat(np.arange(len(many)), many)
+    return which, np.arange(len(which)) + np.repeat(first - np.cumsum(many) + many, many)
+
+
 def shingles(ids: np.ndarray, words: int = WORDS) -> np.ndarray:
     """64-bit hashes of all runs of `words` ids without a word that no item has (-1)."""
     if len(ids) < words:
@@ -103,7 +115,6 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], known: Statistics | None = None):
         known = known or statistics_of(t for _, t in items)
         self.terms: dict[str, int] = {}
-        self.held: dict[int, tuple | None] = {}  # postings of a term in a block, as they come to be used
         self.items, units, owner, wanted, self.short = [], [], [], defaultdict(list), set()
         for item, text in items:
             words, halves = words_of(text)
@@ -140,13 +151,22 @@ class Index:
         t, u, impact = t[order], u[order], impact[order]
         self.first = np.searchsorted(t, np.arange(len(self.terms) + 1))
         self.unit, self.impact = u, impact
-        # block maxima, by block and term
-        order = np.lexsort((t, u // BLOCK))
-        key = (u // BLOCK * max(len(self.terms), 1) + t)[order]
+        # lists: the postings of a term in a block, by term and block, with their largest impact and their first unit
+        key = t.astype(np.int64) * max(self.blocks, 1) + u // BLOCK
         at = np.nonzero(np.diff(key, prepend=-1))[0]
-        self.max_impact = np.maximum.reduceat(impact[order], at) if len(at) else np.zeros(0)
-        self.max_term = (key % max(len(self.terms), 1))[at]
-        self.max_first = np.searchsorted(key[at] // max(len(self.terms), 1), np.arange(self.blocks + 1))
+        self.list_at, self.list_key, self.list_block = np.append(at, len(u)), key[at], u[at] // BLOCK
+        self.list_max = np.maximum.reduceat(impact, at) if len(at) else np.zeros(0)
+        list_term = t[at]
+        self.list_first = np.searchsorted(list_term, np.arange(len(self.terms) + 1))
+        # terms of many blocks have a row of a table, so that most bounds are one multiplication
+        many = np.diff(self.list_first)
+        common = np.nonzero(many * COMMON >= max(self.blocks, 1))[0]
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.list_of = np.full((len(common), self.blocks), -1, np.int32)
+        own = np.nonzero(self.row[list_term] >= 0)[0]
+        self.list_of[self.row[list_term[own]], self.list_block[own]] = own
+        self.table = np.append(self.list_max, 0.0).astype(np.float32)[self.list_of]
         self.block_least = np.full(self.blocks, np.inf)
         np.minimum.at(self.block_least, np.arange(n) // BLOCK, self.least)
 
@@ -195,65 +215,107 @@ class Index:
         key = np.unique((place * terms + np.concatenate([ids[at], ids[at]]))[(place >= 0) & (place < rows)])
         return rows, key // terms, key % terms
 
+    def near_bounds(self, rows: int, passage: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Passages x blocks: summed block maxima, in single precision."""
+        row = self.row[term]
+        has = row >= 0
+        known = np.zeros((rows, len(self.table)), np.float32)
+        known[passage[has], row[has]] = 1
+        rare = ~has
+        which, place = spread(self.list_first[term[rare]], self.list_first[term[rare] + 1])
+        more = np.bincount(passage[rare][which] * self.blocks + self.list_block[place], self.list_max[place], rows * self.blocks)
+        return known @ self.table + more.reshape(rows, self.blocks).astype(np.float32)
+
+    def lists(self, passage: np.ndarray, term: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the pair, list) of all lists that the terms of each pair's passage have in its block."""
+        which, place = spread(np.searchsorted(passage, pairs[0]), np.searchsorted(passage, pairs[0], "right"))
+        block, own = pairs[1][which], term[place]
+        row = self.row[own]
+        found = np.full(len(own), -1)
+        has = row >= 0
+        found[has] = self.list_of[row[has], block[has]]
+        rare = np.nonzero(~has)[0]
+        if len(rare):
+            wanted = own[rare] * self.blocks + block[rare]
+            at = np.minimum(np.searchsorted(self.list_key, wanted), len(self.list_key) - 1)
+            found[rare] = np.where(self.list_key[at] == wanted, at, -1)
+        return which[found >= 0], found[found >= 0]
+
+    def bounded(self, rows: int, passage: np.ndarray, term: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+        """(passage, block) pairs whose summed block maxima reach the block's least threshold, and their lists (see lists)."""
+        pairs = np.nonzero(self.near_bounds(rows, passage, term) >= self.block_least * (1 - NEAR) - NEAR)
+        which, found = self.lists(passage, term, pairs)
+        stays = np.bincount(which, self.list_max[found], len(pairs[0])) >= self.block_least[pairs[1]] - 1e-9
+        inside = stays[which]
+        return (pairs[0][stays], pairs[1][stays]), (np.cumsum(stays) - 1)[which[inside]], found[inside]
+
     def candidates(self, ids: np.ndarray, blocks: Iterable[int]) -> Iterator[tuple[int, int]]:
-        """(passage, block) pairs whose summed block maxima reach the block's least threshold."""
-        rows, passage, term = self.passages(ids)
-        for block in blocks:
-            known = slice(self.max_first[block], self.max_first[block + 1])
-            at = np.minimum(np.searchsorted(self.max_term[known], term), known.stop - known.start - 1)
-            has = self.max_term[known][at] == term
-            bound = np.bincount(passage[has], self.max_impact[known][at[has]], rows)
-            yield from ((p, block) for p in np.nonzero(bound >= self.block_least[block] - 1e-9)[0].tolist())
+        """(passage, block) pairs of these blocks whose summed block maxima reach the block's least threshold."""
+        asked = set(blocks)
+        (passage, block), _, _ = self.bounded(*self.passages(ids))
+        return ((p, b) for p, b in zip(passage.tolist(), block.tolist(), strict=True) if b in asked)
+
+    def pivoted(self, block: np.ndarray, which: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, unit, score) of the units at their threshold or above; all pairs of a passage and a block step through WAND at once.
+
+        block: that of each pair; which, found: its lists. A unit is a pivot if
+        the lists that begin at it or before it can reach the block's least
+        threshold together; other units are skipped, pivots are scored.
+        """
+        n, lead = len(block), self.unit[self.list_at[found]] % BLOCK
+        reach = np.cumsum(np.bincount(which * BLOCK + lead, self.list_max[found], n * BLOCK).reshape(n, BLOCK), axis=1)
+        pivot = (reach >= self.block_least[block][:, None] - 1e-9).ravel()
+        of, place = spread(self.list_at[found], self.list_at[found + 1])
+        at = which[of] * BLOCK + self.unit[place] % BLOCK
+        scored = pivot[at]
+        score = np.bincount(at[scored], self.impact[place[scored]], n * BLOCK)
+        unit = np.repeat(block * BLOCK, BLOCK) + np.tile(np.arange(BLOCK), n)
+        hit = np.nonzero(pivot & (unit < len(self.least)) & (score > 0))[0]
+        hit = hit[score[hit] >= self.least[unit[hit]] - 1e-9]
+        return hit // BLOCK, unit[hit], score[hit]
 
     def wand(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
         """(unit, score) of the block's units at their threshold or above, for a set of terms."""
-        lists = []
-        for t in terms.tolist():
-            got = self.held.get(key := t * self.blocks + block, 0)
-            if got == 0:
-                a, b = self.first[t], self.first[t + 1]
-                i, j = a + np.searchsorted(self.unit[a:b], (block * BLOCK, (block + 1) * BLOCK))
-                impacts = self.impact[i:j].tolist()
-                got = self.held[key] = (self.unit[i:j].tolist(), impacts, max(impacts)) if impacts else None
-            if got:
-                lists.append([*got, 0])
-        out, least = [], self.block_least[block] - 1e-9
-        while True:
-            lists = sorted((x for x in lists if x[3] < len(x[0])), key=lambda x: x[0][x[3]])
-            total, pivot = 0.0, None
-            for x in lists:
-                total += x[2]
-                if total >= least:
-                    pivot = x[0][x[3]]
-                    break
-            if pivot is None:
-                return out
-            if lists[0][0][lists[0][3]] == pivot:
-                score = 0.0
-                for x in lists:
-                    if x[0][x[3]] == pivot:
-                        score += x[1][x[3]]
-                        x[3] += 1
-                if score >= self.least[pivot] - 1e-9:
-                    out.append((pivot, score))
-            else:
-                for x in lists:
-                    while x[3] < len(x[0]) and x[0][x[3]] < pivot:
-                        x[3] += 1
-
-    def search(self, text: str) -> list[tuple[int, float, float, float, float]]:
-        """(item, best score, overlap, question's overlap, answer's overlap) of the items found in a text."""
-        ids = self.doc_ids(text)
-        if not len(ids) or not len(self.owner):
-            return []
-        best: dict[int, float] = defaultdict(float)
-        for passage, block in self.candidates(ids, range(self.blocks)):
-            own = ids[passage * (PASSAGE // 2) : passage * (PASSAGE // 2) + PASSAGE]
-            for unit, score in self.wand(np.unique(own[own >= 0]), block):
-                item = int(self.owner[unit])
-                best[item] = max(best[item], score)
-        passed = self.verified(ids) if best else {}
-        return [(self.items[i], score, *passed[i]) for i, score in sorted(best.items()) if i in passed]
+        which, found = self.lists(np.zeros(len(terms), np.int64), terms, (np.zeros(1, np.int64), np.asarray([block])))
+        _, unit, score = self.pivoted(np.asarray([block]), which, found)
+        return list(zip(unit.tolist(), score.tolist(), strict=True))
+
+    def retrieved(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, score) of all units that a passage retrieves, by text; texts: as ids of words."""
+        split = [self.passages(ids) for ids in texts]
+        begins = np.cumsum([0, *(rows for rows, _, _ in split)])
+        passage = np.concatenate([p + at for (_, p, _), at in zip(split, begins[:-1].tolist(), strict=True)])
+        term, found = np.concatenate([t for _, _, t in split]), []
+        rows = max(1, min(PASSAGES, CELLS // max(self.blocks, len(self.table), 1)))
+        for at in range(0, int(begins[-1]), rows):
+            own = slice(*np.searchsorted(passage, (at, at + rows)))
+            (near, block), which, lists = self.bounded(min(rows, int(begins[-1]) - at), passage[own] - at, term[own])
+            pair, unit, score = self.pivoted(block, which, lists)
+            found.append((np.searchsorted(begins, near[pair] + at, "right") - 1, self.owner[unit], score))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def search(self, texts: Iterable[str]) -> Iterator[tuple[int, int, float, float, float, float]]:
+        """(place of the text, item, best score, overlap, question's overlap, answer's overlap) of the items found in texts."""
+        begin, group, size = 0, [], 0
+        for ids in itertools.chain(map(self.doc_ids, texts), [None]):
+            if group and (ids is None or size + len(ids) > WORDS_AT_ONCE):
+                yield from self.found(begin, group)
+                begin, group, size = begin + len(group), [], 0
+            if ids is not None:
+                group.append(ids)
+                size += len(ids)
+
+    def found(self, begin: int, texts: list[np.ndarray]) -> Iterator[tuple[int, int, float, float, float, float]]:
+        if not len(self.owner):
+            return
+        text, item, score = self.retrieved(texts)
+        for k in np.unique(text).tolist():
+            own = slice(*np.searchsorted(text, (k, k + 1)))
+            passed = self.verified(texts[k])
+            for i in sorted(passed):
+                of = score[own][item[own] == i]
+                if len(of):
+                    yield (begin + k, self.items[i], float(of.max()), *passed[i])
 
 
 def statistics(items: DataFrame) -> DataFrame:
@@ -284,7 +346,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, index_chars: int = INDEX_CHARS)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in index.value.search(text.as_py())]
+                ids = batch.column(0).to_pylist()
+                out = [(ids[k], *hit) for k, *hit in index.value.search(text.as_py() for text in batch.column(1))]
                 columns = list(zip(*out, strict=True)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
