@@ -19,6 +19,16 @@ from sketchloom.llm.common import documents, id_or_last, stored, word_tokenizer_
 from sketchloom.session import ship
 
 ROW = "pipeline_row"
+#: Rows of a batch that goes to Python: three tasks of an executor hold one in the JVM and one in their worker.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """spark with the package at its executors, and with batches of at most BATCH rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+    return ship(spark)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -76,11 +86,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", lambda spark, docs, sf_dir: language_id(ship(spark), docs, sf_dir)),
-    ("exact_dedup", lambda spark, docs, sf_dir: exact(ship(spark), docs, sf_dir)),
-    ("near_dedup", lambda spark, docs, sf_dir: near(ship(spark), docs, sf_dir)),
-    ("decontaminate", lambda spark, docs, sf_dir: clean(ship(spark), docs, sf_dir)),
-    ("packing", lambda spark, docs, sf_dir: packed(ship(spark), docs, sf_dir)),
+    ("language_id", lambda spark, docs, sf_dir: language_id(small_batches(spark), docs, sf_dir)),
+    ("exact_dedup", lambda spark, docs, sf_dir: exact(small_batches(spark), docs, sf_dir)),
+    ("near_dedup", lambda spark, docs, sf_dir: near(small_batches(spark), docs, sf_dir)),
+    ("decontaminate", lambda spark, docs, sf_dir: clean(small_batches(spark), docs, sf_dir)),
+    ("packing", lambda spark, docs, sf_dir: packed(small_batches(spark), docs, sf_dir)),
 ]
 
 #: Language scores, SimHash, BM25 and token ids are beyond SQL; tests/llm checks the stages by brute force.

@@ -871,6 +871,21 @@ def test_pipeline(spark, rows):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontaminate", "packing"]
 
 
+def test_pipeline_hands_small_batches_to_python(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for given, want in (("10000", 1000), ("0", 1000), ("50", 50)):
+        spark.conf.set(name, given)
+        assert int(corpus_pipeline.small_batches(spark).conf.get(name)) == want
+    spark.conf.set(name, before)
+    docs = spark.createDataFrame([(i, f"text {i}", None, None, 0) for i in range(3)], DOCS)
+    corpus_pipeline.STAGES[1][1](spark, docs, None)
+    assert int(spark.conf.get(name)) == 1000
+    spark.conf.set(name, before)
+
+
 def test_pipeline_decides_row_by_row(spark, rows, tmp_path):
     import corpus_pipeline
 
