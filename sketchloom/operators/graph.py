@@ -1,15 +1,21 @@
 """Components and ranks of diagrams: directed pairs, strong components, longest paths.
 
-Each diagram is one row: its node ids in order and, for each node, the nodes it
-reaches as bits of a long. Closure and ranks are array expressions over that
-row, so the corpus takes one shuffle and no loop. Diagrams of more than SMALL
-nodes do not fit a long; these stay rows and go through large_graphs.
+Each diagram is one row: its node ids in order and the pairs between them. For
+each node, the nodes it reaches are bits of a long; closure and ranks are steps
+over the rows of a batch, so the corpus takes one shuffle and no loop over
+diagrams. Diagrams of more than SMALL nodes do not fit a long; these stay rows
+and go through large_graphs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.binding import let
 from ..storage import kept
@@ -20,14 +26,6 @@ SMALL = 62
 RANKED = "array<struct<id:string,component:string,rank:int>>"
 
 
-def bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
-
-
-def has(bits: Column, i: Column) -> Column:
-    return F.call_function("shiftright", bits, i).bitwiseAND(F.lit(1).cast("long")) == 1
-
-
 def layout_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes that are no other node's parent."""
     parents = nodes.where(F.col("parent_id").isNotNull()).select("diagram_id", F.col("parent_id").alias("id")).distinct()
@@ -65,36 +63,60 @@ def packed(nodes: DataFrame, edges: DataFrame, *carried: str) -> DataFrame:
     return rows.withColumn("pairs", inside)
 
 
+def levels(sizes: np.ndarray, row: np.ndarray, source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component (its least node) and rank of each node, graphs by nodes, for graphs of sizes nodes with pairs (row, source, target); all graphs take each step together."""
+    nodes = np.arange(sizes.max(initial=0))
+    reach = np.tile(np.int64(1) << nodes, (len(sizes), 1))
+    np.bitwise_or.at(reach, (row, source), np.int64(1) << target)
+    for k in nodes:
+        reach |= -(reach >> k & 1) & reach[:, [k]]
+    # the nodes that reach each node, and of those the ones that it does not reach
+    to = np.zeros_like(reach)
+    for j in nodes:
+        to |= (reach[:, [j]] >> nodes & 1) << j
+    mutual = reach & to
+    above, rank = to ^ mutual, np.zeros_like(reach)
+    while True:
+        more = np.zeros_like(rank)
+        for j in nodes:
+            np.maximum(more, (above >> j & 1) * (rank[:, [j]] + 1), out=more)
+        if (more == rank).all():
+            return np.bitwise_count((mutual & -mutual) - 1).astype(np.int64), rank
+        rank = more
+
+
+#: Graphs of like size that take their steps together.
+TOGETHER = 2048
+
+
+def placed(ids: pa.Array, pairs: pa.Array) -> pa.Array:
+    """64 x component + rank of each node (as places among the ids); pairs: 64 x source + target."""
+    n, many, code = np.diff(ids.offsets.to_numpy()).astype(np.int64), np.diff(pairs.offsets.to_numpy()), pairs.flatten().to_numpy().astype(np.int64)
+    begins, first = np.cumsum(np.append(0, n)), np.cumsum(np.append(0, many))
+    out, order = np.zeros(begins[-1], np.int32), np.argsort(n, kind="stable")
+    for at in range(0, len(n), TOGETHER):
+        own = order[at : at + TOGETHER]
+        row = np.repeat(np.arange(len(own)), many[own])
+        place = np.arange(len(row)) + np.repeat(first[own] - np.cumsum(many[own]) + many[own], many[own])
+        component, rank = levels(n[own], row, code[place] // 64, code[place] % 64)
+        x, y = np.nonzero(np.arange(component.shape[1]) < n[own][:, None])
+        out[begins[own][x] + y] = 64 * component[x, y] + rank[x, y]
+    return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(out))
+
+
 def ranked(graphs: DataFrame) -> DataFrame:
     """graphs (ids, pairs) of up to SMALL nodes plus ranked: (id, component, rank) of each id; component is its least id."""
-    zero = F.lit(0).cast("long")
-
-    def component_and_rank(ids: Column, pairs: Column) -> Column:
-        seq = F.sequence(F.lit(0), F.size(ids) - 1)
-        target = lambda p: bit(F.array_position(ids, p["target"]).cast("int") - 1)
-        direct = F.transform(ids, lambda n, i: F.aggregate(F.filter(pairs, lambda p: p["source"] == n), bit(i), lambda m, p: m.bitwiseOR(target(p))))
-        close = lambda r, k: let(F.get(r, k), lambda more: F.when(more == bit(k), r).otherwise(F.transform(r, lambda x: F.when(has(x, k), x.bitwiseOR(more)).otherwise(x))))
-        # the nodes that reach each node, and of those the ones that it does not reach
-        reached = lambda reach: F.transform(seq, lambda i: F.aggregate(seq, zero, lambda m, j: F.when(has(F.get(reach, j), i), m.bitwiseOR(bit(j))).otherwise(m)))
-        mutual = lambda reach, to: F.zip_with(reach, to, lambda x, y: x.bitwiseAND(y))
-        above = lambda reach, to: F.zip_with(reach, to, lambda x, y: y.bitwiseXOR(x.bitwiseAND(y)))
-        least = lambda sets: F.transform(sets, lambda x: F.get(ids, F.get(F.filter(seq, lambda j: has(x, j)), F.lit(0))))
-
-        def levels(over: Column) -> Column:
-            """Ranks in the order of how many nodes are above: all that are above a node have fewer."""
-            order = F.array_sort(F.transform(over, lambda x, i: F.struct(F.bit_count(x).alias("n"), i.alias("i"))))
-            best = lambda ranks, x: F.array_max(F.transform(ranks, lambda r, j: F.when(has(x, j), r + 1).otherwise(0)))
-            put = lambda ranks, o: let(best(ranks, F.get(over, o["i"])), lambda level: F.transform(ranks, lambda r, j: F.when(j == o["i"], level).otherwise(r)))
-            return F.aggregate(order, F.transform(seq, lambda i: F.lit(0)), put)
-
-        def told(reach: Column, to: Column) -> Column:
-            both = F.zip_with(least(mutual(reach, to)), let(above(reach, to), levels), lambda c, r: F.struct(c.alias("component"), r.alias("rank")))
-            return F.zip_with(ids, both, lambda i, cr: F.struct(i.alias("id"), cr["component"].alias("component"), cr["rank"].alias("rank")))
-
-        return let(F.aggregate(seq, direct, close), lambda reach: let(reached(reach), lambda to: told(reach, to)))
-
-    each = let(F.struct("ids", "pairs"), lambda g: component_and_rank(g["ids"], g["pairs"]))
-    return graphs.withColumn("ranked", F.when(F.size("ids") > 0, each).otherwise(F.array().cast(RANKED)))
+    at = lambda ids, end: F.array_position(ids, end).cast("int") - 1
+    codes = let(F.col("ids"), lambda ids: F.transform("pairs", lambda p: 64 * at(ids, p["source"]) + at(ids, p["target"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("levels", placed(batch.column("ids"), batch.column("codes")))
+
+    rows = graphs.withColumn("codes", codes)
+    rows = rows.mapInArrow(run, StructType([*rows.schema, StructField("levels", ArrayType(IntegerType()))]))
+    told = F.transform("ids", lambda i, k: let(F.get("levels", k), lambda x: F.struct(i.alias("id"), F.get("ids", F.shiftright(x, 6)).alias("component"), x.bitwiseAND(F.lit(63)).alias("rank"))))
+    return rows.withColumn("ranked", told.cast(RANKED)).drop("codes", "levels")
 
 
 def split(nodes: DataFrame, most: int = SMALL) -> tuple[DataFrame, DataFrame | None]:

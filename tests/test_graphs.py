@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sketchloom.operators import designs, dot, graph, layout, normalize, packages, snapshots
@@ -172,3 +173,20 @@ def test_snapshots_with_shapes_that_come_and_go(spark):
     assert [tuple(r) for r in snapshots.inventory(twice, twice, once).collect()] == [("d", "shape", "a", 2, 2, 1)]
     behind = snapshots.compared(twice, twice, stage(("b", 0.0, 0), ("a", 2.0, 1))).first()  # the first shape with a label is looked up in each stage
     assert (behind["pins_lost"], behind["shapes_reopened"]) == (2, 2)
+
+
+def test_ranks_in_batches(monkeypatch):
+    rng, ids, pairs, want = random.Random(11), [], [], []
+    for g in range(60):
+        n = (0, 1, 62)[g] if g < 3 else rng.randrange(0, 12)
+        own = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(0, 2 * n))} if n else set()
+        names = [f"n{i:02d}" for i in range(n)]
+        told = closure_ranks(names, {(names[a], names[b]) for a, b in own})
+        ids.append(names)
+        pairs.append([64 * a + b for a, b in own])
+        want.append([64 * names.index(told[x][0]) + told[x][1] for x in names])
+    for together in (2048, 7):
+        monkeypatch.setattr(graph, "TOGETHER", together)
+        lists = pa.array([[[]], *([i] for i in ids)], pa.list_(pa.list_(pa.string()))).flatten(), pa.array([[], *pairs], pa.list_(pa.int32()))
+        assert graph.placed(*(x.slice(1) for x in lists)).to_pylist() == want
+        assert graph.placed(*(x.slice(0, 0) for x in lists)).to_pylist() == []
