@@ -169,9 +169,14 @@ def draw(nodes: DataFrame, placements: DataFrame, edges: DataFrame, pages: DataF
     return Drawing(own, drawn, connected(lines), called_out(own.where("reference_number is not null and page_width is not null")), findings)
 
 
-def inventory(nodes: DataFrame, edges: DataFrame, callouts_: DataFrame) -> DataFrame:
-    """diagram_id, expected_shapes (nodes, edges and callouts), expected_connections (two for each edge), unique_ids."""
-    count = lambda rows, name: rows.groupBy("diagram_id").agg(F.count("*").alias(name))
-    ids = nodes.groupBy("diagram_id").agg(F.count("*").alias("nodes"), F.countDistinct("id").alias("ids"))
-    out = ids.join(count(edges, "edges"), "diagram_id", "left").join(count(callouts_, "callouts"), "diagram_id", "left").na.fill(0, ["edges", "callouts"])
+def inventory(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """diagram_id, expected_shapes (nodes, edges and callouts), expected_connections (two for each edge), unique_ids, of the nodes of a drawing, which carry their page.
+
+    A callout belongs to each node with a reference number and a page. Nodes and
+    edges that are dealt by diagram are counted where they lie.
+    """
+    called = F.col("reference_number").isNotNull() & F.col("page_width").isNotNull()
+    ids = nodes.groupBy("diagram_id", "id").agg(F.count("*").alias("n"), F.count(F.when(called, 1)).alias("callouts"))
+    ids = ids.groupBy("diagram_id").agg(F.sum("n").alias("nodes"), F.count("id").alias("ids"), F.sum("callouts").alias("callouts"))
+    out = ids.join(edges.groupBy("diagram_id").agg(F.count("*").alias("edges")), "diagram_id", "left").na.fill(0, ["edges"])
     return out.select("diagram_id", (F.col("nodes") + F.col("edges") + F.col("callouts")).alias("expected_shapes"), (2 * F.col("edges")).alias("expected_connections"), (F.col("nodes") == F.col("ids")).alias("unique_ids"))

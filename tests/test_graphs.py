@@ -5,7 +5,8 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sketchloom.operators import designs, dot, graph, layout, normalize, packages, snapshots
+from sketchloom import storage
+from sketchloom.operators import designs, dot, drawing, graph, layout, normalize, packages, snapshots
 
 NODE = "diagram_id string, pos long, id string, type string, label string, parent_id string, reference_number string"
 EDGE = "diagram_id string, pos long, id string, source string, target string, relation string, direction string, label string, style string, style_explicit boolean"
@@ -190,3 +191,12 @@ def test_ranks_in_batches(monkeypatch):
         lists = pa.array([[[]], *([i] for i in ids)], pa.list_(pa.list_(pa.string()))).flatten(), pa.array([[], *pairs], pa.list_(pa.int32()))
         assert graph.placed(*(x.slice(1) for x in lists)).to_pylist() == want
         assert graph.placed(*(x.slice(0, 0) for x in lists)).to_pylist() == []
+
+
+def test_inventory_counts_where_rows_lie(spark):
+    nodes = [("d", "a", "1", 9.0), ("d", "b", None, 9.0), ("d", "b", "2", 9.0), ("e", "a", "1", None), ("f", "a", "1", 9.0)]
+    nodes = spark.createDataFrame(nodes, "diagram_id string, id string, reference_number string, page_width double")
+    edges = spark.createDataFrame([("d", 1), ("d", 2), ("f", 1), ("g", 1)], "diagram_id string, pos long")
+    out = drawing.inventory(*map(storage.dealt, (nodes, edges)))
+    assert sorted(map(tuple, out.collect())) == [("d", 7, 4, False), ("e", 1, 0, True), ("f", 3, 2, True)]
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 2
