@@ -294,7 +294,11 @@ class Index:
             found.append((np.searchsorted(begins, near[pair] + at, "right") - 1, self.owner[unit], score))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-    def search(self, texts: Iterable[str]) -> Iterator[tuple[int, int, float, float, float, float]]:
+    def search(self, text: str) -> list[tuple[int, float, float, float, float]]:
+        """(item, best score, overlap, question's overlap, answer's overlap) of the items found in a text."""
+        return [hit for _, *hit in self.search_all([text])]
+
+    def search_all(self, texts: Iterable[str]) -> Iterator[tuple[int, int, float, float, float, float]]:
         """(place of the text, item, best score, overlap, question's overlap, answer's overlap) of the items found in texts."""
         begin, group, size = 0, [], 0
         for ids in itertools.chain(map(self.doc_ids, texts), [None]):
@@ -347,7 +351,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, index_chars: int = INDEX_CHARS)
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                out = [(ids[k], *hit) for k, *hit in index.value.search(text.as_py() for text in batch.column(1))]
+                out = [(ids[k], *hit) for k, *hit in index.value.search_all(text.as_py() for text in batch.column(1))]
                 columns = list(zip(*out, strict=True)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
