@@ -32,7 +32,7 @@ def typed_union(parts: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
 
 def pack(parts: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     """diagram_id and a list for each part (table, columns; lists are in the order of the columns, so the place comes first)."""
-    lists = [F.array_sort(F.collect_list(name)).alias(name) for name in parts]
+    lists = [F.sort_array(F.collect_list(name)).alias(name) for name in parts]
     return typed_union(parts).groupBy("diagram_id").agg(*lists)
 
 
@@ -160,9 +160,9 @@ def collapsed(edges: Column) -> Column:
 def edge_ids(edges: Column) -> Column:
     """All ids that the edges have or get: the k-th edge without one gets the k-th free e<n>."""
     ids = F.transform(edges, lambda e: F.coalesce(e["id"], F.lit("")))
-    used = lambda ids: F.filter(ids, lambda i: i != "")
-    free = lambda ids: F.array_except(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1))), lambda n: F.concat(F.lit("e"), n.cast("string"))), used(ids))
-    return let(ids, lambda ids: F.concat(used(ids), F.slice(free(ids), F.lit(1), F.size(ids) - F.size(used(ids)))))
+    free = lambda n, used: F.array_except(F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("e"), k.cast("string"))), used)
+    filled = lambda n, used: F.when(n > F.size(used), F.concat(used, F.slice(free(n, used), F.lit(1), n - F.size(used)))).otherwise(used)
+    return let(F.array_remove(ids, ""), lambda used: filled(F.size(edges), used))
 
 
 def box(p: Column) -> dict[str, Column]:
@@ -181,7 +181,7 @@ def design_messages(nodes: Column, edges: Column, placements: Column, hints: Col
             F.transform(missing, lambda i: text.message("missing_placement", id=i)),
             F.transform(unknown, lambda i: text.message("unknown_placement", id=i)),
             let(edge_ids(edges), hint_messages),
-            let(boxes(ids), box_messages),
+            let(boxes(ids, placed), box_messages),
         ]
         return F.concat(*lists)
 
@@ -192,22 +192,28 @@ def design_messages(nodes: Column, edges: Column, placements: Column, hints: Col
             F.when(~F.array_contains(known, h["edge_id"]), text.message("unknown_hint", id=h["edge_id"]))))))
         return let(keys, of)
 
-    def boxes(ids: Column) -> Column:
+    def boxes(ids: Column, placed: Column) -> Column:
         """The last placement of each node, sorted by id."""
-        parent = lambda p: F.get(each(nodes, "parent_id"), F.array_position(ids, p["node_id"]).cast("int") - 1)
-        last = F.filter(placements, lambda p, i: F.array_contains(ids, p["node_id"]) & ~F.exists(F.slice(placements, i + 2, F.size(placements)), lambda q: q["node_id"] == p["node_id"]))
-        return F.array_sort(F.transform(last, lambda p: F.struct(p["node_id"].alias("id"), parent(p).alias("parent_id"), *(c.alias(n) for n, c in box(p).items()))))
+        parent = lambda p: F.get(nodes, F.array_position(ids, p["node_id"]).cast("int") - 1)["parent_id"]
+        known = F.filter(placements, lambda p: F.array_contains(ids, p["node_id"]))
+        search = F.filter(placements, lambda p, i: F.array_contains(ids, p["node_id"]) & ~F.exists(F.slice(placements, i + 2, F.size(placements)), lambda q: q["node_id"] == p["node_id"]))
+        last = F.when(F.size(placed) == F.size(placements), known).otherwise(search)
+        return F.sort_array(F.transform(last, lambda p: F.struct(p["node_id"].alias("id"), parent(p).alias("parent_id"), *(c.alias(n) for n, c in box(p).items()))))
 
     def box_messages(found: Column) -> Column:
         outside = F.filter(found, lambda b: (b["left"] < 0) | (b["bottom"] < 0) | (b["right"] > page_width) | (b["top"] > page_height))
         kin = lambda a, b: F.coalesce(a["parent_id"] == b["id"], F.lit(False)) | F.coalesce(b["parent_id"] == a["id"], F.lit(False))
         across = lambda a, b: F.least(a["right"], b["right"]) - F.greatest(a["left"], b["left"])
         along = lambda a, b: F.least(a["top"], b["top"]) - F.greatest(a["bottom"], b["bottom"])
-        meet = lambda a, b: (across(a, b) > g.TOLERANCE) & (along(a, b) > g.TOLERANCE) & (across(a, b) * along(a, b) > g.TOLERANCE) & ~kin(a, b)
+        gone = lambda high, low: high - low <= 0  # noqa: E731  never of NaN
+        apart = lambda a, b: F.coalesce(gone(a["right"], b["left"]) | gone(b["right"], a["left"]) | gone(a["top"], b["bottom"]) | gone(b["top"], a["bottom"]), F.lit(False))  # noqa: E731  most pairs are, which is told soonest
+        meet = lambda a, b: ~apart(a, b) & (across(a, b) > g.TOLERANCE) & (along(a, b) > g.TOLERANCE) & (across(a, b) * along(a, b) > g.TOLERANCE) & ~kin(a, b)
         met = F.flatten(F.transform(found, lambda a, i: F.transform(F.filter(F.slice(found, i + 2, F.size(found)), lambda b: meet(a, b)), lambda b: text.message("overlap", id=a["id"], other=b["id"]))))
-        around = lambda b: first(F.filter(found, lambda p: p["id"] == b["parent_id"]))
         leaves = lambda b, p: (b["left"] < p["left"]) | (b["bottom"] < p["bottom"]) | (b["right"] > p["right"]) | (b["top"] > p["top"])
-        out = F.filter(found, lambda b: b["parent_id"].isNotNull() & F.coalesce(let(around(b), lambda p: leaves(b, p)), F.lit(False)))
+        around = lambda holders, b: first(F.filter(holders, lambda p: p["id"] == b["parent_id"]))
+        beyond = lambda holders: F.filter(found, lambda b: b["parent_id"].isNotNull() & F.coalesce(let(around(holders, b), lambda p: leaves(b, p)), F.lit(False)))
+        parents = F.array_compact(F.array_distinct(each(found, "parent_id")))
+        out = let(let(parents, lambda ids: F.filter(found, lambda p: F.array_contains(ids, p["id"]))), beyond)
         return F.concat(say(outside, "outside_page", id="id"), met, say(out, "outside_container", id="id", parent_id="parent_id"))
 
     return let(F.struct(each(nodes, "id").alias("ids"), F.array_distinct(each(placements, "node_id")).alias("placed")), lambda s: told(s["ids"], s["placed"]))

@@ -95,3 +95,9 @@ def test_items_are_retrieved_before_they_are_verified(monkeypatch):
     monkeypatch.setattr(index, "verified", lambda ids: asked.append(len(ids)) or {0: (1.0, 1.0, 1.0)})
     assert index.search("nothing of it, but for alpha") == [] and asked == []
     assert [hit[0] for hit in index.search(item)] == [1] and len(asked) == 1
+
+
+def test_each_design_is_judged_once(spark):
+    """The rules are in no filter beside the column: they are evaluated in one place."""
+    out = entry.queries()["design_findings"](spark, SF)
+    assert "lambdafunction" not in plan(out) and out.count() > 50
