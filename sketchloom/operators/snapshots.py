@@ -41,24 +41,35 @@ def inventory(before: DataFrame, moved: DataFrame, reopened: DataFrame) -> DataF
     return bags.where("before <> moved or moved <> reopened")
 
 
+def unfolded(rows: DataFrame) -> DataFrame:
+    """staged() rows of one table that holds all stages of a shape in a row, read once: drawing, label, root_pos, dfs_pos, and before, moved, reopened (pin_x, pin_y, signatures; null: not there)."""
+    rows = rows.withColumn("label", text.one_line(F.col("label")))
+    stages = F.array(*(F.struct(F.lit(p).alias("stage"), F.col(name).alias("shape")) for p, name in STAGES))
+    rows = rows.select("drawing", "label", "root_pos", "dfs_pos", F.inline(stages)).where("shape is not null")
+    return rows.select("drawing", "label", "root_pos", "dfs_pos", "shape.*", "stage")
+
+
 def compared(before: DataFrame, moved: DataFrame, reopened: DataFrame) -> DataFrame:
+    """compared_stages() of a table for each stage."""
+    return compared_stages(staged(before, moved, reopened))
+
+
+def compared_stages(rows: DataFrame) -> DataFrame:
     """drawing, shapes, moved_far, pins_lost, signatures_changed of each drawing, and its shapes and connections in each stage.
 
-    Each table holds all shapes of a page (see staged). A page's counts are those
+    rows: all shapes of the pages (see staged). A page's counts are those
     of all its top-level shapes and connections; positions and signatures are
     compared for the first shape of each label, which is looked up in each stage
     anew. A label that a stage lacks counts as moved, lost and changed.
     """
-    rows = staged(before, moved, reopened)
     shape = F.struct("pin_x", "pin_y", F.array_sort("signatures").alias("signatures"))
     of = lambda p, value: F.when(F.col("stage") == p, value)
     place = F.struct("root_pos", "dfs_pos")
     top = F.when(F.col("dfs_pos") == 0, 1)
     by_label = rows.groupBy("drawing", "label").agg(
-        *(F.min_by(shape, of(p, place)).alias(p) for p, _ in STAGES), *(F.count(of(p, F.lit(1))).alias(f"{p}_here") for p, _ in STAGES),
+        *(F.min_by(shape, of(p, place)).alias(p) for p, _ in STAGES),
         *(F.count(of(p, top)).alias(f"{p}_shapes") for p, _ in STAGES), *(F.coalesce(F.sum(of(p, F.size("signatures"))), F.lit(0)).alias(f"{p}_connections") for p, _ in STAGES),
     )
-    by_label = by_label.withColumns({p: F.when(F.col(f"{p}_here") > 0, F.col(p)) for p, _ in STAGES})
 
     def differ(a: str, b: str, unlike: Column) -> Column:
         here = F.col(a).isNotNull(), F.col(b).isNotNull()

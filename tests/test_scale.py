@@ -101,3 +101,16 @@ def test_each_design_is_judged_once(spark):
     """The rules are in no filter beside the column: they are evaluated in one place."""
     out = entry.queries()["design_findings"](spark, SF)
     assert "lambdafunction" not in plan(out) and out.count() > 50
+
+
+def test_snapshots_are_read_once(spark):
+    out = entry.queries()["snapshot_compare"](spark, SF)
+    assert plan(out).split("== Initial Plan ==")[-1].count("Window [") == 1
+
+
+def test_one_line(spark):
+    rng = random.Random(8)
+    texts = [None, "", " ", *("".join(rng.choices(" \t\n\r\x0b\f\xa0aé", k=rng.randrange(12))) for _ in range(500))]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    old = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("t", F.lit("")), r"[\r\n\t]+", " "), r"\s+", " "))
+    assert rows.where(~tx.one_line(F.col("t")).eqNullSafe(old)).count() == 0
