@@ -26,10 +26,10 @@ def graph_documents(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame) ->
 
 
 def children(path: Column, expected: Column, actual: Column) -> Column:
-    """array of (path, expected, actual): what two documents of one kind hold, by sorted key or by place; JSON null counts as absent."""
-    child = lambda at, e, a: F.struct(at.alias("path"), *(F.nullif(F.to_json(v), F.lit("null")).alias(n) for n, v in (("expected", e), ("actual", a))))
+    """array of (path, expected, actual): what two documents of one kind hold, by sorted key or by place."""
+    child = lambda at, e, a: F.struct(at.alias("path"), F.to_json(e).alias("expected"), F.to_json(a).alias("actual"))
     read = lambda kind: F.struct(*(F.try_variant_get(F.try_parse_json(v), "$", kind).alias(n) for n, v in (("e", expected), ("a", actual))))
-    keys = lambda m: F.array_sort(F.array_union(F.map_keys(m["e"]), F.map_keys(m["a"])))
+    keys = lambda m: F.sort_array(F.array_union(F.map_keys(m["e"]), F.map_keys(m["a"])))
     named = lambda k: F.when(path == "", k).otherwise(F.concat(path, F.lit("."), k))
     of_objects = let(read("map<string,variant>"), lambda m: F.transform(keys(m), lambda k: child(named(k), m["e"][k], m["a"][k])))
     size = lambda m: F.greatest(F.size(m["e"]), F.size(m["a"]))
@@ -52,14 +52,15 @@ def structural_differences(pairs: DataFrame, key: str) -> DataFrame:
     shown = lambda c: F.coalesce(F.when(F.startswith(c, F.lit('"')), F.try_variant_get(F.try_parse_json(F.col(c)), "$", "string")).otherwise(F.col(c)), F.lit(MISSING)).alias(c)
     told = lambda rows: rows.where("not deeper").select(key, "path", shown("expected"), shown("actual"))
     plain = lambda c: F.nullif(F.to_json(F.try_parse_json(F.col(c))), F.lit("null")).alias(c)  # noqa: E731  keys sorted, white space gone
-    rows, found = pairs.select(key, F.lit("").alias("path"), plain("expected"), plain("actual")), []
+    rows, found = kept(pairs.select(key, F.lit("").alias("path"), plain("expected"), plain("actual"))), []  # a filter on expressions would parse the documents for each use of them
     while True:
         rows = kept(rows.where(~same).withColumn("deeper", F.coalesce(both("{") | both("["), F.lit(False))))
         found.append(told(rows))
         rows = rows.where("deeper")
         if rows.isEmpty():
             break
-        rows = rows.select(key, F.inline(children(F.col("path"), F.col("expected"), F.col("actual"))))
+        rows = rows.select(key, F.inline_outer(children(F.col("path"), F.col("expected"), F.col("actual"))))  # outer, as Spark asks for the size of an inner one's list first, and computes it twice; the nulls of an empty one are equal
+        rows = rows.select(key, "path", *(F.when(F.col(c) != "null", F.col(c)).alias(c) for c in ("expected", "actual")))  # JSON null counts as absent
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from sketchloom import storage
 from sketchloom.functions import text as tx
 from sketchloom.llm import decontaminate
-from sketchloom.operators import attempts, dot, drawing
+from sketchloom.operators import attempts, dot, drawing, evaluate
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,3 +114,13 @@ def test_one_line(spark):
     rows = spark.createDataFrame([(x,) for x in texts], "t string")
     old = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("t", F.lit("")), r"[\r\n\t]+", " "), r"\s+", " "))
     assert rows.where(~tx.one_line(F.col("t")).eqNullSafe(old)).count() == 0
+
+
+def test_documents_are_parsed_once(spark, monkeypatch):
+    """No table of differences is written from a plan that parses in a filter."""
+    kept, plans = evaluate.kept, []
+    monkeypatch.setattr(evaluate, "kept", lambda df: plans.append(plan(df)) or kept(df))
+    pairs = spark.createDataFrame([("a", '{"x": [1, {"y": null, "z": []}], "w": {}}', '{"x": [1, {"z": [2]}], "w": {"v": null}}')], "case_id string, expected string, actual string")
+    got = [tuple(r) for r in evaluate.structural_differences(pairs, "case_id").collect()]
+    assert got == [("a", "x[1].z[0]", "<missing>", "2")]
+    assert not [line for p in plans for line in p.splitlines() if "Filter " in line and "parse_json" in line]
