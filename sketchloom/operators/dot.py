@@ -14,7 +14,25 @@ from .layout import around_children, fit_page, sized
 
 
 def number(value: Column) -> Column:
-    return F.format_string("%.4f", value)
+    """A size, which has no more than four decimals and no sign, with all four; a format string is parsed again for each row."""
+    n = F.rint(value * 10_000).cast("long")
+    return F.concat(((n - n % 10_000) / 10_000).cast("long").cast("string"), F.lit("."), F.lpad((n % 10_000).cast("string"), 4, "0"))
+
+
+def texts(name: str) -> dict[str, Column]:
+    """What lines are made of: head of a diagram, edge, node up to its label, and that label."""
+    direction = F.when(F.col("orientation") == "top_to_bottom", "TB").otherwise("LR")
+    head = F.concat(F.lit(f'digraph {name} {{\n  graph [rankdir="'), direction, F.lit(f'", nodesep="{t.NODE_GAP:.4f}", ranksep="{t.RANK_GAP:.4f}"];\n  node [fixedsize="true", shape="box"];'))
+    node = F.concat(quoted(F.col("id")), F.lit(' [width="'), number(F.col("own_width")), F.lit('", height="'), number(F.col("own_height")), F.lit('", label='))
+    weight = t.looked_up(F.col("relation"), t.RELATION_VISUALS, 2).cast("string")
+    loose = (F.col("relation") == "association") | (F.col("direction") == "none")
+    edge = F.concat(F.lit("  "), quoted(F.col("source")), F.lit(" -> "), quoted(F.col("target")), F.lit(' [weight="'), weight, F.when(loose, F.lit('", constraint="false"];')).otherwise(F.lit('"];')))
+    return {"head": head, "node": node, "label": quoted(F.col("wrapped")), "edge": edge}
+
+
+def opening(name: Column, label: Column) -> Column:
+    """The first line of a cluster; label is quoted already."""
+    return F.concat(F.lit("  subgraph "), quoted(F.concat(F.lit("cluster_"), name)), F.lit(" {\n    graph [label="), label, F.lit(', margin="24.0000"];'))
 
 
 def dot_lines(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame, name: str = "diagram") -> DataFrame:
@@ -25,25 +43,19 @@ def dot_lines(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame, name: str
     """
     rows = lambda df, section, k1, k2, k3, line: df.select("diagram_id", F.lit(section).alias("section"), k1.alias("k1"), k2.alias("k2"), k3.alias("k3"), line.alias("line"))
     none = F.lit("")
-    direction = F.when(F.col("orientation") == "top_to_bottom", "TB").otherwise("LR")
-    head = F.concat(F.lit(f'digraph {name} {{\n  graph [rankdir="'), direction, F.lit(f'", nodesep="{t.NODE_GAP:.4f}", ranksep="{t.RANK_GAP:.4f}"];\n  node [fixedsize="true", shape="box"];'))
-    own = sized(nodes)
-    node = F.concat(quoted(F.col("id")), F.lit(' [width="'), number(F.col("own_width")), F.lit('", height="'), number(F.col("own_height")), F.lit('", label='), quoted(F.col("wrapped")), F.lit("];"))
+    said, own = texts(name), sized(nodes)
+    node = F.concat(said["node"], said["label"], F.lit("];"))
     parents = nodes.where(F.col("parent_id").isNotNull()).select("diagram_id", F.col("parent_id").alias("id")).distinct()
     free = own.where(F.col("parent_id").isNull()).join(parents, ["diagram_id", "id"], "left_anti")
     clusters = own.join(parents, ["diagram_id", "id"], "left_semi")
-    opening = F.concat(F.lit("  subgraph "), quoted(F.concat(F.lit("cluster_"), F.col("id"))), F.lit(" {\n    graph [label="), quoted(F.col("wrapped")), F.lit(', margin="24.0000"];'))
     children = own.where(F.col("parent_id").isNotNull())
-    weight = t.looked_up(F.col("relation"), t.RELATION_VISUALS, 2).cast("string")
-    loose = (F.col("relation") == "association") | (F.col("direction") == "none")
-    edge = F.concat(F.lit("  "), quoted(F.col("source")), F.lit(" -> "), quoted(F.col("target")), F.lit(' [weight="'), weight, F.when(loose, F.lit('", constraint="false"];')).otherwise(F.lit('"];')))
     parts = [
-        rows(diagrams, 0, none, none, none, head),
+        rows(diagrams, 0, none, none, none, said["head"]),
         rows(free, 1, F.col("id"), none, none, F.concat(F.lit("  "), node)),
-        rows(clusters, 2, F.col("id"), none, none, opening),
+        rows(clusters, 2, F.col("id"), none, none, opening(F.col("id"), said["label"])),
         rows(children, 2, F.col("parent_id"), F.lit("1"), F.col("id"), F.concat(F.lit("    "), node)),
         rows(clusters, 2, F.col("id"), F.lit("2"), none, F.lit("  }")),
-        rows(edges, 3, F.col("source"), F.col("target"), F.coalesce("id", F.lit("")), edge),
+        rows(edges, 3, F.col("source"), F.col("target"), F.coalesce("id", F.lit("")), said["edge"]),
         rows(diagrams, 4, none, none, none, F.lit("}")),
     ]
     out = parts[0]
@@ -53,9 +65,41 @@ def dot_lines(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame, name: str
 
 
 def export_dot(diagrams: DataFrame, nodes: DataFrame, edges: DataFrame, name: str = "diagram") -> DataFrame:
-    """diagram_id, dot: one text for each graph."""
-    lines = dot_lines(diagrams, nodes, edges, name).groupBy("diagram_id").agg(F.array_sort(F.collect_list(F.struct("section", "k1", "k2", "k3", "line"))).alias("all"))
-    return lines.select("diagram_id", F.concat(F.array_join(F.transform("all", lambda x: x["line"]), "\n"), F.lit("\n")).alias("dot"))
+    """diagram_id, dot: one text for each graph, the lines of dot_lines in their order.
+
+    Each table is read once; which nodes are clusters is told where a diagram's lines lie together.
+    """
+    said, inside = texts(name), F.col("parent_id").isNotNull()
+    node = F.concat(F.when(inside, "    ").otherwise("  "), said["node"])
+    rows = lambda df, section, k1, k2, k3, line, size=F.lit(0): df.select("diagram_id", F.struct(section.alias("section"), k1.alias("k1"), k2.alias("k2"), k3.alias("k3"), line.alias("line"), size.alias("size")).alias("x"))
+    none = F.lit("")
+    parts = [
+        rows(diagrams, F.lit(0), none, none, none, said["head"]),
+        rows(sized(nodes), F.when(inside, 2).otherwise(1), F.coalesce("parent_id", "id"), F.when(inside, "1").otherwise(""), F.when(inside, F.col("id")).otherwise(""), F.concat(node, said["label"], F.lit("];")), F.length(said["label"])),
+        rows(edges, F.lit(3), F.col("source"), F.col("target"), F.coalesce("id", none), said["edge"]),
+    ]
+    count = lambda section: F.count_if(F.col("x.section") == section).cast("int")
+    lists = dealt(reduce(DataFrame.unionByName, parts)).groupBy("diagram_id").agg(F.sort_array(F.collect_list("x")).alias("all"), *(count(i).alias(f"n{i}") for i in range(3)))
+    cut = lambda start, n: F.slice("all", start + 1, n)
+    n0, n1, n2 = (F.col(f"n{i}") for i in range(3))
+    lists = lists.select("diagram_id", "n0", cut(F.lit(0), n0)["line"].alias("heads"), cut(n0, n1).alias("outer"), cut(n0 + n1, n2).alias("inner"), cut(n0 + n1 + n2, F.size("all"))["line"].alias("edges"))
+    parents = lists.withColumn("parents", F.array_distinct("inner.k1")).withColumn("n", F.greatest(F.ceil(F.sqrt(F.size("parents"))).cast("int"), F.lit(1)))
+    at = lambda id: F.pmod(F.hash(id), F.col("n"))
+    lists = parents.withColumn("parents_at", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.filter("parents", lambda p: at(p) == i)))
+    has = lambda id: F.exists(F.get("parents_at", at(id)), lambda p: p == id)  # noqa: E731  # by hash, so that many containers are not compared with each node
+
+    def cluster(x: Column, id: Column) -> Column:
+        """The first and the last line of a node's cluster."""
+        label = F.substring(x["line"], -2 - x["size"], x["size"])
+        own = lambda k2, line: F.struct(F.lit(2).alias("section"), id.alias("k1"), F.lit(k2).alias("k2"), F.lit("").alias("k3"), line.alias("line"), F.lit(0).alias("size"))
+        return F.array(own("", opening(id, label)), own("2", F.lit("  }")))
+
+    clusters = lambda items, key: F.flatten(F.transform(F.filter(items, lambda x: has(x[key])), lambda x: cluster(x, x[key])))
+    nested = F.when(F.arrays_overlap("inner.k3", "parents"), clusters("inner", "k3")).otherwise(F.slice("inner", 1, 0))
+    free = F.filter("outer", lambda x: ~has(x["k1"]))
+    lists = lists.select("*", free["line"].alias("free"), F.sort_array(F.concat(clusters("outer", "k1"), nested, "inner"))["line"].alias("boxes"))
+    lines = F.concat("heads", "free", "boxes", "edges", F.array_repeat(F.lit("}"), n0))
+    return lists.select("diagram_id", F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("dot"))
 
 
 #: A field of positioned text: quoted (with escapes) or bare.

@@ -145,6 +145,30 @@ def test_dot_and_positions(spark):
     assert not got["bad"][0] and not got["none"][0]
 
 
+def test_dot_texts_are_the_lines_in_order(spark):
+    own = ["a", "b", "b", 'q "u\\n"', "line\nfeed", "kid", "kid", "grandkid", None, "unlabelled", "odd"]
+    above = [None, None, None, None, None, "b", "b", "kid", "b", "line\nfeed", "nobody"]
+    rows = [("g", i, x, "gadget" if x == "odd" else "housing" if x == "b" else "process", None if x == "unlabelled" else f'L{i} "\\"', up, "7" if i % 2 else None) for i, (x, up) in enumerate(zip(own, above))]
+    many = [("m", i, f"n{i:04}", "process", "x" * (i % 40), f"n{i - 1:04}" if i % 2 else None, None) for i in range(2000)]
+    nodes = spark.createDataFrame([*rows, *many, ("alone", 0, "a", "note", "A", None, None), ("twice", 0, "a", "note", "A", "a", None)], NODE)
+    links = [edge("b", "a", "none", id_="e9"), edge("b", "a", id_="e1"), edge("a", "b", relation="love"), edge('q "', "a", relation="association"), edge("a", "a")]
+    edges = edges_of(spark, links).unionByName(edges_of(spark, links[:1], "edges only"))
+    diagrams = spark.createDataFrame([("g", "top_to_bottom"), ("m", None), ("twice", "left_to_right"), ("twice", "left_to_right"), ("bare", "left_to_right")], "diagram_id string, orientation string")
+    want = {}
+    for r in sorted(dot.dot_lines(diagrams, nodes, edges).where("line is not null").collect()):
+        want[r["diagram_id"]] = want.get(r["diagram_id"], "") + r["line"] + "\n"
+    out = dot.export_dot(diagrams, nodes, edges)
+    assert {r["diagram_id"]: r["dot"] for r in out.collect()} == want
+    assert set(want) == {"g", "m", "alone", "twice", "edges only", "bare"} and want["m"].count("subgraph") == 1000
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # each table is read once
+
+
+def test_sizes_have_four_decimals(spark):
+    sizes = [0.0, 0.05, 0.6, 1.0001, 2.25, 3.9999, 7.5, 10.0, 123.4567]
+    got = spark.createDataFrame([(x,) for x in sizes], "x double").select(dot.number(F.col("x")).alias("s")).collect()
+    assert [r["s"] for r in got] == [f"{x:.4f}" for x in sizes]
+
+
 def test_hints_take_the_last(spark):
     hints = spark.createDataFrame([("g", 0, "e1", "left", "auto"), ("g", 1, "e1", "top", "right")], "diagram_id string, pos int, edge_id string, source_side string, target_side string")
     assert designs.hint_map(hints).select(F.col("hints")["e1"]["source_side"].alias("s")).first()["s"] == "top"
